@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import simhash, suffixes
+from parchment.llm import gif, simhash, suffixes, tokens
 from parchment.llm.common import table
 
 
@@ -21,7 +21,22 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(tokens.VOCABULARY)
+    return tokens.prefix_counts(table(spark, sf_dir, "documents"), path, keep_steps=False).withColumn(
+        "over_limit", F.col("n_tokens") > 2048
+    )
+
+
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.media_columns(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op9_token_counts": op9_token_counts,
+    "op10_media_columns": op10_media_columns,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }

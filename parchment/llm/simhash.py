@@ -361,7 +361,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
     joined = nodes.join(comps, nodes.fp == comps.node, "left")
     linked = joined.where(F.col("component").isNotNull())
     named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = nodes.join(
-        linked.select("fp", "component").join(named, "component").select("fp", "component_id"), "fp", "left"
-    ).select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    labels = stored(
+        nodes.join(
+            linked.select("fp", "component").join(named, "component").select("fp", "component_id"), "fp", "left"
+        ).select("fp", F.coalesce("component_id", "least").alias("component_id")),
+        "labels",
+    )
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
