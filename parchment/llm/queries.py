@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import gif, simhash, suffixes, tokens
-from parchment.llm.common import table
+from parchment.llm import gif, simhash, suffixes, tokens, toxicity
+from parchment.llm.common import fold, table
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,19 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gif.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.train_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, net).select(
+        "doc_id",
+        (fold("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
+    "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_media_columns": op10_media_columns,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
