@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import gif, simhash, suffixes, tokens, toxicity
+from parchment.llm import gif, langid, simhash, suffixes, tokens, toxicity
 from parchment.llm.common import fold, table
 
 
@@ -45,7 +45,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.label_spans(docs, langid.train(docs)).select(
+        "doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "spans"
+    )
+
+
 QUERIES = {
+    "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
     "op10_media_columns": op10_media_columns,
