@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import gif, langid, simhash, suffixes, tokens, toxicity
+from parchment.llm import decontaminate, gif, langid, simhash, suffixes, tokens, toxicity
 from parchment.llm.common import fold, table
 
 
@@ -52,7 +52,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
     "op9_token_counts": op9_token_counts,
