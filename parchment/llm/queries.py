@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import decontaminate, gif, langid, simhash, suffixes, tokens, toxicity
+from parchment.llm import decontaminate, gif, langid, mixing, simhash, suffixes, tokens, toxicity
 from parchment.llm.common import fold, table
 
 
@@ -56,7 +56,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sample(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_source_mixing": op4_source_mixing,
     "op2_decontamination": op2_decontamination,
     "op6_language_id": op6_language_id,
     "op7_toxicity": op7_toxicity,
@@ -66,4 +71,6 @@ QUERIES = {
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_source_mixing": mixing.sample_sql(),
+}
