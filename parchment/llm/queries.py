@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import decontaminate, gif, langid, mixing, simhash, suffixes, tokens, toxicity
+from parchment.llm import decontaminate, gif, langid, lm, mixing, simhash, suffixes, tokens, toxicity
 from parchment.llm.common import fold, table
 
 
@@ -60,7 +60,12 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_lm_scoring": op5_lm_scoring,
     "op4_source_mixing": op4_source_mixing,
     "op2_decontamination": op2_decontamination,
     "op6_language_id": op6_language_id,
