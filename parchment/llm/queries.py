@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import decontaminate, gif, langid, lm, mixing, simhash, suffixes, tokens, toxicity
+from parchment.llm import decontaminate, gif, langid, lm, mixing, simhash, suffixes, tokens, toxicity, warc
 from parchment.llm.common import fold, table
 
 
@@ -64,7 +64,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.pages_to_records(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_warc_revisits": op1_warc_revisits,
     "op5_lm_scoring": op5_lm_scoring,
     "op4_source_mixing": op4_source_mixing,
     "op2_decontamination": op2_decontamination,
@@ -77,5 +82,13 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_warc_revisits": """
+        WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                          sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM f""",
     "op4_source_mixing": mixing.sample_sql(),
 }
