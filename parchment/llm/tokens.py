@@ -64,8 +64,10 @@ class PrefixCounter:
         vocab = model["vocab"]
         n = len(self.mark)
         self.names = {i: t for t, i in vocab.items()}
-        self.inner = {t: i for t, i in vocab.items() if not t.endswith(self.mark)}
-        self.final = {t[:-n]: i for t, i in vocab.items() if t.endswith(self.mark)}
+        inner = {t: i for t, i in vocab.items() if not t.endswith(self.mark)}
+        final = {t[:-n]: i for t, i in vocab.items() if t.endswith(self.mark)}
+        #: spelling -> numbers of the token inside a word and at its end (-1: there is none)
+        self.tokens = {t: (inner.get(t, -1), final.get(t, -1)) for t in {*inner, *final}}
         self.longest = max(map(len, vocab))
         self.letters = _byte_letters()
         self.fits: dict[int, bool] = {}
@@ -111,27 +113,41 @@ class PrefixCounter:
         found = self.pieces.get(piece)
         if found is not None:
             return found
-        s = "".join([self.letters[b] for b in piece.encode()])
+        s = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
         n = len(s)
-        last = [-1] * (n + 1)
-        plain, whole = [0] * (n + 1), [0] * (n + 1)
-        inner, final, longest = self.inner.get, self.final.get, self.longest
+        last, plain, whole = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        tokens, fits, longest = self.tokens.get, self.fits.get, self.longest
         for j in range(1, n + 1):
-            low = max(0, j - longest)
-            for k in range(low, j):
-                t = inner(s[k:j])
-                if t is not None and (k == 0 or self.follows(last[k], t)):
-                    last[j], plain[j] = t, plain[k] + 1
-                    break
-            for k in range(low, j):
-                t = final(s[k:j])
-                if t is not None and (k == 0 or self.follows(last[k], t)):
-                    whole[j] = plain[k] + 1
+            open_, before = True, True  # what is still sought: the whole prefix's end, its plain end
+            for k in range(max(0, j - longest), j):
+                pair = tokens(s[k:j])
+                if pair is None:
+                    continue
+                t, e = pair
+                if k == 0:
+                    if before and t >= 0:
+                        last[j], plain[j], before = t, 1, False
+                    if open_ and e >= 0:
+                        whole[j], open_ = 1, False
+                else:
+                    a = last[k] << 32
+                    if before and t >= 0:
+                        ok = fits(a | t)
+                        if self.follows(last[k], t) if ok is None else ok:
+                            last[j], plain[j], before = t, plain[k] + 1, False
+                    if open_ and e >= 0:
+                        ok = fits(a | e)
+                        if self.follows(last[k], e) if ok is None else ok:
+                            whole[j], open_ = plain[k] + 1, False
+                if not (open_ or before):
                     break
-        out, at = [], 0
-        for c in piece:
-            at += len(c.encode())
-            out.append(whole[at])
+        if s is piece:
+            out = whole[1:]
+        else:
+            out, at = [], 0
+            for c in piece:
+                at += len(c.encode())
+                out.append(whole[at])
         if len(self.pieces) > KEPT_WORDS // 2:
             self.pieces.clear()
         self.pieces[piece] = bytes(out) if max(out) < 256 else out
@@ -140,11 +156,16 @@ class PrefixCounter:
     def counts(self, word: str) -> list[int]:
         """Token counts of a word's prefixes, by code point."""
         low = word.lower()
-        if _CERTAIN.fullmatch(word) and _CERTAIN.fullmatch(low) and len(low) == len(word):
+        if len(low) == len(word) and (
+            (word.isascii() and word.isprintable() and "'" not in word and "<|" not in word)
+            or (_CERTAIN.fullmatch(word) and _CERTAIN.fullmatch(low))
+        ):
+            if low.isalpha():
+                return self.ended(low)
             out, base = [], 0
             for piece in _PIECES.findall(low):
                 own = self.ended(piece)
-                out += [base + x for x in own]
+                out += [base + x for x in own] if base else own
                 base += own[-1]
             if len(out) == len(word):
                 return out
@@ -154,12 +175,19 @@ class PrefixCounter:
             out += [len(e.ids) for e in self.library.encode_batch(prefixes[k : k + 256], add_special_tokens=False)]
         return out
 
-    def steps(self, word: str) -> np.ndarray:
-        c = np.array(self.counts(word), np.int64)
-        return np.diff(c, prepend=0)
+    def steps(self, word: str) -> bytes:
+        """Signed bytes: the change of the count at each code point."""
+        before, out = 0, []
+        for c in self.counts(word):
+            step = c - before
+            if not -128 <= step < 128:
+                raise OverflowError("a code point changes the count by more than 127 tokens")
+            out.append(step & 255)
+            before = c
+        return bytes(out)
 
     def text_steps(self, text: str) -> np.ndarray:
-        """A signed step per code point; beyond a byte's range the excess is passed on to the next."""
+        """A signed step per code point."""
         words = text.translate(_SPACES).split(" ")
         known = self.words
         if len(known) > KEPT_WORDS:
@@ -167,15 +195,10 @@ class PrefixCounter:
             known[""] = b""
         for w in {*words}:
             if w not in known:
-                s = self.steps(w)
-                known[w] = s.astype(np.int8).tobytes() if abs(s).max(initial=0) < 128 else _clipped(s)
+                known[w] = self.steps(w)
         return np.frombuffer(b"\0".join(map(known.__getitem__, words)), np.int8)
 
 
-def _clipped(s: np.ndarray) -> bytes:
-    raise OverflowError("a code point changes the count by more than 127 tokens")
-
-
 def prefix_counts(
     docs: DataFrame, path: str, keep_steps: bool = True, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
