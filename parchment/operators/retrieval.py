@@ -145,7 +145,8 @@ def fuse(dense: DataFrame | None, lexical: DataFrame, alpha: float = ALPHA) -> D
 
 
 def ranked(scores: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("doc_id"))
+    """Best k by score, ties to the higher id; scores equal to nine places are ties, whatever order they were added up in."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.desc("doc_id"))
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
