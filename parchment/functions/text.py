@@ -128,7 +128,7 @@ def script_runs(text: Column) -> Column:
     runs = F.regexp_extract_all(
         text, F.lit(f"[^{ARABIC}{LATIN}]*[{ARABIC}][^{LATIN}]*|[^{ARABIC}{LATIN}]*[{LATIN}][^{ARABIC}]*|[^{ARABIC}{LATIN}]+"), F.lit(0)
     )
-    return F.filter(F.transform(runs, F.trim), lambda r: r != "")
+    return F.filter(F.transform(runs, lambda r: F.trim(r)), lambda r: r != "")
 
 
 def html_to_text(html: Column) -> Column:

@@ -39,7 +39,7 @@ def number_words(tokens: Column) -> Column:
     return F.aggregate(known, start, step, lambda a: F.when(a["ok"] & (a["sum"] > 0), a["sum"]))
 
 
-_WORD = "(?:" + "|".join([*NUMBER_WORDS, "hundred"]) + ")"
+_WORD = "(?:" + "|".join([*NUMBER_WORDS, "hundred"]) + r")\b"
 _WORDS = rf"{_WORD}(?:[\s-]+(?:and\s+)?{_WORD})*"
 _DURATION = (
     rf"(?i)(?:(?:between|from)\s+\d+\s*(?:and|to|-)\s*)?(?:(?<![\w.,/])\d+(?:\s*(?:to|-|–)\s*\d+)?|\b{_WORDS})(?:\s*\(\s*\d+\s*\))?"

@@ -11,6 +11,10 @@ from parchment.functions.values import convert_unit
 QUALITATIVE = ("prohibition", "requirement", "informational")
 
 
+def _phrase(kind: str):
+    return lambda m: F.struct(F.lit(kind).alias("kind"), m["phrase"].alias("phrase"), m["unit"].alias("unit"))
+
+
 def thresholds(articles: DataFrame, numbers: DataFrame, allow_digits: bool = False) -> DataFrame:
     """articles(article_id, text) x numbers(token, value) -> (article_id, kind, value, unit) of phrases such as "not more than
     ninety days".  A phrase's number is the sum of its known words; phrases with none are left out."""
@@ -31,7 +35,7 @@ def thresholds(articles: DataFrame, numbers: DataFrame, allow_digits: bool = Fal
                         F.regexp_extract_all(key, F.lit(p), F.lit(1)).alias("phrase"),
                         F.regexp_extract_all(key, F.lit(p), F.lit(2)).alias("unit"),
                     ),
-                    lambda m, k=k: F.struct(F.lit(k).alias("kind"), m["phrase"].alias("phrase"), m["unit"].alias("unit")),
+                    _phrase(k),
                 )
                 for k, p in patterns
             ]

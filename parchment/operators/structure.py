@@ -95,7 +95,7 @@ def pack_chunks(paragraphs: Column, budget: int, legacy_order: bool = False) ->
     def size(p: Column) -> Column:
         return F.size(F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0)))
 
-    paras = F.filter(F.transform(paragraphs, F.trim), lambda p: p.rlike(r"\S"))
+    paras = F.filter(F.transform(paragraphs, lambda p: F.trim(p)), lambda p: p.rlike(r"\S"))
 
     def cut(p: Column) -> Column:
         ts = F.regexp_extract_all(p, F.lit(r"\S+"), F.lit(0))

@@ -72,9 +72,14 @@ def load_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, marked.where("problem IS NOT NULL").select("file", "line", "problem", "raw")
 
 
-def catalogue_files(spark: SparkSession, glob: str, max_bytes: int = MAX_FILE_BYTES, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
-    """Files with digest, id, size and a verdict: too large, unsupported, empty, content mismatch, or ok, in this order."""
-    f = spark.read.format("binaryFile").load(glob)
+def catalogue_files(spark: SparkSession, glob: str, max_bytes: int = MAX_FILE_BYTES, extensions: tuple[str, ...] = EXTENSIONS, listing: DataFrame | None = None) -> DataFrame:
+    """Files with digest, id, size and a verdict: too large, unsupported, empty, content mismatch, or ok, in this order.
+
+    Spark's reader passes over files without a byte; those that a ``listing`` (path) names are added as empty."""
+    f = spark.read.format("binaryFile").load(glob).select("path", "length", "content")
+    if listing is not None:
+        rest = listing.select("path").join(f.select("path"), "path", "left_anti")
+        f = f.unionByName(rest.select("path", F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     head = F.hex(F.substring("content", 1, 1024))
     matches = (
