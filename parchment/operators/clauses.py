@@ -79,3 +79,29 @@ def number_clauses(clauses: DataFrame, document: str, order: list[str]) -> DataF
     """Ids C01, C02, ... in each document; wider past 99."""
     n = F.row_number().over(Window.partitionBy(document).orderBy(*order)).cast("string")
     return clauses.withColumn("clause_id", F.concat(F.lit("C"), F.when(F.length(n) < 2, F.lpad(n, 2, "0")).otherwise(n)))
+
+
+def heading_clauses(sections: DataFrame, rules: list[dict], least: int = LEAST_CHARS) -> DataFrame:
+    """Headings that state a rule of their own are clauses."""
+    rows = sections.where((F.col("kind") == "heading") & (F.length(F.trim("text")) >= least))
+    return rows.withColumn("type", classify(F.col("text"), rules)).where("type IS NOT NULL").select("document_id", "ord", "type", "text")
+
+
+def bullet_clauses(sections: DataFrame, rules: list[dict], bullets: str = "•●▪◦‣–*·-") -> DataFrame:
+    """Runs of bullets directly under a heading with a type make one clause of that type."""
+    w = Window.partitionBy("document_id").orderBy("ord")
+    mark = F.trim("text").rlike(f"^[{bullets}]")
+    runs = sections.withColumn("bullet", mark).withColumn("run", F.sum((~mark).cast("int")).over(w))
+    head = Window.partitionBy("document_id", "run").orderBy("ord")
+    typed = runs.withColumn("type", F.first(classify(F.when(F.col("kind") == "heading", F.col("text")), rules)).over(head))
+    return typed.where("bullet AND type IS NOT NULL").groupBy("document_id", "run", "type").agg(
+        F.min("ord").alias("ord"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("text"),
+    ).select("document_id", "ord", "type", "text")
+
+
+def row_clauses(rows: DataFrame, rules: list[dict], least: int = LEAST_CHARS) -> DataFrame:
+    """Table rows, their cells joined by bars, that state a rule."""
+    text = F.array_join("cells", " | ")
+    typed = rows.withColumn("text", text).withColumn("type", classify(text, rules))
+    return typed.where(F.col("type").isNotNull() & (F.length("text") >= least)).select("document_id", "ord", "type", "text")

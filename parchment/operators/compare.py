@@ -228,3 +228,23 @@ def comparison_summary(values: DataFrame) -> DataFrame:
     return comparability(values).where(F.col("ranking") != UNRANKED).groupBy("group_id").agg(
         F.count_if("comparable").alias("comparable"), F.count("*").alias("ranked")
     )
+
+
+def explain_dimension(values: DataFrame) -> DataFrame:
+    """(group_id, dimension, explanation): equal, led by some, not ranked, or why not comparable."""
+    lead = leaders(values).groupBy("group_id", "dimension").agg(
+        F.array_join(F.sort_array(F.collect_list(F.col("contract_id").cast("string"))), ", ").alias("names"), F.first("all_equal").alias("equal")
+    )
+    missing = F.array_join(
+        F.sort_array(F.collect_list(F.when(F.col("status") != "available", F.concat_ws(": ", F.col("contract_id").cast("string"), "status")))), "; "
+    )
+    units = F.array_join(F.sort_array(F.collect_set(F.coalesce("unit", F.lit("none")))), ", ")
+    facts = values.groupBy("group_id", "dimension").agg(F.first("ranking").alias("ranking"), missing.alias("missing"), units.alias("units"))
+    why = F.when(F.col("missing") != "", F.col("missing")).otherwise(F.concat(F.lit("different units ("), F.col("units"), F.lit(")")))
+    text = (
+        F.when(F.col("ranking") == UNRANKED, "Shown for information; not ranked.")
+        .when(F.col("equal"), "All offers are equal.")
+        .when(F.col("names").isNotNull(), F.concat(F.lit("Led by "), F.col("names"), F.lit(".")))
+        .otherwise(F.concat(F.lit("Not ranked because "), why, F.lit(".")))
+    )
+    return facts.join(lead, ["group_id", "dimension"], "left").select("group_id", "dimension", text.alias("explanation"))

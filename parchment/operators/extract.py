@@ -298,3 +298,60 @@ def detect_role(fields: DataFrame, contract: tuple[str, ...], cv: tuple[str, ...
 def weakest_confidence(confidences: Column) -> Column:
     order = F.array(*[F.lit(c) for c in CONFIDENCE])
     return F.element_at(order, F.array_min(F.transform(confidences, lambda c: F.array_position(order, c).cast("int"))))
+
+
+# Arabic number words, folded.
+ARABIC_NUMBERS = {
+    "واحد": 1, "اثنان": 2, "اثنين": 2, "ثلاثه": 3, "ثلاث": 3, "اربعه": 4, "اربع": 4, "خمسه": 5, "خمس": 5, "سته": 6, "ست": 6, "سبعه": 7, "سبع": 7,
+    "ثمانيه": 8, "ثماني": 8, "تسعه": 9, "تسع": 9, "عشره": 10, "عشر": 10, "عشرون": 20, "عشرين": 20, "ثلاثون": 30, "ثلاثين": 30, "اربعون": 40, "اربعين": 40,
+    "خمسون": 50, "خمسين": 50, "ستون": 60, "ستين": 60, "سبعون": 70, "سبعين": 70, "ثمانون": 80, "ثمانين": 80, "تسعون": 90, "تسعين": 90, "مايه": 100, "مايتان": 200, "مايتين": 200,
+}
+
+
+def arabic_number(text: Column) -> Column:
+    """Sum of the Arabic number words of a phrase, a joined ``and`` letter aside; null if there are none or other words stand between."""
+    table = F.create_map(*[F.lit(x) for kv in ARABIC_NUMBERS.items() for x in kv])
+    tokens = F.filter(F.split(matching_key(text), " "), lambda t: t != "")
+    values = F.transform(tokens, lambda t: F.coalesce(table[t], table[F.regexp_replace(t, "^و", "")]))
+    known = F.forall(values, lambda v: v.isNotNull()) & (F.size(values) > 0)
+    return F.when(known, F.aggregate(values, F.lit(0), lambda a, v: a + v))
+
+
+# Arabic ordinals of statute headings, folded.
+ARABIC_ORDINALS = {
+    "الاولي": 1, "الاول": 1, "الثانيه": 2, "الثاني": 2, "الثالثه": 3, "الثالث": 3, "الرابعه": 4, "الرابع": 4, "الخامسه": 5, "الخامس": 5, "السادسه": 6,
+    "السادس": 6, "السابعه": 7, "السابع": 7, "الثامنه": 8, "الثامن": 8, "التاسعه": 9, "التاسع": 9, "العاشره": 10, "العاشر": 10, "عشره": 10, "عشر": 10,
+    "العشرون": 20, "الثلاثون": 30, "الاربعون": 40, "الخمسون": 50, "الستون": 60, "السبعون": 70, "الثمانون": 80, "التسعون": 90, "المايه": 100, "المايتين": 200,
+}
+
+
+def ordinal_number(text: Column) -> Column:
+    """Number of a heading such as "the fifth and twentieth after the hundredth": the known words add up, others are passed over."""
+    table = F.create_map(*[F.lit(x) for kv in ARABIC_ORDINALS.items() for x in kv])
+    values = F.filter(
+        F.transform(F.split(matching_key(text), " "), lambda t: F.coalesce(table[t], table[F.regexp_replace(t, "^و", "")])),
+        lambda v: v.isNotNull(),
+    )
+    return F.when(F.size(values) > 0, F.aggregate(values, F.lit(0), lambda a, v: a + v))
+
+
+def leave_value(text: Column) -> Column:
+    """A leave without a unit is in days, if one number alone is written."""
+    numbers = F.regexp_extract_all(to_ascii_digits(text), F.lit(r"(?<![\d.,])\d+(?![\d.,]*\d)"), F.lit(0))
+    bare = ~F.lower(text).rlike(r"\b(day|week|month|year|hour)s?\b|يوم|ايام|أيام|شهر|سنة|اسبوع|أسبوع")
+    return F.when(bare & (F.size(numbers) == 1), F.struct(numbers[0].cast("int").alias("count"), F.lit("day").alias("unit")))
+
+
+def merge_allowance(candidates: DataFrame) -> DataFrame:
+    """candidates(document_id, field, amount, percentage, currency, period): each attribute has one value at most, or there is no agreement."""
+    cols = ("amount", "percentage", "currency", "period")
+    agree = F.lit(True)
+    for c in cols:
+        agree = agree & (F.countDistinct(c) <= 1)
+    agg = candidates.groupBy("document_id", "field").agg(*[F.max(c).alias(c) for c in cols], agree.alias("agree"))
+    return agg.select("document_id", "field", *[F.when(F.col("agree"), F.col(c)).alias(c) for c in cols], "agree")
+
+
+def termination_terms(sections: DataFrame, cue: str = r"(?i)terminat|انهاء|إنهاء|فسخ") -> DataFrame:
+    """Sections under a heading that speaks of termination."""
+    return sections.where((F.col("kind") != "heading") & F.col("title").rlike(cue)).select("document_id", "ord", "title", "text")

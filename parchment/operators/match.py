@@ -77,3 +77,70 @@ def cv_observations(cvs: DataFrame) -> DataFrame:
         )
     )
     return cvs.select("document_id", F.explode(notes).alias("observation"))
+
+
+_LEVELS = "native|fluent|advanced|intermediate|beginner|basic"
+_YEAR = r"(?<!\d)((?:19|20)\d\d)(?!\d)"
+_RANGE = r"(?i)((?:19|20)\d\d)\s*(?:-|–|to)\s*((?:19|20)\d\d|present|now|current)"
+
+
+def cv_languages(items: DataFrame) -> DataFrame:
+    """items(document_id, item) -> language and level, where one is named."""
+    level = F.lower(F.regexp_extract("item", f"(?i)\\b({_LEVELS})\\b", 1))
+    name = F.trim(F.regexp_replace(F.regexp_replace("item", f"(?i)\\b({_LEVELS})\\b", ""), r"[()\-–:,]", " "))
+    return items.select("document_id", name.alias("language"), F.nullif(level, F.lit("")).alias("level")).where("language <> ''")
+
+
+def cv_certs(items: DataFrame) -> DataFrame:
+    """items(document_id, item) -> certificate and its year."""
+    return items.select(
+        "document_id",
+        F.trim(F.regexp_replace("item", r"[(\s,–-]*(?:19|20)\d\d\)?\s*$", "")).alias("certificate"),
+        F.regexp_extract("item", _YEAR, 1).try_cast("int").alias("year"),
+    )
+
+
+def cv_education(lines: DataFrame) -> DataFrame:
+    """lines(document_id, line_no, text) of an education section: a line with a degree opens a block -> degree, institution, years."""
+    degree = F.col("text").rlike(r"(?i)\b(bachelor|master|ph\.?d|doctor|diploma|b\.?sc|m\.?sc|mba)\b|بكالوريوس|ماجستير|دكتوراه|دبلوم")
+    w = Window.partitionBy("document_id").orderBy("line_no")
+    blocks = lines.withColumn("block", F.sum(degree.cast("int")).over(w)).where("block > 0")
+    school = F.col("text").rlike(r"(?i)\b(university|college|institute|school)\b|جامعة|كلية|معهد")
+    return blocks.groupBy("document_id", "block").agg(
+        F.min_by("text", "line_no").alias("degree"),
+        F.min_by(F.when(school, F.col("text")), F.when(school, F.col("line_no"))).alias("institution"),
+        F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: F.regexp_extract_all(x["text"], F.lit(_YEAR), F.lit(1))))).alias("years"),
+    )
+
+
+def cv_experience(lines: DataFrame) -> DataFrame:
+    """lines of an experience section: a line with a range of years is an entry; its header is the rest of the line, or the line before;
+    title and organisation only from "X at Y"."""
+    w = Window.partitionBy("document_id").orderBy("line_no")
+    rows = lines.withColumn("before", F.lag("text").over(w)).where(F.col("text").rlike(_RANGE))
+    rest = F.trim(F.regexp_replace(F.regexp_replace("text", _RANGE, ""), r"^[\s,|()–-]+|[\s,|()–-]+$", ""))
+    header = F.when(rest != "", rest).otherwise(F.trim("before"))
+    end = F.lower(F.regexp_extract("text", _RANGE, 2))
+    return rows.withColumn("header", header).select(
+        "document_id", "line_no", "header",
+        F.nullif(F.trim(F.regexp_extract("header", r"(?i)^(.+?)\s+at\s+(.+)$", 1)), F.lit("")).alias("title"),
+        F.nullif(F.trim(F.regexp_extract("header", r"(?i)^(.+?)\s+at\s+(.+)$", 2)), F.lit("")).alias("organisation"),
+        F.regexp_extract("text", _RANGE, 1).cast("int").alias("start"),
+        end.try_cast("int").alias("end"), end.isin("present", "now", "current").alias("current"),
+    )
+
+
+def cv_contact(lines: DataFrame) -> DataFrame:
+    """lines(document_id, line_no, text) -> candidates (document_id, field, ord, key, method) of name (the first line of 2 to 5 words
+    without a digit), e-mail and phone, to be resolved like any other field."""
+    from parchment.functions.text import emails, phones
+
+    t = F.col("text")
+    mails = lines.select("document_id", F.lit("email").alias("field"), "line_no", F.explode(emails(t)).alias("key"))
+    calls = lines.select("document_id", F.lit("phone").alias("field"), "line_no", F.explode(phones(t)).alias("key"))
+    n = F.size(F.split(F.trim(t), r"\s+"))
+    named = lines.where(n.between(2, 5) & ~t.rlike(r"[\d@]")).groupBy("document_id").agg(F.min_by("text", "line_no").alias("key"), F.min("line_no").alias("line_no"))
+    names = named.select("document_id", F.lit("name").alias("field"), "line_no", F.trim("key").alias("key"))
+    return mails.unionByName(calls).unionByName(names).select(
+        "document_id", "field", F.col("line_no").alias("ord"), "key", F.lit("labeled_line").alias("method")
+    )

@@ -194,3 +194,55 @@ def answer_context(hits: DataFrame, text: str = "content") -> DataFrame:
     """(query_id, context): texts in order of rank, a blank line between."""
     rows = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", text))).alias("r"))
     return rows.select("query_id", F.array_join(F.transform("r", lambda x: x[text]), "\n\n").alias("context"))
+
+
+PLACEHOLDERS = ("", "-", "n/a", "unknown")
+
+
+def to_evidence(hits: DataFrame, docs: DataFrame) -> DataFrame:
+    """hits(query_id, doc_id, rank, score) with docs(doc_id, name, part, content): rows with citation and completeness
+    (name and content present, the name no placeholder)."""
+    name = F.lower(F.trim(F.coalesce("name", F.lit(""))))
+    complete = ~name.isin(*PLACEHOLDERS) & (F.trim(F.coalesce("content", F.lit(""))) != "")
+    cited = F.concat_ws(" — ", F.nullif(F.trim("name"), F.lit("")), F.nullif(F.trim("part"), F.lit("")))
+    return hits.join(docs, "doc_id", "left").select(
+        "query_id", "doc_id", "rank", "score", "content",
+        F.when(cited == "", "unidentified article").otherwise(cited).alias("citation"), complete.alias("complete"),
+    )
+
+
+def triggered_topics(fields: DataFrame, topics: DataFrame) -> DataFrame:
+    """fields(document_id, field, status) x topics(topic, field): topics that a found or ambiguous field raises, with those fields."""
+    raised = fields.where(F.col("status").isin("found", "ambiguous")).join(F.broadcast(topics), "field")
+    return raised.groupBy("document_id", "topic").agg(F.sort_array(F.collect_set("field")).alias("fields"))
+
+
+def clause_eligibility(clauses: DataFrame, topics: DataFrame, cap: int = 60) -> DataFrame:
+    """clauses(document_id, clause_id, clause_type, confidence) with topics(clause_type, topic): whether each is looked up, and why not."""
+    reason = (
+        F.when(F.col("clause_type").isin("OTHER", "UNKNOWN") | F.col("clause_type").isNull(), "unclassified")
+        .when(~F.col("confidence").isin("high", "medium"), "low confidence")
+        .when(F.col("topic").isNull(), "no topic")
+    )
+    marked = clauses.join(F.broadcast(topics), "clause_type", "left").withColumn("reason", reason)
+    order = Window.partitionBy("document_id", F.col("reason").isNull()).orderBy("clause_id")
+    over = F.col("reason").isNull() & (F.row_number().over(order) > cap)
+    return marked.withColumn("reason", F.when(over, "over the cap").otherwise(F.col("reason"))).withColumn("eligible", F.col("reason").isNull())
+
+
+def clause_evidence(hits: DataFrame, relevant: DataFrame) -> DataFrame:
+    """hits(clause_id, evidence_id, ...) that relevant(clause_id, evidence_id) names; all hits of clauses that it names none of."""
+    good = hits.join(relevant, ["clause_id", "evidence_id"], "left_semi")
+    rest = hits.join(relevant.select("clause_id").distinct(), "clause_id", "left_anti")
+    return good.withColumn("fallback", F.lit(False)).unionByName(rest.withColumn("fallback", F.lit(True)))
+
+
+def answer_status(answers: DataFrame, refs: DataFrame) -> DataFrame:
+    """answers(answer_id, text) with refs(answer_id, score, complete): insufficient without evidence (the text becomes a message) or
+    without a positive score; partial with incomplete evidence."""
+    by = refs.groupBy("answer_id").agg(F.bool_or(F.col("score") > 0).alias("any"), F.bool_and("complete").alias("whole"))
+    status = F.when(~F.coalesce("any", F.lit(False)), "insufficient").when(~F.col("whole"), "partial").otherwise("success")
+    none = F.col("any").isNull()
+    return answers.join(by, "answer_id", "left").select(
+        "answer_id", status.alias("status"), F.when(~none, F.col("text")).alias("answer"), F.when(none, F.col("text")).alias("message")
+    )

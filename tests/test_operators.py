@@ -270,3 +270,54 @@ def test_ttl_counts_from_the_fetch(spark):
     e = spark.createDataFrame([(1, "k", 0.0), (2, "k", 3000.0), (3, "k", 3601.0), (4, "k", 7201.0), (5, "j", 10.0)], "event_id long, key string, s double")
     assert rows(O.ttl_reuse(e, "key", "s", 3600), "reused", order=["event_id"]) == [(False,), (True,), (False,), (True,), (False,)]
     assert O.ttl_reuse(e, "key", "s", 0).where("reused").count() == 0
+
+
+def test_retrieval_roll_ups(spark):
+    hits = spark.createDataFrame([(1, 10, 1, 0.5), (1, 11, 2, 0.0)], "query_id int, doc_id int, rank int, score double")
+    docs = spark.createDataFrame([(10, "Article 1", "Part 2", "x"), (11, "-", None, "y")], "doc_id int, name string, part string, content string")
+    assert rows(R.to_evidence(hits, docs), "citation", "complete", order=["rank"]) == [("Article 1 — Part 2", True), ("-", False)]
+    topics = spark.createDataFrame([("leave", "annual")], "topic string, field string")
+    fields = spark.createDataFrame([(1, "annual", "found"), (2, "annual", "not_found")], "document_id int, field string, status string")
+    assert rows(R.triggered_topics(fields, topics), "document_id", "topic") == [(1, "leave")]
+    cl = spark.createDataFrame([(1, "C01", "P", "high"), (1, "C02", "P", "low"), (1, "C03", "Q", "high"), (1, "C04", "P", "medium"), (1, "C05", None, "high")], "document_id int, clause_id string, clause_type string, confidence string")
+    tp = spark.createDataFrame([("P", "probation")], "clause_type string, topic string")
+    assert rows(R.clause_eligibility(cl, tp, cap=1), "reason", order=["clause_id"]) == [(None,), ("low confidence",), ("no topic",), ("over the cap",), ("unclassified",)]
+    ev = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "clause_id string, evidence_id int")
+    rel = spark.createDataFrame([("a", 2)], "clause_id string, evidence_id int")
+    assert set(rows(R.clause_evidence(ev, rel), "clause_id", "evidence_id", "fallback")) == {("a", 2, False), ("b", 3, True)}
+    ans = spark.createDataFrame([(1, "t"), (2, "u"), (3, "v")], "answer_id int, text string")
+    refs = spark.createDataFrame([(1, 0.4, True), (2, 0.0, True)], "answer_id int, score double, complete boolean")
+    assert set(rows(R.answer_status(ans, refs), "answer_id", "status", "message")) == {(1, "success", None), (2, "insufficient", None), (3, "insufficient", "v")}
+
+
+def test_arabic_numbers_and_leave(spark):
+    one = spark.range(1)
+    val = lambda c: one.select(c.alias("v")).first()["v"]
+    assert val(X.arabic_number(F.lit("مائة وثمانين"))) == 180 and val(X.arabic_number(F.lit("كلمة"))) is None
+    assert val(X.ordinal_number(F.lit("المادة الخامسة والعشرون بعد المائة"))) == 125
+    assert tuple(val(X.leave_value(F.lit("Annual leave: 30")))) == (30, "day") and val(X.leave_value(F.lit("21 or 30"))) is None
+    al = spark.createDataFrame([(1, "housing", 5.0, None, "SAR", None), (1, "housing", None, 25.0, None, None), (2, "housing", 5.0, None, None, None), (2, "housing", 6.0, None, None, None)], "document_id int, field string, amount double, percentage double, currency string, period string")
+    assert set(rows(X.merge_allowance(al), "document_id", "amount", "percentage", "agree")) == {(1, 5.0, 25.0, True), (2, None, None, False)}
+
+
+def test_other_clauses(spark):
+    rules = [{"type": "P", "pattern": "(?i)probation"}]
+    s = spark.createDataFrame([(1, 0, "heading", "Probation lasts for ninety days"), (1, 1, "paragraph", "- first"), (1, 2, "paragraph", "- second"), (1, 3, "paragraph", "text")], "document_id int, ord int, kind string, text string")
+    assert rows(C.heading_clauses(s, rules), "type", "ord") == [("P", 0)]
+    assert rows(C.bullet_clauses(s, rules), "type", "text") == [("P", "- first\n- second")]
+    t = spark.createDataFrame([(1, 0, ["Probation", "ninety days from start"]), (1, 1, ["x", "y"])], "document_id int, ord int, cells array<string>")
+    assert rows(C.row_clauses(t, rules), "text") == [("Probation | ninety days from start",)]
+    o = offers(spark, [(1, 1, [5, 1]), (1, 2, [4, None]), (2, 1, [5, 1]), (2, 2, [5, 2])])
+    assert {r[2] for r in rows(P.explain_dimension(o), "group_id", "dimension", "explanation")} == {"Led by 1.", "Not ranked because 2: missing.", "All offers are equal."}
+
+
+def test_cv_parts(spark):
+    items = spark.createDataFrame([(1, "English (fluent)"), (1, "PMP, 2019")], "document_id int, item string")
+    assert rows(CV.cv_languages(items.limit(1)), "language", "level") == [("English", "fluent")]
+    assert ("PMP", 2019) in rows(CV.cv_certs(items), "certificate", "year")
+    lines = spark.createDataFrame([(1, 0, "Bachelor of Science"), (1, 1, "King University, 2010 - 2014"), (1, 2, "Master of Arts")], "document_id int, line_no int, text string")
+    assert rows(CV.cv_education(lines), "degree", "institution", "years", order=["block"]) == [("Bachelor of Science", "King University, 2010 - 2014", ["2010", "2014"]), ("Master of Arts", None, [])]
+    work = spark.createDataFrame([(1, 0, "Engineer at Acme"), (1, 1, "2015 - present")], "document_id int, line_no int, text string")
+    assert rows(CV.cv_experience(work), "title", "organisation", "start", "end", "current") == [("Engineer", "Acme", 2015, None, True)]
+    who = spark.createDataFrame([(1, 0, "Ann Lee"), (1, 1, "ann@x.org +966 50 123 4567")], "document_id int, line_no int, text string")
+    assert set(rows(X.resolve(CV.cv_contact(who)), "field", "key")) == {("name", "Ann Lee"), ("email", "ann@x.org"), ("phone", "+966 50 123 4567")}
