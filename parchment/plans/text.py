@@ -250,6 +250,7 @@ SQL = {
           FROM w JOIN q ON q.doc_id = w.doc_id AND q.k2 = w.k2 + 1)
         SELECT doc_id, CAST(chunk AS INT) AS chunk_no, string_agg(piece, chr(10) || chr(10) ORDER BY k2) AS chunk FROM w GROUP BY doc_id, w.chunk""",
     "doc19_html_to_text": f"SELECT page_id, {PLAIN} AS text FROM pages",
+    "doc20_json_lines": """SELECT event_id, array_to_string(list_transform(json_keys(props), lambda k: k || ': ' || json_extract_string(props, '$.' || k)), ', ') AS line FROM events""",
     "doc21_page_sentences": f"""WITH l AS (SELECT page_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS l FROM
         (SELECT page_id, string_split_regex({PLAIN}, '\r\n|\r|\n') AS ls FROM pages)),
         s AS (SELECT page_id, i, generate_subscripts(ps, 1) AS k, trim(unnest(ps), ' ' || chr(9) || '‏‎') AS sentence FROM
