@@ -22,7 +22,7 @@ QUERY_BLOCK = 4096
 
 @dataclass
 class Index:
-    postings: DataFrame  # term, doc_id, tf, len
+    tokens: DataFrame  # doc_id, ts (all tokens), len
     terms: DataFrame  # term, idf
     totals: DataFrame  # one row: n_docs, avg_len
 
@@ -30,12 +30,10 @@ class Index:
 def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Postings of white-space tokens.  Terms in over half of the documents get a quarter of the mean idf."""
     tokens = docs.select(F.col(id_col).alias("doc_id"), words(F.coalesce(F.col(text_col), F.lit(""))).alias("ts"))
-    sized = tokens.withColumn("len", F.size("ts"))
-    postings = sized.select("doc_id", "len", F.explode("ts").alias("term")).groupBy("term", "doc_id").agg(
-        F.count("*").alias("tf"), F.first("len").alias("len")
-    )
-    totals = sized.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    tokens = tokens.withColumn("len", F.size("ts"))
+    totals = tokens.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+    # a document counts once for a term, so one shuffle of combined counts is enough
+    df = tokens.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(totals)).select(
         "term", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
@@ -43,7 +41,15 @@ def bm25_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     terms = raw.crossJoin(F.broadcast(mean)).select(
         "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
     )
-    return Index(postings, terms, totals)
+    return Index(tokens, terms, totals)
+
+
+def postings(index: Index, asked: DataFrame | None = None) -> DataFrame:
+    """(term, doc_id, tf, len) of all terms, or of those of ``asked`` alone: the others are left out before they are counted."""
+    each = index.tokens.select("doc_id", "len", F.explode("ts").alias("term"))
+    if asked is not None:
+        each = each.join(asked.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def bm25(queries: DataFrame, index: Index, id_col: str = "query_id", text_col: str = "query") -> DataFrame:
@@ -59,7 +65,7 @@ def bm25(queries: DataFrame, index: Index, id_col: str = "query_id", text_col: s
     )
     return (
         asked.join(index.terms, "term")
-        .join(index.postings, "term")
+        .join(postings(index, asked), "term")
         .crossJoin(F.broadcast(index.totals))
         .groupBy("query_id", "doc_id")
         .agg(F.sum(part).alias("score"))
