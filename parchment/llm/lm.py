@@ -31,7 +31,7 @@ from parchment.llm.grams import numbered
 SHORT = 512
 CLASSES = 64
 DIM = 24
-NOISE = 64
+NOISE = 32
 BATCH = 4096
 ROUNDS = 3
 RATE = 0.1
