@@ -198,9 +198,16 @@ def headers(files: DataFrame, folder: str) -> DataFrame:
     return _spread(files).mapInArrow(lambda batches: _rows(batches, folder, _HEADER, one), HEADER)
 
 
+def _tasks(files: DataFrame) -> int:
+    """Tasks that share archive files: one a file, within reason.  A stated number keeps the rows, which are small while the
+    files are not, from being put together."""
+    return max(1, min(files.count(), 20_000))
+
+
 def _spread(files: DataFrame) -> DataFrame:
     """One row a file, dealt evenly."""
-    return files.select("path").distinct().repartition(F.xxhash64("path"))
+    paths = stored(files.select("path").distinct(), "paths")
+    return paths.repartition(_tasks(paths), "path")
 
 
 def resolve(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -222,7 +229,7 @@ def resolve(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     )
 
 
-def write_deduplicated(resolved: DataFrame, source: str, folder: str) -> DataFrame:
+def write_deduplicated(resolved: DataFrame, source: str, folder: str, tasks: int) -> DataFrame:
     """(path, records) of new archives: payloads of responses are read at their places, revisits are headers alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +257,7 @@ def write_deduplicated(resolved: DataFrame, source: str, folder: str) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array(list(files)), pa.array(list(files.values()))], ["path", "records"])
 
     # records of a file together and in order, so that each file is read once and forward
-    placed = resolved.repartition("path").sortWithinPartitions("path", "start")
+    placed = resolved.repartition(tasks, "path").sortWithinPartitions("path", "start")
     return placed.mapInArrow(run, "path string, records long")
 
 
@@ -276,7 +283,7 @@ def read_records(files: DataFrame, folder: str) -> DataFrame:
 def deduplicate(archives: DataFrame, source: str, folder: str, least: int = LEAST_BYTES) -> DataFrame:
     """Archives (path) below ``source`` -> (path, records) of deduplicated archives below ``folder``."""
     heads = stored(headers(archives, source), "headers")
-    return stored(write_deduplicated(resolve(heads, least), source, folder), "files")
+    return stored(write_deduplicated(resolve(heads, least), source, folder, _tasks(archives)), "files")
 
 
 def pages_to_records(pages: DataFrame) -> DataFrame:
