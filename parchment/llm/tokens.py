@@ -34,7 +34,7 @@ from parchment.llm.common import small_batches
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words that a worker keeps; beyond it the store starts afresh.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 1_200_000
 _SPACES = str.maketrans(dict.fromkeys("\t\n\x0b\x0c\r", " "))
 _PIECES = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _CERTAIN = regex.compile(r"(?:(?!<\|)[!-&(-~¡-¬®-ǃ])*")  # printable Latin without apostrophes, soft hyphens and special strings
@@ -66,9 +66,13 @@ class PrefixCounter:
         self.names = {i: t for t, i in vocab.items()}
         inner = {t: i for t, i in vocab.items() if not t.endswith(self.mark)}
         final = {t[:-n]: i for t, i in vocab.items() if t.endswith(self.mark)}
-        #: spelling -> numbers of the token inside a word and at its end (-1: there is none)
-        self.tokens = {t: (inner.get(t, -1), final.get(t, -1)) for t in {*inner, *final}}
-        self.longest = max(map(len, vocab))
+        #: letters from a token's end to its start -> ... -> "": numbers of the token inside a word and at its end (-1: none)
+        self.ends: dict = {}
+        for t in {*inner, *final}:
+            node = self.ends
+            for c in reversed(t):
+                node = node.setdefault(c, {})
+            node[""] = (inner.get(t, -1), final.get(t, -1))
         self.letters = _byte_letters()
         self.fits: dict[int, bool] = {}
         self.words: dict[str, bytes] = {"": b""}
@@ -102,7 +106,7 @@ class PrefixCounter:
         """Whether the encoding of a and b together is a, b."""
         found = self.fits.get(a << 32 | b)
         if found is None:
-            if len(self.fits) > KEPT_WORDS:
+            if len(self.fits) > KEPT_WORDS // 2:
                 self.fits.clear()
             x, y = self.names[a], self.names[b]
             found = self.fits[a << 32 | b] = self._merged(self._symbols(x) + self._symbols(y)) == [x, y]
@@ -116,19 +120,26 @@ class PrefixCounter:
         s = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
         n = len(s)
         last, plain, whole = [-1] * (n + 1), [0] * (n + 1), [0] * (n + 1)
-        tokens, fits, longest = self.tokens.get, self.fits.get, self.longest
+        fits = self.fits.get
         for j in range(1, n + 1):
-            open_, before = True, True  # what is still sought: the whole prefix's end, its plain end
-            for k in range(max(0, j - longest), j):
-                pair = tokens(s[k:j])
+            # what is still sought: the end of the whole prefix and of the plain one.  Just one token fits each,
+            # so spans may be tried in any order: from the shortest, while tokens end like this
+            open_, before = True, True
+            node, k = self.ends, j
+            while k:
+                k -= 1
+                node = node.get(s[k])
+                if node is None:
+                    break
+                pair = node.get("")
                 if pair is None:
                     continue
                 t, e = pair
                 if k == 0:
                     if before and t >= 0:
-                        last[j], plain[j], before = t, 1, False
+                        last[j], plain[j] = t, 1
                     if open_ and e >= 0:
-                        whole[j], open_ = 1, False
+                        whole[j] = 1
                 else:
                     a = last[k] << 32
                     if before and t >= 0:
@@ -139,8 +150,8 @@ class PrefixCounter:
                         ok = fits(a | e)
                         if self.follows(last[k], e) if ok is None else ok:
                             whole[j], open_ = plain[k] + 1, False
-                if not (open_ or before):
-                    break
+                    if not (open_ or before):
+                        break
         if s is piece:
             out = whole[1:]
         else:
