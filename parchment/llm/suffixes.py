@@ -402,7 +402,8 @@ def repeated_windows(source: DataFrame, min_bytes: int = MIN_BYTES, group: int =
         ),
         "anchors",
     )
-    twice = found.groupBy("side", "key").agg(F.count("*").alias("n")).where("n > 1").select("side", "key")
+    # tables of their own, so that a join may split a frequent key's rows
+    twice = stored(found.groupBy("side", "key").agg(F.count("*").alias("n")).where("n > 1").select("side", "key"), "keys")
     double = stored(found.join(twice, ["side", "key"]), "repeated")
     contents = stored(
         double.groupBy("side", "key", "content").agg(
@@ -410,7 +411,7 @@ def repeated_windows(source: DataFrame, min_bytes: int = MIN_BYTES, group: int =
         ),
         "contents",
     )
-    mixed = contents.groupBy("side", "key").agg(F.count("*").alias("c")).where("c > 1")
+    mixed = stored(contents.groupBy("side", "key").agg(F.count("*").alias("c")).where("c > 1"), "mixed")
     wanted = (
         contents.join(mixed, ["side", "key"])
         .select("side", "key", "content", (F.col("c") > group).alias("many"), "at.*")
