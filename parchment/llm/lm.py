@@ -31,10 +31,10 @@ from parchment.llm.grams import numbered
 SHORT = 512
 CLASSES = 64
 DIM = 24
-NOISE = 32
-BATCH = 4096
+NOISE = 64
+BATCH = 2048
 ROUNDS = 3
-RATE = 0.1
+RATE = 0.2
 #: Words below this share of the corpus are not among the most frequent ones, so at most its inverse is looked at.
 LEAST_SHARE = 20_000
 #: Bytes of text whose words are counted and scored together.
@@ -188,9 +188,9 @@ def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _train_task(symbols: Symbols, held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, counts = held.value
+        net, state, counts = held.value
         net = {k: v.copy() for k, v in net.items()}
-        state = {k: np.full_like(v, 1e-6) for k, v in net.items()}
+        state = {k: v.copy() for k, v in state.items()}
         p = (counts + 1) / (counts + 1).sum()
         log_kp = (np.log(p) + np.log(NOISE)).astype(np.float32)
         r = np.random.default_rng(TaskContext.get().partitionId())
@@ -208,7 +208,7 @@ def _train_task(symbols: Symbols, held):
                 nce_step(net, state, target[cut], c1[cut], c2[cut], noise[i], log_kp)
             tokens += len(target)
         if tokens:
-            flat = np.concatenate([net[k].ravel() for k in _BASES]).astype(np.float64) * tokens
+            flat = np.concatenate([part[k].ravel() for part in (net, state) for k in _BASES]).astype(np.float64) * tokens
             yield pa.RecordBatch.from_arrays([pa.array([tokens]), pa.array([flat.astype(np.float32).tobytes()])], ["tokens", "sum"])
 
     return run
@@ -229,9 +229,11 @@ def train(source: DataFrame, symbols: Symbols, counts: np.ndarray, rounds: int =
     """source(body, learn, doc_id): parameters after one pass over all training texts, in ``rounds`` parts."""
     sc = source.sparkSession.sparkContext
     net = new_parameters(symbols.size, counts)
+    # the step sizes' state goes on from round to round like the parameters
+    state = {k: np.full_like(v, 1e-4) for k, v in net.items()}
     part = F.pmod(F.xxhash64(F.lit("round"), "doc_id", "chunk"), F.lit(rounds))
     for i in range(rounds):
-        held = sc.broadcast((net, counts))
+        held = sc.broadcast((net, state, counts))
         done = (
             source.where(F.col("learn") & (part == i))
             .select("body")
@@ -243,11 +245,12 @@ def train(source: DataFrame, symbols: Symbols, counts: np.ndarray, rounds: int =
         tokens = sum(r["tokens"] for r in done)
         if tokens:
             flat = sum(np.frombuffer(r["sum"], np.float32).astype(np.float64) for r in done) / tokens
-            at, new = 0, {}
-            for k in _BASES:
-                new[k] = flat[at : at + net[k].size].reshape(net[k].shape).astype(np.float32)
-                at += net[k].size
-            net = new
+            at, new = 0, ({}, {})
+            for into in new:
+                for k in _BASES:
+                    into[k] = flat[at : at + net[k].size].reshape(net[k].shape).astype(np.float32)
+                    at += net[k].size
+            net, state = new
         held.unpersist()
     return net
 
