@@ -1,9 +1,8 @@
 """Test items found in training texts, as exact, edited or paraphrased copies.
 
 1. Items and texts are words: lower case, letters and digits only.
-2. Seeds.  For each n-gram of an item the number of training texts that hold it is counted over the whole
-   corpus.  In each run of ``SPREAD`` n-grams of an item the rarest is a seed; an item whose n-grams are all
-   frequent still has seeds, so nothing is lost where a passage is in many texts.
+2. Seeds.  Every n-gram of an item that a training text holds, however frequent, is a seed: whatever an edit leaves
+   whole finds the copy.  A copy with no ``SEED_WORDS`` consecutive words of the item left is not found.
 3. Join.  Passages around the places of seeds in texts are joined to items by seed and grouped by diagonal.
 4. Smith-Waterman local alignment of words scores each passage against its item; the score is a share of the item's own.
 
@@ -26,7 +25,6 @@ from pyspark.sql import functions as F
 from parchment.llm.common import stored, texts
 
 SEED_WORDS = 3
-SPREAD = 4
 LEAST_WORDS = 5
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -125,36 +123,14 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
 
 
 def choose_seeds(codes: np.ndarray, frequency: np.ndarray, spread: int) -> np.ndarray:
-    """Places in an item of the n-grams that are rarest (ties: the first) in a run of ``spread``."""
+    """Places in an item of the n-grams that are rarest (ties: the first) in a run of ``spread``; ``leaks`` takes all instead,
+    since an edit's own n-grams are the rarest."""
     if len(codes) <= spread:
         return np.array([int(np.argmin(frequency))]) if len(codes) else np.zeros(0, np.int64)
     runs = np.lib.stride_tricks.sliding_window_view(frequency, spread)
     return np.unique(runs.argmin(axis=1) + np.arange(len(runs)))
 
 
-def _frequencies(source: DataFrame, vocabulary, known: np.ndarray, n: int, base: int) -> dict[int, int]:
-    """In how many texts each of the block's n-grams is, over all texts."""
-    sc = source.sparkSession.sparkContext
-    held = sc.broadcast((vocabulary, known))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = held.value
-        ids, total = _Ids(vocabulary), np.zeros(len(known), np.int64)
-        for batch in batches:
-            numbers, sizes = _numbers(batch.column(1), ids)
-            at, g = grams(numbers, sizes, n, base)
-            k = np.minimum(np.searchsorted(known, g), len(known) - 1)
-            hit = known[k] == g
-            text = np.searchsorted(np.cumsum(sizes), at[hit], "right")
-            pairs = np.unique(text * np.int64(len(known)) + k[hit])
-            total += np.bincount(pairs % len(known), minlength=len(known))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(known[some]), pa.array(total[some])], ["gram", "n"])
-
-    rows = source.select("doc_id", "body").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r["gram"]: r["n"] for r in rows.collect()}  # at most the block's n-grams
-
-
 def _passages(seeds: np.ndarray, vocabulary, n: int, base: int, reach: int):
     """Texts -> (doc_id, start, words, places, grams): passages around seeds, merged where they overlap."""
 
@@ -247,13 +223,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFra
         base = len(vocabulary) + 1
         coded = [(i, np.array([vocabulary[w] for w in ws], np.int32)) for i, ws in block]
         own = [grams(c, np.array([len(c)]), SEED_WORDS, base) for _, c in coded]
-        known = np.unique(np.concatenate([g for _, g in own]))
-        frequency = _frequencies(source, vocabulary, known, SEED_WORDS, base)
-        seeds = [
-            (int(g[k]), i, int(at[k]))
-            for i, (at, g) in enumerate(own)
-            for k in choose_seeds(g, np.array([frequency.get(int(x), 0) for x in g]), SPREAD)
-        ]
+        # n-grams that no text holds meet nothing, so all of an item's may be sought
+        seeds = [(k, i, p) for i, (at, g) in enumerate(own) for k, p in zip(g.tolist(), at.tolist())]
         reach = max(len(c) for _, c in coded) * 5 // 4 + 8
         sought = sc.broadcast(np.unique(np.array([s[0] for s in seeds], np.int64)))
         passages = source.select("doc_id", "body").mapInArrow(
@@ -264,7 +235,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAK) -> DataFra
         hits = (
             passages.select("doc_id", "start", "words", F.inline(F.arrays_zip("places", "grams")))
             .withColumnRenamed("grams", "gram")
-            .join(seed_table, "gram")
+            .join(F.broadcast(seed_table), "gram")  # a block of items; frequent n-grams stay where they are
             .withColumn("diagonal", F.col("places") - F.col("place"))
         )
         grouped = hits.groupBy("doc_id", "start", "item", F.floor(F.col("diagonal") / BAND).alias("band")).agg(

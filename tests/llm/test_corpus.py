@@ -73,6 +73,22 @@ def test_leaks(spark):
     assert decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), none).count() == 0
 
 
+def test_leaks_with_an_edit_in_every_few_words(spark):
+    r = random.Random(21)
+    items = [(i, words(r, 40)) for i in range(3)]
+
+    def edited(text, every):
+        return " ".join(f"zz{k}" if k % every == every - 1 else w for k, w in enumerate(text.split()))
+
+    docs = [(i, words(r, 200)) for i in range(5)]
+    docs += [(10 + every, words(r, 30) + " " + edited(items[every - 4][1], every) + " " + words(r, 30)) for every in (4, 5, 6)]
+    alone = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in alone.collect()} == {(14, 0), (15, 1), (16, 2)}
+    docs += [(20 + i, words(r, 10) + " " + t) for i, t in items]  # verbatim copies elsewhere
+    both = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(x["doc_id"], x["item_id"]) for x in both.collect()} == {(14, 0), (15, 1), (16, 2), (20, 0), (21, 1), (22, 2)}
+
+
 def test_alignment_matches_plain_dynamic_programming():
     r = np.random.default_rng(3)
     for _ in range(20):
