@@ -1,8 +1,9 @@
 """WARC archives with revisit records for repeated payloads.
 
 1. ``write_raw`` writes a response record per row to gzip-member WARC files in the shared folder.
-2. ``headers`` reads the records' headers from archives: place, digest, length; revisit records in the input keep the digest they name.
-3. ``resolve`` shuffles headers by payload digest: the least id of each digest is the original, joined back to the others as revisits.
+2. ``headers`` reads the records' headers from archives: place, digest, length; revisit records in the input keep the digest and target they name.
+3. ``resolve`` shuffles headers by payload digest: the least id among the responses of each digest is the original, joined back to the others as revisits.
+   A revisit in the input stays one: of that original at any length, or of the target it names where the input has none.
 4. ``write_deduplicated`` reads originals at their places and writes new archives with fresh headers; revisits carry no payload.
 
 Archives go through a file system named by the folder's address (``pyarrow.fs``), so tasks on any machine reach them.  A task writes under a
@@ -30,7 +31,7 @@ LEAST_BYTES = 100
 FILE_BYTES = 64 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
-HEADER = "path string, start long, length long, serial long, page_id long, url string, payload_bytes long, payload_digest string"
+HEADER = "path string, start long, length long, serial long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_serial long, refers_page long"
 
 
 def file_system(address: str):
@@ -154,6 +155,7 @@ def members(fs, path: str) -> Iterator[tuple[int, int, bytes]]:
 _HEADER = pa.schema(
     [("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("serial", pa.int64()), ("page_id", pa.int64())]
     + [("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
+    + [("record_type", pa.string()), ("refers_serial", pa.int64()), ("refers_page", pa.int64())]
 )
 _RECORD = pa.schema(
     [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())]
@@ -179,6 +181,10 @@ def _number(text: str | None) -> int | None:
     return int(text) if text else None
 
 
+def _serial(record_id: str | None) -> int | None:
+    return _number(record_id and record_id.strip("<>").rpartition(":")[2])
+
+
 def headers(files: DataFrame, folder: str) -> DataFrame:
     """Archive files -> their records' headers; the digest and length of a response are taken from its payload."""
 
@@ -188,11 +194,14 @@ def headers(files: DataFrame, folder: str) -> DataFrame:
             "path": path,
             "start": start,
             "length": length,
-            "serial": int(f["WARC-Record-ID"].strip("<>").rpartition(":")[2]),
+            "serial": _serial(f["WARC-Record-ID"]),
             "page_id": _number(f["X-Page-ID"]),
             "url": f["WARC-Target-URI"],
             "payload_bytes": len(payload) if full else int(f["X-Payload-Length"]),
             "payload_digest": hashlib.sha256(payload).hexdigest() if full else f["WARC-Payload-Digest"].removeprefix("sha256:"),
+            "record_type": f["WARC-Type"],
+            "refers_serial": _serial(f.get("WARC-Refers-To")),
+            "refers_page": _number(f.get("X-Refers-To-Page")),
         }
 
     return _spread(files).mapInArrow(lambda batches: _rows(batches, folder, _HEADER, one), HEADER)
@@ -211,21 +220,25 @@ def _spread(files: DataFrame) -> DataFrame:
 
 
 def resolve(heads: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Headers with ``original``: struct(page_id, serial, path, start, length) of the record to refer to, null for responses."""
+    """Headers with ``original``: struct(page_id, serial) of the record to refer to, null for responses and for revisits
+    that have none."""
+    revisit = F.col("record_type") == "revisit"
     order = F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("o"), "serial", "page_id")
     firsts = (
-        heads.where(F.col("payload_bytes") >= least)
+        heads.where(~revisit)
         .groupBy("payload_digest")
         .agg(F.min(order).alias("first"))
         .select(F.col("payload_digest").alias("d"), "first.serial", "first.page_id")
     )
     joined = heads.join(
         firsts.select("d", F.struct("page_id", "serial").alias("first")),
-        (heads.payload_digest == F.col("d")) & (heads.payload_bytes >= least),
+        (heads.payload_digest == F.col("d")) & (revisit | (heads.payload_bytes >= least)),
         "left",
     )
+    named = F.when(F.col("refers_serial").isNotNull(), F.struct(F.col("refers_page").alias("page_id"), F.col("refers_serial").alias("serial")))
     return joined.select(
-        *heads.columns, F.when(F.col("first.serial") != F.col("serial"), F.col("first")).alias("original")
+        *heads.columns,
+        F.when(revisit, F.coalesce("first", named)).when(F.col("first.serial") != F.col("serial"), F.col("first")).alias("original"),
     )
 
 
@@ -239,7 +252,7 @@ def write_deduplicated(resolved: DataFrame, source: str, folder: str, tasks: int
         for batch in batches:
             for r in batch.to_pylist():
                 kind, payload, refers = "revisit", b"", None
-                if r["original"] is None:
+                if r["original"] is None and r["record_type"] != "revisit":
                     kind = "response"
                     if name != r["path"]:
                         if opened is not None:
@@ -247,7 +260,7 @@ def write_deduplicated(resolved: DataFrame, source: str, folder: str, tasks: int
                         opened, name = fs.open_input_file(r["path"]), r["path"]
                     opened.seek(r["start"])
                     payload = parse(gzip.decompress(opened.read(r["length"])))[1]
-                else:
+                elif r["original"] is not None:
                     refers = (r["original"]["serial"], "" if r["original"]["page_id"] is None else r["original"]["page_id"])
                 raw = record(kind, r["page_id"], r["serial"], r["url"], r["payload_digest"], r["payload_bytes"], payload, refers)
                 place = archive.put(raw)

@@ -47,6 +47,24 @@ def test_warc_files_are_members_with_fresh_headers(spark):
     assert sorted(kinds) == ["response"] * 11 + ["revisit"] * 9
 
 
+def test_warc_archives_that_hold_revisits(spark):
+    raw, final = scratch(spark, "w3"), scratch(spark, "w4")
+    fs, folder = warc.file_system(raw)
+    fs.create_dir(folder, recursive=True)
+    big, small, gone = b"y" * 300, b"tiny", b"z" * 500
+
+    def one(kind, page, serial, payload, refers=None):
+        digest = hashlib.sha256(payload).hexdigest()
+        return gzip.compress(warc.record(kind, page, serial, "http://x", digest, len(payload), b"" if refers else payload, refers))
+
+    records = [one("revisit", 1, 0, big, (1, 5)), one("response", 5, 1, big), one("response", 7, 2, big), one("revisit", 2, 3, small, (4, 9)), one("response", 9, 4, small), one("revisit", 3, 5, gone, (77, 70))]
+    with fs.open_output_stream(f"{folder}/a.warc.gz", compression=None) as f:
+        f.write(b"".join(records))
+    files = warc.deduplicate(spark.createDataFrame([(f"{folder}/a.warc.gz", 6)], "path string, records long"), raw, final)
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.read_records(files, final).collect()}
+    assert got == {1: ("revisit", 5, 300), 5: ("response", None, 300), 7: ("revisit", 5, 300), 2: ("revisit", 9, 4), 9: ("response", None, 4), 3: ("revisit", 70, 500)}
+
+
 def test_leaks(spark):
     r = random.Random(8)
     items = [(i, words(r, 40)) for i in range(6)] + [(90, "too short"), (91, None), (None, words(r, 30))]
