@@ -1,0 +1,116 @@
+"""Groups of near copies by the Jaccard similarity of word shingles.
+
+1. A document is the set of the XXH64 of its ``SHINGLE_WORDS``-word shingles; equal sets are one node.
+2. Candidates.  ``BANDS`` bands of ``ROWS`` minimum hashes: a pair of similarity 0.8 shares no band with a chance of 4 in 10,000.
+3. In each bucket of a band members are compared, set by set, with the one of least id.  Those that aren't similar to it
+   go on to the next round; after ``ROUNDS`` rounds the ones left are compared with each other.  A group of copies so costs
+   its size, not its square, and of a bucket no two documents stay that are similar.
+4. Similar pairs alone link; groups are the components.
+
+Null text counts as empty, and documents without words are copies of each other.  Fewer words than a shingle: one shingle.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from parchment.llm.common import stored, texts
+from parchment.llm.graph import connected_components
+from parchment.llm.simhash import SEED, _shingle_hashes
+
+SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+BANDS, ROWS = 20, 5
+ROUNDS = 4
+_SALTS = np.random.default_rng(SEED).integers(0, 2**64, (BANDS * ROWS, 1), np.uint64)
+
+
+def _set(body: bytes) -> np.ndarray:
+    return np.unique(np.array(_shingle_hashes(body, SHINGLE_WORDS), np.uint64))
+
+
+def _key(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """Bucket of each band of a set of hashes; none of an empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    low = np.full(len(_SALTS), np.uint64(2**64 - 1))
+    for k in range(0, len(hashes), 2048):
+        x = (hashes[None, k : k + 2048] ^ _SALTS) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(low, x.min(axis=1), out=low)
+    rows = low.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), i) for i, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [_set(b.as_py()) for b in batch.column(1)]
+        found = pa.array([bands(s) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(_key, sets)), pa.int64()), found], ["doc_id", "key", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [_set(b.as_py()) for b in batch.column(1)]
+        hashes = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(_key, sets)), pa.int64()), hashes], ["key", "hashes"])
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """pairs(head, key) -> with ``similar``."""
+    both = F.size(F.array_intersect("x", "y"))
+    return (
+        pairs.join(sets.select(F.col("key").alias("head"), F.col("hashes").alias("x")), "head")
+        .join(sets.select("key", F.col("hashes").alias("y")), "key")
+        .select("head", "key", (both >= least * (F.size("x") + F.size("y") - both)).alias("similar"))
+    )
+
+
+def similar_edges(source: DataFrame, nodes: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """source(doc_id, body), nodes(key, least, bands) -> (u, v): keys of similar sets."""
+    members = nodes.select(F.explode("bands").alias("bucket"), "least", "key")
+    sets, edges = None, []
+    for k in range(ROUNDS + 1):
+        order = F.min(F.struct("least", "key"))
+        heads = stored(members.groupBy("bucket").agg(F.count("*").alias("n"), order.alias("first")).where("n > 1").select("bucket", F.col("first.key").alias("head")), "heads")
+        if heads.isEmpty():
+            break
+        met = stored(members.join(heads, "bucket"), "members")
+        if sets is None:
+            some = stored(met.select("least", "key").distinct(), "candidates")
+            rows = source.join(some.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "body")
+            sets = stored(rows.mapInArrow(_sets, "key long, hashes array<bigint>").join(some, "key", "left_semi").dropDuplicates(["key"]), "sets")
+        if k < ROUNDS:
+            pairs = met.where("key <> head").select("head", "key").distinct()
+        else:
+            other = met.select("bucket", F.col("least").alias("l"), F.col("key").alias("head"))
+            pairs = met.select("bucket", "least", "key").join(other, "bucket").where("(l, head) < (least, key)").select("head", "key").distinct()
+        done = stored(_compared(pairs, sets, least), "compared")
+        edges.append(done.where("similar").select(F.col("head").alias("u"), F.col("key").alias("v")))
+        members = met.join(done.where("NOT similar"), ["head", "key"]).select("bucket", "least", "key")
+    if not edges:
+        return nodes.sparkSession.createDataFrame([], "u long, v long")
+    return reduce(DataFrame.unionByName, edges)
+
+
+def first_of_groups(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(doc_id): the least id of each group of documents whose shingle sets are linked by pairs of similarity ``least`` or more."""
+    source = texts(docs).where("doc_id IS NOT NULL")
+    signed = source.select("doc_id", "body").mapInArrow(_signed, "doc_id long, key long, bands array<bigint>")
+    nodes = stored(signed.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")), "nodes")
+    comps = stored(connected_components(similar_edges(source, nodes, least)), "components")
+    linked = nodes.select("least", "key").join(comps, F.col("key") == F.col("node"), "left")
+    group = F.coalesce("component", "key")
+    return linked.groupBy(group.alias("group")).agg(F.min("least").alias("doc_id")).select("doc_id").distinct()

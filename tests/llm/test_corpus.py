@@ -178,6 +178,35 @@ def corpus(spark, tmp_path_factory):
     return str(d), passage
 
 
+def test_near_duplicates_reach_the_similarity(spark):
+    import corpus_pipeline
+    from parchment.llm.simhash import _shingle_hashes
+
+    r = random.Random(31)
+    rows = []
+    for i in range(40):
+        w = words(r, 200).split()
+        rows.append((2 * i, " ".join(w)))
+        for k in r.sample(range(200), 3 + i % 8):  # similarities on both sides of 0.8
+            w[k] = f"edit{k}"
+        rows.append((2 * i + 1, " ".join(w)))
+    rows += [(200 + i, rows[0][1] + f" tail{i}") for i in range(30)] + [(300, ""), (301, None), (302, "two words"), (None, "x"), (None, "x")]
+    sets = {i: set(_shingle_hashes((t or "").encode(), 5)) for i, t in rows if i is not None}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[b] < label[a]:
+                    label[a] = label[b]
+        if all(label[label[i]] == label[i] for i in label):
+            break
+    want = sorted(i for i in label if label[i] == i)
+    assert 45 < len(want) < 75
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert got.count(None) == 2 and sorted(i for i in got if i is not None) == want
+
+
 def test_pipeline(spark, corpus):
     import corpus_pipeline
 
