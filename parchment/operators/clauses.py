@@ -72,7 +72,7 @@ def name_clauses(clauses: DataFrame, names: DataFrame, rules: list[dict]) -> Dat
     """clauses(type, heading, ...) with names(type, label): the label, with the heading where that has the clause's type and is short."""
     agrees = (classify(F.col("heading"), rules) == F.col("type")) & (F.length("heading") <= 60)
     name = F.when(F.coalesce(agrees, F.lit(False)), F.concat(F.col("label"), F.lit(" ("), F.col("heading"), F.lit(")"))).otherwise(F.col("label"))
-    return clauses.join(F.broadcast(names), "type", "left").withColumn("clause_name", name).drop("label")
+    return clauses.join(names, "type", "left").withColumn("clause_name", name).drop("label")
 
 
 def number_clauses(clauses: DataFrame, document: str, order: list[str]) -> DataFrame:
@@ -105,3 +105,14 @@ def row_clauses(rows: DataFrame, rules: list[dict], least: int = LEAST_CHARS) ->
     text = F.array_join("cells", " | ")
     typed = rows.withColumn("text", text).withColumn("type", classify(text, rules))
     return typed.where(F.col("type").isNotNull() & (F.length("text") >= least)).select("document_id", "ord", "type", "text")
+
+
+def merge_sources(sentences: DataFrame, headings: DataFrame, bullets: DataFrame, rows: DataFrame) -> DataFrame:
+    """Clauses (document_id, ord, type, text) of the four sources together, each with its ``origin``, in order of their places,
+    with ids."""
+    named = (("heading", headings), ("sentences", sentences), ("bullets", bullets), ("row", rows))
+    out = None
+    for place, (name, df) in enumerate(named):
+        part = df.select("document_id", "ord", F.lit(place).alias("_place"), F.lit(name).alias("origin"), "type", "text")
+        out = part if out is None else out.unionByName(part)
+    return number_clauses(out, "document_id", ["ord", "_place", "text"]).drop("_place")

@@ -208,9 +208,25 @@ def provenance(fields: DataFrame) -> DataFrame:
 
 
 def headline(matrix: DataFrame, group: str, position: str) -> DataFrame:
-    """Letters A, B, ... by position, and total pay or else basic pay."""
+    """Letters A, B, ..., Z, AA, AB, ... by position, and total pay or else basic pay."""
     n = F.row_number().over(Window.partitionBy(group).orderBy(position))
-    return matrix.withColumn("letter", F.char(64 + n)).withColumn("pay", F.coalesce("total", "basic"))
+    named = matrix.withColumn("_n", n).withColumn("letter", short_name(F.col("_n"))).drop("_n")
+    return named.withColumn("pay", F.coalesce("total", "basic"))
+
+
+def short_name(n: Column) -> Column:
+    """1 -> A, 26 -> Z, 27 -> AA, ..."""
+    start = F.struct(n.cast("long").alias("rest"), F.lit("").alias("name"))
+
+    def one_more(acc: Column, _: Column) -> Column:
+        rest = acc["rest"] - 1
+        longer = F.struct(
+            F.floor(rest / 26).alias("rest"), F.concat(F.char(F.pmod(rest, F.lit(26)) + 65), acc["name"]).alias("name")
+        )
+        return F.when(acc["rest"] > 0, longer).otherwise(acc)
+
+    # fourteen letters number more rows than a long can
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, one_more, lambda acc: acc["name"])
 
 
 def caveats(values: DataFrame) -> DataFrame:

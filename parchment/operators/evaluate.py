@@ -74,13 +74,15 @@ def topic_evidence(registry: DataFrame, cap: int = 6) -> DataFrame:
 def topic_relevance(evidence: DataFrame, keywords: DataFrame) -> DataFrame:
     """evidence(evidence_id, key_text, score) x keywords(topic, group_no, keyword): topics of which every group has a
     keyword at a word's start in the folded text, for evidence with a positive score."""
-    groups = keywords.groupBy("topic").agg(F.countDistinct("group_no").alias("need"))
-    hit = F.concat(F.lit(" "), F.col("key_text")).contains(F.concat(F.lit(" "), F.col("keyword")))
-    found = evidence.where("score > 0").join(F.broadcast(keywords), hit)
-    return (
-        found.groupBy("evidence_id", "topic").agg(F.countDistinct("group_no").alias("have"))
-        .join(F.broadcast(groups), "topic").where("have = need").select("evidence_id", "topic")
-    )
+    groups: dict[str, dict[int, list[str]]] = {}
+    for r in keywords.collect():  # a rule table
+        groups.setdefault(r["topic"], {}).setdefault(r["group_no"], []).append(r["keyword"])
+    spaced = F.concat(F.lit(" "), F.col("key_text"))
+    tried = []
+    for topic, parts in groups.items():
+        every = reduce(Column.__and__, [reduce(Column.__or__, [spaced.contains(" " + w) for w in ws]) for ws in parts.values()])
+        tried.append(F.when(every, F.lit(topic)))
+    return evidence.where("score > 0").select("evidence_id", F.explode(F.array_compact(F.array(*tried))).alias("topic")).distinct()
 
 
 def index_health(docs: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
@@ -124,18 +126,33 @@ def stratified_subset(cases: DataFrame, target: int = 40, each: int = 8) -> Data
         chosen = chosen.unionByName(take(rows.join(chosen, "case_id", "left_anti"), name, order, each))
     left = F.lit(target) - F.count("*")
     room = chosen.agg(left.alias("room"))
-    # numbering needs one order over all cases: by ranges first, then within them
     n = cases.agg(F.count("*").alias("n"))
-    spread = cases.select("case_id", "index").withColumn("no", _global_number(cases, ["index", "case_id"]))
+    spread = numbered(cases.select("case_id", "index"), "index", ["case_id"], "no")
     step = F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest(F.lit(1), F.col("room"))))
     every = spread.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(room)).where(F.pmod(F.col("no") - 1, step) == 0)
-    fill = every.join(chosen, "case_id", "left_anti").withColumn("k", _global_number(every, ["no"]))
+    # the first ``target`` of them are enough, as there is room for fewer
+    fill = every.join(chosen, "case_id", "left_anti").orderBy("no").limit(target)
+    fill = fill.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("no")))  # of ``target`` rows
     return chosen.unionByName(fill.where(F.col("k") <= F.col("room")).select("case_id", F.lit("coverage").alias("stratum")))
 
 
-def _global_number(df: DataFrame, order: list[str]) -> Column:
-    """Row number over a set of cases, which is a reviewed sample of bounded size."""
-    return F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
+#: Ranges of an order that are numbered apart.
+RANGES = 256
+
+
+def numbered(df: DataFrame, column: str, ties: list[str], name: str) -> DataFrame:
+    """``df`` with row numbers from 1 by a numeric column and its ties.  Rows are numbered within ranges, and the ranges'
+    sizes give their offsets; nulls come first, as one range."""
+    steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
+    bounds = df.agg(F.percentile_approx(column, steps, 10_000).alias("b")).first()["b"] or []
+    cuts = F.array(*[F.lit(b) for b in sorted({*bounds})]) if bounds else F.array().cast("array<double>")
+    placed = df.withColumn("_range", F.coalesce(F.size(F.filter(cuts, lambda b: b < F.col(column))), F.lit(-1)))
+    placed = placed.withColumn("_range", F.when(F.col(column).isNull(), -1).otherwise(F.col("_range")))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of RANGES rows
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(column, *ties))
+    return placed.join(F.broadcast(offsets), "_range").withColumn(name, within + F.col("_before")).drop("_range", "_before")
 
 
 def case_profile(cases: DataFrame, keys: list[str]) -> DataFrame:
@@ -166,8 +183,11 @@ def explode_questions(lists: DataFrame) -> DataFrame:
 def variants(base: DataFrame, mutations: DataFrame) -> DataFrame:
     """base(record_id, key, value) x mutations(mutation, key, new_value): each record once for each mutation, one key
     replaced, or removed where new_value is null."""
-    m = mutations.select("mutation", F.col("key").alias("_key"), "new_value")
-    every = base.join(F.broadcast(m))  # the mutations are a short list
+    listed = [
+        F.struct(F.lit(m["mutation"]).alias("mutation"), F.lit(m["key"]).alias("_key"), F.lit(m["new_value"]).cast("string").alias("new_value"))
+        for m in mutations.collect()  # a short list
+    ]
+    every = base.select("*", F.inline(F.array(*listed)))
     hit = F.col("key") == F.col("_key")
     return every.where(~hit | F.col("new_value").isNotNull()).select(
         "record_id", "mutation", "key", F.when(hit, F.col("new_value")).otherwise(F.col("value")).alias("value")

@@ -143,16 +143,31 @@ def dates(units: DataFrame) -> DataFrame:
 def label_candidates(pairs: DataFrame, specs: DataFrame) -> DataFrame:
     """pairs(document_id, ord, label, value) x specs(field, label_key): every field whose key the label has."""
     keyed = pairs.select("*", F.explode(label_keys(F.col("label"))).alias("label_key"))
-    return keyed.join(F.broadcast(specs), "label_key").drop("label_key").distinct()
+    return keyed.join(specs, "label_key").drop("label_key").distinct()
 
 
 def keyword_candidates(sentences: DataFrame, specs: DataFrame, guards: DataFrame) -> DataFrame:
-    """sentences(document_id, no, text) x specs(field, keyword) not refused by guards(field, pattern) in this or the previous sentence."""
+    """sentences(document_id, no, text) x specs(field, keyword) not refused by guards(field, pattern) in this or the previous sentence.
+
+    Both tables are rules, a short list, and become one expression over the sentences."""
     w = Window.partitionBy("document_id").orderBy("no")
     s = sentences.select("*", F.concat_ws(" ", F.lag("text").over(w), "text").alias("context"), F.concat(F.lit(" "), matching_key(F.col("text"))).alias("k"))
-    hit = s.join(F.broadcast(specs), F.contains("k", F.concat(F.lit(" "), F.col("keyword"))))
-    cue = F.broadcast(guards.withColumnRenamed("field", "g_field"))
-    return hit.join(cue, (F.col("field") == F.col("g_field")) & F.expr("context rlike pattern"), "left_anti").select("document_id", "no", "field", "text")
+    refused: dict[str, list[str]] = {}
+    for g in guards.collect():
+        refused.setdefault(g["field"], []).append(f"(?:{g['pattern']})")
+    tried = []
+    for r in specs.collect():
+        hit = F.contains("k", F.lit(" " + r["keyword"]))
+        if r["field"] in refused:
+            hit = hit & ~F.col("context").rlike(_any_pattern(refused[r["field"]]))
+        tried.append(F.when(hit, F.lit(r["field"])))
+    return s.select("document_id", "no", F.explode(F.array_compact(F.array(*tried))).alias("field"), "text")
+
+
+def _any_pattern(patterns: list[str]) -> str:
+    """One pattern for several; flags at the front of one hold for all of it."""
+    flags = sorted({f for p in patterns for f in (["(?i)"] if "(?i)" in p else [])})
+    return "".join(flags) + "|".join(p.replace("(?i)", "") for p in patterns)
 
 
 def narrative_candidates(units: DataFrame, rules: list[dict]) -> DataFrame:
@@ -175,8 +190,9 @@ def narrative_candidates(units: DataFrame, rules: list[dict]) -> DataFrame:
 
 
 def negations(units: DataFrame, rules: DataFrame) -> DataFrame:
-    """units(document_id, no, text) x rules(field, pattern) -> the first sentence that denies each field."""
-    hit = units.join(F.broadcast(rules), F.expr("text rlike pattern"))
+    """units(document_id, no, text) x the short list rules(field, pattern) -> the first sentence that denies each field."""
+    tried = [F.when(F.col("text").rlike(r["pattern"]), F.lit(r["field"])) for r in rules.collect()]
+    hit = units.select("document_id", "no", "text", F.explode(F.array_compact(F.array(*tried))).alias("field"))
     return hit.groupBy("document_id", "field").agg(F.min_by("text", "no").alias("source"), F.min("no").alias("no"))
 
 
@@ -281,7 +297,8 @@ def derive_status(fields: DataFrame, source: str, name: str) -> DataFrame:
 
 def field_grid(docs: DataFrame, specs: DataFrame, fields: DataFrame) -> DataFrame:
     """docs(document_id, readable) x the short list specs(field): a row for every field of every document."""
-    grid = docs.join(F.broadcast(specs.select("field")))
+    names = [r["field"] for r in specs.select("field").distinct().collect()]
+    grid = docs.withColumn("field", F.explode(F.array(*map(F.lit, names))))
     status = F.when(~F.col("readable"), "not_extracted").otherwise(F.coalesce("status", F.lit("not_found")))
     return grid.join(fields, ["document_id", "field"], "left").select("document_id", "field", status.alias("status"), "key")
 
@@ -317,10 +334,45 @@ def arabic_number(text: Column) -> Column:
     return F.when(known, F.aggregate(values, F.lit(0), lambda a, v: a + v))
 
 
+# Arabic units of time, folded: singular and plural forms, and dual forms that stand for two.
+ARABIC_UNITS = {
+    "day": ("يوما", "يوم", "ايام"), "week": ("اسبوعا", "اسبوع", "اسابيع"), "month": ("شهرا", "شهر", "اشهر", "شهور"),
+    "year": ("سنه", "سنوات", "سنين", "عاما", "عام", "اعوام"),
+}
+ARABIC_DUALS = {"day": ("يومان", "يومين"), "week": ("اسبوعان", "اسبوعين"), "month": ("شهران", "شهرين"), "year": ("سنتان", "سنتين", "عامان", "عامين")}
+#: Letters that may be joined to the front of a word.
+CLITICS = "(?:[وفبلك]|ال|بال|لل)?"
+
+
+def arabic_durations(units: DataFrame) -> DataFrame:
+    """units(document_id, unit_no, text) -> readings (count, unit): a number in figures or words before a unit, the dual of a unit,
+    or a unit with ``one`` after it."""
+    key = matching_key(F.col("text"))
+    names = [n for ns in ARABIC_UNITS.values() for n in ns]
+    duals = [n for ns in ARABIC_DUALS.values() for n in ns]
+    word = f"{CLITICS}(?:{'|'.join(sorted(ARABIC_NUMBERS, key=len, reverse=True))})"
+    unit = f"(?:{'|'.join(sorted(names, key=len, reverse=True))})"
+    numbered = rf"(?:^| )((?:\d+|{word}(?: {word})*)) {unit}(?= |$)"
+    doubled = rf"(?:^| ){CLITICS}(?:{'|'.join(sorted(duals, key=len, reverse=True))})(?= |$)"
+    single = rf"(?:^| ){CLITICS}{unit} واحد"
+    found = F.regexp_extract_all(key, F.lit(f"{numbered}|{doubled}|{single}"), F.lit(0))
+    rows = units.select("document_id", "unit_no", F.posexplode(F.transform(found, lambda x: F.trim(x))).alias("no", "raw"))
+    bare = F.split("raw", " ")
+    named = F.lit(None).cast("string")
+    for name in ARABIC_UNITS:
+        forms = "|".join([*ARABIC_UNITS[name], *ARABIC_DUALS[name]])
+        named = F.when(F.col("raw").rlike(f"(?:^| ){CLITICS}(?:{forms})(?: |$)"), name).otherwise(named)
+    figure = F.regexp_extract("raw", r"^(\d+)", 1).try_cast("int")
+    words = arabic_number(F.array_join(F.slice(bare, 1, F.greatest(F.size(bare) - 1, F.lit(0))), " "))
+    is_dual = F.col("raw").rlike(f"^{CLITICS}(?:{'|'.join(duals)})$")
+    count = F.when(is_dual, 2).when(F.col("raw").rlike(" واحد"), 1).otherwise(F.coalesce(figure, words))
+    return rows.select("document_id", "unit_no", "no", "raw", count.alias("count"), named.alias("unit"))
+
+
 # Arabic ordinals of statute headings, folded.
 ARABIC_ORDINALS = {
     "الاولي": 1, "الاول": 1, "الثانيه": 2, "الثاني": 2, "الثالثه": 3, "الثالث": 3, "الرابعه": 4, "الرابع": 4, "الخامسه": 5, "الخامس": 5, "السادسه": 6,
-    "السادس": 6, "السابعه": 7, "السابع": 7, "الثامنه": 8, "الثامن": 8, "التاسعه": 9, "التاسع": 9, "العاشره": 10, "العاشر": 10, "عشره": 10, "عشر": 10,
+    "السادس": 6, "الحاديه": 1, "الحادي": 1, "السابعه": 7, "السابع": 7, "الثامنه": 8, "الثامن": 8, "التاسعه": 9, "التاسع": 9, "العاشره": 10, "العاشر": 10, "عشره": 10, "عشر": 10,
     "العشرون": 20, "الثلاثون": 30, "الاربعون": 40, "الخمسون": 50, "الستون": 60, "السبعون": 70, "الثمانون": 80, "التسعون": 90, "المايه": 100, "المايتين": 200,
 }
 

@@ -16,8 +16,8 @@ LEAST_QUOTE = 12
 def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, text_col: str = "text") -> DataFrame:
     """(quote_id, text_id) of every text that holds a quote word for word.
 
-    The join is on the quote's inner words 2..4 (the first and last may be parts of words), then exact; quotes of
-    fewer words are compared with every text, as a broadcast list where it is small."""
+    The join is on the quote's inner words 2..4 (the first and last may be parts of words), or on the second word of
+    quotes of three or four, then exact; quotes of one or two words are compared with every text."""
     w = words(F.col(text_col))
     q = quotes.select(F.col(quote_id), F.col(text_col).alias("quote"), w.alias("w"))
     n = F.size("w")
@@ -29,11 +29,13 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str,
             lambda i: F.array_join(F.slice("w", i, LEAD_WORDS), " "),
         )
     )
-    at = t.select(text_id, F.explode(grams).alias("lead"))
+    medium = q.where(n.between(3, LEAD_WORDS + 1)).withColumn("lead", F.get("w", 1)).drop("w")
+    at = t.select(text_id, F.explode(F.array_union(grams, F.array_distinct("w"))).alias("lead"))
+    long = long.unionByName(medium)
     pairs = at.join(long.select(quote_id, "lead"), "lead").select(quote_id, text_id).distinct()
     found = pairs.join(long.select(quote_id, "quote"), quote_id).join(t.select(text_id, "body"), text_id)
     found = found.where(F.contains("body", "quote")).select(quote_id, text_id)
-    short = q.where((n < LEAD_WORDS + 2) & (F.col("quote") != "")).select(quote_id, "quote")
+    short = q.where((n < 3) & (F.col("quote") != "")).select(quote_id, "quote")
     rest = t.join(short, F.contains("body", "quote")).select(quote_id, text_id)
     return found.unionByName(rest)
 

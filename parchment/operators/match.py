@@ -14,7 +14,7 @@ def cv_sections(lines: DataFrame, titles: DataFrame) -> DataFrame:
     from parchment.functions.text import matching_key
 
     keyed = lines.withColumn("k", F.when(F.length("text") <= 60, matching_key(F.col("text"))))
-    named = keyed.join(F.broadcast(titles), F.col("k") == F.col("title_key"), "left")
+    named = keyed.join(titles, F.col("k") == F.col("title_key"), "left")
     mark = F.when(F.col("section").isNotNull(), F.col("section")).when(F.col("is_heading"), F.lit("_other"))
     w = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     filled = named.withColumn("in_section", F.last(mark, ignorenulls=True).over(w)).withColumn("opens", mark.isNotNull())
@@ -36,12 +36,23 @@ def requirement_plan(jobs: DataFrame) -> DataFrame:
     return jobs.select("job_id", F.inline(F.concat(title, part("required_skills", "skill", True), part("preferred_skills", "skill", False))))
 
 
-def assess(requirements: DataFrame, texts: DataFrame) -> DataFrame:
-    """requirements(req_id, token), texts(doc_id, token), each token once -> (req_id, doc_id, status): explicit with all tokens,
-    partial with some; pairs without a common token are missing and have no row."""
+def assess(requirements: DataFrame, texts: DataFrame, least: float = 0.0) -> DataFrame:
+    """requirements(req_id, token), texts(doc_id, token), each token once -> (req_id, doc_id, have, status): explicit with all
+    tokens, partial with some and at least the share ``least`` of them; other pairs are missing and have no row.
+
+    A text with that share has one of the requirement's rarest tokens, as many as may be missing and one more; only those
+    look for texts, so frequent tokens make no pairs."""
+    common = texts.join(requirements.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    by_rarity = Window.partitionBy("req_id").orderBy(F.coalesce("n", F.lit(0)), "token")
+    ranked = requirements.join(common, "token", "left").withColumn("rank", F.row_number().over(by_rarity))
     need = requirements.groupBy("req_id").agg(F.count("*").alias("need"))
-    have = requirements.join(texts, "token").groupBy("req_id", "doc_id").agg(F.count("*").alias("have"))
-    return have.join(need, "req_id").select(
+    enough = F.greatest(F.lit(1), F.ceil(F.col("need") * F.lit(least) - 1e-9))
+    leading = ranked.join(need, "req_id").where(F.col("rank") <= F.col("need") - enough + 1).select("req_id", "token")
+    pairs = leading.join(texts, "token").select("req_id", "doc_id").distinct()
+    have = (
+        pairs.join(requirements, "req_id").join(texts, ["doc_id", "token"]).groupBy("req_id", "doc_id").agg(F.count("*").alias("have"))
+    )
+    return have.join(need, "req_id").where(F.col("have") >= enough).select(
         "req_id", "doc_id", "have", F.when(F.col("have") == F.col("need"), "explicit").otherwise("partial").alias("status")
     )
 
@@ -61,7 +72,7 @@ def language_alias(df: DataFrame, aliases: DataFrame, column: str = "language")
     """Canonical names of languages; unknown ones stay, in lower case."""
     low = F.lower(F.trim(column))
     a = aliases.select(F.col("alias").alias("_alias"), F.col("name").alias("_name"))
-    return df.withColumn("_low", low).join(F.broadcast(a), F.col("_low") == F.col("_alias"), "left").withColumn(
+    return df.withColumn("_low", low).join(a, F.col("_low") == F.col("_alias"), "left").withColumn(
         column, F.coalesce("_name", "_low")
     ).drop("_low", "_alias", "_name")
 

@@ -66,7 +66,7 @@ def finish_status(status: Column, any_unusable: Column) -> Column:
 
 def unreadable_report(docs: DataFrame, messages: DataFrame) -> DataFrame:
     """docs(document_id, status) with messages(status, message) -> counts of the documents that could not be read."""
-    return docs.join(F.broadcast(messages), "status").groupBy("status", "message").agg(F.count("*").alias("n"))
+    return docs.join(messages, "status").groupBy("status", "message").agg(F.count("*").alias("n"))
 
 
 def distinct_in_order(rows: DataFrame, key: str, value: str, position: str) -> DataFrame:

@@ -116,10 +116,11 @@ def _best(ids: np.ndarray, q: np.ndarray, k: int):
     return run
 
 
-def credit_hits(hits: DataFrame, n_docs: int) -> DataFrame:
-    """hits(query_id, rank, index, score) -> (query_id, doc_id, score): ``index`` is 1-based; others than 1..n_docs
-    are ignored; of several hits of one document the later overwrites."""
-    good = hits.where(F.col("index").between(1, n_docs))
+def credit_hits(hits: DataFrame, totals: DataFrame) -> DataFrame:
+    """hits(query_id, rank, index, score), totals(n_docs) one row -> (query_id, doc_id, score): ``index`` is 1-based; others
+    than 1..n_docs are ignored; of several hits of one document the later overwrites."""
+    n = totals.select("n_docs")
+    good = hits.crossJoin(F.broadcast(n)).where(F.col("index").between(1, F.col("n_docs")))
     return good.groupBy("query_id", F.col("index").cast("long").alias("doc_id")).agg(F.max_by("score", "rank").alias("score"))
 
 
@@ -219,7 +220,7 @@ def to_evidence(hits: DataFrame, docs: DataFrame) -> DataFrame:
 
 def triggered_topics(fields: DataFrame, topics: DataFrame) -> DataFrame:
     """fields(document_id, field, status) x topics(topic, field): topics that a found or ambiguous field raises, with those fields."""
-    raised = fields.where(F.col("status").isin("found", "ambiguous")).join(F.broadcast(topics), "field")
+    raised = fields.where(F.col("status").isin("found", "ambiguous")).join(topics, "field")
     return raised.groupBy("document_id", "topic").agg(F.sort_array(F.collect_set("field")).alias("fields"))
 
 
@@ -230,7 +231,7 @@ def clause_eligibility(clauses: DataFrame, topics: DataFrame, cap: int = 60) ->
         .when(~F.col("confidence").isin("high", "medium"), "low confidence")
         .when(F.col("topic").isNull(), "no topic")
     )
-    marked = clauses.join(F.broadcast(topics), "clause_type", "left").withColumn("reason", reason)
+    marked = clauses.join(topics, "clause_type", "left").withColumn("reason", reason)
     order = Window.partitionBy("document_id", F.col("reason").isNull()).orderBy("clause_id")
     over = F.col("reason").isNull() & (F.row_number().over(order) > cap)
     return marked.withColumn("reason", F.when(over, "over the cap").otherwise(F.col("reason"))).withColumn("eligible", F.col("reason").isNull())

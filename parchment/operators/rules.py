@@ -44,7 +44,7 @@ def thresholds(articles: DataFrame, numbers: DataFrame, allow_digits: bool = Fal
     rows = articles.select("article_id", F.posexplode(found).alias("no", "m")).select(
         "article_id", "no", "m.kind", "m.unit", F.explode(F.split(F.trim("m.phrase"), r"\s+")).alias("token")
     )
-    known = rows.join(F.broadcast(numbers), "token", "left")
+    known = rows.join(numbers, "token", "left")
     value = F.coalesce("value", F.col("token").try_cast("double")) if allow_digits else F.col("value")
     unit = (
         F.when(F.col("unit").rlike("^(يوم|ايام|day)"), "day").when(F.col("unit").rlike("^(اسب|اساب|week)"), "week")
@@ -92,17 +92,45 @@ def field_facts(fields: DataFrame) -> DataFrame:
     return fields.select("document_id", "field", F.col("amount").cast("double").alias("value"), unit.alias("unit"))
 
 
-def link_facts(clauses: DataFrame, facts: DataFrame, allowed: DataFrame) -> DataFrame:
-    """clauses(document_id, clause_id, clause_type, text, section_id), facts(document_id, field, source_text, section_id, ...) and
-    allowed(clause_type, field): facts whose source and the clause hold each other; where a clause has none, those of its section."""
-    c = clauses.select("document_id", "clause_id", "clause_type", matching_key(F.col("text")).alias("ck"), F.col("section_id").alias("c_section"))
+def _holding(pairs: DataFrame) -> Column:
+    """Whether a fact's source and a clause's text hold each other, folded."""
+    return (F.col("fk") != "") & (F.contains("ck", "fk") | F.contains("fk", "ck"))
+
+
+def _keyed(clauses: DataFrame, facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    table = [F.col("table_id").alias("c_table")] if "table_id" in clauses.columns else [F.lit(None).cast("string").alias("c_table")]
+    c = clauses.select("document_id", "clause_id", "clause_type", matching_key(F.col("text")).alias("ck"), F.col("section_id").alias("c_section"), *table)
     f = facts.withColumn("fk", matching_key(F.col("source_text")))
-    pairs = c.join(F.broadcast(allowed), "clause_type").join(f, ["document_id", "field"])
-    first = pairs.where((F.col("fk") != "") & (F.contains("ck", "fk") | F.contains("fk", "ck")))
-    rest = c.join(first.select("document_id", "clause_id").distinct(), ["document_id", "clause_id"], "left_anti")
-    second = rest.join(F.broadcast(allowed), "clause_type").join(f, ["document_id", "field"]).where("c_section = section_id")
-    keep = ["document_id", "clause_id", "field", *[x for x in facts.columns if x not in ("document_id", "field", "section_id")]]
-    return first.select(*keep, F.lit(1).alias("tier")).unionByName(second.select(*keep, F.lit(2).alias("tier")))
+    return c, f if "table_id" in f.columns else f.withColumn("table_id", F.lit(None).cast("string"))
+
+
+#: Clause types that say nothing about their fields.
+OPEN_TYPES = ("OTHER", "UNKNOWN")
+
+
+def link_structural(clauses: DataFrame, facts: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Facts of a clause's section, and facts of its table whose text and the clause's hold each other: for clauses of open types, and
+    for fields that ``allowed`` gives the clause's type."""
+    c, f = _keyed(clauses, facts)
+    by_section = c.withColumn("section_id", F.col("c_section")).join(f, ["document_id", "section_id"]).select(*c.columns, *[x for x in f.columns if x != "document_id"])
+    by_table = c.withColumn("table_id", F.col("c_table")).join(f, ["document_id", "table_id"]).select(*by_section.columns)
+    pairs = by_section.unionByName(by_table.where(_holding(by_table))).distinct()
+    agrees = allowed.select("clause_type", "field", F.lit(True).alias("agrees"))
+    fit = F.col("clause_type").isin(*OPEN_TYPES) | F.col("clause_type").isNull() | F.col("agrees").isNotNull()
+    keep = ["document_id", "clause_id", "field", *[x for x in facts.columns if x not in ("document_id", "field", "section_id", "table_id")]]
+    return pairs.join(agrees, ["clause_type", "field"], "left").where(fit).select(*keep)
+
+
+def link_facts(clauses: DataFrame, facts: DataFrame, allowed: DataFrame) -> DataFrame:
+    """clauses(document_id, clause_id, clause_type, text, section_id[, table_id]), facts(document_id, field, source_text,
+    section_id[, table_id], ...) and allowed(clause_type, field): facts whose source and the clause hold each other (tier 1); where a
+    clause has none, those of its section or table (tier 2)."""
+    c, f = _keyed(clauses, facts)
+    pairs = c.join(allowed, "clause_type").join(f, ["document_id", "field"])
+    first = pairs.where(_holding(pairs))
+    rest = clauses.join(first.select("document_id", "clause_id").distinct(), ["document_id", "clause_id"], "left_anti")
+    second = link_structural(rest, facts, allowed)
+    return first.select(*second.columns, F.lit(1).alias("tier")).unionByName(second.withColumn("tier", F.lit(2)))
 
 
 def linked_field(links: DataFrame) -> DataFrame:
@@ -137,14 +165,14 @@ def eval_conditions(facts: DataFrame, conditions: DataFrame) -> DataFrame:
         .when(F.col("value").isNull() | F.col("unit").isNull(), "not_stated").when(got.isNull(), "not_applicable")
         .when(_holds(F.col("comparator"), got, F.col("bound")), "satisfied").otherwise("not_satisfied")
     )
-    return facts.join(F.broadcast(c), "rule_id").select("fact_id", "rule_id", "cond_no", status.alias("status"))
+    return facts.join(c, "rule_id").select("fact_id", "rule_id", "cond_no", status.alias("status"))
 
 
 def compare(facts: DataFrame, rules: DataFrame, conditions: DataFrame | None = None) -> DataFrame:
     """facts(fact_id, rule_id, value, unit, source_text) against rules(rule_id, rule_type, value, value_max, unit) ->
-    (fact_id, rule_id, rule_type, converted, satisfied, note, conditions).  Rules are a short table; facts may be many."""
+    (fact_id, rule_id, rule_type, converted, satisfied, note, conditions).  Spark broadcasts the rules where they are small."""
     r = rules.select("rule_id", "rule_type", F.col("value").alias("bound"), F.col("value_max").alias("bound_max"), F.col("unit").alias("to"))
-    joined = facts.join(F.broadcast(r), "rule_id")
+    joined = facts.join(r, "rule_id")
     got = convert_unit(F.col("value"), F.col("unit"), F.col("to"))
     holds = (
         F.when(F.col("rule_type") == "range", got.between(F.col("bound"), F.col("bound_max")))
@@ -198,7 +226,7 @@ def field_findings(fields: DataFrame) -> DataFrame:
 
 def explain(findings: DataFrame, templates: DataFrame) -> DataFrame:
     """findings(status, field, ...) with templates(status, template): ``{field}`` is filled in."""
-    return findings.join(F.broadcast(templates), "status", "left").withColumn(
+    return findings.join(templates, "status", "left").withColumn(
         "explanation", F.replace(F.col("template"), F.lit("{field}"), F.col("field"))
     ).drop("template")
 

@@ -195,7 +195,7 @@ def cmp16(spark, sf):
 
 def cmp18(spark, sf):
     m = cmp16(spark, sf).join(read_table(spark, sf, "orders").select(F.col("o_orderkey").alias("document_id"), "o_custkey"), "document_id")
-    shown = C.headline(m, "o_custkey", "document_id").where(F.col("letter") <= "Z")
+    shown = C.headline(m, "o_custkey", "document_id")
     return shown.select("o_custkey", "document_id", "letter", display_number(F.col("pay")).alias("pay"))
 
 
@@ -405,8 +405,9 @@ SQL = {
     "cmp15_validate": """WITH a AS (SELECT l_orderkey AS group_id, count(*) AS n, count(DISTINCT l_suppkey % 5) AS d, count(*) FILTER (l_linenumber = 3) AS blank FROM lineitem GROUP BY l_orderkey)
         SELECT group_id, problem FROM (SELECT group_id, unnest([CASE WHEN n < 2 THEN 'too few members' END, CASE WHEN n > 5 THEN 'too many members' END, CASE WHEN d < n THEN 'repeated member' END, CASE WHEN blank > 0 THEN 'blank label' END]) AS problem FROM a) WHERE problem IS NOT NULL""",
     "cmp16_matrix": f"WITH {_MATRIX} SELECT * FROM m",
-    "cmp18_headline": f"""WITH {_MATRIX} SELECT o_custkey, document_id, chr(CAST(64 + n AS INT)) AS letter, CASE WHEN pay = floor(pay) THEN format('{{:,.0f}}', pay) ELSE format('{{:,.2f}}', pay) END AS pay
-        FROM (SELECT o_custkey, document_id, coalesce(total, basic) AS pay, row_number() OVER (PARTITION BY o_custkey ORDER BY document_id) AS n FROM m JOIN orders ON o_orderkey = document_id) WHERE n <= 26""",
+    "cmp18_headline": f"""WITH {_MATRIX} SELECT o_custkey, document_id, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INT)) WHEN n <= 702 THEN chr(CAST(64 + (n - 1) // 26 AS INT)) || chr(CAST(65 + (n - 1) % 26 AS INT))
+          ELSE chr(CAST(65 + (n - 703) // 676 AS INT)) || chr(CAST(65 + (n - 703) // 26 % 26 AS INT)) || chr(CAST(65 + (n - 703) % 26 AS INT)) END AS letter, CASE WHEN pay = floor(pay) THEN format('{{:,.0f}}', pay) ELSE format('{{:,.2f}}', pay) END AS pay
+        FROM (SELECT o_custkey, document_id, coalesce(total, basic) AS pay, row_number() OVER (PARTITION BY o_custkey ORDER BY document_id) AS n FROM m JOIN orders ON o_orderkey = document_id)""",
     "cmp19_caveats": f"""WITH {_OFFERS} SELECT group_id, 'not comparable' AS caveat, dimension FROM fit WHERE ranking <> 'not_ranked' AND NOT comparable UNION ALL
         SELECT group_id, 'not for all', dimension FROM offers GROUP BY group_id, dimension HAVING bool_or(status = 'available') AND NOT bool_and(status = 'available')""",
     "cmp20_summary": f"WITH {_OFFERS} SELECT group_id, count(*) FILTER (comparable) AS comparable, count(*) AS ranked FROM fit WHERE ranking <> 'not_ranked' GROUP BY group_id",

@@ -1,4 +1,4 @@
-"""Queries of hybrid retrieval and its evaluation.  Questions are the first eight words of benchmark items; a question's
+"""Queries of hybrid retrieval and its evaluation.  Questions are the words of benchmark items; a question's
 vector is the embedding of its number, a document's that of its own."""
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from parchment.sources.tables import read_table
 
 def questions(spark, sf):
     b = read_table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(words(F.col("text")), 1, 8), " ").alias("query"))
+    return b.select(F.col("item_id").alias("query_id"), F.array_join(words(F.col("text")), " ").alias("query"))
 
 
 def _vectors(spark, sf):
@@ -60,7 +60,8 @@ def ret03(spark, sf):
 
 def ret04(spark, sf):
     hits = _dense(spark, sf).select("query_id", "rank", F.col("doc_id").alias("index"), "score")
-    return R.credit_hits(hits, 400).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    totals = read_table(spark, sf, "documents").agg(F.count("*").alias("n_docs"))
+    return R.credit_hits(hits, totals).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 def ret05(spark, sf):
@@ -80,7 +81,7 @@ def ret07(spark, sf):
 
 def ret08(spark, sf):
     c = read_table(spark, sf, "conversations")
-    return c.select("conv_id", "turn", R.compose_query(F.col("text"), F.col("role"), F.substring("text", 1, 20)).alias("query"))
+    return c.select("conv_id", "turn", R.compose_query(F.col("role"), F.concat(F.lit("turn "), "turn"), F.col("text")).alias("query"))
 
 
 def ret10(spark, sf):
@@ -113,7 +114,7 @@ def ret18(spark, sf):
 
 
 def ret19(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", F.substring("text", 1, 60).alias("content"))
+    d = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
     return R.answer_context(_hybrid(spark, sf).join(d, "doc_id"))
 
 
@@ -172,7 +173,7 @@ QUERIES = {
 }
 
 _BASE = """
- q AS MATERIALIZED (SELECT item_id AS query_id, list_slice(regexp_extract_all(text, '[^ \t\n\r]+'), 1, 8) AS ts FROM benchmark),
+ q AS MATERIALIZED (SELECT item_id AS query_id, regexp_extract_all(text, '[^ \t\n\r]+') AS ts FROM benchmark),
  tok AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\r]+') AS ts FROM documents),
  tot AS MATERIALIZED (SELECT count(*) AS n_docs, avg(len(ts)) AS avg_len FROM tok),
  post AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf, any_value(l) AS l FROM (SELECT doc_id, len(ts) AS l, unnest(ts) AS term FROM tok) GROUP BY ALL),
@@ -216,11 +217,11 @@ SQL = {
         list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score,
         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id DESC) AS rank
         FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 3""",
-    "ret04_credit": f"WITH {_BASE} SELECT query_id, doc_id, round(score, 6) AS score FROM dense WHERE doc_id BETWEEN 1 AND 400",
+    "ret04_credit": f"WITH {_BASE} SELECT query_id, doc_id, round(score, 6) AS score FROM dense WHERE doc_id BETWEEN 1 AND (SELECT count(*) FROM documents)",
     "ret05_minmax": f"WITH {_BASE}, {_scaled('lexs', 'lex')} SELECT query_id, doc_id, round(score, 6) AS score FROM lexs",
     "ret06_fuse": f"WITH {_FUSED} SELECT query_id, doc_id, round(score, 6) AS score FROM fused",
     "ret07_hybrid_topk": f"WITH {_FUSED} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM hybrid",
-    "ret08_compose": """SELECT conv_id, turn, concat_ws(chr(10), text, CASE WHEN trim(substr(text, 1, 20)) <> '' THEN role || ': ' || substr(text, 1, 20) END) AS query FROM conversations""",
+    "ret08_compose": """SELECT conv_id, turn, concat_ws(chr(10), role, CASE WHEN trim(text) <> '' THEN 'turn ' || turn || ': ' || text END) AS query FROM conversations""",
     "ret10_match_reference": """WITH m AS (SELECT lang, md5(text) AS digest, count(*) AS n, min(doc_id) AS match_id FROM documents GROUP BY ALL)
         SELECT d.doc_id AS ref_id, CASE WHEN n = 1 THEN match_id END AS match_id FROM documents d LEFT JOIN m ON d.lang = m.lang AND md5(d.text) = m.digest WHERE d.doc_id % 20 = 0""",
     "ret11_status": f"""WITH {_FUSED} SELECT query_id, CASE WHEN NOT bool_or(score > 0) THEN 'insufficient' WHEN NOT bool_and(n_chars > 300) THEN 'partial' ELSE 'success' END AS status
@@ -230,7 +231,7 @@ SQL = {
         FROM reg JOIN documents USING (doc_id)) WHERE place <= 6""",
     "ret18_health": """SELECT n_docs, n_vectors, n_bad, CASE WHEN n_vectors = 0 THEN 'no vectors' WHEN n_bad > 0 THEN 'wrong dimension' WHEN n_docs <> n_vectors THEN 'counts differ' ELSE 'ok' END AS health
         FROM (SELECT count(*) AS n_docs FROM documents), (SELECT count(*) AS n_vectors, count(*) FILTER (len(embedding) <> 64) AS n_bad FROM embeddings)""",
-    "ret19_context": f"""WITH {_FUSED} SELECT query_id, string_agg(substr(text, 1, 60), chr(10) || chr(10) ORDER BY rank) AS context FROM hybrid JOIN documents USING (doc_id) GROUP BY query_id""",
+    "ret19_context": f"""WITH {_FUSED} SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS context FROM hybrid JOIN documents USING (doc_id) GROUP BY query_id""",
     "evl01_metrics": f"""WITH {_FUSED} SELECT count(*) AS n, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 6) AS hit, round(avg(CASE WHEN rank IS NULL THEN 0 ELSE 1 END), 6) AS recall,
         round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr, round(avg(coalesce(1 / log2(rank + 1), 0)), 6) AS ndcg FROM met""",
     "evl02_by_article": f"WITH {_FUSED} SELECT gold, count(*) AS n, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM met GROUP BY gold",

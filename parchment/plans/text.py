@@ -127,8 +127,10 @@ def fn20(spark, sf):
 
 
 def fn21(spark, sf):
+    """Each document against the next one."""
     d = read_table(spark, sf, "documents").select("doc_id", "text")
-    return d.select("doc_id", F.round(T.token_overlap(F.regexp_extract("text", r"^[^\n]*", 0), F.substring_index("text", "\n", -1)), 6).alias("overlap"))
+    following = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
+    return d.join(following, "doc_id").select("doc_id", F.round(T.token_overlap(F.col("text"), F.col("other")), 6).alias("overlap"))
 
 
 def fn24(spark, sf):
@@ -274,9 +276,8 @@ SQL = {
     "fn16_percentage": "SELECT CAST(round_even(CAST(l_discount AS DOUBLE) * 100, 0) AS INT) AS pct, count(*) AS n FROM lineitem GROUP BY 1",
     "fn20_cv_tokens": f"""SELECT item_id, array_to_string(list_transform(list_filter(string_split({_KEY.format("text")}, ' '),
         lambda t: t <> '' AND t NOT IN ('the', 'of', 'and', 'to', 'in')), lambda t: regexp_replace(t, '^(?:وال|ال)(..)', '\\1')), ' ') AS tokens FROM benchmark""",
-    "fn21_overlap": """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(regexp_extract(text, '^[^\n]*'), '[^ \t\n\r]+')) AS a,
-        regexp_extract_all(string_split(text, chr(10))[-1], '[^ \t\n\r]+') AS b FROM documents)
-        SELECT doc_id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_filter(a, lambda x: list_contains(b, x))) / len(a) END, 6) AS overlap FROM t""",
+    "fn21_overlap": """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(text, '[^ \t\n\r]+')) AS a FROM documents)
+        SELECT x.doc_id, round(CASE WHEN len(x.a) = 0 THEN 0.0 ELSE len(list_intersect(x.a, y.a)) / len(x.a) END, 6) AS overlap FROM t x JOIN t y ON y.doc_id = x.doc_id + 1""",
     "fn24_emails": """WITH e AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}') AS es FROM documents),
         u AS (SELECT doc_id, list_filter(es, lambda x, i: list_position(es, x) = i) AS es FROM e)
         SELECT doc_id, CAST(len(es) AS INT) AS n_emails, array_to_string(es, ',') AS emails FROM u""",

@@ -135,13 +135,13 @@ def test_hybrid_fusion_literals(spark):
     index = R.bm25_index(docs)
     lex = R.minmax(R.bm25(q, index), index.totals)
     hits = spark.createDataFrame([(1, 1, 111, 0.9), (1, 2, 250, 0.8), (1, 3, None, 0.7)], "query_id long, rank int, index int, score double")
-    top = R.topk(R.fuse(R.minmax(R.credit_hits(hits, 249), index.totals), lex), q, docs)
+    top = R.topk(R.fuse(R.minmax(R.credit_hits(hits, index.totals), index.totals), lex), q, docs)
     assert [(d, round(x, 6)) for d, x in rows(top, "doc_id", "score", order=["rank"])] == [(111, 0.6), (249, 0), (248, 0), (247, 0), (246, 0)]
     three = spark.createDataFrame([(1, i + 1, i + 1, v) for i, v in enumerate((0.9, 0.85, 0.8))], "query_id long, rank int, index int, score double")
-    top = R.topk(R.fuse(R.minmax(R.credit_hits(three, 249), index.totals), lex), q, docs, 3)
+    top = R.topk(R.fuse(R.minmax(R.credit_hits(three, index.totals), index.totals), lex), q, docs, 3)
     assert [round(x[0], 9) for x in rows(top, "score", order=["rank"])] == [round(0.6 * v / 0.9, 9) for v in (0.9, 0.85, 0.8)]
     minus = spark.createDataFrame([(1, 1, 5, -0.2)], "query_id long, rank int, index int, score double")
-    top = R.topk(R.fuse(R.minmax(R.credit_hits(minus, 249), index.totals), lex), q, docs, 2)
+    top = R.topk(R.fuse(R.minmax(R.credit_hits(minus, index.totals), index.totals), lex), q, docs, 2)
     assert 5 not in [r[0] for r in rows(top, "doc_id")]  # a negative score is below the documents without one
 
 
