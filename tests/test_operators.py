@@ -321,3 +321,51 @@ def test_cv_parts(spark):
     assert rows(CV.cv_experience(work), "title", "organisation", "start", "end", "current") == [("Engineer", "Acme", 2015, None, True)]
     who = spark.createDataFrame([(1, 0, "Ann Lee"), (1, 1, "ann@x.org +966 50 123 4567")], "document_id int, line_no int, text string")
     assert set(rows(X.resolve(CV.cv_contact(who)), "field", "key")) == {("name", "Ann Lee"), ("email", "ann@x.org"), ("phone", "+966 50 123 4567")}
+
+
+def test_assessment_by_rare_tokens_matches_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    reqs = {i: r.sample([f"t{k}" for k in range(12)], r.randint(1, 6)) for i in range(15)}
+    texts = {i: r.sample([f"t{k}" for k in range(12)], r.randint(0, 9)) for i in range(25)}
+    req = spark.createDataFrame([(i, t) for i, ts in reqs.items() for t in ts], "req_id int, token string")
+    txt = spark.createDataFrame([(i, t) for i, ts in texts.items() for t in ts], "doc_id int, token string")
+    for least in (0.0, 0.5, 0.8, 1.0):
+        want = {
+            (i, d, n, "explicit" if n == len(ts) else "partial")
+            for i, ts in reqs.items() for d, have in texts.items() if (n := len({*ts} & {*have})) and n >= least * len(ts)
+        }
+        assert set(rows(CV.assess(req, txt, least), "req_id", "doc_id", "have", "status")) == want
+
+
+def test_numbers_over_ranges(spark):
+    import random
+
+    from parchment.operators import evaluate as E
+
+    r = random.Random(9)
+    values = [(i, None if i % 50 == 0 else r.randint(-40, 4000)) for i in range(1500)]
+    got = E.numbered(spark.createDataFrame(values, "case_id int, index int"), "index", ["case_id"], "no").collect()
+    want = {c: k + 1 for k, (c, _) in enumerate(sorted(values, key=lambda x: (x[1] is not None, x[1] or 0, x[0])))}
+    assert {x["case_id"]: x["no"] for x in got} == want
+    assert E.numbered(spark.createDataFrame([], "case_id int, index int"), "index", ["case_id"], "no").count() == 0
+
+
+def test_short_names(spark):
+    from parchment.operators.compare import short_name
+
+    n = spark.createDataFrame([(1,), (26,), (27,), (52,), (53,), (702,), (703,), (18278,)], "n int")
+    assert [x[0] for x in rows(n.select("n", short_name(F.col("n")).alias("s")), "s", order=["n"])] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ"]
+
+
+def test_contract_read_from_end_to_end(spark):
+    from parchment.operators import contracts as K
+
+    text = "Notice period: 60 days\nEnd date: 31/02/2026\nProbation lasts 90 days.\nThe probation is 180 days after all.\nNotice of thirty days is given."
+    docs = spark.createDataFrame([(1, text), (2, ""), (3, "المسمى الوظيفي: محلل\nمدة التجربة تسعون يوماً")], "document_id int, text string")
+    got = {(d, f): (p, s, k) for d, f, p, s, k in rows(K.read_fields(docs), "document_id", "field", "path", "status", "key")}
+    assert got == {
+        (1, "notice_period"): ("label", "found", "60 day"), (1, "end_date"): ("label", "ambiguous", None), (1, "probation_period"): ("narrative", "ambiguous", None),
+        (3, "job_title"): ("label", "found", "محلل"), (3, "probation_period"): ("narrative", "found", "90 day"),
+    }
