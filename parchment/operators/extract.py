@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parchment.functions.text import label_keys, matching_key, to_ascii_digits
+from parchment.functions.text import FOLD_FROM, FOLD_TO, label_keys, matching_key, to_ascii_digits
 
 STRONG_METHODS = ("table_row", "labeled_line")
 CONFIDENCE = ("low", "medium", "high")
@@ -21,7 +21,11 @@ NUMBER_WORDS = {
 }
 UNITS = {"day": "days?", "week": "weeks?", "month": "months?", "year": "years?"}
 QUALIFIERS = "working|calendar|business"
-CURRENCIES = "SAR|USD|EUR|GBP|AED|EGP"
+# How currencies are written beside an amount.
+CURRENCIES = {
+    "SAR": ("SAR", "SR", "ريال سعودي", "ريال", "riyals", "riyal"), "USD": ("USD", "$", "dollars", "دولار"), "EUR": ("EUR", "€", "يورو"), "GBP": ("GBP", "£"),
+    "AED": ("AED", "درهم"), "EGP": ("EGP", "جنيه"),
+}
 
 
 def number_words(tokens: Column) -> Column:
@@ -69,27 +73,38 @@ def durations(units: DataFrame) -> DataFrame:
 
 
 def hours(units: DataFrame) -> DataFrame:
-    """(hours, per): a number of hours with day or week within three words."""
-    p = r"(?i)(\d+(?:\.\d+)?)\s*hours?(?:\s+\S+){0,2}?\s+(day|week)"
-    t = to_ascii_digits(F.col("text"))
+    """(hours, per): a number of hours with day or week within three words, in English or Arabic."""
+    p = r"(?i)(\d+(?:\.\d+)?)\s*(?:hours?|ساعه|ساعات)(?:\s+\S+){0,2}?\s+(?:ال)?(day|week|يوم|اسبوع)"
+    t = folded(F.col("text"))
     rows = units.select(
         "document_id", "unit_no",
         F.posexplode(F.arrays_zip(F.regexp_extract_all(t, F.lit(p), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(p), F.lit(2)).alias("per"))).alias("no", "r"),
     )
-    return rows.select("document_id", "unit_no", "no", F.col("r.n").cast("double").alias("hours"), F.lower("r.per").alias("per"))
+    per = F.lower("r.per")
+    per = F.when(per == "يوم", "day").when(per == "اسبوع", "week").otherwise(per)
+    return rows.select("document_id", "unit_no", "no", F.col("r.n").cast("double").alias("hours"), per.alias("per"))
+
+
+def folded(text: Column) -> Column:
+    """Digits and Arabic letters in one form each; everything else as it is."""
+    return F.translate(to_ascii_digits(text), FOLD_FROM, FOLD_TO)
 
 
-# Days of the week, Sunday first.
+# Days of the week, Sunday first, and their Arabic names, folded.
 DAYS = ("sunday", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday")
+ARABIC_DAYS = ("الاحد", "الاثنين", "الثلاثاء", "الاربعاء", "الخميس", "الجمعه", "السبت")
 
 
 def working_days(text: Column) -> Column:
     """Array of day names: a range ``x to y``, which may wrap round the week, or a list of two or more."""
-    low = F.lower(text)
+    low = F.lower(folded(text))
+    for arabic, english in zip(ARABIC_DAYS, DAYS):
+        low = F.replace(low, F.lit(arabic), F.lit(english))
     name = "|".join(DAYS)
+    to = r"\s*(?:to|through|-|–|الي|حتي)\s*"
     week = F.array(*[F.lit(d) for d in DAYS])
-    a = F.regexp_extract(low, rf"({name})\s*(?:to|through|-|–)\s*({name})", 1)
-    b = F.regexp_extract(low, rf"({name})\s*(?:to|through|-|–)\s*({name})", 2)
+    a = F.regexp_extract(low, rf"({name}){to}({name})", 1)
+    b = F.regexp_extract(low, rf"({name}){to}({name})", 2)
     i, j = F.array_position(week, a).cast("int"), F.array_position(week, b).cast("int")
     span = F.transform(F.sequence(F.lit(0), F.pmod(j - i, F.lit(7))), lambda k: F.element_at(week, F.pmod(i - 1 + k, F.lit(7)) + 1))
     listed = F.array_distinct(F.regexp_extract_all(low, F.lit(f"({name})"), F.lit(1)))
@@ -99,7 +114,9 @@ def working_days(text: Column) -> Column:
 def money(units: DataFrame, require_currency: bool = True) -> DataFrame:
     """(amount, currency, period, raw): the unit's period counts where it is either monthly or annual."""
     number = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
-    p = rf"(?<![\d/.,-])(?:({CURRENCIES})\s*)?({number})(?![\d/%-])(?:\s*({CURRENCIES}))?"
+    names = "|".join(f"\\Q{w}\\E" for w in sorted((w for ws in CURRENCIES.values() for w in ws), key=len, reverse=True))
+    p = rf"(?<![\d/.,-])(?:({names})\s*)?({number})(?![\d/%-])(?:\s*({names}))?"
+    code = F.create_map(*[F.lit(x) for c, ws in CURRENCIES.items() for w in ws for x in (w, c)])
     t = to_ascii_digits(F.col("text"))
 
     def group(i: int) -> Column:
@@ -113,7 +130,7 @@ def money(units: DataFrame, require_currency: bool = True) -> DataFrame:
     )
     out = rows.select(
         "document_id", "unit_no", "no", F.trim("m.raw").alias("raw"), F.replace(F.col("m.n"), F.lit(",")).cast("double").alias("amount"),
-        F.nullif(F.coalesce(F.nullif("m.a", F.lit("")), F.nullif("m.b", F.lit(""))), F.lit("")).alias("currency"), "period",
+        code[F.coalesce(F.nullif("m.a", F.lit("")), F.nullif("m.b", F.lit("")))].alias("currency"), "period",
     )
     return out.where("currency IS NOT NULL") if require_currency else out
 

@@ -51,6 +51,25 @@ def _(spark, sf):
     return X.arabic_durations(per_customer(spark, sf, "unit_no int, text string", _ARABIC_SPANS)).select("document_id", "unit_no", "count", "unit")
 
 
+_ARABIC_TERMS = [(0, "٨ ساعات في اليوم و٤٨ ساعة في الأسبوع"), (1, "من الأحد إلى الخميس"), (2, "الراتب ١٢٬٠٠٠ ريال شهريا"), (3, "الأحد والثلاثاء")]
+
+
+@query("ext02_arabic_hours", rows_sql("unit_no int, hours double, per string", [(0, 8, "day"), (0, 48, "week")]))
+def _(spark, sf):
+    return X.hours(per_customer(spark, sf, "unit_no int, text string", _ARABIC_TERMS)).select("document_id", "unit_no", "hours", "per")
+
+
+@query("ext03_arabic_days", rows_sql("unit_no int, days string", [(0, None), (1, "sunday,monday,tuesday,wednesday,thursday"), (2, None), (3, "sunday,tuesday")]))
+def _(spark, sf):
+    u = per_customer(spark, sf, "unit_no int, text string", _ARABIC_TERMS)
+    return u.select("document_id", "unit_no", F.array_join(X.working_days(F.col("text")), ",").alias("days"))
+
+
+@query("ext04_arabic_money", rows_sql("unit_no int, amount double, currency string, period string", [(2, 12000, "SAR", "monthly")]))
+def _(spark, sf):
+    return X.money(per_customer(spark, sf, "unit_no int, text string", _ARABIC_TERMS)).select("document_id", "unit_no", "amount", "currency", "period")
+
+
 _HOURS = "q || ' hours per day, ' || (q + 5) || ' hours per week'"
 
 
