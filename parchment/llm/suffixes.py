@@ -1,17 +1,17 @@
-"""Removal of byte strings that repeat in a corpus, by column-wise suffix sorting.
+"""Removal of strings that repeat in a corpus, by column-wise suffix sorting.
 
-A byte goes if a string of ``min_bytes`` bytes that covers it also starts
-anywhere else.  Matches never cross documents, may overlap, and are judged on
-the input alone.
+A symbol goes if a string of ``length`` symbols that covers it also starts
+anywhere else.  Symbols are the bytes of a text, or its words.  Matches never cross
+documents, may overlap, and are judged on the input alone.
 
-1. Anchors.  In each window of ``min_bytes`` bytes the 64-byte grams of least
-   hash are anchors.  They depend on the window's bytes only, so two equal
+1. Anchors.  In each window of ``length`` symbols the short grams of least
+   hash are anchors.  They depend on the window's symbols only, so two equal
    windows have the same anchors at the same places.
 2. Keys.  A window with an anchor in its first half shares the anchor and the
-   bytes right of it with its copy, one with the anchor further on those left
-   of it.  So an anchor gives two keys, of some 230 bytes each, and only keys that
+   symbols right of it with its copy, one with the anchor further on those left
+   of it.  So an anchor gives two keys, each over half a window long, and only keys that
    occur twice matter.  Keys are counted by an aggregation and joined back.
-3. Pieces.  The bytes around an anchor that a window could cover.  Equal pieces are
+3. Pieces.  The symbols around an anchor that a window could cover.  Equal pieces are
    counted, not gathered: with two of them every window in them repeats.
    Each different piece of a key is fetched once.
 4. Rounds.  Pieces aligned at their anchors form a collection whose suffixes are
@@ -19,14 +19,15 @@ the input alone.
    as one stable pass over the last round's order, and updates that order (the
    collection's transform is the symbol column read in it) and the common prefix of each
    neighbour from range minima of the last round's.  A piece whose common prefix with a neighbour
-   reaches ``min_bytes`` has a repeated window that starts in this column.
-5. A key with very many different pieces is not gathered: all windows of its pieces are
-   hashed, counted and joined back instead, which gives the same windows.
+   reaches ``length`` has a repeated window that starts in this column.
+5. A key with more different pieces than one task should sort is divided first: its range of anchor
+   offsets is halved, which makes the key of each half longer and its pieces shorter, and so on.
+   Pieces that have become equal are counted again, the others go to the rounds.
 6. Windows found are brought back to all occurrences and merged for each document.
 
 Between steps the state lies in tables in the shared folder, written and read in sequence.
 
-Null text is empty (no bytes, no spans).  Repeated rows, with equal or null ids too, are
+Null text is empty (no symbols, no spans).  Repeated rows, with equal or null ids too, are
 documents of their own and so repeat each other.  Other columns are ignored unless named
 in ``carry``.  An empty table gives an empty result.
 """
@@ -45,7 +46,9 @@ from parchment.llm.common import stored, texts
 
 MIN_BYTES = 400
 GRAM = 64
-#: Different pieces of one key that are sorted together; beyond it windows are counted by hash.
+#: Words of the grams when symbols are words.
+WORD_GRAM = 6
+#: Different pieces of one key that are sorted together; a key with more is divided.
 GROUP = 16_384
 #: Pieces whose columns are sorted at once in a task.
 PIECES = 24_576
@@ -54,27 +57,36 @@ CHUNK = 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
 
 
 class Shape:
-    """Lengths that follow from the length of a repeat."""
+    """Lengths that follow from the length of a repeat.
 
-    def __init__(self, min_bytes: int):
-        self.gram = min(GRAM, max(1, min_bytes // 4))
-        self.length = min_bytes
-        self.last = min_bytes - self.gram  # the largest offset of an anchor in a window
-        self.half = self.last // 2
-        # side -> (least offset, largest offset)
-        self.offsets = {0: (0, self.half), 1: (self.half + 1, self.last)}
+    A side is a range of offsets of the anchor in a window: 1 is all of them, and 2k, 2k + 1 halve k."""
+
+    def __init__(self, length: int, gram: int = GRAM):
+        self.gram = min(gram, max(1, length // 4))
+        self.length = length
+        self.last = length - self.gram  # the largest offset of an anchor in a window
+        self._known = {1: (0, self.last)}
+
+    def offsets(self, side: int) -> tuple[int, int]:
+        """Least and largest offset; none if the first is the larger."""
+        if side not in self._known:
+            lo, hi = self.offsets(side // 2)
+            mid = (lo + hi) // 2
+            self._known[side] = (mid + 1, hi) if side % 2 else (lo, mid)
+        return self._known[side]
 
     def key(self, side: int) -> tuple[int, int]:
-        """Bytes that a key takes left and right of the anchor's start."""
-        lo, hi = self.offsets[side]
+        """Symbols that a key takes left and right of the anchor's start."""
+        lo, hi = self.offsets(side)
         return lo, self.length - hi
 
     def span(self, side: int) -> tuple[int, int]:
-        """Bytes that a piece takes left and right of the anchor's start."""
-        lo, hi = self.offsets[side]
+        """Symbols that a piece takes left and right of the anchor's start."""
+        lo, hi = self.offsets(side)
         return hi, self.length - lo
 
 
@@ -103,6 +115,46 @@ class Rolling:
         return h ^ (h >> np.uint64(32))
 
 
+def word_places(whole: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and stop: runs between white space, and each character from U+3000 on by itself,
+    since scripts there leave no spaces."""
+    data = np.frombuffer(whole, np.uint8)
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    gap = _SPACE[data]
+    start = ~gap
+    start[1:] &= gap[:-1]
+    wide = data >= 0xE3
+    if wide.any():
+        inner = (data & 0xC0) == 0x80
+        lead = np.maximum.accumulate(np.where(inner, 0, np.arange(len(data))))
+        start |= wide
+        start[1:] |= wide[lead[:-1]] & ~inner[1:] & ~gap[1:]
+    stop = ~gap
+    stop[:-1] &= gap[1:] | start[1:]
+    return np.flatnonzero(start), np.flatnonzero(stop) + 1
+
+
+class Unit:
+    """Texts as symbols: bytes (``length`` of them repeat) or words, whose case A-Z doesn't count."""
+
+    def __init__(self, length: int, words: bool):
+        self.shape = Shape(length, WORD_GRAM if words else GRAM)
+        self.words = words
+        self.type = np.uint64 if words else np.uint8
+        self.rolling = Rolling()
+
+    def symbols(self, held: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of texts end to end, and each text's end."""
+        if not self.words:
+            return np.frombuffer(b"".join(held), np.uint8), np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))
+        whole = b"\n".join(held).lower()
+        starts, stops = word_places(whole)
+        sums = self.rolling.sums(np.frombuffer(whole, np.uint8))
+        ends = np.cumsum(np.fromiter((len(b) + 1 for b in held), np.int64, len(held)))
+        return self.rolling.at(sums, starts, stops), np.searchsorted(starts, ends)
+
+
 def _sliding(a: np.ndarray, width: int, op) -> np.ndarray:
     """op over each run of ``width`` neighbours."""
     done = 1
@@ -146,23 +198,24 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
         yield rows, held
 
 
-def _occurrences(min_bytes: int):
+def _occurrences(length: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, rolling = Shape(min_bytes), Rolling()
+        unit = Unit(length, words)
+        shape, rolling = unit.shape, unit.rolling
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             marks = batch.column(2).to_numpy(zero_copy_only=False)
             for rows, held in _blocks(batch):
-                whole = b"".join(held)
-                data = np.frombuffer(whole, np.uint8)
-                ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)))
+                data, ends = unit.symbols(held)
                 at, sums = anchors(data, ends, shape, rolling)
                 if not len(at):
                     continue
+                raw = memoryview(data).cast("B")
+                wide = data.itemsize
                 doc = np.searchsorted(ends, at, "right")
                 first = np.concatenate([[0], ends[:-1]])[doc]
                 last = ends[doc]
-                for side in (0, 1):
+                for side in (2, 3):
                     kl, kr = shape.key(side)
                     sl, sr = shape.span(side)
                     ok = (at - kl >= first) & (at + kr <= last)
@@ -173,7 +226,10 @@ def _occurrences(min_bytes: int):
                     if not len(a):
                         continue
                     content = np.fromiter(
-                        (xxhash.xxh3_64_intdigest(whole[x:y], z) for x, y, z in zip(lo.tolist(), hi.tolist(), (a - lo).tolist())),
+                        (
+                            xxhash.xxh3_64_intdigest(raw[x:y], z)
+                            for x, y, z in zip((lo * wide).tolist(), (hi * wide).tolist(), (a - lo).tolist())
+                        ),
                         np.uint64,
                         len(a),
                     )
@@ -220,20 +276,20 @@ def sort_rounds(cells: np.ndarray, length: int, starts: int) -> tuple[np.ndarray
     return low, high
 
 
-def _fetch(min_bytes: int):
+def _fetch(length: int, words: bool):
     """Documents with the places of the pieces wanted -> the pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = Shape(min_bytes)
+        unit = Unit(length, words)
         for batch in batches:
             out: list[tuple] = []
             size = 0
             for body, want in zip(batch.column(0), batch.column(1)):
-                b = body.as_py()
+                data = unit.symbols([body.as_py()])[0]
                 for w in want.as_py():
-                    sl, sr = shape.span(w["side"])
+                    sl, sr = unit.shape.span(w["side"])
                     left = min(sl, w["pos"])
-                    piece = b[w["pos"] - left : w["pos"] + sr]
+                    piece = data[w["pos"] - left : w["pos"] + sr].tobytes()
                     out.append((w["side"], w["key"], w["content"], w["many"], left, piece))
                     size += len(piece)
                     if size > CHUNK:
@@ -254,21 +310,26 @@ def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _PIECE.types)], schema=_PIECE)
 
 
-def _sorted_windows(min_bytes: int):
+def _sorted_windows(length: int, words: bool):
     """Pieces sorted by (side, key) -> (side, key, content, least and largest offset of the anchor)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = Shape(min_bytes)
+        unit = Unit(length, words)
+        shape = unit.shape
         held: dict[str, list] = {c: [] for c in ("side", "key", "content", "left", "piece")}
 
         def solve(upto: int) -> pa.RecordBatch | None:
             side = held["side"][0]
             sl, sr = shape.span(side)
-            cells = np.zeros((upto, sl + sr), np.uint16)
-            for i, (left, piece) in enumerate(zip(held["left"][:upto], held["piece"][:upto])):
-                cells[i, sl - left : sl - left + len(piece)] = np.frombuffer(piece, np.uint8)
-                cells[i, sl - left : sl - left + len(piece)] += 1
-            least, _ = shape.offsets[side]
+            rows = [np.frombuffer(p, unit.type) for p in held["piece"][:upto]]
+            flat = np.concatenate(rows)
+            # symbols as numbers from 1 in their own order
+            codes = np.unique(flat, return_inverse=True)[1] + 1 if words else flat.astype(np.uint16) + 1
+            cells, at = np.zeros((upto, sl + sr), np.uint32 if words else np.uint16), 0
+            for i, (left, row) in enumerate(zip(held["left"][:upto], rows)):
+                cells[i, sl - left : sl - left + len(row)] = codes[at : at + len(row)]
+                at += len(row)
+            least, _ = shape.offsets(side)
             low, high = sort_rounds(cells, shape.length, sl - least + 1)
             hit = np.flatnonzero(low >= 0)
             out = None
@@ -316,35 +377,63 @@ def _sorted_windows(min_bytes: int):
     return run
 
 
-def _hashed_windows(min_bytes: int):
-    """Pieces -> (side, key, content, o, hash of the window that has the anchor at offset o)."""
+def _halved(length: int, words: bool):
+    """Pieces -> the pieces of both halves of their side's offsets, with those offsets at which a window fits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape, rolling = Shape(min_bytes), Rolling()
+        unit = Unit(length, words)
+        shape, wide = unit.shape, np.dtype(unit.type).itemsize
         for batch in batches:
-            for side, key, content, _, left, piece in zip(*(c.to_pylist() for c in batch.columns)):
-                data = np.frombuffer(piece, np.uint8)
-                sums = rolling.sums(data)
-                lo, hi = shape.offsets[side]
-                o = np.arange(max(lo, left + shape.length - len(data)), min(hi, left) + 1)
-                h = rolling.at(sums, left - o, left - o + shape.length)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(o), side, np.int32)),
-                        pa.array(np.full(len(o), key, np.int64)),
-                        pa.array(np.full(len(o), content, np.int64)),
-                        pa.array(o.astype(np.int32)),
-                        pa.array(h.view(np.int64)),
-                    ],
-                    ["side", "key", "content", "o", "h"],
-                )
+            out: list[tuple] = []
+            size = 0
+            for side, key, content, left, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                n = len(piece) // wide
+                for half in (2 * side, 2 * side + 1):
+                    lo, hi = shape.offsets(half)
+                    kl, kr = shape.key(half)
+                    sl, sr = shape.span(half)
+                    a, b = max(0, left - sl), min(n, left + sr)
+                    if lo > hi or left < kl or n - left < kr or b - a < length:
+                        continue
+                    part = piece[a * wide : b * wide]
+                    out.append(
+                        (
+                            side, key, content, half,
+                            _signed(xxhash.xxh3_64_intdigest(piece[(left - kl) * wide : (left + kr) * wide])),
+                            _signed(xxhash.xxh3_64_intdigest(part, left - a)),
+                            left - a, max(lo, left + length - n), min(hi, left), part,
+                        )
+                    )
+                    size += len(part)
+                if size > CHUNK:
+                    yield _half_batch(out)
+                    out, size = [], 0
+            if out:
+                yield _half_batch(out)
 
     return run
 
 
-def _cut_out(min_bytes: int, names: list[str]):
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+_HALF = pa.schema(
+    [
+        ("of_side", pa.int32()), ("of_key", pa.int64()), ("of_content", pa.int64()), ("side", pa.int32()), ("key", pa.int64()),
+        ("content", pa.int64()), ("left", pa.int32()), ("o_lo", pa.int32()), ("o_hi", pa.int32()), ("piece", pa.binary()),
+    ]
+)
+_HALF_DDL = "of_side int, of_key long, of_content long, side int, key long, content long, left int, o_lo int, o_hi int, piece binary"
+
+
+def _half_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _HALF.types)], schema=_HALF)
+
+
+def _cut_out(length: int, words: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shape = Shape(min_bytes)
+        shape = Unit(length, words).shape
         for batch in batches:
             removed, spans, kept, sizes = [], [], [], []
             for body, hits in zip(batch.column(1), batch.column(2)):
@@ -352,26 +441,31 @@ def _cut_out(min_bytes: int, names: list[str]):
                 sizes.append(len(b))
                 gone, n = 0, 0
                 if hits.is_valid and (windows := hits.as_py()):
+                    starts, stops = word_places(b) if words else (None, None)
+                    total = len(starts) if words else len(b)
                     runs = []
                     for w in windows:
                         lo, hi = w["o_min"], w["o_max"]
                         if hi < 0:  # all windows that fit
-                            least, most = shape.offsets[w["side"]]
-                            lo = max(least, w["pos"] + shape.length - len(b))
+                            least, most = shape.offsets(w["side"])
+                            lo = max(least, w["pos"] + shape.length - total)
                             hi = min(most, w["pos"])
                         runs.append((w["pos"] - hi, w["pos"] - lo + shape.length))
                     runs.sort()
-                    keep, at, end = [], 0, -1
-                    for x, y in runs:
-                        if x > end:
-                            if end >= 0:
-                                at = end
-                            keep.append(b[at:x])
-                            n += 1
-                            end = y
+                    merged = [list(runs[0])]
+                    for x, y in runs[1:]:
+                        if x > merged[-1][1]:
+                            merged.append([x, y])
                         else:
-                            end = max(end, y)
+                            merged[-1][1] = max(merged[-1][1], y)
+                    if words:
+                        merged = [(int(starts[x]), int(stops[y - 1])) for x, y in merged]
+                    keep, end = [], 0
+                    for x, y in merged:
+                        keep.append(b[end:x])
+                        end = y
                     keep.append(b[end:])
+                    n = len(merged)
                     left = b"".join(keep)
                     gone = len(b) - len(left)
                     b = left
@@ -393,12 +487,53 @@ def _cut_out(min_bytes: int, names: list[str]):
     return run
 
 
-def repeated_windows(source: DataFrame, min_bytes: int = MIN_BYTES, group: int = GROUP) -> DataFrame:
+_WINDOWS = "side int, key long, content long, o_min int, o_max int"
+
+
+def _all_that_fit(contents: DataFrame) -> DataFrame:
+    """Contents met more than once: every window in them repeats."""
+    return contents.where("n > 1").select("side", "key", "content", F.lit(-1).alias("o_min"), F.lit(-1).alias("o_max"))
+
+
+def _repeats_in(pieces: DataFrame, length: int, words: bool, group: int) -> DataFrame:
+    """pieces(side, key, content, many, left, piece), each once -> the offsets of their repeated windows."""
+    found = (
+        pieces.where(~F.col("many"))
+        .repartition("side", "key")
+        .sortWithinPartitions("side", "key", "content")
+        .select("side", "key", "content", "left", "piece")
+        .mapInArrow(_sorted_windows(length, words), _WINDOWS)
+    )
+    large = pieces.where("many").select("side", "key", "content", "left", "piece")
+    if large.isEmpty():
+        return found
+    halves = stored(large.mapInArrow(_halved(length, words), _HALF_DDL), "halves")
+    once = stored(
+        halves.groupBy("side", "key", "content").agg(F.count("*").alias("n"), F.first(F.struct("left", "piece")).alias("p")), "contents"
+    )
+    mixed = stored(once.groupBy("side", "key").agg(F.count("*").alias("c")).where("c > 1"), "mixed")
+    rest = stored(once.join(mixed, ["side", "key"]).select("side", "key", "content", (F.col("c") > group).alias("many"), "p.*"), "pieces")
+    known = _all_that_fit(once)
+    deeper = _repeats_in(rest, length, words, group).join(once.where("n = 1").select("side", "key", "content"), ["side", "key", "content"], "left_semi")
+    back = (
+        halves.drop("piece")
+        .join(stored(known.unionByName(deeper), "windows"), ["side", "key", "content"])
+        .groupBy("of_side", "of_key", "of_content")
+        .agg(
+            F.min(F.when(F.col("o_min") < 0, F.col("o_lo")).otherwise(F.col("o_min"))).alias("o_min"),
+            F.max(F.when(F.col("o_max") < 0, F.col("o_hi")).otherwise(F.col("o_max"))).alias("o_max"),
+        )
+        .select(F.col("of_side").alias("side"), F.col("of_key").alias("key"), F.col("of_content").alias("content"), "o_min", "o_max")
+    )
+    return found.unionByName(back)
+
+
+def repeated_windows(source: DataFrame, length: int = MIN_BYTES, words: bool = False, group: int = GROUP) -> DataFrame:
     """source(did, mark, body) -> (did, mark, hits): for each document the anchors with repeated windows
     and the offsets of the anchor in them (-1: all that fit)."""
     found = stored(
         source.select("did", "body", "mark").mapInArrow(
-            _occurrences(min_bytes), "side int, key long, content long, did long, mark long, pos long"
+            _occurrences(length, words), "side int, key long, content long, did long, mark long, pos long"
         ),
         "anchors",
     )
@@ -423,32 +558,12 @@ def repeated_windows(source: DataFrame, min_bytes: int = MIN_BYTES, group: int =
         .groupBy("did", "mark")
         .agg(F.any_value("body").alias("body"), F.any_value("want").alias("want"))
         .select("body", "want")
-        .mapInArrow(_fetch(min_bytes), "side int, key long, content long, many boolean, left int, piece binary"),
+        .mapInArrow(_fetch(length, words), "side int, key long, content long, many boolean, left int, piece binary"),
         "pieces",
     )
-    windows = "side int, key long, content long, o_min int, o_max int"
-    by_sort = (
-        pieces.where(~F.col("many"))
-        .repartition("side", "key")
-        .sortWithinPartitions("side", "key", "content")
-        .select("side", "key", "content", "left", "piece")
-        .mapInArrow(_sorted_windows(min_bytes), windows)
-    )
-    hashed = stored(
-        pieces.where("many").mapInArrow(_hashed_windows(min_bytes), "side int, key long, content long, o int, h long"),
-        "windows",
-    )
-    same = hashed.groupBy("side", "key", "o", "h").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    by_hash = (
-        hashed.join(same, ["side", "key", "o", "h"])
-        .groupBy("side", "key", "content")
-        .agg(F.min("o").alias("o_min"), F.max("o").alias("o_max"))
-    )
-    copies = contents.where("n > 1").select(
-        "side", "key", "content", F.lit(-1).alias("o_min"), F.lit(-1).alias("o_max")
-    )
+    copies = _all_that_fit(contents)
     alone = contents.where("n = 1").select("side", "key", "content")
-    partly = by_sort.unionByName(by_hash).join(alone, ["side", "key", "content"], "left_semi")
+    partly = _repeats_in(pieces, length, words, group).join(alone, ["side", "key", "content"], "left_semi")
     return (
         double.join(copies.unionByName(partly), ["side", "key", "content"])
         .groupBy("did", "mark")
@@ -456,14 +571,19 @@ def repeated_windows(source: DataFrame, min_bytes: int = MIN_BYTES, group: int =
     )
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = (), group: int = GROUP) -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, min_bytes: int = MIN_BYTES, carry: tuple[str, ...] = (), group: int = GROUP, min_words: int | None = None
+) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary, carry...): each document without its repeated bytes;
-    n_spans counts the maximal runs removed."""
+    n_spans counts the maximal runs removed.  With ``min_words`` strings of so many words repeat instead, whatever
+    their bytes, and white space around what is removed stays."""
+    words = min_words is not None
+    length = min_words if words else min_bytes
     base = texts(docs, *[F.col(c).alias(f"_{i}") for i, c in enumerate(carry)])
     source = base.select(
         F.coalesce("doc_id", F.lit(-(2**63))).alias("did"), F.xxhash64("body").alias("mark"), *base.columns
     )
-    hits = repeated_windows(source.select("did", "mark", "body"), min_bytes, group)
+    hits = repeated_windows(source.select("did", "mark", "body"), length, words, group)
     names = [f"_{i}" for i in range(len(carry))]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
     for n in names:
@@ -471,6 +591,6 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, carry: tuple[str
     out = (
         source.join(hits, ["did", "mark"], "left")
         .select("doc_id", "body", "hits", *names)
-        .mapInArrow(_cut_out(min_bytes, names), schema)
+        .mapInArrow(_cut_out(length, words, names), schema)
     )
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(n).alias(c) for n, c in zip(names, carry)])

@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -41,6 +42,45 @@ def test_short_repeats_of_few_letters(spark):
     assert sorted((x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in got) == sorted(brute([b.encode() for b in bodies], 12))
 
 
+def brute_words(bodies, n):
+    """Kept text without word runs that repeat; words by white space, case of A-Z aside."""
+    words = [b.lower().split() for b in bodies]
+    seen = Counter(tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1))
+    out = []
+    for b, w in zip(bodies, words):
+        gone = {k for i in range(len(w) - n + 1) if seen[tuple(w[i : i + n])] > 1 for k in range(i, i + n)}
+        places = [m.span() for m in re.finditer(rb"[^ \t-\r]+", b)]
+        drop = set()
+        for k in gone:
+            drop.update(range(*places[k]))
+            if k + 1 in gone:
+                drop.update(range(places[k][1], places[k + 1][0]))
+        out.append(bytes(x for i, x in enumerate(b) if i not in drop))
+    return out
+
+
+@pytest.mark.parametrize("group", [suffixes.GROUP, 2])
+def test_words_match_brute_force(spark, group):
+    r = random.Random(5)
+    shared = [" ".join(r.choice("ab cd efg h".split()) for _ in range(r.randint(8, 30))) for _ in range(6)]
+    bodies = []
+    for i in range(60):
+        x = " ".join(r.choice("ab cd efg h ij kl mn".split()) for _ in range(r.randint(0, 60)))
+        bodies.append(f"{x}\n {r.choice(shared).upper() if i % 3 else r.choice(shared)}  {x[: r.randint(0, 40)]}")
+    bodies += ["", " \n ", bodies[0], None]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    got = {x["doc_id"]: bytes(x["kept"]) for x in suffixes.remove_repeats(docs, min_words=10, group=group).collect()}
+    want = brute_words([(b or "").encode() for b in bodies], 10)
+    assert [got[i] for i in range(len(bodies))] == want
+    assert sum(map(len, want)) < sum(len(b or "") for b in bodies)
+
+
+def test_words_of_scripts_without_spaces():
+    body = "ab 日本x y　z".encode()
+    starts, stops = suffixes.word_places(body)
+    assert [body[a:b].decode() for a, b in zip(starts, stops)] == ["ab", "日", "本", "x", "y", "　", "z"]
+
+
 def test_empty_table(spark):
     assert suffixes.remove_repeats(empty(spark)).count() == 0
 
