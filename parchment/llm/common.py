@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext.getCheckpointDir()
+        if not known and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = known.rsplit("/", 1)[0] if known else "file:///tmp/checkpoints/parchment"
         if not known:
             spark.sparkContext.setCheckpointDir(found)
@@ -59,6 +61,11 @@ def texts(docs: DataFrame, *extra: str, id_col: str = "doc_id", text_col: str =
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), body.alias("body"), *extra)
 
 
+def row_key(columns: tuple[str, ...]) -> F.Column:
+    """A hash of a whole row, nulls and their places among it: a name for rows whose ids are null or not unique."""
+    return F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+
+
 def fold(col: str, modulus: int) -> F.Column:
     """crc32 of the id as text, modulo ``modulus`` (null id: 0)."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % modulus, F.lit(0).cast("long"))

@@ -86,15 +86,17 @@ def rake(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS)
     return now
 
 
-def counted_documents(docs: DataFrame, topic: Column | None = None) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens)."""
-    n = docs.select("doc_id", "source", "lang", "text", token_count(F.col("text")).alias("n_tokens"))
+def counted_documents(docs: DataFrame, topic: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, lang, topic, n_tokens, _0, _1 ...: the columns of ``carry``)."""
+    kept = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+    n = docs.select("doc_id", "source", "lang", "text", token_count(F.col("text")).alias("n_tokens"), *kept)
     return n.select(
         "doc_id",
         F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
         F.coalesce(form_topic(F.col("text"), F.col("n_tokens")) if topic is None else topic, F.lit(NONE)).alias("topic"),
         "n_tokens",
+        *[f"_{i}" for i in range(len(carry))],
     )
 
 
@@ -104,19 +106,22 @@ def sample(
     keep: float = KEEP,
     rounds: int = ROUNDS,
     seed: str = "mix",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, expected, copies) of the documents that are taken at least once."""
-    counted = stored(counted_documents(docs), "counted")
+    """(doc_id, source, lang, topic, n_tokens, expected, copies) of the documents that are taken at least once; with
+    ``carry`` those columns as they are, and copies."""
+    counted = stored(counted_documents(docs, carry=carry), "counted")
     table = stored(cells(counted), "cells")
     goals = targets or {d: tempered(table, d, POWERS[d]) for d in DIMENSIONS}
     factors = rake(table, goals, rounds).select(*DIMENSIONS, "factor")
     drawn = counted.join(factors, list(DIMENSIONS)).withColumn("expected", F.col("factor") * F.lit(keep))
     whole = F.floor("expected")
     more = uniform(F.col("doc_id"), seed) < F.col("expected") - whole
+    taken = drawn.withColumn("copies", (whole + more.cast("int")).cast("long")).where("copies > 0")
+    if carry:
+        return taken.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(carry)], "copies")
     return (
-        drawn.withColumn("copies", (whole + more.cast("int")).cast("long"))
-        .where("copies > 0")
-        .select("doc_id", "source", "lang", "topic", "n_tokens", F.round("expected", 6).alias("expected"), "copies")
+        taken.select("doc_id", "source", "lang", "topic", "n_tokens", F.round("expected", 6).alias("expected"), "copies")
     )
 
 

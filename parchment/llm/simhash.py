@@ -13,6 +13,9 @@
    blocks of bounded size, probes go to each block, and a block passes on the
    edges of a spanning forest only, never all of its pairs.
 
+``first_of_groups`` asks for a similarity of shingle sets instead of a distance: several independent fingerprints
+are searched as above, each fingerprint's nearest smaller ones are candidates, and shingle sets decide.
+
 Null text counts as empty.  Documents without words have fingerprint zero and
 link like any others.  Rows with a null id get fingerprint and a null
 component unless their group holds an id.  Repeated rows are repeated in the
@@ -30,12 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchment.llm.common import stored, texts
+from parchment.llm.common import row_key, small_batches, stored, texts
 from parchment.llm.graph import connected_components
 
 SHINGLE_WORDS = 3
 RADIUS = 3
 SEED = 42
+#: Of groups by similarity: words of a shingle, least Jaccard similarity, independent fingerprints, the radius they are searched
+#: with, and differing bits of a candidate (pairs of similarity 0.8 differ in 10 of 64 on average, with a deviation of 3).
+SET_WORDS, SIMILARITY = 5, 0.8
+SKETCHES, SET_RADIUS, NEAREST = 6, 2, 15
 #: Fingerprints of one block of a frequent value.
 BLOCK = 4096
 #: Pairs that are compared at once within a task.
@@ -97,24 +104,28 @@ def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFra
     return texts(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray]:
-    """Number of fingerprints and the 64 x 64 table of how often two bits are both set, over all of them."""
+def bit_statistics(nodes: DataFrame, sketches: int = 1) -> list[tuple[int, np.ndarray]]:
+    """nodes(sketch, fp) -> of each sketch the number of fingerprints and the 64 x 64 table of how often two bits are both set,
+    over all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n = np.zeros((64, 64)), 0
+        both, n = np.zeros((sketches, 64, 64)), np.zeros(sketches)
         for batch in batches:
-            fps = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False))
+            of = batch.column(0).to_numpy(zero_copy_only=False)
+            fps = np.ascontiguousarray(batch.column(1).to_numpy(zero_copy_only=False))
             bits = np.unpackbits(fps.view(np.uint8), bitorder="little").reshape(-1, 64).astype(np.float32)
-            both += bits.T @ bits
-            n += len(fps)
-        cells = np.concatenate([[float(n)], both.ravel()])
+            for k in range(sketches):
+                own = bits[of == k]
+                both[k] += own.T @ own
+                n[k] += len(own)
+        cells = np.concatenate([n[:, None], both.reshape(sketches, -1)], axis=1).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], ["cell", "v"])
 
-    rows = nodes.select("fp").mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v")).collect()
-    cells = np.zeros(1 + 64 * 64)
-    for r in rows:  # at most 4097 sums
+    found = nodes.select("sketch", "fp").mapInArrow(run, "cell long, v double").groupBy("cell").agg(F.sum("v").alias("v"))
+    cells = np.zeros(sketches * 4097)
+    for r in found.collect():  # 4097 sums a sketch
         cells[r["cell"]] = r["v"]
-    return int(cells[0]), cells[1:].reshape(64, 64)
+    return [(int(c[0]), c[1:].reshape(64, 64)) for c in cells.reshape(sketches, 4097)]
 
 
 def group_bits(n: int, both: np.ndarray, parts: int) -> list[list[int]]:
@@ -230,8 +241,18 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[root[keep]]
 
 
-def _meet(radius: int):
-    """Rows sorted by (part, key, block, role): role 0 indexed, 1 probe -> spanning edges."""
+def nearest_smaller(q: np.ndarray, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of fingerprints -> for each of q that of d which differs in the fewest bits, at most ``most``, of the smaller ones."""
+    far = np.bitwise_count(q ^ d)
+    at = np.flatnonzero((far <= most) & (d < q))
+    at = at[np.lexsort((d[at], far[at], q[at]))]
+    at = at[np.append(True, q[at][1:] != q[at][:-1])] if len(at) else at
+    return q[at].view(np.int64), d[at].view(np.int64)
+
+
+def _meet(radius: int, nearest: int | None = None):
+    """Rows sorted by (part, key, block, role): role 0 indexed, 1 probe -> spanning edges, or each probe's nearest
+    smaller fingerprint."""
 
     def edges_of(data, probes) -> pa.RecordBatch | None:
         # data, probes: (group number, fp), sorted by group
@@ -245,15 +266,22 @@ def _meet(radius: int):
             k = n[start:stop]
             q = np.repeat(probes[1][start:stop], k)
             d = data[1][np.repeat(lo[start:stop], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+            start = stop
+            if nearest is not None:
+                a, b = nearest_smaller(q, d, nearest)
+                us.append(a)
+                vs.append(b)
+                continue
             near = (np.bitwise_count(q ^ d) <= radius) & (q != d)
             if near.any():
                 a, b = spanning(q[near].view(np.int64), d[near].view(np.int64))
                 us.append(a)
                 vs.append(b)
-            start = stop
         if not us:
             return None
-        a, b = spanning(np.concatenate(us), np.concatenate(vs))
+        a, b = np.concatenate(us), np.concatenate(vs)
+        if nearest is None:
+            a, b = spanning(a, b)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,56 +307,70 @@ def _meet(radius: int):
     return run
 
 
-def near_edges(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """nodes(fp) distinct -> edges (u, v) that connect the same fingerprints as all links within ``radius``."""
-    n, both = bit_statistics(nodes)
-    groups = choose_parts(n, both, radius)
-    p = np.diag(both) / max(n, 1)
-    parts = len(groups)
-    masks = [_mask(g) for g in groups]
-    keyed = nodes.select(
-        "fp",
-        F.inline(F.array(*[F.struct(F.lit(i).alias("part"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)])),
-    )
+def near_edges(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK, nearest: int | None = None, sketches: int = 1) -> DataFrame:
+    """nodes(fp), or (sketch, fp) for several independent fingerprints, distinct -> edges (u, v) that connect the same fingerprints as
+    all links within ``radius`` of a sketch; with ``nearest`` each probe's nearest smaller fingerprint within so many bits, of
+    those that meet in a partition."""
+    if sketches == 1:
+        nodes = nodes.select(F.lit(0).alias("sketch"), "fp")
+    known = bit_statistics(nodes, sketches)
+    groups = [choose_parts(n, both, radius) for n, both in known]
+    chance = [np.diag(both) / max(n, 1) for n, both in known]
+    # partitions are numbered through all sketches
+    most = max(map(len, groups))
+    masks = {k * most + i: _mask(g) for k in range(sketches) for i, g in enumerate(groups[k])}
+    cuts = [
+        F.array(*[F.struct(F.lit(k * most + i).alias("part"), F.col("fp").bitwiseAND(F.lit(masks[k * most + i])).alias("key")) for i in range(len(groups[k]))])
+        for k in range(sketches)
+    ]
+    cut = cuts[0]
+    for k in range(1, sketches):
+        cut = F.when(F.col("sketch") == k, cuts[k]).otherwise(cut)
+    keyed = nodes.select("sketch", "fp", F.inline(cut))
     sizes = stored(keyed.groupBy("part", "key").agg(F.count("*").alias("n")), "sizes")
     own = (
         keyed.join(sizes, ["part", "key"])
-        .groupBy("fp")
-        .agg(*[F.max(F.when(F.col("part") == i, F.col("n"))).alias(f"n{i}") for i in range(parts)])
+        .groupBy("sketch", "fp")
+        .agg(*[F.max(F.when(F.col("part") % most == i, F.col("n"))).alias(f"n{i}") for i in range(most)])
     )
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = {}
-        for i, bits in enumerate(groups):
-            for t in range(radius + 1):
-                if 8 * _probe_count(len(bits), t) < 200_000:
-                    flips[i, t] = np.array(
-                        [sum(1 << b for b in c) for d in range(t + 1) for c in combinations(bits, d)], np.uint64
-                    )
-        for batch in batches:
-            fps = np.ascontiguousarray(batch.column(0).to_numpy(zero_copy_only=False)).view(np.uint64)
-            exact = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[1:]], 1)
-            costs = np.zeros((len(fps), parts, radius + 2))
-            for i, bits in enumerate(groups):
-                share = n * within(fps, bits, p, radius)
-                share[:, 0] = exact[:, i]
-                share = np.maximum.accumulate(share, axis=1)
-                for t in range(radius + 1):
-                    costs[:, i, t + 1] = share[:, t] + 8 * _probe_count(len(bits), t) if (i, t) in flips else np.inf
-            thresholds = allocate(costs, radius - parts + 1)
-            for i in range(parts):
-                mask = np.uint64(masks[i] & (2**64 - 1))
+        for k in range(sketches):
+            for i, bits in enumerate(groups[k]):
                 for t in range(radius + 1):
-                    chosen = fps[thresholds[:, i] == t]
-                    step = max(1, 200_000 // len(flips.get((i, t), [0])))
-                    for k in range(0, len(chosen), step):
-                        some = chosen[k : k + step]
-                        keys = ((some & mask)[:, None] ^ flips[i, t][None, :]).ravel()
-                        whose = np.repeat(some, len(flips[i, t]))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(keys), i, np.int32)), pa.array(keys.view(np.int64)), pa.array(whose.view(np.int64))],
-                            ["part", "key", "fp"],
+                    if 8 * _probe_count(len(bits), t) < 200_000:
+                        flips[k, i, t] = np.array(
+                            [sum(1 << b for b in c) for d in range(t + 1) for c in combinations(bits, d)], np.uint64
                         )
+        for batch in batches:
+            of = batch.column(0).to_numpy(zero_copy_only=False)
+            all_fps = np.ascontiguousarray(batch.column(1).to_numpy(zero_copy_only=False)).view(np.uint64)
+            for k in np.unique(of).tolist():
+                fps, parts, n = all_fps[of == k], len(groups[k]), known[k][0]
+                exact = np.stack([c.to_numpy(zero_copy_only=False)[of == k] for c in batch.columns[2 : 2 + parts]], 1)
+                costs = np.zeros((len(fps), parts, radius + 2))
+                for i, bits in enumerate(groups[k]):
+                    share = n * within(fps, bits, chance[k], radius)
+                    share[:, 0] = exact[:, i]
+                    share = np.maximum.accumulate(share, axis=1)
+                    for t in range(radius + 1):
+                        costs[:, i, t + 1] = share[:, t] + 8 * _probe_count(len(bits), t) if (k, i, t) in flips else np.inf
+                thresholds = allocate(costs, radius - parts + 1)
+                for i in range(parts):
+                    part = k * most + i
+                    mask = np.uint64(masks[part] & (2**64 - 1))
+                    for t in range(radius + 1):
+                        chosen = fps[thresholds[:, i] == t]
+                        step = max(1, 200_000 // len(flips.get((k, i, t), [0])))
+                        for start in range(0, len(chosen), step):
+                            some = chosen[start : start + step]
+                            keys = ((some & mask)[:, None] ^ flips[k, i, t][None, :]).ravel()
+                            whose = np.repeat(some, len(flips[k, i, t]))
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(len(keys), part, np.int32)), pa.array(keys.view(np.int64)), pa.array(whose.view(np.int64))],
+                                ["part", "key", "fp"],
+                            )
 
     many = F.ceil(F.col("n") / block).cast("int")
     data = keyed.join(sizes.where(F.col("n") > 1), ["part", "key"]).select(
@@ -342,12 +384,12 @@ def near_edges(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> Da
     )
     asked = asked.select("part", "key", F.explode(F.sequence(F.lit(0), many - 1)).alias("block"), F.lit(1).alias("role"), "fp")
     met = data.unionByName(lone).unionByName(asked).repartition("part", "key", "block").sortWithinPartitions("part", "key", "block", "role")
-    return met.select("part", "key", "block", "role", "fp").mapInArrow(_meet(radius), "u long, v long")
+    return met.select("part", "key", "block", "role", "fp").mapInArrow(_meet(radius, nearest), "u long, v long")
 
 
-def _own_mask(masks: list[int]) -> F.Column:
+def _own_mask(masks: dict[int, int]) -> F.Column:
     out = F.lit(0).cast("long")
-    for i, m in enumerate(masks):
+    for i, m in masks.items():
         out = F.when(F.col("part") == i, F.lit(m).cast("long")).otherwise(out)
     return out
 
@@ -368,3 +410,104 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle_words: int =
         "labels",
     )
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+
+
+_SALTS = np.random.default_rng(SEED).integers(0, 2**64, SKETCHES, np.uint64)
+
+
+def _sketch(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes for the k-th independent fingerprint."""
+    if not k:
+        return hashes
+    x = (hashes ^ _SALTS[k]) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _shingle_set(body: bytes) -> np.ndarray:
+    return np.unique(np.array(_shingle_hashes(body, SET_WORDS), np.uint64))
+
+
+def _set_key(hashes: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.tobytes())).view(np.int64))
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(did, row, body) -> (did, row, key of the shingle set, its fingerprints)."""
+    names = ["did", "row", "key", *(f"f{k}" for k in range(SKETCHES))]
+    for batch in batches:
+        start, n, sets, held = 0, batch.num_rows, [], 0
+        for i, body in enumerate(batch.column(2)):
+            sets.append(_shingle_set(body.as_py()))
+            held += len(sets[-1])
+            if held > 500_000 or i == n - 1:
+                sizes, flat = np.array(list(map(len, sets))), np.concatenate(sets)
+                fps = [pa.array(majority_bits(_sketch(flat, k), sizes).view(np.int64)) for k in range(SKETCHES)]
+                part = batch.slice(start, len(sets))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(list(map(_set_key, sets)), pa.int64()), *fps], names)
+                start, sets, held = i + 1, [], 0
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = [_shingle_set(b.as_py()).view(np.int64) for b in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], ["key", "hashes"])
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """nodes(key, f0..) -> pairs (u, v) of keys: each with the first of its own fingerprint, the firsts with those of near ones."""
+    each = nodes.select("key", F.posexplode(F.array(*[f"f{k}" for k in range(SKETCHES)])).alias("sketch", "fp"))
+    first = stored(each.groupBy("sketch", "fp").agg(F.min("key").alias("key"), F.count("*").alias("n")), "fingerprints")
+    edges = near_edges(first.select("sketch", "fp"), SET_RADIUS, nearest=NEAREST, sketches=SKETCHES).distinct()
+    # fingerprints of two sketches that happen to be equal give one candidate more, which is refused like others
+    near = edges.join(first.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(
+        first.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v"
+    )
+    many = first.where("n > 1").select("sketch", "fp", F.col("key").alias("b"))
+    same = each.join(many, ["sketch", "fp"]).where("key <> b").select(F.col("key").alias("a"), "b")
+    both = near.select("a", "b").unionByName(same).where("a <> b")
+    return both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def first_of_groups(docs: DataFrame, columns: tuple[str, ...], least: float = SIMILARITY) -> DataFrame:
+    """The rows of ``docs``, reduced to ``columns`` (doc_id and text among them), that come first in their group of near
+    copies: least doc_id, null last.  Groups are linked by pairs of shingle sets (five words, no repeats) of Jaccard similarity
+    ``least`` or more.  Different rows with one id are documents of their own, of equal rows one stays."""
+    small_batches(docs.sparkSession)
+    none = F.lit(2**63 - 1).cast("long")
+    rows = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), none).alias("_did"),
+        row_key(columns).alias("_row"),
+        *columns,
+    )
+    bodies = rows.select(
+        F.col("_did").alias("did"), F.col("_row").alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("body")
+    )
+    fields = ", ".join(f"f{k} long" for k in range(SKETCHES))
+    signed = bodies.mapInArrow(_sketches, f"did long, row long, key long, {fields}")
+    nodes = stored(
+        signed.groupBy("key").agg(F.min(F.struct("did", "row")).alias("first"), *[F.first(f"f{k}").alias(f"f{k}") for k in range(SKETCHES)]),
+        "nodes",
+    )
+    pairs = stored(_candidates(nodes.drop("first")), "candidates")
+    wanted = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    where = nodes.join(wanted, "key", "left_semi").select("key", "first.did", "first.row")
+    sets = stored(
+        bodies.join(where, ["did", "row"]).select("key", "body").mapInArrow(_sets, "key long, hashes array<bigint>").dropDuplicates(["key"]), "sets"
+    )
+    both = F.size(F.array_intersect("x", "y"))
+    links = (
+        pairs.join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("x")), "u")
+        .join(sets.select(F.col("key").alias("v"), F.col("hashes").alias("y")), "v")
+        .where(both >= least * (F.size("x") + F.size("y") - both))
+        .select("u", "v")
+    )
+    comps = stored(connected_components(links), "components")
+    group = F.coalesce("component", "key")
+    kept = stored(
+        nodes.select("key", "first").join(comps, F.col("key") == F.col("node"), "left").groupBy(group.alias("group")).agg(F.min("first").alias("first")).select("first.*"),
+        "firsts",
+    )
+    kept = kept.select(F.col("did").alias("_did"), F.col("row").alias("_row"))
+    return rows.join(kept, ["_did", "_row"], "left_semi").dropDuplicates(["_did", "_row"]).select(*columns)

@@ -204,7 +204,32 @@ def test_near_duplicates_reach_the_similarity(spark):
     assert 45 < len(want) < 75
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
-    assert got.count(None) == 2 and sorted(i for i in got if i is not None) == want
+    assert got.count(None) == 1 and set(want) <= set(got)  # of equal rows one; nothing below 0.8 is lost
+    assert len(got) - 1 <= len(want) + 0.3 * (len(sets) - len(want))  # candidates near 0.8 are found by chance
+    assert not {200 + i for i in range(30)} & set(got) and 301 not in got
+
+
+def test_near_duplicates_by_row(spark):
+    import corpus_pipeline
+
+    r = random.Random(4)
+    a, b = words(r, 80), words(r, 80)
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, a, "en", "s", 1), (1, b, "en", "s", 1), (1, b, "en", "s", 1), (2, a, None, "s", None), (None, a, "en", "s", 1), (None, words(r, 50), "s", None, 1)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert sorted((x["doc_id"] or 0, x["text"] in (a, b)) for x in got) == [(0, False), (1, True), (1, True)]
+    for stage in (corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_repeated_passages, corpus_pipeline.mix_sources):
+        assert stage(spark, spark.createDataFrame([], schema), "").count() == 0
+
+
+def test_leaks_by_row(spark, corpus):
+    import corpus_pipeline
+
+    d, _ = corpus
+    item = spark.read.parquet(f"{d}/benchmark.parquet").first()["text"]
+    rows = [(1, item, "en", "s", 1), (1, "other text", "en", "s", 1), (None, item, "en", "s", 1), (None, "clean", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {(x["doc_id"], x["text"]) for x in corpus_pipeline.drop_leaks(spark, docs, d).collect()} == {(1, "other text"), (None, "clean")}
 
 
 def test_pipeline(spark, corpus):
