@@ -242,20 +242,20 @@ _CONTRACT = (
     "The employee is on probation for ninety (90) days from that date.\nWorking hours are 8 hours per day.\nEither party may end it with notice of 60 days.\n"
     "The employee has annual leave of 21 days, and annual leave of 30 days after five years.\nمدة العقد سنتين من تاريخه.\nSigned in two copies."
 )
-_READ = [
+CONTRACT_FIELDS = [
     ("employee_name", "label", "found", "Sara {k}"), ("job_title", "label", "found", "Analyst"), ("start_date", "label", "found", "2026-10-15"), ("basic_salary", "label", "found", "SAR 12000 monthly"),
     ("housing_allowance", "label", "found", "SAR 3000 monthly"), ("probation_period", "narrative", "found", "90 day"), ("working_hours", "narrative", "found", "8 hours per day"),
     ("notice_period", "narrative", "found", "60 day"), ("contract_duration", "narrative", "found", "2 year"),
 ]
 
 
-def _contracts(spark, sf) -> DataFrame:
+def contracts(spark, sf) -> DataFrame:
     return per_customer(spark, sf, "text string", [(_CONTRACT,)])
 
 
-@query("ext_contract_fields", rows_sql("field string, path string, status string, key string", _READ))
+@query("ext_contract_fields", rows_sql("field string, path string, status string, key string", CONTRACT_FIELDS))
 def _(spark, sf):
-    return K.read_fields(_contracts(spark, sf))
+    return K.read_fields(contracts(spark, sf))
 
 
 @query(
@@ -263,14 +263,14 @@ def _(spark, sf):
     rows_sql("type string", [("SALARY",), ("HOUSING",), ("PROBATION",), ("WORKING_HOURS",), ("NOTICE",), ("ANNUAL_LEAVE",), ("CONTRACT_DURATION",)]),
 )
 def _(spark, sf):
-    return K.read_clauses(_contracts(spark, sf)).select("document_id", "type")
+    return K.read_clauses(contracts(spark, sf)).select("document_id", "type")
 
 
 @query("law_contract_check", rows_sql("field string, status string", [("probation_period", "compliant"), ("notice_period", "non_compliant")]))
 def _(spark, sf):
     rules = [(1, "probation_period", "maximum", 180.0, None, "day"), (2, "notice_period", "minimum", 90.0, None, "day"), (3, "annual_leave", "minimum", 21.0, None, "day")]
     table = spark.createDataFrame(rules, "rule_id int, field string, rule_type string, value double, value_max double, unit string")
-    return K.check_fields(K.duration_facts(K.read_fields(_contracts(spark, sf))), table)
+    return K.check_fields(K.duration_facts(K.read_fields(contracts(spark, sf))), table)
 
 
 # ---- comparison and market ---------------------------------------------------------------------------------------------------

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from parchment.operators import compare as P
 from parchment.plans.business import _OFFERS, _offers
-from parchment.plans.fixtures import items, items_sql, registry
+from parchment.plans.checks import CONTRACT_FIELDS, contracts
+from parchment.plans.fixtures import items, items_sql, registry, rows_sql
 from parchment.plans.text import SENTENCES
 from parchment.sources import tables as S
 from parchment.sources.tables import read_table
@@ -147,3 +148,12 @@ def _(spark, sf):
     # a document's last update holds
     last = F.max_by(F.struct("best_rank", "best_score"), "batch").alias("r")
     return spark.read.parquet(out).groupBy("doc_id").agg(last).select("doc_id", "r.best_rank", "r.best_score")
+
+
+@query("str01_contract_intake", rows_sql("field string, path string, status string, key string", CONTRACT_FIELDS))
+def _(spark, sf):
+    arrived, out = scratch(spark, "contracts"), scratch(spark, "fields")
+    contracts(spark, sf).write.parquet(arrived)
+    stream = spark.readStream.schema("document_id long, text string").option("maxFilesPerTrigger", 1000).parquet(arrived)
+    jobs.run_intake(stream, scratch(spark, "progress"), lambda df, _: df.write.mode("append").parquet(out))
+    return spark.read.parquet(out)

@@ -49,6 +49,14 @@ def stream_registry(hits: DataFrame) -> DataFrame:
     return hits.groupBy("doc_id").agg(F.min("rank").alias("best_rank"), F.max("score").alias("best_score"))
 
 
+def run_intake(docs: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> None:
+    """docs(document_id, text) as they arrive -> their fields.  A document is one row, so what a batch gives is what all documents at
+    once would give."""
+    from parchment.operators.contracts import read_fields
+
+    run_available(docs.select("document_id", normalize_text(F.col("text")).alias("text")), checkpoint, lambda df, batch: write(read_fields(df), batch))
+
+
 def run_available(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process what has arrived, then stop; a repeated run goes on from the checkpoint."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
