@@ -14,7 +14,7 @@ from parchment.operators import market as M
 from parchment.operators import requests as Q
 from parchment.operators import retrieval as R
 from parchment.operators import rules as L
-from parchment.plans.fixtures import choose, items, items_sql, per_customer, registry, rows_sql
+from parchment.plans.fixtures import items, items_sql, per_customer, registry, rows_sql
 from parchment.sources.tables import read_table
 
 QUERIES, SQL, query = registry()
