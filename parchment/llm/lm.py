@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parchment.llm.common import fold, stored, texts
@@ -306,29 +306,15 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     words = source.select("body", "learn", "chunk").mapInArrow(
         _chunk_words, "chunk long, word binary, class int, n long"
     )
-    one = Window.partitionBy("word")
-    counted = stored(
-        words.select(
-            "chunk",
-            "word",
-            "class",
-            F.sum("n").over(one).alias("c"),
-            (F.row_number().over(one.orderBy("chunk")) == 1).alias("once"),
-        ),
-        "counts",
-    )
+    words = stored(words, "words")
+    # summed before they are shuffled and joined back, so the rows of a frequent word are never together
+    totals = stored(words.groupBy("word", "class").agg(F.sum("n").alias("c")).where("c > 0"), "counts")
     ends = source.where("learn").count()
-    sums = counted.where("once AND c > 0").agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
+    sums = totals.agg(F.count("*").alias("v"), F.sum("c").alias("n")).first()
     n_train, v_train = (sums["n"] or 0) + ends, sums["v"] + int(ends > 0)
-    top = (
-        counted.where(F.col("once") & (F.col("c") > 0) & (F.col("c") * LEAST_SHARE >= n_train))
-        .orderBy(F.desc("c"), "word")
-        .limit(SHORT)
-        .select("word", "c")
-        .collect()
-    )
+    top = totals.where(F.col("c") * LEAST_SHARE >= n_train).orderBy(F.desc("c"), "word").limit(SHORT).select("word", "c").collect()
     symbols = Symbols([bytes(r["word"]) for r in top])
-    by_class = counted.where("once AND c > 0").groupBy("class").agg(F.sum("c").alias("c"), F.sum(F.col("c") + 1).alias("m")).collect()
+    by_class = totals.groupBy("class").agg(F.sum("c").alias("c"), F.sum(F.col("c") + 1).alias("m")).collect()
     counts, mass = np.zeros(symbols.size), np.zeros(CLASSES)
     for r in by_class:
         counts[symbols.first_class + r["class"]] = r["c"]
@@ -343,7 +329,7 @@ def score(docs: DataFrame, folds: int = 7, held: int = 2) -> DataFrame:
     model = spark.sparkContext.broadcast((net, log_normalisers(net), symbols, n_train, v_train, ends, mass))
     return (
         source.groupBy("chunk")
-        .cogroup(counted.select("chunk", "word", "c").groupBy("chunk"))
+        .cogroup(words.join(totals.select("word", "c"), "word").select("chunk", "word", "c").groupBy("chunk"))
         .applyInArrow(
             _score_chunk(model),
             "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double",
