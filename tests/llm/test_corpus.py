@@ -107,6 +107,33 @@ def test_leaks_with_an_edit_in_every_few_words(spark):
     assert {(x["doc_id"], x["item_id"]) for x in both.collect()} == {(14, 0), (15, 1), (16, 2), (20, 0), (21, 1), (22, 2)}
 
 
+def test_leaks_match_alignment_of_all_pairs(spark):
+    r = random.Random(17)
+    items = [(i, words(r, r.randint(12, 45))) for i in range(8)]
+
+    def worn(text):
+        out = []
+        for w in text.split():
+            k = r.random()
+            out += [] if k < 0.06 else [w, "inserted"] if k < 0.12 else [f"zz{r.random()}"] if k < 0.22 else [w]
+        return " ".join(out)
+
+    docs = [(i, " ".join([words(r, r.randint(0, 60)), worn(items[i % 8][1]) if i % 5 else " ".join(items[i % 8][1].split()[: r.randint(3, 30)]), words(r, r.randint(0, 60))])) for i in range(80)]
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(x["doc_id"], x["item_id"]): x["score"] for x in got}
+    want, number = {}, {}
+    for d, text in docs:
+        passage = np.array([number.setdefault(w, len(number) + 1) for w in decontaminate.item_words(text)], np.int32)
+        for i, item in items:
+            ws = decontaminate.item_words(item)
+            best, _ = decontaminate.align(np.array([number.setdefault(w, len(number) + 1) for w in ws], np.int32), passage[None])
+            if best[0] >= decontaminate.LEAK * 2 * len(ws):
+                want[d, i] = best[0] / (2 * len(ws))
+    assert len(want) > 40 and set(got) <= set(want)
+    assert len(got) >= 0.95 * len(want)  # those left have no three words of the item side by side
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
 def test_alignment_matches_plain_dynamic_programming():
     r = np.random.default_rng(3)
     for _ in range(20):
