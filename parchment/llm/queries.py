@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchment.llm import decontaminate, gif, langid, lm, mixing, simhash, suffixes, tokens, toxicity, warc
-from parchment.llm.common import fold, table
+from parchment.llm.common import fold, stored, table
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(tokens.VOCABULARY)
-    return tokens.prefix_counts(table(spark, sf_dir, "documents"), path, keep_steps=False).withColumn(
-        "over_limit", F.col("n_tokens") > 2048
-    )
+    counts = stored(tokens.prefix_counts(table(spark, sf_dir, "documents"), path), "token-counts")
+    return counts.drop("steps").withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

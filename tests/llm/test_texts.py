@@ -43,6 +43,45 @@ def test_every_prefix_and_budget(spark):
     assert len(library.encode(cut, add_special_tokens=False).ids) <= 3 and cut.startswith("the quick brown")
 
 
+def test_every_prefix_in_every_script():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(PATH)
+    counter = tokens.PrefixCounter(PATH)
+    pools = [
+        "don't we're they've i'll 'sab ''s 'r 're're 'l 'lle !'s it's'd 'Tis O'RE 've' ' ''",
+        "<|endoftext|> <|startoftext|>x !!<|endoftext|>!! <|endoftext <|<|endoftext|>",
+        "日本語の文章と漢字かな交じり Привет мир ДЕЛА αβγ ΣΑΣ ς مرحبا ١٢٣ हिन्दी ক্ষ ொ",
+        "e\u0301a\u0323\u0302 o\u0302\u0301 q\u0323\u0307 \u1112\u1161\u11ab\u1100\u1173\u11af 한국어",
+        "İIıſK ßẞ ﬁ Ⅷ ½ ² ٣ १ \u00a0\u3000\u2028\u0085\x1c\x00\u200b\u00ad 🙂👩\u200d👧 🇩🇪 abc ABC 123 x1y2 ---",
+    ]
+    parts, r = [w for p in pools for w in p.split(" ")], random.Random(6)
+    for k in range(400):
+        t = "".join(r.choice(parts) for _ in range(r.randint(1, 5))) if k % 2 else "".join(r.choice(r.choice(pools)) for _ in range(r.randint(1, 25)))
+        want = [len(e.ids) for e in library.encode_batch([t[: i + 1] for i in range(len(t))], add_special_tokens=False)]
+        assert np.cumsum(counter.text_steps(t), dtype=int).tolist() == want, t
+
+
+@pytest.mark.parametrize("letters", [(0x4E00, 0x9FFF), (0x430, 0x44F), (97, 97), (39, 40)])
+def test_very_long_words(letters):
+    import time
+
+    from tokenizers import Tokenizer
+
+    r = random.Random(2)
+    t = "".join(chr(r.randint(*letters)) for _ in range(60_000))
+    began = time.time()
+    assert int(tokens.PrefixCounter(PATH).text_steps(t).sum(dtype=int)) == len(Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids)
+    assert time.time() - began < 30
+
+
+def test_steps_of_any_width():
+    for most in (1, 127, 128, 40_000, 1 << 40):
+        a = np.array([0, most, -most, 3])
+        assert tokens.unpack_steps(tokens.pack_steps(a)).tolist() == a.tolist()
+    assert len(tokens.unpack_steps(tokens.pack_steps(np.zeros(0, np.int8)))) == 0
+
+
 def test_gif_round_trip(spark):
     docs = documents(spark)
     got = gif.media_columns(docs).collect()
