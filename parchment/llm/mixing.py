@@ -67,21 +67,17 @@ def tempered(table: DataFrame, dim: str, power: float) -> DataFrame:
 def rake(table: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """Cells with ``factor``: tokens * factor meets every target's shares of all tokens."""
     total = table.agg(F.sum("tokens").alias("all_tokens"))  # one row
-    now = stored(table.crossJoin(F.broadcast(total)).withColumn("factor", F.lit(1.0)), "cells")
-    goals = {d: stored(t, "targets") for d, t in targets.items()}
+    now = table.crossJoin(F.broadcast(total)).withColumn("factor", F.lit(1.0))
+    shares = {d: f"share_{d}" for d in targets}
+    for dim, goal in targets.items():  # each cell keeps its targets, so a round joins sums alone
+        now = now.join(goal.select(dim, F.col("share").alias(shares[dim])), dim, "left")
+    kept = [*DIMENSIONS, "tokens", "all_tokens", *[F.coalesce(s, F.lit(0.0)).alias(s) for s in shares.values()]]
+    now = stored(now.select(*kept, "factor"), "cells")
     for _ in range(rounds):
-        for dim, goal in goals.items():
+        for dim, share in shares.items():
             sums = now.groupBy(dim).agg(F.sum(F.col("tokens") * F.col("factor")).alias("have"))
-            scale = sums.join(goal, dim, "left").select(dim, "have", F.coalesce("share", F.lit(0.0)).alias("share"))
-            now = now.join(scale, dim).select(
-                *DIMENSIONS,
-                "tokens",
-                "all_tokens",
-                F.coalesce(
-                    F.col("factor") * F.col("share") * F.col("all_tokens") / F.nullif(F.col("have"), F.lit(0.0)),
-                    F.col("factor"),
-                ).alias("factor"),
-            )
+            scaled = F.col("factor") * F.col(share) * F.col("all_tokens") / F.nullif(F.col("have"), F.lit(0.0))
+            now = now.join(sums, dim).select(*DIMENSIONS, "tokens", "all_tokens", *shares.values(), F.coalesce(scaled, F.col("factor")).alias("factor"))
         now = stored(now, "cells")
     return now
 
