@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchment.llm import decontaminate, gif, langid, lm, mixing, simhash, suffixes, tokens, toxicity, warc
+from parchment.llm import decontaminate, gif, langid, lm, mixing, phrases, pieces, simhash, suffixes, tokens, toxicity, trie, warc
 from parchment.llm.common import fold, stored, table
 
 
@@ -67,6 +67,25 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_to_records(table(spark, sf_dir, "pages"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(pieces.VOCABULARY)
+    coded = pieces.encode(table(spark, sf_dir, "documents"), path)
+    digests = coded.select("doc_id", "ids", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
+    return pieces.decode(digests, path).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_warc_revisits": op1_warc_revisits,
     "op5_lm_scoring": op5_lm_scoring,
@@ -78,6 +97,9 @@ QUERIES = {
     "op10_media_columns": op10_media_columns,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 SQL: dict[str, str] = {
@@ -90,4 +112,6 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
         FROM f""",
     "op4_source_mixing": mixing.sample_sql(),
+    "op11_phrase_collocations": phrases.collocations_sql(),
+    "op13_conversation_trie": trie.prefix_trie_sql(),
 }
