@@ -9,9 +9,10 @@ anywhere in a piece's last chunk), so each occurrence is counted once.
 
 Counting goes by length.  A phrase can only reach the least count if its first and its last words without the other end
 do, so of length k only phrases are counted whose two parts of length k - 1 are marked in a bitmap of hashed frequent
-phrases.  The bitmap has a fixed size; what shares a place with a frequent phrase is counted in vain and dropped by its
-exact count, so results don't depend on the size, only the work does (``BITS`` may be raised for larger corpora).
-A task sums equal phrases of a batch before the shuffle, so that a hot word gives one row a batch.
+phrases; from three words on, the dictionary is cut down to runs of frequent pairs.  The bitmap has a fixed size; what shares
+a place with a frequent phrase is counted in vain and dropped by its exact count, so results don't depend on the size, only
+the work does (``BITS`` may be raised for larger corpora).  A task sums equal phrases of a batch before the shuffle, so that
+a hot word gives one row a batch.
 
 Scores are integers: floor(1000 a n / (l r)) in decimals of 38 digits.
 
@@ -21,11 +22,12 @@ empty table gives no rows; ids and other columns are not read.
 
 from __future__ import annotations
 
+import re
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,94 +42,180 @@ UNKNOWN_LANG = "und"
 PERIOD = 16
 #: Places of the bitmap of frequent phrases (16 MB).
 BITS = 1 << 27
-#: Words that a task holds at once.
-BATCH_WORDS = 1_000_000
+#: Bytes of text, and of chunks, that a task holds at once.
+BATCH_BYTES = 1 << 24
 #: Parts in which a language's phrases are ranked before the last step.
 PARTS = 64
 
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Bytes in one form: letters lower-cased, every end of a piece a line feed, every blank a space.
+_FORM = bytes(10 if chr(c) in ".,;:!?\n\x0b\x0c\r" else 32 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACES = re.compile(b"  +")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Hashes(dict):
-    """64-bit hashes of words, kept."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode())
-        return h
-
-
-def _hashes(words: list[str], kept: _Hashes) -> np.ndarray:
-    return np.fromiter(map(kept.__getitem__, words), np.uint64, len(words))
+_BASE = 0x5851F42D4C957F2D
+_powers = np.ones((2, 1), np.uint64)
+
+
+def _powers_to(n: int) -> np.ndarray:
+    """Powers of the base of the rolling hash and of its inverse, modulo 2^64."""
+    global _powers
+    if _powers.shape[1] < n:
+        step = np.array([[_BASE], [pow(_BASE, -1, 1 << 64)]], np.uint64)
+        _powers = np.cumprod(np.concatenate([np.ones((2, 1), np.uint64), np.repeat(step, n, axis=1)], axis=1), axis=1, dtype=np.uint64)
+    return _powers
+
+
+class _Words:
+    """Word places and hashes of lines of single-spaced words."""
+
+    def __init__(self, lines: list[bytes]):
+        self.data = b" ".join(lines)
+        raw = np.frombuffer(self.data, np.uint8)
+        spaces = np.flatnonzero(raw == 32)
+        self.start = np.concatenate([[0], spaces + 1])
+        self.end = np.append(spaces, len(raw))
+        up, down = _powers_to(len(raw) + 1)
+        total = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw + np.uint64(1)) * up[: len(raw)], out=total[1:])
+        self.hash = (total[self.end] - total[self.start]) * down[self.start]
+        self.hash ^= self.hash >> np.uint64(31)
+        self.hash *= _MIX
+        begins = np.cumsum([0, *(len(x) + 1 for x in lines)])
+        self.first = np.searchsorted(self.start, begins[:-1])  # first word of each line
+        self.size = np.diff(np.append(self.first, len(self.start)))
+
+    def slices(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+        """Texts from a word to a word."""
+        data = self.data
+        return [data[a:b] for a, b in zip(self.start[first].tolist(), self.end[last].tolist())]
 
 
 def _windows(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all windows of ``size`` word hashes; an array of ``len(words) - size + 1``."""
-    out = words[: len(words) - size + 1].copy()
+    """Hashes of all windows of ``size`` word hashes, one for each word but the last ``size - 1``."""
+    n = len(words) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = words[:n].copy()
     for k in range(1, size):
         out *= _MIX
         out ^= out >> np.uint64(29)
-        out += words[k : len(words) - size + 1 + k]
+        out += words[k : n + k]
     out ^= out >> np.uint64(32)
     out *= _MIX
     out ^= out >> np.uint64(29)
     return out
 
 
-def chunks_of(words: list[str], hashes: np.ndarray, overlap: int, period: int) -> list[tuple[int, int, bool]]:
-    """(start, end, last) of a piece's chunks; all but the last close with a window of ``overlap`` words that opens the next."""
-    n = len(words)
-    if n <= overlap + 1:
-        return [(0, n, True)]
-    ends = np.flatnonzero(_windows(hashes, overlap) % np.uint64(period) == 0)
-    out, start = [], 0
-    for e in ends.tolist():
-        if 0 < e < n - overlap:
-            out.append((start, e + overlap, False))
-            start = e
-    out.append((start, n, True))
-    return out
+def _chunks(pieces: Counter, overlap: int, period: int) -> dict[tuple[bytes, int], int]:
+    """(chunk, words of the closing overlap) -> frequency."""
+    found: dict[tuple[bytes, int], int] = {(p, 0): f for p, f in pieces.items() if p.count(b" ") <= overlap}
+    long = [p for p in pieces if p.count(b" ") > overlap]
+    if not long:
+        return found
+    w = _Words(long)
+    at = np.flatnonzero(_windows(w.hash, overlap) % np.uint64(period) == 0)
+    line = np.searchsorted(w.first, at, "right") - 1
+    inside = (at > w.first[line]) & (at + overlap < w.first[line] + w.size[line])
+    at, line = at[inside], line[inside]
+    last = w.first + w.size - 1
+    # chunks begin at a line's first word and at windows, and end with the next window or the line's last word
+    begin = np.concatenate([w.first, at])
+    order = np.argsort(begin, kind="stable")
+    begin, of = begin[order], np.concatenate([np.arange(len(long)), line])[order]
+    closing = np.append(of[1:] == of[:-1], False)
+    end = np.where(closing, np.append(begin[1:], 0) + overlap - 1, last[of])
+    freq = np.fromiter((pieces[p] for p in long), np.int64, len(long))[of]
+    for text, tail, f in zip(w.slices(begin, end), np.where(closing, overlap, 0).tolist(), freq.tolist()):
+        key = (text, tail)
+        found[key] = found.get(key, 0) + f
+    return found
+
+
+_DICTIONARY = "lang string, chunk binary, tail int, freq long"
+
+
+def _dictionary(found: dict[str, dict[tuple[bytes, int], int]]) -> Iterator[pa.RecordBatch]:
+    for lang, chunks in found.items():
+        if chunks:
+            texts, tails = zip(*chunks)
+            cols = [pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), pa.array(tails, pa.int32()), pa.array([*chunks.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "chunk", "tail", "freq"])
+
+
+def _merged(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("lang", "chunk", "tail").agg(F.sum("freq").alias("freq"))
 
 
 def parse(docs: DataFrame, max_words: int = 5, period: int = PERIOD, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The dictionary: (lang, chunk, last boolean, freq long), a row for each distinct chunk of a language."""
+    """The dictionary: (lang, chunk binary, tail int: words of its closing overlap, freq long), a row for each distinct chunk."""
     overlap = max_words - 1
-    piece_end, blanks = regex.compile(PIECE_END), regex.compile(BLANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: _Hashes = _Hashes()
-        found: dict[tuple[str, str, bool], int] = {}
+        pieces: dict[str, Counter] = defaultdict(Counter)
+        size = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for c in pieces.values():
+                c.pop(b"", None)
+            yield from _dictionary({lang: _chunks(c, overlap, period) for lang, c in pieces.items()})
+            pieces.clear()
+
         for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for piece in piece_end.split(text.as_py().translate(_LOWER)):
-                    words = [w for w in blanks.split(piece) if w] if "\t" in piece else [w for w in piece.split(" ") if w]
-                    if not words:
-                        continue
-                    if len(words) <= overlap + 1:
-                        cuts = ((0, len(words), True),)
-                    else:
-                        cuts = chunks_of(words, _hashes(words, kept), overlap, period)
-                    for a, b, last in cuts:
-                        key = (lang, " ".join(words[a:b]), last)
-                        found[key] = found.get(key, 0) + 1
-                if len(found) > BATCH_WORDS // 4:
-                    yield _table(found)
-                    found = {}
-        if found:
-            yield _table(found)
-
-    def _table(found: dict) -> pa.RecordBatch:
-        langs, chunks, lasts = zip(*found)
-        cols = [pa.array(langs, pa.string()), pa.array(chunks, pa.string()), pa.array(lasts, pa.bool_()), pa.array([*found.values()], pa.int64())]
-        return pa.RecordBatch.from_arrays(cols, ["lang", "chunk", "last", "freq"])
+            for lang, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                text = body.translate(_FORM)
+                if b"  " in text:
+                    text = _SPACES.sub(b" ", text)
+                pieces[lang].update(text.replace(b"\n ", b"\n").replace(b" \n", b"\n").strip(b" \n").split(b"\n"))
+                size += len(text)
+                if size > BATCH_BYTES:
+                    yield from out()
+                    size = 0
+        yield from out()
 
     small_batches(docs.sparkSession)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang")
-    rows = docs.select(lang, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    parsed = rows.mapInArrow(run, "lang string, chunk string, last boolean, freq long")
-    return parsed.groupBy("lang", "chunk", "last").agg(F.sum("freq").alias("freq"))
+    rows = docs.select(lang, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
+    return _merged(rows.mapInArrow(run, _DICTIONARY))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+    """(lang, chunks, tails, freqs) of a bounded number of bytes."""
+    held: dict[str, tuple[list, list, list]] = {}
+    size = 0
+    for batch in batches:
+        for lang, chunk, tail, freq in zip(*(c.to_pylist() for c in batch.columns)):
+            lists = held.get(lang)
+            if lists is None:
+                lists = held[lang] = ([], [], [])
+            lists[0].append(chunk)
+            lists[1].append(tail)
+            lists[2].append(freq)
+            size += len(chunk)
+        if size > BATCH_BYTES:
+            yield from ((k, v[0], np.array(v[1]), np.array(v[2], np.int64)) for k, v in held.items())
+            held, size = {}, 0
+    yield from ((k, v[0], np.array(v[1]), np.array(v[2], np.int64)) for k, v in held.items())
+
+
+def _weighted(texts: list[bytes], weights: np.ndarray) -> Counter:
+    """Sums of weights by text, exact; equal weights are counted together."""
+    out: Counter = Counter()
+    kinds = np.unique(weights)
+    if len(kinds) == 1:
+        out.update(texts)
+        return Counter({t: c * int(kinds[0]) for t, c in out.items()}) if kinds[0] != 1 else out
+    order = np.argsort(weights, kind="stable").tolist()
+    ends = np.searchsorted(np.sort(weights), kinds, "right").tolist()
+    begin = 0
+    for weight, end in zip(kinds.tolist(), ends):
+        for t, c in Counter([texts[i] for i in order[begin:end]]).items():
+            out[t] += c * weight
+        begin = end
+    return out
+
+
+def _marked(lang: str, grams: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
+    place = _places(lang, grams, bits)
+    return ((bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
 
 
 def _places(lang: str, grams: np.ndarray, bits: int) -> np.ndarray:
@@ -137,95 +225,89 @@ def _places(lang: str, grams: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(20)) % np.uint64(bits)
 
 
-def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First place, group number of each key, and each group's exact sum of weights."""
-    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
-    sums = np.zeros(len(first), np.int64)
-    np.add.at(sums, group, weights)
-    return first, group, sums
-
-
-def _count_batch(lang: str, chunks: list[str], lasts: np.ndarray, freqs: np.ndarray, k: int, overlap: int, bitmap, bits: int):
-    """(phrases, counts) of length k of some distinct chunks of one language."""
-    words = " ".join(chunks).split(" ")
-    sizes = np.fromiter((c.count(" ") + 1 for c in chunks), np.int64, len(chunks))
-    ends = np.cumsum(sizes)
-    end_of = np.repeat(ends, sizes)
-    weight = np.repeat(freqs, sizes)
-    at = np.arange(len(words))
-    owned = at < np.repeat(np.where(lasts, ends, ends - overlap), sizes)
-    numbers: dict[str, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
-    if k > 1:
-        if len(words) < k:
-            return [], np.zeros(0, np.int64)
-        own = np.fromiter(map(xxhash.xxh64_intdigest, map(str.encode, numbers)), np.uint64, len(numbers))[ids]
-        place = _places(lang, _windows(own, k - 1), bits)
-        frequent = (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1
-        good = (frequent[:-1] & frequent[1:]).astype(bool)
-        m = len(good)  # windows of k words
-        at = np.flatnonzero(good & owned[:m] & (at[:m] + k <= end_of[:m]))
-    else:
-        at = at[owned]
-    if not len(at):
-        return [], np.zeros(0, np.int64)
-    key = ids[at]
-    for j in range(1, k):  # exact names of ever longer phrases
-        _, key = np.unique(key << 32 | ids[at + j], return_inverse=True)
-    first, _, sums = _summed(key, weight[at])
-    return [" ".join(words[p : p + k]) for p in at[first].tolist()], sums
-
-
-def count_length(dictionary: DataFrame, k: int, overlap: int, bitmap: np.ndarray | None, bits: int) -> DataFrame:
-    """(lang, phrase, f): counts of phrases of ``k`` words whose parts are marked in the bitmap; for ``k`` = 1 of all words,
-    and of the empty phrase, which begins at every word."""
-    spark = dictionary.sparkSession
-    shared = spark.sparkContext.broadcast(bitmap) if bitmap is not None else None  # a fixed number of bytes
+def _all_words(chunks: list[bytes], tails: np.ndarray, freqs: np.ndarray) -> Counter:
+    out: Counter = Counter()
+    for weight in np.unique(freqs).tolist():
+        at = np.flatnonzero(freqs == weight).tolist() if weight > 1 or not (freqs == 1).all() else range(len(chunks))
+        own = [chunks[i].rsplit(b" ", tails[i])[0] if tails[i] else chunks[i] for i in at]
+        words = b" ".join(own).split(b" ")
+        if weight == 1:
+            out.update(words)
+        else:
+            for t, c in Counter(words).items():
+                out[t] += c * weight
+    return out
+
+
+def _phrases_of(lang: str, chunks: list[bytes], tails: np.ndarray, freqs: np.ndarray, k: int, bitmap: np.ndarray, bits: int) -> Counter:
+    """Phrases of ``k`` words that begin before the chunks' tails and have both parts marked."""
+    w = _Words(chunks)
+    good = _marked(lang, _windows(w.hash, k - 1), bitmap, bits)
+    if len(good) < 2:
+        return Counter()
+    at = np.flatnonzero(good[:-1] & good[1:])
+    line = np.searchsorted(w.first, at, "right") - 1
+    end = w.first[line] + w.size[line]
+    kept = (at + k <= end) & (at < end - tails[line])
+    at, line = at[kept], line[kept]
+    return _weighted(w.slices(at, at + k - 1), freqs[line]) if len(at) else Counter()
+
+
+def count_length(dictionary: DataFrame, k: int, bitmap: np.ndarray | None, bits: int) -> DataFrame:
+    """(lang, phrase binary, f): counts of phrases of ``k`` words whose parts are marked in the bitmap; for ``k`` = 1 of all
+    words, and of the empty phrase, which begins at every word."""
+    shared = dictionary.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None  # a fixed number of bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits_of = shared.value if shared is not None else None
-        held: dict[str, tuple[list, list, list]] = {}
-        size = 0
+        for lang, chunks, tails, freqs in _held(batches):
+            if k == 1:
+                found = _all_words(chunks, tails, freqs)
+                found[b""] = found.total()
+            else:
+                found = _phrases_of(lang, chunks, tails, freqs, k, shared.value, bits)
+            cols = [pa.array([lang] * len(found), pa.string()), pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "f"])
 
-        def counted():
-            for lang, (chunks, lasts, freqs) in held.items():
-                phrases, sums = _count_batch(lang, chunks, np.array(lasts), np.array(freqs, np.int64), k, overlap, bits_of, bits)
-                if k == 1:
-                    phrases, sums = [*phrases, ""], np.append(sums, sums.sum())
-                cols = [pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(sums, pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "f"])
-            held.clear()
+    rows = dictionary.select("lang", "chunk", "tail", "freq")
+    return rows.mapInArrow(run, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
-        for batch in batches:
-            for lang, chunk, last, freq in zip(*(c.to_pylist() for c in batch.columns)):
-                lists = held.get(lang)
-                if lists is None:
-                    lists = held[lang] = ([], [], [])
-                lists[0].append(chunk)
-                lists[1].append(last)
-                lists[2].append(freq)
-                size += len(chunk)
-            if size > 6 * BATCH_WORDS:
-                yield from counted()
-                size = 0
-        yield from counted()
-
-    rows = dictionary.select("lang", "chunk", "last", "freq")
-    return rows.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+def frequent_runs(dictionary: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
+    """The dictionary cut down to runs of at least three words whose neighbouring pairs are marked."""
+    shared = dictionary.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, chunks, tails, freqs in _held(batches):
+            w = _Words(chunks)
+            if len(w.start) < 3:
+                continue
+            line = np.repeat(np.arange(len(chunks)), w.size)
+            good = _marked(lang, _windows(w.hash, 2), shared.value, bits) & (line[:-1] == line[1:])
+            edges = np.diff(np.concatenate([[0], good.astype(np.int8), [0]]))
+            begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)  # pairs begin .. end - 1: words begin .. end
+            of = line[begin]
+            owned = w.first[of] + w.size[of] - tails[of]
+            kept = (end - begin >= 2) & (begin < owned)
+            begin, end, of, owned = begin[kept], end[kept], of[kept], owned[kept]
+            found: dict[tuple[bytes, int], int] = {}
+            for text, tail, f in zip(w.slices(begin, end), np.maximum(0, end + 1 - owned).tolist(), freqs[of].tolist()):
+                found[text, tail] = found.get((text, tail), 0) + f
+            yield from _dictionary({lang: found})
+
+    return _merged(dictionary.select("lang", "chunk", "tail", "freq").mapInArrow(run, _DICTIONARY))
 
 
 def frequent_bitmap(frequent: DataFrame, bits: int = BITS) -> np.ndarray:
-    """Bitmap of the hashed phrases of ``frequent`` (lang, phrase, all of one length): at most ``bits`` / 64 rows, one for
-    each number of 64 places, come to the driver."""
+    """Bitmap of the hashed phrases of ``frequent`` (lang, phrase binary, all of one length): at most ``bits`` / 64 rows, one
+    for each number of 64 places, come to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for lang, phrase in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = phrase.split(" ")
-                own = np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], np.uint64)
-                out.append(int(_places(lang, _windows(own, len(words)), bits)[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["place"])
+            langs, phrases = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist()
+            for lang in np.unique(langs):
+                w = _Words([phrases[i] for i in np.flatnonzero(langs == lang)])
+                whole = _windows(w.hash, int(w.size[0]))[w.first]
+                yield pa.RecordBatch.from_arrays([pa.array(_places(str(lang), whole, bits).astype(np.int64))], ["place"])
 
     cells = (
         frequent.select("lang", "phrase").mapInArrow(run, "place long")
@@ -241,21 +323,22 @@ def frequent_bitmap(frequent: DataFrame, bits: int = BITS) -> np.ndarray:
 def frequent_phrases(
     docs: DataFrame, least: int = 100, max_words: int = 5, period: int = PERIOD, bits: int = BITS, text_col: str = "text", lang_col: str = "lang"
 ) -> DataFrame:
-    """(lang, phrase, size int, f): all phrases of 1 to ``max_words`` words with at least ``least`` occurrences in their
-    language, and the empty phrase (size 0) with the count of all words."""
+    """(lang, phrase, size int, f): all phrases of 1 to ``max_words`` (two at least) words with at least ``least`` occurrences in
+    their language, and the empty phrase (size 0) with the count of all words."""
     dictionary = stored(parse(docs, max_words, period, text_col, lang_col), "phrase-dictionary")
     levels, bitmap = [], None
     for k in range(1, max_words + 1):
-        counted = count_length(dictionary, k, max_words - 1, bitmap, bits)
-        counted = counted.where((F.col("f") >= least) | (F.col("phrase") == ""))
-        level = stored(counted.withColumn("size", F.when(F.col("phrase") == "", 0).otherwise(k)), "phrases")
+        if k == 3:
+            dictionary = stored(frequent_runs(dictionary, bitmap, bits), "phrase-runs")
+        counted = count_length(dictionary, k, bitmap, bits).where((F.col("f") >= least) | (F.length("phrase") == 0))
+        level = stored(counted.withColumn("size", F.when(F.length("phrase") == 0, 0).otherwise(k)), "phrases")
         levels.append(level)
         if k < max_words:
             bitmap = frequent_bitmap(level.where("size > 0"), bits)
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
-    return out
+    return out.withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def _part(start: str, count: str) -> F.Column:
