@@ -18,6 +18,8 @@ other columns are left behind.
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -70,6 +72,8 @@ class PieceModel:
         #: no piece has a mark behind another character: texts may be cut before each run of marks
         cut = not any(MARK in p.lstrip(MARK) for p in self.score)
         self.segments = regex.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if cut else "(?s).+").findall
+        #: nor does one hold a line feed and more: texts may be cut on both sides of it too
+        self.by_blanks = cut and self.prefix and not any("\n" in p for p in self.score)
         self.starts = ahocorasick.Automaton()
         for p, i in self.number.items():
             self.starts.add_word(p[::-1], i)
@@ -82,19 +86,26 @@ class PieceModel:
 
     # encoding
 
-    def merged(self, symbols: list[str]) -> list[str]:
-        """The best-scored neighbours are joined, the leftmost first, until no two make a piece."""
-        score = self.score
-        while len(symbols) > 1:
-            best, at = None, -1
-            for k, (a, b) in enumerate(zip(symbols, symbols[1:])):
-                s = score.get(a + b)
-                if s is not None and (best is None or s > best):
-                    best, at = s, k
-            if at < 0:
+    def merges_into(self, symbols: list[str], border: int) -> bool:
+        """Whether the characters merge (the best-scored neighbours first, of equals the leftmost) into the two pieces that meet
+        at the border, or into one piece where the border is 0; a merge across it ends the search."""
+        score, none = self.score.get, -math.inf
+        scores = [score(a + b, none) for a, b in zip(symbols, symbols[1:])]
+        while scores:
+            best = max(scores)
+            if best == none:
                 break
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
-        return symbols
+            k = scores.index(best)
+            if k == border - 1:
+                return False
+            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+            border -= k < border
+            del scores[k]
+            if k:
+                scores[k - 1] = score(symbols[k - 1] + symbols[k], none)
+            if k < len(scores):
+                scores[k] = score(symbols[k] + symbols[k + 1], none)
+        return len(symbols) == 1 + (border > 0) and border <= 1
 
     def symbol(self, c: str) -> int:
         """Number of a single character, in or outside the vocabulary."""
@@ -120,70 +131,79 @@ class PieceModel:
         return found
 
     def compatible(self, a: int, b: int) -> bool:
-        """Whether the characters of a and b merge into a, b again; a = -1: of b alone into b."""
-        key = (a + 1) << 32 | b
-        found = self.fits.get(key)
-        if found is None:
-            if len(self.fits) > KEPT:
-                self.fits.clear()
-            names = [self.names[t] for t in (a, b) if t >= 0]
-            found = self.fits[key] = self.merged([*"".join(names)]) == names
+        """Whether the characters of two pieces merge into these again, kept; ``a`` is the first one's number and 1, shifted by
+        32 bits, or 0: whether those of b alone merge into b."""
+        if len(self.fits) > KEPT:
+            self.fits.clear()
+        first = self.names[(a >> 32) - 1] if a else ""
+        found = self.fits[a | b] = self.merges_into([*first, *self.names[b]], len(first))
         return found
 
     def encode_segment(self, text: str) -> list[int]:
         """Pieces of a segment; characters outside the vocabulary have numbers beyond it."""
         n = len(text)
-        longest = [-1] * n
-        at = -1
-        for end, t in self.starts.iter(text[::-1]):  # of one end the longest comes first
-            if end != at:
-                at = end
-                longest[n - 1 - end] = t
-        fits, length, failed = self.fits, self.length, bytearray((n >> 3) + 1)
+        # by the places from the end at which they start; of one place the longest comes first and so is written last
+        longest = dict([*self.starts.iter(text[::-1])][::-1])
+        fits, length, shorter, failed = self.fits, self.length, self.shorter, bytearray((n >> 3) + 1)
         out: list[int] = []
-        pos, before = 0, -1
-        t = longest[0] if longest[0] >= 0 else self.symbol(text[0])
+        pos, before = 0, 0
+        t = longest.get(n - 1)
+        if t is None:
+            t = self.symbol(text[0])
         while True:
             end = pos + length[t]
             if not failed[end >> 3] >> (end & 7) & 1:
-                ok = fits.get((before + 1) << 32 | t)
-                if self.compatible(before, t) if ok is None else ok:
+                ok = fits.get(before | t)
+                if ok is None:
+                    ok = self.compatible(before, t)
+                if ok:
                     out.append(t)
                     if end == n:
                         return out
-                    pos, before, t = end, t, longest[end]
-                    if t < 0:
+                    pos, before = end, t + 1 << 32
+                    t = longest.get(n - 1 - end)
+                    if t is None:
                         t = self.symbol(text[end])
                     continue
-            t = self.next_shorter(t)
+            t = shorter[t] if t in shorter else self.next_shorter(t)
             while t < 0:
                 failed[pos >> 3] |= 1 << (pos & 7)
                 last = out.pop()
                 pos -= length[last]
-                before = out[-1] if out else -1
+                before = out[-1] + 1 << 32 if out else 0
                 t = self.next_shorter(last)
 
     def _packed(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for t in self.encode_segment(segment):
-            ids += [t] if t < self.size else [self.bytes_at[b] for b in self.names[t].encode()]
-        return np.array(ids, "<i4").tobytes()
+        ids = self.encode_segment(segment)
+        if max(ids) >= self.size:
+            ids = [i for t in ids for i in ([t] if t < self.size else [self.bytes_at[b] for b in self.names[t].encode()])]
+        return array("i", ids).tobytes()
+
+    def _learn(self, key: str, segment: str) -> bytes:
+        """Ids of a segment, as bytes, kept by its key."""
+        found = self._packed(segment)
+        if len(key) <= KEPT_LENGTH:
+            if len(self.known) > KEPT:
+                self.known.clear()
+            self.known[key] = found
+        return found
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text, without begin or end."""
         if not text:
             return np.zeros(0, np.int32)
-        known, segments = self.known, self.segments(self.prefix + text.replace(" ", MARK))
-        packed = []
-        for s in segments:
-            found = known.get(s)
-            if found is None:
-                found = self._packed(s)
-                if len(s) <= KEPT_LENGTH:
-                    if len(known) > KEPT:
-                        known.clear()
-                    known[s] = found
-            packed.append(found)
+        if self.by_blanks and text[0] != " " and "  " not in text and MARK not in text:
+            # a segment is a mark and a word, or a line feed and what follows without a mark
+            keys = text.replace("\n", " \n").split(" ")
+            packed = [*map(self.known.get, keys)]
+            if None in packed:
+                for i, found in enumerate(packed):
+                    if found is None:
+                        k = keys[i]
+                        packed[i] = self.known.get(k) or self._learn(k, k if k[:1] == "\n" else MARK + k)
+        else:
+            segments = self.segments(self.prefix + text.replace(" ", MARK))
+            packed = [self.known.get(MARK + s) or self._learn(MARK + s, s) for s in segments]
         return np.frombuffer(b"".join(packed), np.int32)
 
     # decoding
@@ -272,7 +292,9 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
         model = _model(path)
         for batch in batches:
             lists = batch.column(names.index(ids_col))
-            texts = [None if row is None else model.decode(row) for row in (x.as_py() for x in lists)]
+            ids, ends = lists.values.to_pylist(), lists.offsets.to_pylist()
+            missing = lists.is_null().to_pylist()
+            texts = [None if none else model.decode(ids[a:b]) for none, a, b in zip(missing, ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     small_batches(encoded.sparkSession)
