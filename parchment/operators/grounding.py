@@ -64,17 +64,34 @@ def foreign_articles(text: Column, allowed: Column) -> Column:
     return F.array_except(article_mentions(text), allowed)
 
 
-def gate_verdicts(verdicts: DataFrame, quotes: DataFrame) -> DataFrame:
-    """verdicts(answer_id, assessment, unknown_ids, contract_quote_ok, foreign) with quotes(answer_id, found_in): a verdict on
-    compliance stands only with everything proven, else it becomes a review."""
-    proof = quotes.groupBy("answer_id").agg(F.bool_or(F.col("found_in") == "arabic").alias("proven"))
-    ok = (
-        F.coalesce("proven", F.lit(False)) & F.col("contract_quote_ok")
-        & (F.size("unknown_ids") == 0) & (F.size("foreign") == 0)
-    )
+def gate_verdicts(verdicts: DataFrame, quotes: DataFrame, evidence: DataFrame) -> DataFrame:
+    """verdicts(answer_id, assessment, cited_ids, contract_quote_ok, foreign) with quotes(answer_id, evidence_id, found_in) and the
+    supplied evidence(answer_id, evidence_id): (answer_id, status, problems).
+
+    A verdict on compliance stands only if an Arabic quote of a supplied article that it cites was found, nothing that it cites or
+    quotes was not supplied, its contract quote was found and it mentions no foreign article; else it becomes a review.  Ids that are
+    null count as not supplied."""
+    cited = verdicts.select("answer_id", F.explode(F.array_distinct("cited_ids")).alias("evidence_id"), F.lit(True).alias("cited"), F.lit(False).alias("quoted"))
+    quoted = quotes.select("answer_id", "evidence_id", F.lit(False).alias("cited"), (F.col("found_in") == "arabic").alias("quoted"))
+    named = cited.unionByName(quoted).withColumn("evidence_id", F.coalesce(F.col("evidence_id").cast("string"), F.lit("")))
+    named = named.groupBy("answer_id", "evidence_id").agg(F.bool_or("cited").alias("cited"), F.bool_or("quoted").alias("quoted"))
+    supplied = evidence.select("answer_id", F.col("evidence_id").cast("string").alias("evidence_id"), F.lit(True).alias("supplied")).distinct()
+    known = F.coalesce("supplied", F.lit(False))
+    judged = named.join(supplied, ["answer_id", "evidence_id"], "left").groupBy("answer_id").agg(
+        F.bool_or(F.col("cited") & F.coalesce("quoted", F.lit(False)) & known).alias("proven"), F.bool_or(~known).alias("strange")
+    )
+    problems = F.array_compact(
+        F.array(
+            F.when(F.coalesce("strange", F.lit(False)), "evidence not supplied"),
+            F.when(~F.coalesce("proven", F.lit(False)), "no quote of a cited article"),
+            F.when(~F.coalesce("contract_quote_ok", F.lit(False)), "contract quote not found"),
+            F.when(F.size("foreign") > 0, "foreign article"),
+        )
+    )
     claim = F.col("assessment").isin("compliant", "non_compliant")
-    return verdicts.join(proof, "answer_id", "left").select(
-        "answer_id", F.when(claim & ~ok, "requires_review").otherwise(F.col("assessment")).alias("status")
+    problems = F.when(claim, problems).otherwise(F.array().cast("array<string>"))
+    return verdicts.join(judged, "answer_id", "left").select("answer_id", "assessment", problems.alias("problems")).select(
+        "answer_id", F.when(F.size("problems") > 0, "requires_review").otherwise(F.col("assessment")).alias("status"), "problems"
     )
 
 

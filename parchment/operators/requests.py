@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.sources.shared import stored
+
 SEVERITY = ("error", "failed", "partial", "insufficient", "success")
 MAX_CONTRACTS = 5
 
@@ -77,25 +79,83 @@ def distinct_in_order(rows: DataFrame, key: str, value: str, position: str) -> D
 
 def ttl_reuse(events: DataFrame, key: str, seconds: str, ttl: int) -> DataFrame:
     """events(event_id, key, seconds) -> (event_id, reused): a request within ``ttl`` seconds of the key's last fetch reuses it; the time
-    counts from the fetch, not from the last use; ttl 0 never reuses.
-
-    Requests of a key are read in order in one pass that holds the last fetch alone, however many there are."""
+    counts from the fetch, not from the last use; ttl 0 never reuses.  Times count in whole microseconds; event ids are unique; a null
+    key is a key of its own; requests without a time come first and are fetches.
+
+    Events are dealt by ranges of (key, time), so a frequent key is many tasks' work.  A key whose events are in one range is read in
+    order, one number being held.  A key that a border cuts (fewer keys than there are ranges) goes by links: each event names the first
+    one that is more than ``ttl`` later, and the fetches are what the first event leads to, marked by doubling the links."""
+    rows = events.select(
+        F.col("event_id").cast("long").alias("event_id"), F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")).alias("k"),
+        F.round(F.col(seconds).cast("double") * 1_000_000).cast("long").alias("t"),
+    )
+    if ttl <= 0:
+        return rows.select("event_id", F.lit(False).alias("reused"))
+    untimed = rows.where(F.col("t").isNull()).select("event_id", F.lit(False).alias("reused"))
+    n = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    ranged = rows.where(F.col("t").isNotNull()).repartitionByRange(n, "k", "t", "event_id").sortWithinPartitions("k", "t", "event_id")
+    ranged = stored(ranged.withColumn("r", F.spark_partition_id()), "ranged")
+    cut = ranged.groupBy("k").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a < b").select("k")
+    cut = stored(cut, "cut-keys")  # at most one for each border between ranges
+    inner = ranged.join(F.broadcast(cut), "k", "left_anti").select("event_id", "k", "t")
+    across = ranged.join(F.broadcast(cut), "k", "left_semi").select("event_id", "k", "t")
+    folded = inner.repartition(n, "k").sortWithinPartitions("k", "t", "event_id").mapInArrow(_fold(ttl * 1_000_000), "event_id long, reused boolean")
+    return folded.unionByName(_by_links(across, ttl * 1_000_000, n)).unionByName(untimed)
+
+
+def _fold(ttl: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fetched = None, None
+        now, fetched = None, 0
         for batch in batches:
             out = []
             for k, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if k != now:
-                    now, fetched = k, None
-                hit = ttl > 0 and fetched is not None and t - fetched <= ttl
+                hit = k == now and t - fetched <= ttl
                 if not hit:
-                    fetched = t
+                    now, fetched = k, t
                 out.append(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["event_id", "reused"])
-
-    rows = events.select(F.col("event_id").cast("long"), F.col(key).cast("string").alias("k"), F.col(seconds).cast("double").alias("s"))
-    placed = rows.repartition("k").sortWithinPartitions("k", "s", "event_id")
-    return placed.mapInArrow(run, "event_id long, reused boolean")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.bool_())], ["event_id", "reused"])
+
+    return run
+
+
+def _by_links(events: DataFrame, ttl: int, n: int) -> DataFrame:
+    """(event_id, reused) of events(event_id, k, t): fetches are the events that the first one of a key leads to by links to
+    the first event more than ``ttl`` later."""
+    links = stored(successors(events, ttl, n), "links")
+    if links.isEmpty():
+        return events.select("event_id", F.lit(False).alias("reused"))
+    first = events.groupBy("k").agg(F.min_by("event_id", F.struct("t", "event_id")).alias("event_id"))
+    marked = stored(first.select("event_id"), "fetched")
+    jump, count = links.where("next IS NOT NULL"), marked.count()
+    while True:
+        more = marked.join(jump, "event_id").select(F.col("next").alias("event_id"))
+        marked = stored(marked.unionByName(more).distinct(), "fetched")
+        now = marked.count()
+        if now == count:  # where twice the links lead nowhere new, so do all
+            break
+        count = now
+        ahead = jump.select(F.col("event_id").alias("next"), F.col("next").alias("_next"))
+        jump = stored(jump.join(ahead, "next").select("event_id", F.col("_next").alias("next")), "links")
+    fetched = marked.withColumn("_f", F.lit(True))
+    return links.join(fetched, "event_id", "left").select("event_id", F.col("_f").isNull().alias("reused"))
+
+
+def successors(events: DataFrame, ttl: int, n: int) -> DataFrame:
+    """(event_id, next): for each of events(event_id, k, t) the first event of the key that is more than ``ttl`` later.
+
+    Events and their probes at t + ttl are sorted together by ranges; what follows a probe is found in its range, or is the first event
+    of the next range that has one."""
+    both = events.select("k", "t", F.lit(0).alias("probe"), "event_id").unionByName(
+        events.select("k", (F.col("t") + ttl).alias("t"), F.lit(1).alias("probe"), "event_id")
+    )
+    ranged = stored(both.repartitionByRange(n, "k", "t", "probe", "event_id").withColumn("r", F.spark_partition_id()), "probes")
+    back = Window.partitionBy("r", "k").orderBy(F.desc("t"), F.desc("probe"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
+    inside = ranged.withColumn("next", F.last(F.when(F.col("probe") == 0, F.col("event_id")), ignorenulls=True).over(back)).where("probe = 1")
+    heads = ranged.groupBy("r").agg(F.min(F.when(F.col("probe") == 0, F.struct("k", "t", "event_id"))).alias("head"))
+    later = Window.partitionBy(F.lit(0)).orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)  # of ``n`` rows at most
+    heads = heads.select("r", F.last("head", ignorenulls=True).over(later).alias("head"))
+    following = F.when(F.col("head.k") == F.col("k"), F.col("head.event_id"))
+    return inside.join(F.broadcast(heads), "r").select("event_id", F.coalesce("next", following).alias("next"))
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

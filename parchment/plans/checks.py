@@ -378,22 +378,30 @@ def _(spark, sf):
     return u.select("document_id", "unit_no", F.array_join(G.foreign_articles(F.col("text"), F.array(F.lit("7"))), ",").alias("foreign_articles"))
 
 
-_VERDICTS = {"assessment": "CASE n % 3 WHEN 0 THEN 'compliant' WHEN 1 THEN 'non_compliant' ELSE 'unclear' END", "ok": "q % 5 > 0"}
+_VERDICTS = {
+    "assessment": "CASE n % 3 WHEN 0 THEN 'compliant' WHEN 1 THEN 'non_compliant' ELSE 'unclear' END", "ok": "q % 5 > 0",
+    "cited": "CASE s % 4 WHEN 0 THEN 'e1' WHEN 1 THEN 'e1,e2' WHEN 2 THEN 'e2' ELSE 'e1,e7' END", "quoted": "CASE q % 3 WHEN 0 THEN 'e1' WHEN 1 THEN 'e2' ELSE 'e9' END",
+    "supplied": "CASE WHEN q % 4 > 0 THEN 'e1,e2,e9' ELSE 'e1' END", "found": "CASE WHEN (q + s) % 5 > 1 THEN 'arabic' ELSE 'english' END",
+}
 
 
 @query(
     "grd04_gated_verdicts",
-    f"""WITH {items_sql(**_VERDICTS)} SELECT document_id, unit_no, CASE WHEN n % 3 = 2 THEN 'unclear' WHEN s % 2 = 0 AND ok AND s % 7 > 0 AND q % 9 > 0 THEN assessment ELSE 'requires_review' END AS status FROM u""",
+    f"""WITH {items_sql(**_VERDICTS)}, l AS (SELECT *, string_split(cited, ',') AS c, string_split(supplied, ',') AS e FROM u),
+    p AS (SELECT *, CASE WHEN n % 3 = 2 THEN [] ELSE list_filter([CASE WHEN len(list_filter(list_append(c, quoted), lambda x: NOT list_contains(e, x))) > 0 THEN 'evidence not supplied' END,
+      CASE WHEN NOT (found = 'arabic' AND list_contains(c, quoted) AND list_contains(e, quoted)) THEN 'no quote of a cited article' END,
+      CASE WHEN NOT ok THEN 'contract quote not found' END, CASE WHEN q % 9 = 0 THEN 'foreign article' END], lambda x: x IS NOT NULL) END AS problems FROM l)
+    SELECT document_id, unit_no, CASE WHEN len(problems) > 0 THEN 'requires_review' ELSE assessment END AS status, array_to_string(problems, '; ') AS problems FROM p""",
 )
 def _(spark, sf):
     u = items(spark, sf, **_VERDICTS).withColumn("answer_id", F.struct("document_id", "unit_no", "s", "q", "price"))
-    none = F.array().cast("array<string>")
     verdicts = u.select(
-        "answer_id", "assessment", F.when(F.col("s") % 7 > 0, none).otherwise(F.array(F.lit("x"))).alias("unknown_ids"), F.col("ok").alias("contract_quote_ok"),
-        F.when(F.col("q") % 9 > 0, none).otherwise(F.array(F.lit("12"))).alias("foreign"),
+        "answer_id", "assessment", F.split("cited", ",").alias("cited_ids"), F.col("ok").alias("contract_quote_ok"),
+        F.when(F.col("q") % 9 > 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("12"))).alias("foreign"),
     )
-    quotes = u.select("answer_id", F.when(F.col("s") % 2 == 0, "arabic").otherwise("english").alias("found_in"))
-    return G.gate_verdicts(verdicts, quotes).select("answer_id.document_id", "answer_id.unit_no", "status")
+    quotes = u.select("answer_id", F.col("quoted").alias("evidence_id"), F.col("found").alias("found_in"))
+    evidence = u.select("answer_id", F.explode(F.split("supplied", ",")).alias("evidence_id"))
+    return G.gate_verdicts(verdicts, quotes, evidence).select("answer_id.document_id", "answer_id.unit_no", "status", F.array_join("problems", "; ").alias("problems"))
 
 
 @query(

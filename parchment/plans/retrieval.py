@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from parchment.functions.text import words
 from parchment.functions.values import similarity_pct
 from parchment.operators import evaluate as E
+from parchment.operators import impacts as I
 from parchment.operators import retrieval as R
+from parchment.sources.shared import stored
 from parchment.sources.tables import read_table
 
 
@@ -34,9 +36,13 @@ def _dense(spark, sf):
 
 
 def _hybrid(spark, sf, k=R.TOP_K):
-    lex, index, docs = _lexical(spark, sf)
-    scaled = R.minmax(_dense(spark, sf).select("query_id", "doc_id", "score"), index.totals)
-    return R.topk(R.fuse(scaled, R.minmax(lex, index.totals)), questions(spark, sf), docs, k)
+    """Only documents that may be among the best are scored: those of the stored index's shards that reach the threshold, and
+    the dense hits."""
+    docs = read_table(spark, sf, "documents")
+    index = I.write_index(docs)
+    dense = stored(_dense(spark, sf).select("query_id", "doc_id", "score"), "dense")
+    lex = I.lexical_topk(questions(spark, sf), index, k, also=dense)
+    return R.topk(R.fuse(R.minmax(dense, index.totals), I.scaled(lex)), questions(spark, sf), docs, k)
 
 
 def _shown(df):
@@ -52,6 +58,12 @@ def ret02(spark, sf):
     return _lexical(spark, sf)[0].select("query_id", "doc_id", F.round("score", 5).alias("score"))
 
 
+def ret02_topk(spark, sf):
+    """The best five by words alone, from the block index."""
+    index = I.write_index(read_table(spark, sf, "documents"))
+    return _shown(R.ranked(I.lexical_topk(questions(spark, sf), index, 5).scores, 5))
+
+
 def ret03(spark, sf):
     v = _vectors(spark, sf)
     q = v.where(F.col("doc_id") % 20 == 0).withColumnRenamed("doc_id", "query_id")
@@ -154,6 +166,7 @@ def grd01(spark, sf):
 QUERIES = {
     "ret01_index": ret01,
     "ret02_bm25": ret02,
+    "ret02_topk": ret02_topk,
     "ret03_dense_topk": ret03,
     "ret04_credit": ret04,
     "ret05_minmax": ret05,
@@ -213,6 +226,8 @@ _FUSED = (
 SQL = {
     "ret01_index": f"WITH {_BASE} SELECT term, round(idf, 6) AS idf FROM terms",
     "ret02_bm25": f"WITH {_BASE} SELECT query_id, doc_id, round(score, 5) AS score FROM lex",
+    "ret02_topk": f"""WITH {_BASE} SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT query_id, doc_id, score,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id DESC) AS INT) AS rank FROM lex) WHERE rank <= 5""",
     "ret03_dense_topk": """SELECT query_id, doc_id, CAST(rank AS INT) AS rank, round(score, 6) AS score FROM (SELECT a.vec_id AS query_id, b.vec_id AS doc_id,
         list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS score,
         row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id DESC) AS rank

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,22 +11,13 @@ from parchment.plans.checks import CONTRACT_FIELDS, contracts
 from parchment.plans.fixtures import items, items_sql, registry, rows_sql
 from parchment.plans.text import SENTENCES
 from parchment.sources import tables as S
+from parchment.sources.shared import scratch
 from parchment.sources.tables import read_table
 from parchment.streaming import jobs
 
 QUERIES, SQL, query = registry()
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; on one machine, where that is not set, in a folder of its own."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = "file:///tmp/checkpoints/parchment"
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def one_file_each(texts: DataFrame, name: str, ending: str = "txt") -> str:
     """texts(value) -> a folder with a file for each row."""
     path = scratch(texts.sparkSession, name)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from parchment.functions.text import normalize_text, sentences
 
@@ -23,24 +23,59 @@ def stream_first_seen(rows: DataFrame, key: str, time: str, delay: str) -> DataF
     return rows.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def stream_ttl_reuse(events: DataFrame, key: str, seconds: str, ttl: int) -> DataFrame:
-    """(event_id, reused) of arriving requests: the state of a key is the time of its last fetch."""
-    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        fetched = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["s", "event_id"])
-        out = []
-        for t in rows["s"]:
-            hit = ttl > 0 and fetched is not None and t - fetched <= ttl
-            if not hit:
-                fetched = float(t)
-            out.append(hit)
-        if fetched is not None:
-            state.update((fetched,))
-        yield pd.DataFrame({"event_id": rows["event_id"].to_numpy(), "reused": out})
-
-    keyed = events.select(F.col("event_id").cast("long"), F.col(key).cast("string").alias("k"), F.col(seconds).cast("double").alias("s"))
-    return keyed.groupBy("k").applyInPandasWithState(
-        step, "event_id long, reused boolean", "fetched double", "append", GroupStateTimeout.NoTimeout
+class _Reuse(StatefulProcessor):
+    """The time of a key's last fetch, forgotten by a timer once no later request can reuse it."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl * 1_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.fetched = handle.getValueState("fetched", "t long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        found = self.fetched.get()
+        before = fetched = found[0] if found is not None else None
+        for frame in _in_order(rows):
+            out = []
+            for t in frame["t"].tolist():
+                hit = self.ttl > 0 and fetched is not None and t - fetched <= self.ttl
+                if not hit:
+                    fetched = t
+                out.append(hit)
+            yield pd.DataFrame({"event_id": frame["event_id"], "reused": out})
+        if fetched != before:
+            self.fetched.update((fetched,))
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer((fetched + self.ttl) // 1000 + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.fetched.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows that one trigger brings for a key, by time."""
+    yield pd.concat(list(frames)).sort_values(["t", "event_id"], ignore_index=True)
+
+
+def stream_ttl_reuse(events: DataFrame, key: str, seconds: str, ttl: int, delay: str = "0 seconds") -> DataFrame:
+    """(event_id, reused) of arriving requests, for ``transformWithState`` (needs the RocksDB state store).
+
+    The state of a key is the time of its last fetch; a timer forgets it when the watermark, ``delay`` behind the latest
+    request, has passed that time by ``ttl``, so the state holds keys of the last ``ttl`` and delay alone.  Requests of a
+    trigger are taken by time; those behind the watermark are left out by Spark."""
+    keyed = events.select(
+        F.col("event_id").cast("long").alias("event_id"), F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")).alias("k"),
+        F.round(F.col(seconds).cast("double") * 1_000_000).cast("long").alias("t"),
+    )
+    timed = keyed.withColumn("at", F.timestamp_micros("t")).withWatermark("at", delay)
+    return timed.groupBy("k").transformWithStateInPandas(
+        _Reuse(ttl), "event_id long, reused boolean", outputMode="Append", timeMode="EventTime"
     )
 
 

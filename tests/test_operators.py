@@ -237,8 +237,18 @@ def test_grounding(spark):
     ev = spark.createDataFrame([("e", "تكون مدة الاجازة السنوية للعامل", "The Annual Leave Period is 21 days")], "evidence_id string, arabic string, english string")
     v = G.verify_quotes(q, ev)
     assert set(rows(v, "answer_id", "found_in")) == {(1, "too_short"), (2, "english"), (3, "arabic"), (4, "not_found")}
-    verdicts = spark.createDataFrame([(2, "compliant", [], True, []), (3, "compliant", [], True, []), (4, "unclear", [], False, [])], "answer_id int, assessment string, unknown_ids array<string>, contract_quote_ok boolean, foreign array<string>")
-    assert set(rows(G.gate_verdicts(verdicts, v), "answer_id", "status")) == {(2, "requires_review"), (3, "compliant"), (4, "unclear")}
+    verdicts = spark.createDataFrame(
+        [(2, "compliant", ["e"], True, []), (3, "compliant", ["e"], True, []), (4, "unclear", [], False, []), (5, "compliant", [], True, []), (6, "non_compliant", ["e", "y"], True, []), (7, "compliant", ["e"], False, ["12"]), (8, "compliant", None, None, None)],
+        "answer_id int, assessment string, cited_ids array<string>, contract_quote_ok boolean, foreign array<string>",
+    )
+    quotes = v.select("answer_id", "evidence_id", "found_in").unionByName(spark.createDataFrame([(a, "e", "arabic") for a in (5, 6, 7, 8)] + [(8, None, "not_found")], "answer_id int, evidence_id string, found_in string"))
+    supplied = spark.createDataFrame([(a, e) for a in range(1, 9) for e in ("e", "unread", "e")], "answer_id int, evidence_id string")
+    gated = {r["answer_id"]: (r["status"], r["problems"]) for r in G.gate_verdicts(verdicts, quotes, supplied).collect()}
+    assert gated[3] == ("compliant", []) and gated[4] == ("unclear", [])
+    assert gated[2] == gated[5] == ("requires_review", ["no quote of a cited article"])  # an English quote; a quote of an article that isn't cited
+    assert gated[6] == ("requires_review", ["evidence not supplied"])
+    assert gated[7] == ("requires_review", ["contract quote not found", "foreign article"])
+    assert gated[8] == ("requires_review", ["evidence not supplied", "no quote of a cited article", "contract quote not found"])
     answers = spark.createDataFrame([(1, '```json\n{"assessment": "compliant"}\n```'), (2, "not json")], "answer_id int, text string")
     assert set(rows(G.parse_verdicts(answers), "answer_id", "assessment", "valid")) == {(1, "compliant", True), (2, None, False)}
 
