@@ -2,42 +2,79 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parchment.functions.text import article_mentions, matching_key, words
+from parchment.functions.text import article_mentions, matching_key
 
-#: Words of a quote whose hashes lead to the texts that may hold it.
-LEAD_WORDS = 3
 #: Folded letters that a quote needs at least.
 LEAST_QUOTE = 12
 
 
-def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, text_col: str = "text") -> DataFrame:
-    """(quote_id, text_id) of every text that holds a quote word for word.
-
-    The join is on the quote's inner words 2..4 (the first and last may be parts of words), or on the second word of
-    quotes of three or four, then exact; quotes of one or two words are compared with every text."""
-    w = words(F.col(text_col))
-    q = quotes.select(F.col(quote_id), F.col(text_col).alias("quote"), w.alias("w"))
-    n = F.size("w")
-    long = q.where(n >= LEAD_WORDS + 2).withColumn("lead", F.array_join(F.slice("w", 2, LEAD_WORDS), " ")).drop("w")
-    t = texts.select(F.col(text_id), F.col(text_col).alias("body"), w.alias("w"))
-    grams = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("w") - LEAD_WORDS + 1, F.lit(1))),
-            lambda i: F.array_join(F.slice("w", i, LEAD_WORDS), " "),
-        )
-    )
-    medium = q.where(n.between(3, LEAD_WORDS + 1)).withColumn("lead", F.get("w", 1)).drop("w")
-    at = t.select(text_id, F.explode(F.array_union(grams, F.array_distinct("w"))).alias("lead"))
-    long = long.unionByName(medium)
-    pairs = at.join(long.select(quote_id, "lead"), "lead").select(quote_id, text_id).distinct()
-    found = pairs.join(long.select(quote_id, "quote"), quote_id).join(t.select(text_id, "body"), text_id)
-    found = found.where(F.contains("body", "quote")).select(quote_id, text_id)
-    short = q.where((n < 3) & (F.col("quote") != "")).select(quote_id, "quote")
-    rest = t.join(short, F.contains("body", "quote")).select(quote_id, text_id)
-    return found.unionByName(rest)
+#: Bytes of quotes that one automaton holds.
+BLOCK_BYTES = 32 << 20
+
+
+def containing(
+    quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, text_col: str = "text", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """(quote_id, text_id) of every text that holds a quote word for word, a row for each pair of ids (repeated rows repeat it).
+
+    The distinct quotes are dealt by their hash into blocks of about ``block_bytes`` (one block for up to that many bytes); a
+    block's quotes become one automaton with failure links, which is sent to the tasks and run once over the scan of the texts,
+    whatever the number and length of its quotes.  The texts are not shuffled and not cut into words.  A text's matches are
+    joined to the ids of quotes with that wording.  Null and empty quotes and null texts match nothing."""
+    spark = quotes.sparkSession
+    asked = quotes.where(F.col(text_col) != "").select(F.col(quote_id), F.col(text_col).cast("string").alias("_quote"))
+    distinct = asked.select("_quote").distinct()
+    size = distinct.agg(F.sum(F.octet_length("_quote"))).first()[0] or 0
+    blocks = -(-size // block_bytes)
+    scanned = texts.where(F.col(text_col).isNotNull()).select(F.col(text_id), F.col(text_col).cast("string").alias("_text"))
+    schema = T.StructType([scanned.schema[0], T.StructField("_quote", T.StringType())])
+    found = spark.createDataFrame([], schema)
+    for block in range(blocks):
+        part = distinct.where(F.pmod(F.xxhash64("_quote"), F.lit(blocks)) == block)
+        patterns = spark.sparkContext.broadcast(part.toArrow().column(0).to_pylist())  # about ``block_bytes``
+        hits = scanned.mapInArrow(_matches(patterns), schema)
+        found = hits if blocks == 1 else found.unionByName(hits)
+    return found.join(asked, "_quote").select(quote_id, text_id)
+
+
+_automata: dict[int, ahocorasick.Automaton] = {}
+
+
+def _machine(number: int, patterns: list[str]) -> ahocorasick.Automaton:
+    """The automaton of a broadcast block, which a worker keeps until it meets another."""
+    if number not in _automata:
+        machine = ahocorasick.Automaton()
+        for p in patterns:
+            machine.add_word(p, p)
+        machine.make_automaton()
+        _automata.clear()
+        _automata[number] = machine
+    return _automata[number]
+
+
+def _matches(patterns: Broadcast):
+    number = patterns._jbroadcast.id()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = _machine(number, patterns.value)
+        for batch in batches:
+            at, quotes = [], []
+            for i, text in enumerate(batch.column(1)):
+                met = {p for _, p in machine.iter(text.as_py())}
+                at += [i] * len(met)
+                quotes += met
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(quotes, pa.string())], [batch.schema.names[0], "_quote"])
+
+    return run
 
 
 def verify_quotes(quotes: DataFrame, evidence: DataFrame) -> DataFrame:

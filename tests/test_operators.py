@@ -232,6 +232,20 @@ def test_amounts_and_observations(spark):
     assert set(rows(M.normalise(obs, fx), "page_id", "monthly_min", "usable")) == {(1, 10238, True), (2, 937.5, True)}
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_containing(spark, block_bytes):
+    r = random.Random(5)
+    texts = [(i, "".join(r.choice("abé م\n") for _ in range(r.randint(0, 80)))) for i in range(60)] + [(90, None), (91, ""), (7, "ab")]
+    quotes = [(i, "".join(r.choice("abé م") for _ in range(r.choice([1, 2, 3, 8])))) for i in range(25)] + [(50, ""), (51, None), (52, "a"), (53, "a"), (54, "never")]
+    q = spark.createDataFrame(quotes, "quote_id long, text string")
+    t = spark.createDataFrame(texts, "doc_id long, text string")
+    found = G.containing(q, t, "quote_id", "doc_id", block_bytes=block_bytes)
+    want = sorted((a, b) for a, x in quotes for b, y in texts if x and y is not None and x in y)
+    assert sorted(map(tuple, found.collect())) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+    assert G.containing(q.limit(0), t, "quote_id", "doc_id").count() == 0 and G.containing(q, t.limit(0), "quote_id", "doc_id").count() == 0
+
+
 def test_grounding(spark):
     q = spark.createDataFrame([(1, "e", "short"), (2, "e", "the annual leave period"), (3, "e", "مدة الإجازة السنوية"), (4, "x", "nothing of the kind here")], "answer_id int, evidence_id string, quote string")
     ev = spark.createDataFrame([("e", "تكون مدة الاجازة السنوية للعامل", "The Annual Leave Period is 21 days")], "evidence_id string, arabic string, english string")
