@@ -22,12 +22,14 @@ empty table gives no rows; ids and other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,9 +69,10 @@ def _powers_to(n: int) -> np.ndarray:
 class _Words:
     """Word places and hashes of lines of single-spaced words."""
 
-    def __init__(self, lines: list[bytes]):
-        self.data = b" ".join(lines)
-        raw = np.frombuffer(self.data, np.uint8)
+    def __init__(self, lines: pa.Array):
+        n = len(lines)
+        self.data = data = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), lines), b" ")[0].as_py()
+        raw = np.frombuffer(data, np.uint8)
         spaces = np.flatnonzero(raw == 32)
         self.start = np.concatenate([[0], spaces + 1])
         self.end = np.append(spaces, len(raw))
@@ -79,8 +82,9 @@ class _Words:
         self.hash = (total[self.end] - total[self.start]) * down[self.start]
         self.hash ^= self.hash >> np.uint64(31)
         self.hash *= _MIX
-        begins = np.cumsum([0, *(len(x) + 1 for x in lines)])
-        self.first = np.searchsorted(self.start, begins[:-1])  # first word of each line
+        sizes = pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64)
+        begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+        self.first = np.searchsorted(self.start, begins)  # first word of each line
         self.size = np.diff(np.append(self.first, len(self.start)))
 
     def slices(self, first: np.ndarray, last: np.ndarray) -> list[bytes]:
@@ -111,7 +115,7 @@ def _chunks(pieces: Counter, overlap: int, period: int) -> dict[tuple[bytes, int
     long = [p for p in pieces if p.count(b" ") > overlap]
     if not long:
         return found
-    w = _Words(long)
+    w = _Words(pa.array(long, pa.binary()))
     at = np.flatnonzero(_windows(w.hash, overlap) % np.uint64(period) == 0)
     line = np.searchsorted(w.first, at, "right") - 1
     inside = (at > w.first[line]) & (at + overlap < w.first[line] + w.size[line])
@@ -177,29 +181,33 @@ def parse(docs: DataFrame, max_words: int = 5, period: int = PERIOD, text_col: s
     return _merged(rows.mapInArrow(run, _DICTIONARY))
 
 
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray, np.ndarray]]:
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
     """(lang, chunks, tails, freqs) of a bounded number of bytes."""
-    held: dict[str, tuple[list, list, list]] = {}
-    size = 0
+
+    def parts(held: list[pa.RecordBatch]):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        for lang in pc.unique(rows.column("lang")).to_pylist():
+            of = rows.filter(pc.equal(rows.column("lang"), lang)).combine_chunks()
+            yield lang, of.column("chunk").chunk(0), of.column("tail").to_numpy(), of.column("freq").to_numpy()
+
+    held, size = [], 0
     for batch in batches:
-        for lang, chunk, tail, freq in zip(*(c.to_pylist() for c in batch.columns)):
-            lists = held.get(lang)
-            if lists is None:
-                lists = held[lang] = ([], [], [])
-            lists[0].append(chunk)
-            lists[1].append(tail)
-            lists[2].append(freq)
-            size += len(chunk)
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.column(1).nbytes
         if size > BATCH_BYTES:
-            yield from ((k, v[0], np.array(v[1]), np.array(v[2], np.int64)) for k, v in held.items())
-            held, size = {}, 0
-    yield from ((k, v[0], np.array(v[1]), np.array(v[2], np.int64)) for k, v in held.items())
+            yield from parts(held)
+            held, size = [], 0
+    if held:
+        yield from parts(held)
 
 
 def _weighted(texts: list[bytes], weights: np.ndarray) -> Counter:
     """Sums of weights by text, exact; equal weights are counted together."""
     out: Counter = Counter()
     kinds = np.unique(weights)
+    if len(kinds) == 0:
+        return out
     if len(kinds) == 1:
         out.update(texts)
         return Counter({t: c * int(kinds[0]) for t, c in out.items()}) if kinds[0] != 1 else out
@@ -225,21 +233,20 @@ def _places(lang: str, grams: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(20)) % np.uint64(bits)
 
 
-def _all_words(chunks: list[bytes], tails: np.ndarray, freqs: np.ndarray) -> Counter:
-    out: Counter = Counter()
-    for weight in np.unique(freqs).tolist():
-        at = np.flatnonzero(freqs == weight).tolist() if weight > 1 or not (freqs == 1).all() else range(len(chunks))
-        own = [chunks[i].rsplit(b" ", tails[i])[0] if tails[i] else chunks[i] for i in at]
-        words = b" ".join(own).split(b" ")
-        if weight == 1:
-            out.update(words)
-        else:
-            for t, c in Counter(words).items():
-                out[t] += c * weight
+def _all_words(chunks: pa.Array, tails: np.ndarray, freqs: np.ndarray) -> Counter:
+    w = _Words(chunks)
+    words = w.data.split(b" ")
+    line = np.repeat(np.arange(len(chunks)), w.size)
+    owned = np.arange(len(words)) < (w.first + w.size - tails)[line]
+    weight = freqs[line]
+    out = Counter(itertools.compress(words, (owned & (weight == 1)).tolist()))
+    at = np.flatnonzero(owned & (weight > 1))
+    for t, c in _weighted([words[i] for i in at.tolist()], weight[at]).items():
+        out[t] += c
     return out
 
 
-def _phrases_of(lang: str, chunks: list[bytes], tails: np.ndarray, freqs: np.ndarray, k: int, bitmap: np.ndarray, bits: int) -> Counter:
+def _phrases_of(lang: str, chunks: pa.Array, tails: np.ndarray, freqs: np.ndarray, k: int, bitmap: np.ndarray, bits: int) -> Counter:
     """Phrases of ``k`` words that begin before the chunks' tails and have both parts marked."""
     w = _Words(chunks)
     good = _marked(lang, _windows(w.hash, k - 1), bitmap, bits)
@@ -269,7 +276,8 @@ def count_length(dictionary: DataFrame, k: int, bitmap: np.ndarray | None, bits:
             yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "f"])
 
     rows = dictionary.select("lang", "chunk", "tail", "freq")
-    return rows.mapInArrow(run, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    # a task's batch has summed its equal phrases, so they are dealt out at once
+    return rows.mapInArrow(run, "lang string, phrase binary, f long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent_runs(dictionary: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
@@ -305,7 +313,7 @@ def frequent_bitmap(frequent: DataFrame, bits: int = BITS) -> np.ndarray:
         for batch in batches:
             langs, phrases = np.array(batch.column(0).to_pylist()), batch.column(1).to_pylist()
             for lang in np.unique(langs):
-                w = _Words([phrases[i] for i in np.flatnonzero(langs == lang)])
+                w = _Words(pa.array([phrases[i] for i in np.flatnonzero(langs == lang)], pa.binary()))
                 whole = _windows(w.hash, int(w.size[0]))[w.first]
                 yield pa.RecordBatch.from_arrays([pa.array(_places(str(lang), whole, bits).astype(np.int64))], ["place"])
 

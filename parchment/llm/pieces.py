@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
@@ -35,7 +35,7 @@ from parchment.llm.common import small_batches
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: Segments and pairs that a worker keeps; beyond it the store starts afresh.
-KEPT = 1_000_000
+KEPT = 1_500_000
 #: Longest segment that is kept.
 KEPT_LENGTH = 64
 #: Kinds of pieces and the merge type, fixed values of the model format.
@@ -263,25 +263,30 @@ def _model(path: str) -> PieceModel:
     return _models[path]
 
 
-def _lists(rows: Iterable[np.ndarray]) -> pa.ListArray:
-    rows = list(rows)
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     offsets = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *rows]), pa.int32()))
 
 
-def encode(docs: DataFrame, path: str, add_end: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>): each whole text's ids, with the end id if asked."""
+def encode(
+    docs: DataFrame, path: str, add_end: bool = True, decoded: bool = False, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """(doc_id, ids array<int>[, decoded]): each whole text's ids, with the end id if asked, and what they decode to if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(path)
         tail = np.array([model.end] * add_end, np.int32)
         for batch in batches:
-            ids = _lists(np.concatenate([model.encode(t.as_py()), tail]) for t in batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
+            ids = [np.concatenate([model.encode(t.as_py()), tail]) for t in batch.column(1)]
+            cols = [batch.column(0), _lists(ids)]
+            if decoded:
+                cols.append(pa.array([model.decode(x.tolist()) for x in ids], pa.string()))
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "ids", "decoded"][: len(cols)])
 
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, ids array<int>")
+    schema = "doc_id long, ids array<int>" + ", decoded string" * decoded
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:

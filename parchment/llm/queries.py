@@ -75,11 +75,9 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(pieces.VOCABULARY)
-    coded = pieces.encode(table(spark, sf_dir, "documents"), path)
-    digests = coded.select("doc_id", "ids", F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
-    return pieces.decode(digests, path).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    coded = pieces.encode(table(spark, sf_dir, "documents"), path, decoded=True)
+    ids = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
