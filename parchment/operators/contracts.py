@@ -108,17 +108,17 @@ def specs(spark, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
 def canonical(rows: DataFrame) -> DataFrame:
     """rows(document_id, field, kind, ord, raw, source, method), each with a number ``id`` -> candidates with ``key``: texts as they
     are, others as their one reading in canonical form, null where it can't be read or is not the only one."""
-    units = rows.select(F.col("id").alias("document_id"), F.lit(0).alias("unit_no"), F.col("raw").alias("text"), "kind")
-
-    def of(kind: str) -> DataFrame:
-        return units.where(F.col("kind") == kind)
-
-    spans = X.durations(of("duration")).select("document_id", V.normalized_duration(F.col("count").cast("double"), F.col("unit"), F.col("qualifier")).alias("key"), F.col("count").isNotNull().alias("ok"))
-    arabic = X.arabic_durations(of("duration")).select("document_id", V.normalized_duration(F.col("count").cast("double"), F.col("unit"), F.lit(None)).alias("key"), F.lit(True).alias("ok"))
-    pay = X.money(of("money"), require_currency=False).select("document_id", V.normalized_money(F.col("amount"), F.col("currency"), F.col("period")).alias("key"), F.lit(True).alias("ok"))
-    hours = X.hours(of("hours")).select("document_id", F.concat_ws(" ", F.regexp_replace(F.col("hours").cast("string"), r"\.0$", ""), F.lit("hours per"), "per").alias("key"), F.lit(True).alias("ok"))
-    days = X.dates(of("date")).select("document_id", F.col("iso_date").cast("string").alias("key"), F.col("iso_date").isNotNull().alias("ok"))
-    read = spans.unionByName(arabic).unionByName(pay).unionByName(hours).unionByName(days)
+    units = rows.where(F.col("kind") != "text").select(F.col("id").alias("document_id"), F.col("kind").alias("unit_no"), F.col("raw").alias("text"))
+    value = F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")
+    key = (
+        F.when(F.col("kind") == "duration", V.normalized_duration(F.col("value"), F.col("unit"), F.col("qualifier")))
+        .when(F.col("kind") == "money", V.normalized_money(F.col("value"), F.col("currency"), F.col("period")))
+        .when(F.col("kind") == "hours", F.concat_ws(" ", value, F.lit("hours"), F.concat(F.lit("per "), F.col("unit"))))
+        .otherwise(F.col("iso_date").cast("string"))
+    )
+    # one pass over the texts; a text's readings of its own kind count
+    read = X.read_values(units, "duration", "money", "hours", "date", require_currency=False).where(F.col("kind") == F.col("unit_no"))
+    read = read.select("document_id", key.alias("key"), (F.col("value").isNotNull() | F.col("iso_date").isNotNull()).alias("ok"))
     single = read.groupBy("document_id").agg(F.countDistinct("key").alias("n"), F.min("key").alias("key"), F.bool_and("ok").alias("ok"))
     single = single.select(F.col("document_id").alias("id"), F.when(F.col("ok") & (F.col("n") == 1), F.col("key")).alias("reading"))
     key = F.when(F.col("kind") == "text", F.nullif(F.trim("raw"), F.lit(""))).otherwise(F.col("reading"))

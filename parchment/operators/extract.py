@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import FOLD_FROM, FOLD_TO, label_keys, matching_key, to_ascii_digits
+from parchment.operators.spans import dates, durations, hours, money, percentages, read_values, working_day_counts  # noqa: F401
 
 STRONG_METHODS = ("table_row", "labeled_line")
 CONFIDENCE = ("low", "medium", "high")
@@ -19,14 +20,6 @@ NUMBER_WORDS = {
     "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
     "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
 }
-UNITS = {"day": "days?", "week": "weeks?", "month": "months?", "year": "years?"}
-QUALIFIERS = "working|calendar|business"
-# How currencies are written beside an amount.
-CURRENCIES = {
-    "SAR": ("SAR", "SR", "ريال سعودي", "ريال", "riyals", "riyal"), "USD": ("USD", "$", "dollars", "دولار"), "EUR": ("EUR", "€", "يورو"), "GBP": ("GBP", "£"),
-    "AED": ("AED", "درهم"), "EGP": ("EGP", "جنيه"),
-}
-
 
 def number_words(tokens: Column) -> Column:
     """Value of an array of English number words: tens and units add, ``hundred`` multiplies; null with an unknown word."""
@@ -43,48 +36,6 @@ def number_words(tokens: Column) -> Column:
     return F.aggregate(known, start, step, lambda a: F.when(a["ok"] & (a["sum"] > 0), a["sum"]))
 
 
-_WORD = "(?:" + "|".join([*NUMBER_WORDS, "hundred"]) + r")\b"
-_WORDS = rf"{_WORD}(?:[\s-]+(?:and\s+)?{_WORD})*"
-_DURATION = (
-    rf"(?i)(?:(?:between|from)\s+\d+\s*(?:and|to|-)\s*)?(?:(?<![\w.,/])\d+(?:\s*(?:to|-|–)\s*\d+)?|\b{_WORDS})(?:\s*\(\s*\d+\s*\))?"
-    rf"\s+(?:(?:{QUALIFIERS})\s+)?(?:days?|weeks?|months?|years?)\b"
-)
-
-
-def durations(units: DataFrame) -> DataFrame:
-    """units(document_id, unit_no, text) -> readings (count, unit, qualifier, raw, note).  A count in words may have its figure in
-    parentheses; figures that differ, and ranges, give no count and a note."""
-    t = to_ascii_digits(F.col("text"))
-    rows = units.select("document_id", "unit_no", F.posexplode(F.regexp_extract_all(t, F.lit(_DURATION), F.lit(0))).alias("no", "raw"))
-    raw = F.lower(F.col("raw"))
-    worded = F.regexp_extract(raw, rf"^({_WORDS})", 1)
-    words = F.when(worded != "", number_words(F.split(F.regexp_replace(worded, "-", " "), r"\s+")))
-    inner = F.regexp_extract(raw, r"\(\s*(\d+)\s*\)", 1).try_cast("int")
-    first = F.regexp_extract(raw, r"^(\d+)", 1).try_cast("int")
-    count = F.coalesce(words, first)
-    ranged = raw.rlike(r"^\d+\s*(to|-|–)\s*\d+|^(between|from)\s+\d+")
-    note = F.when(ranged, "range").when(inner.isNotNull() & (inner != count), "conflicting numbers")
-    unit = F.regexp_extract(raw, r"(day|week|month|year)s?$", 1)
-    return rows.select(
-        "document_id", "unit_no", "no", "raw",
-        F.when(note.isNull(), F.coalesce(count, inner)).alias("count"), unit.alias("unit"),
-        F.nullif(F.regexp_extract(raw, rf"\b({QUALIFIERS})\b", 1), F.lit("")).alias("qualifier"), note.alias("note"),
-    )
-
-
-def hours(units: DataFrame) -> DataFrame:
-    """(hours, per): a number of hours with day or week within three words, in English or Arabic."""
-    p = r"(?i)(\d+(?:\.\d+)?)\s*(?:hours?|ساعه|ساعات)(?:\s+\S+){0,2}?\s+(?:ال)?(day|week|يوم|اسبوع)"
-    t = folded(F.col("text"))
-    rows = units.select(
-        "document_id", "unit_no",
-        F.posexplode(F.arrays_zip(F.regexp_extract_all(t, F.lit(p), F.lit(1)).alias("n"), F.regexp_extract_all(t, F.lit(p), F.lit(2)).alias("per"))).alias("no", "r"),
-    )
-    per = F.lower("r.per")
-    per = F.when(per == "يوم", "day").when(per == "اسبوع", "week").otherwise(per)
-    return rows.select("document_id", "unit_no", "no", F.col("r.n").cast("double").alias("hours"), per.alias("per"))
-
-
 def folded(text: Column) -> Column:
     """Digits and Arabic letters in one form each; everything else as it is."""
     return F.translate(to_ascii_digits(text), FOLD_FROM, FOLD_TO)
@@ -111,52 +62,6 @@ def working_days(text: Column) -> Column:
     return F.when(a != "", span).when(F.size(listed) >= 2, listed)
 
 
-def money(units: DataFrame, require_currency: bool = True) -> DataFrame:
-    """(amount, currency, period, raw): the unit's period counts where it is either monthly or annual."""
-    number = r"\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
-    names = "|".join(f"\\Q{w}\\E" for w in sorted((w for ws in CURRENCIES.values() for w in ws), key=len, reverse=True))
-    p = rf"(?<![\d/.,-])(?:({names})\s*)?({number})(?![\d/%-])(?:\s*({names}))?"
-    code = F.create_map(*[F.lit(x) for c, ws in CURRENCIES.items() for w in ws for x in (w, c)])
-    t = to_ascii_digits(F.col("text"))
-
-    def group(i: int) -> Column:
-        return F.regexp_extract_all(t, F.lit(p), F.lit(i))
-
-    low = F.lower(F.col("text"))
-    monthly, annual = low.rlike(r"month|شهر"), low.rlike(r"annual|annum|year|سنو")
-    rows = units.select(
-        "document_id", "unit_no", F.when(monthly & ~annual, "monthly").when(annual & ~monthly, "annual").alias("period"),
-        F.posexplode(F.arrays_zip(group(0).alias("raw"), group(1).alias("a"), group(2).alias("n"), group(3).alias("b"))).alias("no", "m"),
-    )
-    out = rows.select(
-        "document_id", "unit_no", "no", F.trim("m.raw").alias("raw"), F.replace(F.col("m.n"), F.lit(",")).cast("double").alias("amount"),
-        code[F.coalesce(F.nullif("m.a", F.lit("")), F.nullif("m.b", F.lit("")))].alias("currency"), "period",
-    )
-    return out.where("currency IS NOT NULL") if require_currency else out
-
-
-def dates(units: DataFrame) -> DataFrame:
-    """(raw, iso_date, calendar, note): y-m-d and d/m/y; an order that can't be told and dates that don't exist have no iso form;
-    Hijri dates (marked, or of 1300..1500) are not converted.  A Gregorian date with its Hijri neighbour in parentheses is one reading."""
-    p = r"\d{4}[-/]\d{1,2}[-/]\d{1,2}(?:\s*(?:H|هـ))?|\d{1,2}[-/]\d{1,2}[-/]\d{4}(?:\s*(?:H|هـ))?"
-    t = to_ascii_digits(F.col("text"))
-    paired = F.regexp_replace(t, r"(\d{1,2}/\d{1,2}/20\d\d|20\d\d-\d{1,2}-\d{1,2})\s*\(\s*\d{1,2}/\d{1,2}/1[345]\d\d\s*(?:H|هـ)?\s*\)", "$1")
-    rows = units.select("document_id", "unit_no", F.posexplode(F.regexp_extract_all(paired, F.lit(p), F.lit(0))).alias("no", "raw"))
-    parts = F.transform(F.regexp_extract_all("raw", F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
-    y_first = F.col("raw").rlike(r"^\d{4}")
-    a, b, c = (F.get(F.col("p"), i) for i in range(3))
-    read = rows.withColumn("p", parts)
-    year, month = F.when(y_first, a).otherwise(c), b
-    day = F.when(y_first, c).otherwise(a)
-    hijri = F.col("raw").rlike("H|هـ") | year.between(1300, 1500)
-    unclear = ~y_first & (a <= 12) & (b <= 12) & (a != b)
-    iso = F.when(~hijri & ~unclear, F.try_make_timestamp(year, month, day, F.lit(0), F.lit(0), F.lit(0)).cast("date"))
-    return read.select(
-        "document_id", "unit_no", "no", "raw", iso.alias("iso_date"), F.when(hijri, "hijri").otherwise("gregorian").alias("calendar"),
-        F.when(~hijri & unclear, "order unclear").alias("note"),
-    )
-
-
 def label_candidates(pairs: DataFrame, specs: DataFrame) -> DataFrame:
     """pairs(document_id, ord, label, value) x specs(field, label_key): every field whose key the label has."""
     keyed = pairs.select("*", F.explode(label_keys(F.col("label"))).alias("label_key"))
@@ -351,41 +256,6 @@ def arabic_number(text: Column) -> Column:
     return F.when(known, F.aggregate(values, F.lit(0), lambda a, v: a + v))
 
 
-# Arabic units of time, folded: singular and plural forms, and dual forms that stand for two.
-ARABIC_UNITS = {
-    "day": ("يوما", "يوم", "ايام"), "week": ("اسبوعا", "اسبوع", "اسابيع"), "month": ("شهرا", "شهر", "اشهر", "شهور"),
-    "year": ("سنه", "سنوات", "سنين", "عاما", "عام", "اعوام"),
-}
-ARABIC_DUALS = {"day": ("يومان", "يومين"), "week": ("اسبوعان", "اسبوعين"), "month": ("شهران", "شهرين"), "year": ("سنتان", "سنتين", "عامان", "عامين")}
-#: Letters that may be joined to the front of a word.
-CLITICS = "(?:[وفبلك]|ال|بال|لل)?"
-
-
-def arabic_durations(units: DataFrame) -> DataFrame:
-    """units(document_id, unit_no, text) -> readings (count, unit): a number in figures or words before a unit, the dual of a unit,
-    or a unit with ``one`` after it."""
-    key = matching_key(F.col("text"))
-    names = [n for ns in ARABIC_UNITS.values() for n in ns]
-    duals = [n for ns in ARABIC_DUALS.values() for n in ns]
-    word = f"{CLITICS}(?:{'|'.join(sorted(ARABIC_NUMBERS, key=len, reverse=True))})"
-    unit = f"(?:{'|'.join(sorted(names, key=len, reverse=True))})"
-    numbered = rf"(?:^| )((?:\d+|{word}(?: {word})*)) {unit}(?= |$)"
-    doubled = rf"(?:^| ){CLITICS}(?:{'|'.join(sorted(duals, key=len, reverse=True))})(?= |$)"
-    single = rf"(?:^| ){CLITICS}{unit} واحد"
-    found = F.regexp_extract_all(key, F.lit(f"{numbered}|{doubled}|{single}"), F.lit(0))
-    rows = units.select("document_id", "unit_no", F.posexplode(F.transform(found, lambda x: F.trim(x))).alias("no", "raw"))
-    bare = F.split("raw", " ")
-    named = F.lit(None).cast("string")
-    for name in ARABIC_UNITS:
-        forms = "|".join([*ARABIC_UNITS[name], *ARABIC_DUALS[name]])
-        named = F.when(F.col("raw").rlike(f"(?:^| ){CLITICS}(?:{forms})(?: |$)"), name).otherwise(named)
-    figure = F.regexp_extract("raw", r"^(\d+)", 1).try_cast("int")
-    words = arabic_number(F.array_join(F.slice(bare, 1, F.greatest(F.size(bare) - 1, F.lit(0))), " "))
-    is_dual = F.col("raw").rlike(f"^{CLITICS}(?:{'|'.join(duals)})$")
-    count = F.when(is_dual, 2).when(F.col("raw").rlike(" واحد"), 1).otherwise(F.coalesce(figure, words))
-    return rows.select("document_id", "unit_no", "no", "raw", count.alias("count"), named.alias("unit"))
-
-
 # Arabic ordinals of statute headings, folded.
 ARABIC_ORDINALS = {
     "الاولي": 1, "الاول": 1, "الثانيه": 2, "الثاني": 2, "الثالثه": 3, "الثالث": 3, "الرابعه": 4, "الرابع": 4, "الخامسه": 5, "الخامس": 5, "السادسه": 6,

@@ -48,7 +48,7 @@ _ARABIC_SPANS = [
     rows_sql("unit_no int, count int, unit string", [(0, 90, "day"), (1, 2, "month"), (2, 30, "day"), (3, 1, "year"), (4, 45, "day"), (5, 2, "week")]),
 )
 def _(spark, sf):
-    return X.arabic_durations(per_customer(spark, sf, "unit_no int, text string", _ARABIC_SPANS)).select("document_id", "unit_no", "count", "unit")
+    return X.durations(per_customer(spark, sf, "unit_no int, text string", _ARABIC_SPANS)).select("document_id", "unit_no", "count", "unit")
 
 
 _ARABIC_TERMS = [(0, "٨ ساعات في اليوم و٤٨ ساعة في الأسبوع"), (1, "من الأحد إلى الخميس"), (2, "الراتب ١٢٬٠٠٠ ريال شهريا"), (3, "الأحد والثلاثاء")]
@@ -121,6 +121,59 @@ def _(spark, sf):
     return X.dates(items(spark, sf, text=_DATES)).select("document_id", "unit_no", F.col("iso_date").cast("string").alias("iso_date"), "calendar", "note")
 
 
+_COUNTS = "CASE n % 4 WHEN 0 THEN q || ' days per week' WHEN 1 THEN 'six (' || (q % 3 + 5) || ') working days each week' WHEN 2 THEN q || ' days of leave' ELSE 'open ' || q || ' days in the week' END"
+
+
+@query(
+    "ext03_day_counts",
+    f"""WITH {items_sql(text=_COUNTS)} SELECT document_id, unit_no, CASE n % 4 WHEN 1 THEN CASE WHEN q % 3 = 1 THEN 6 END ELSE q END AS days,
+    CASE WHEN n % 4 = 1 AND q % 3 <> 1 THEN 'conflicting numbers' END AS note FROM u WHERE n % 4 <> 2""",
+)
+def _(spark, sf):
+    return X.working_day_counts(items(spark, sf, text=_COUNTS)).select("document_id", "unit_no", "days", "note")
+
+
+_MIXED = (
+    "'pay of ' || q || CASE WHEN s % 2 = 0 THEN ',000 Saudi SAR' ELSE ' full Gulf units of SAR' END || ' monthly, housing ' || (q % 40 + 1) || CASE WHEN s % 3 = 0 THEN '%' ELSE ' percent' END"
+    " || ' of basic until ' || (q % 28 + 1) || CASE WHEN s % 5 < 3 THEN ' March 2031' ELSE '/12/2031' END || CASE WHEN s % 7 = 0 THEN ' (1/1/1453 H)' ELSE '' END || ' after 2 to ' || q || ' weeks'"
+)
+
+
+@query(
+    "ext04_currency_within_two",
+    f"WITH {items_sql()} SELECT document_id, unit_no, q * 1000.0::DOUBLE AS amount, 'SAR' AS currency, 'monthly' AS period FROM u WHERE s % 2 = 0",
+)
+def _(spark, sf):
+    """Of a figure, a percentage, a date and a range in one text, the figure with a currency near it is an amount."""
+    return X.money(items(spark, sf, text=_MIXED)).select("document_id", "unit_no", "amount", "currency", "period")
+
+
+@query(
+    "ext04_percentages",
+    f"""WITH {items_sql(text=_MIXED)} SELECT document_id, unit_no, CAST(q % 40 + 1 AS DOUBLE) AS percentage, 'of basic until' AS basis FROM u""",
+)
+def _(spark, sf):
+    p = X.percentages(items(spark, sf, text=_MIXED))
+    return p.select("document_id", "unit_no", "percentage", F.substring("basis", 1, 14).alias("basis"))
+
+
+@query(
+    "ext06_calendar_pairs",
+    f"""WITH {items_sql(text=_MIXED)}, d AS (SELECT *, q % 28 + 1 AS day FROM u) SELECT document_id, unit_no, CASE WHEN s % 5 < 3 THEN CAST(make_date(2031, 3, day) AS VARCHAR)
+      WHEN day >= 12 THEN CAST(make_date(2031, 12, day) AS VARCHAR) END AS iso_date, CASE WHEN s % 5 >= 3 AND day < 12 THEN 'order unclear' END AS note,
+      CASE WHEN s % 7 = 0 THEN '1/1/1453 H' END AS paired FROM d""",
+)
+def _(spark, sf):
+    """One reading for a date and its Hijri neighbour, with month names and figures."""
+    d = X.dates(items(spark, sf, text=_MIXED))
+    return d.select("document_id", "unit_no", F.col("iso_date").cast("string").alias("iso_date"), "note", "paired")
+
+
+@query("ext01_ranges", f"WITH {items_sql()} SELECT document_id, unit_no, 'week' AS unit, 'range' AS note, '2 to ' || q || ' weeks' AS raw FROM u")
+def _(spark, sf):
+    return X.durations(items(spark, sf, text=_MIXED)).select("document_id", "unit_no", "unit", "note", "raw")
+
+
 _LABELS = [(0, "Basic pay (monthly)", "{k}"), (1, "2. Notice period", "30"), (2, "Other", "x"), (3, "Housing allowance", "5"), (4, "بدل نقل", "7"), (5, "Transport allowance", "9")]
 _PAIR = "ord int, label string, value string"
 
