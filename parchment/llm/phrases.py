@@ -44,8 +44,10 @@ UNKNOWN_LANG = "und"
 PERIOD = 16
 #: Places of the bitmap of frequent phrases (16 MB).
 BITS = 1 << 27
-#: Bytes of text, and of chunks, that a task holds at once.
-BATCH_BYTES = 1 << 24
+#: Bytes of text whose pieces a task holds at once, and bytes whose words it places at once.
+BATCH_BYTES, BLOCK_BYTES = 1 << 24, 1 << 22
+#: Phrases that a task sums before it passes them on.
+KEPT_PHRASES = 600_000
 #: Parts in which a language's phrases are ranked before the last step.
 PARTS = 64
 
@@ -112,9 +114,22 @@ def _windows(words: np.ndarray, size: int) -> np.ndarray:
 def _chunks(pieces: Counter, overlap: int, period: int) -> dict[tuple[bytes, int], int]:
     """(chunk, words of the closing overlap) -> frequency."""
     found: dict[tuple[bytes, int], int] = {(p, 0): f for p, f in pieces.items() if p.count(b" ") <= overlap}
-    long = [p for p in pieces if p.count(b" ") > overlap]
-    if not long:
-        return found
+    block: list[bytes] = []
+    size = 0
+    for p in pieces:
+        if p.count(b" ") > overlap:
+            block.append(p)
+            size += len(p)
+            if size > BLOCK_BYTES:
+                _cut(block, pieces, overlap, period, found)
+                block, size = [], 0
+    if block:
+        _cut(block, pieces, overlap, period, found)
+    return found
+
+
+def _cut(long: list[bytes], pieces: Counter, overlap: int, period: int, found: dict[tuple[bytes, int], int]) -> None:
+    """Adds the chunks of pieces of more than ``overlap`` words."""
     w = _Words(pa.array(long, pa.binary()))
     at = np.flatnonzero(_windows(w.hash, overlap) % np.uint64(period) == 0)
     line = np.searchsorted(w.first, at, "right") - 1
@@ -131,7 +146,6 @@ def _chunks(pieces: Counter, overlap: int, period: int) -> dict[tuple[bytes, int
     for text, tail, f in zip(w.slices(begin, end), np.where(closing, overlap, 0).tolist(), freq.tolist()):
         key = (text, tail)
         found[key] = found.get(key, 0) + f
-    return found
 
 
 _DICTIONARY = "lang string, chunk binary, tail int, freq long"
@@ -195,30 +209,22 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np
         if batch.num_rows:
             held.append(batch)
             size += batch.column(1).nbytes
-        if size > BATCH_BYTES:
+        if size > BLOCK_BYTES:
             yield from parts(held)
             held, size = [], 0
     if held:
         yield from parts(held)
 
 
-def _weighted(texts: list[bytes], weights: np.ndarray) -> Counter:
-    """Sums of weights by text, exact; equal weights are counted together."""
-    out: Counter = Counter()
-    kinds = np.unique(weights)
-    if len(kinds) == 0:
-        return out
-    if len(kinds) == 1:
-        out.update(texts)
-        return Counter({t: c * int(kinds[0]) for t, c in out.items()}) if kinds[0] != 1 else out
-    order = np.argsort(weights, kind="stable").tolist()
-    ends = np.searchsorted(np.sort(weights), kinds, "right").tolist()
-    begin = 0
-    for weight, end in zip(kinds.tolist(), ends):
-        for t, c in Counter([texts[i] for i in order[begin:end]]).items():
-            out[t] += c * weight
-        begin = end
-    return out
+def _add(sums: Counter, texts: list[bytes], weights: np.ndarray) -> None:
+    """Adds weights by text, exact; equal weights are counted together."""
+    ones = weights == 1
+    if ones.all():
+        sums.update(texts)
+        return
+    sums.update(itertools.compress(texts, ones.tolist()))
+    for i in np.flatnonzero(~ones).tolist():
+        sums[texts[i]] += int(weights[i])
 
 
 def _marked(lang: str, grams: np.ndarray, bitmap: np.ndarray, bits: int) -> np.ndarray:
@@ -233,31 +239,25 @@ def _places(lang: str, grams: np.ndarray, bits: int) -> np.ndarray:
     return (mixed >> np.uint64(20)) % np.uint64(bits)
 
 
-def _all_words(chunks: pa.Array, tails: np.ndarray, freqs: np.ndarray) -> Counter:
+def _all_words(sums: Counter, chunks: pa.Array, tails: np.ndarray, freqs: np.ndarray) -> None:
     w = _Words(chunks)
-    words = w.data.split(b" ")
-    line = np.repeat(np.arange(len(chunks)), w.size)
-    owned = np.arange(len(words)) < (w.first + w.size - tails)[line]
-    weight = freqs[line]
-    out = Counter(itertools.compress(words, (owned & (weight == 1)).tolist()))
-    at = np.flatnonzero(owned & (weight > 1))
-    for t, c in _weighted([words[i] for i in at.tolist()], weight[at]).items():
-        out[t] += c
-    return out
+    owned = np.arange(len(w.start)) < np.repeat(w.first + w.size - tails, w.size)
+    _add(sums, [*itertools.compress(w.data.split(b" "), owned.tolist())], np.repeat(freqs, w.size)[owned])
 
 
-def _phrases_of(lang: str, chunks: pa.Array, tails: np.ndarray, freqs: np.ndarray, k: int, bitmap: np.ndarray, bits: int) -> Counter:
-    """Phrases of ``k`` words that begin before the chunks' tails and have both parts marked."""
+def _phrases_of(sums: Counter, lang: str, chunks: pa.Array, tails: np.ndarray, freqs: np.ndarray, k: int, bitmap: np.ndarray, bits: int) -> None:
+    """Adds phrases of ``k`` words that begin before the chunks' tails and have both parts marked."""
     w = _Words(chunks)
     good = _marked(lang, _windows(w.hash, k - 1), bitmap, bits)
     if len(good) < 2:
-        return Counter()
+        return
     at = np.flatnonzero(good[:-1] & good[1:])
     line = np.searchsorted(w.first, at, "right") - 1
     end = w.first[line] + w.size[line]
     kept = (at + k <= end) & (at < end - tails[line])
     at, line = at[kept], line[kept]
-    return _weighted(w.slices(at, at + k - 1), freqs[line]) if len(at) else Counter()
+    if len(at):
+        _add(sums, w.slices(at, at + k - 1), freqs[line])
 
 
 def count_length(dictionary: DataFrame, k: int, bitmap: np.ndarray | None, bits: int) -> DataFrame:
@@ -266,14 +266,24 @@ def count_length(dictionary: DataFrame, k: int, bitmap: np.ndarray | None, bits:
     shared = dictionary.sparkSession.sparkContext.broadcast(bitmap) if bitmap is not None else None  # a fixed number of bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, Counter] = defaultdict(Counter)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, found in sums.items():
+                if k == 1:
+                    found[b""] = found.total()
+                cols = [pa.array([lang] * len(found), pa.string()), pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "f"])
+            sums.clear()
+
         for lang, chunks, tails, freqs in _held(batches):
             if k == 1:
-                found = _all_words(chunks, tails, freqs)
-                found[b""] = found.total()
+                _all_words(sums[lang], chunks, tails, freqs)
             else:
-                found = _phrases_of(lang, chunks, tails, freqs, k, shared.value, bits)
-            cols = [pa.array([lang] * len(found), pa.string()), pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "f"])
+                _phrases_of(sums[lang], lang, chunks, tails, freqs, k, shared.value, bits)
+            if sum(map(len, sums.values())) > KEPT_PHRASES:
+                yield from out()
+        yield from out()
 
     rows = dictionary.select("lang", "chunk", "tail", "freq")
     # a task's batch has summed its equal phrases, so they are dealt out at once
