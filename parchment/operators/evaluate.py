@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.sources.shared import stored
+
 
 def _per_question(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     hits = ranked.where(F.col("rank") <= k).select("query_id", F.col("doc_id").alias("gold"), "rank")
@@ -136,22 +138,24 @@ def stratified_subset(cases: DataFrame, target: int = 40, each: int = 8) -> Data
     return chosen.unionByName(fill.where(F.col("k") <= F.col("room")).select("case_id", F.lit("coverage").alias("stratum")))
 
 
-#: Ranges of an order that are numbered apart.
-RANGES = 256
+#: Rows of a range that is numbered by itself, about.
+RANGE_ROWS = 500_000
 
 
 def numbered(df: DataFrame, column: str, ties: list[str], name: str) -> DataFrame:
-    """``df`` with row numbers from 1 by a numeric column and its ties.  Rows are numbered within ranges, and the ranges'
-    sizes give their offsets; nulls come first, as one range."""
-    steps = F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)])
-    bounds = df.agg(F.percentile_approx(column, steps, 10_000).alias("b")).first()["b"] or []
-    cuts = F.array(*[F.lit(b) for b in sorted({*bounds})]) if bounds else F.array().cast("array<double>")
-    placed = df.withColumn("_range", F.coalesce(F.size(F.filter(cuts, lambda b: b < F.col(column))), F.lit(-1)))
-    placed = placed.withColumn("_range", F.when(F.col(column).isNull(), -1).otherwise(F.col("_range")))
+    """``df`` with row numbers from 1 by a column and its ties, nulls first.
+
+    A sample of the rows gives splitters over column and ties together, so that a value with many ties is many ranges; their
+    number follows the number of rows.  Rows are numbered within ranges, and the ranges' sizes give their offsets.  Rows that
+    are equal in column and ties stay together; their order is arbitrary."""
+    order = [F.col(c).asc_nulls_first() for c in (column, *ties)]
+    held = stored(df, "unnumbered")
+    n = -(-held.count() // RANGE_ROWS) or 1
+    placed = stored(held.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "ranges")
     sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of RANGES rows
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(column, *ties))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     return placed.join(F.broadcast(offsets), "_range").withColumn(name, within + F.col("_before")).drop("_range", "_before")
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.functions.text import cv_tokens
+
 ITEM_SPLIT = r"\s*[,،;|•]\s*|\s+-\s+"
 
 
@@ -40,23 +42,152 @@ def assess(requirements: DataFrame, texts: DataFrame, least: float = 0.0) -> Dat
     """requirements(req_id, token), texts(doc_id, token), each token once -> (req_id, doc_id, have, status): explicit with all
     tokens, partial with some and at least the share ``least`` of them; other pairs are missing and have no row.
 
-    A text with that share has one of the requirement's rarest tokens, as many as may be missing and one more; only those
-    look for texts, so frequent tokens make no pairs."""
+    Tokens are numbered by rarity.  Of the ``need`` tokens of a requirement ``enough`` must be met; then of the rarest
+    ``need - enough + e`` at least ``e`` are, for any ``e`` up to ``enough``.  With ``e`` half of ``enough`` a text must share several
+    of the rarer tokens before it makes a pair; the most frequent tokens make none and are only looked up for pairs that are left."""
     common = texts.join(requirements.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
     by_rarity = Window.partitionBy("req_id").orderBy(F.coalesce("n", F.lit(0)), "token")
-    ranked = requirements.join(common, "token", "left").withColumn("rank", F.row_number().over(by_rarity))
-    need = requirements.groupBy("req_id").agg(F.count("*").alias("need"))
-    enough = F.greatest(F.lit(1), F.ceil(F.col("need") * F.lit(least) - 1e-9))
-    leading = ranked.join(need, "req_id").where(F.col("rank") <= F.col("need") - enough + 1).select("req_id", "token")
-    pairs = leading.join(texts, "token").select("req_id", "doc_id").distinct()
-    have = (
-        pairs.join(requirements, "req_id").join(texts, ["doc_id", "token"]).groupBy("req_id", "doc_id").agg(F.count("*").alias("have"))
+    size = F.count("*").over(Window.partitionBy("req_id"))
+    ranked = requirements.join(common, "token", "left").withColumn("rank", F.row_number().over(by_rarity)).withColumn("need", size)
+    ranked = ranked.withColumn("enough", F.greatest(F.lit(1), F.ceil(F.col("need") * F.lit(least) - 1e-9)))
+    ranked = ranked.withColumn("e", F.ceil(F.col("enough") / 2)).withColumn("leads", F.col("rank") <= F.col("need") - F.col("enough") + F.col("e"))
+    leading = ranked.where("leads").join(texts, "token").groupBy("req_id", "doc_id").agg(
+        F.count("*").alias("first"), *[F.any_value(c).alias(c) for c in ("need", "enough", "e")]
     )
-    return have.join(need, "req_id").where(F.col("have") >= enough).select(
+    pairs = leading.where(F.col("first") >= F.col("e")).drop("e")
+    rest = pairs.select("req_id", "doc_id").join(ranked.where(~F.col("leads")).select("req_id", "token"), "req_id").join(texts, ["doc_id", "token"])
+    rest = rest.groupBy("req_id", "doc_id").agg(F.count("*").alias("more"))
+    have = pairs.join(rest, ["req_id", "doc_id"], "left").withColumn("have", F.col("first") + F.coalesce("more", F.lit(0)))
+    return have.where(F.col("have") >= F.col("enough")).select(
         "req_id", "doc_id", "have", F.when(F.col("have") == F.col("need"), "explicit").otherwise("partial").alias("status")
     )
 
 
+#: Kinds of requirements: column of jobs, importance, field of a CV that should state it, other fields that may.
+KINDS = (
+    ("job_title", "title", "required", "work_experience", ("summary",)),
+    ("skill", "required_skills", "required", "skills", ("work_experience", "summary", "certifications", "education")),
+    ("skill", "preferred_skills", "preferred", "skills", ("work_experience", "summary", "certifications", "education")),
+    ("education", "required_education", "required", "education", ("certifications",)),
+    ("certification", "required_certifications", "required", "certifications", ("education", "skills", "summary")),
+    ("language", "required_languages", "required", "languages", ()),
+)
+YEARS = "experience_years"
+
+
+def job_plan(jobs: DataFrame) -> DataFrame:
+    """jobs(job_id, title, required_skills, preferred_skills, required_education, required_certifications, required_languages,
+    minimum_years_experience) -> (job_id, no, requirement_type, requirement, importance, primary, searched), in the order of the
+    job; years of experience are a requirement of their own.  Null lists are empty; a null title is none."""
+
+    def part(kind: str, column: str, importance: str, primary: str, others: tuple[str, ...]) -> Column:
+        values = F.array_compact(F.array("title")) if column == "title" else F.coalesce(F.col(column), F.array().cast("array<string>"))
+        searched = F.array(*map(F.lit, (primary, *others)))
+        return F.transform(
+            values,
+            lambda v: F.struct(
+                F.lit(kind).alias("requirement_type"), v.alias("requirement"), F.lit(importance).alias("importance"), F.lit(primary).alias("primary"), searched.alias("searched")
+            ),
+        )
+
+    years = F.concat(F.regexp_replace(F.col("minimum_years_experience").cast("string"), r"\.0$", ""), F.lit(" years"))
+    field = F.lit("work_experience")
+    experience = F.array_compact(
+        F.array(
+            F.when(
+                years.isNotNull(),
+                F.struct(F.lit(YEARS).alias("requirement_type"), years.alias("requirement"), F.lit("required").alias("importance"), field.alias("primary"), F.array(field).alias("searched")),
+            )
+        )
+    )
+    rows = jobs.select("job_id", F.posexplode(F.concat(*[part(*k) for k in KINDS], experience)).alias("no", "r"))
+    return rows.select("job_id", "no", "r.*")
+
+
+def assess_jobs(
+    plan: DataFrame, applications: DataFrame, texts: DataFrame, found: DataFrame, stop: tuple[str, ...] = (), languages: dict[str, str] | None = None
+) -> DataFrame:
+    """plan (see ``job_plan``), applications(job_id, document_id), texts(document_id, cv_field, text_no, text) and the fields that
+    were found in a CV, found(document_id, cv_field) -> (job_id, document_id, no, requirement_type, requirement, importance, status,
+    reason, fields, words).
+
+    The first that holds decides: the requirement has no comparable words (insufficient); a text of the primary field has all
+    of them (explicit); one of another searched field has (partial); some text of the primary field has a part (partial); the
+    primary field was not found (insufficient); requirement and searched texts share no script (insufficient; languages are
+    exempt); else it is missing.  Years of experience are not reckoned (insufficient).  ``languages`` are other names of languages.
+
+    Requirements meet the texts of their own CV only, by (document, word), so the pairs are those of the applications."""
+    names = F.create_map(*[F.lit(x) for kv in (languages or {}).items() for x in kv]).cast("map<string,string>")
+    stops = F.array(*map(F.lit, stop)).cast("array<string>")
+
+    def tokens(c: str) -> Column:
+        return F.array_distinct(cv_tokens(F.coalesce(F.col(c), F.lit("")), stops))
+
+    def named(words: Column) -> Column:
+        return F.transform(words, lambda w: F.coalesce(F.try_element_at(names, w), w))
+
+    is_language = F.col("requirement_type") == "language"
+    key = ["job_id", "document_id", "no"]
+    asked = applications.select("job_id", "document_id").distinct().join(plan, "job_id")
+    asked = asked.withColumn("wanted", F.when(F.col("requirement_type") == YEARS, F.array().cast("array<string>")).when(is_language, F.array_distinct(named(tokens("requirement")))).otherwise(tokens("requirement")))
+    asked = asked.withColumn("need", F.size("wanted"))
+    wanted = asked.select(*key, "primary", "searched", "need", is_language.alias("language"), F.explode("wanted").alias("word"))
+    plain = texts.select("document_id", "cv_field", "text_no", F.explode(F.array_union(tokens("text"), named(tokens("text")))).alias("word"))
+    held = plain.join(wanted, ["document_id", "word"]).where(F.array_contains("searched", F.col("cv_field")))
+    by_text = held.groupBy(*key, "cv_field", "text_no").agg(
+        F.count("*").alias("have"), F.any_value("need").alias("need"), F.any_value("primary").alias("primary"), F.collect_set("word").alias("met")
+    )
+    full, primary = F.col("have") == F.col("need"), F.col("cv_field") == F.col("primary")
+    met = by_text.groupBy(*key).agg(
+        F.bool_or(full & primary).alias("explicit"), F.sort_array(F.collect_set(F.when(full & ~primary, F.col("cv_field")))).alias("others"),
+        F.bool_or(primary).alias("part"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(primary, F.col("met")))))).alias("words"),
+    )
+    scripts = texts.groupBy("document_id", "cv_field").agg(F.bool_or(F.col("text").rlike(_ARABIC)).alias("ar"), F.bool_or(F.col("text").rlike(_LATIN)).alias("la"))
+    fields = asked.select(*key, "requirement", F.explode("searched").alias("cv_field")).join(scripts, ["document_id", "cv_field"])
+    same = (F.col("requirement").rlike(_ARABIC) & F.col("ar")) | (F.col("requirement").rlike(_LATIN) & F.col("la"))
+    shared = fields.groupBy(*key).agg(F.bool_or(same).alias("comparable"))
+    there = found.select("document_id", F.col("cv_field").alias("primary"), F.lit(True).alias("there")).distinct()
+    rows = asked.join(met, key, "left").join(shared, key, "left").join(there, ["document_id", "primary"], "left")
+    no = F.lit(False)
+    outcome = (
+        F.when(F.col("requirement_type") == YEARS, _outcome("insufficient", "years not reckoned"))
+        .when(F.col("need") == 0, _outcome("insufficient", "no comparable words"))
+        .when(F.coalesce("explicit", no), _outcome("explicit", "all in the primary field"))
+        .when(F.size(F.coalesce("others", F.array().cast("array<string>"))) > 0, _outcome("partial", "all in another field"))
+        .when(F.coalesce("part", no), _outcome("partial", "a part in the primary field"))
+        .when(F.col("there").isNull(), _outcome("insufficient", "primary field not found"))
+        .when(~is_language & ~F.coalesce("comparable", no), _outcome("insufficient", "other script"))
+        .otherwise(_outcome("missing", "not stated"))
+    )
+    rows = rows.withColumn("o", outcome)
+    where = F.when(F.col("o.reason") == "all in another field", F.col("others")).when(F.col("o.status").isin("explicit", "partial"), F.array("primary"))
+    part = F.when(F.col("o.reason") == "a part in the primary field", F.col("words"))
+    return rows.select(*key, "requirement_type", "requirement", "importance", "o.status", "o.reason", where.alias("fields"), part.alias("words"))
+
+
+_ARABIC, _LATIN = "[\u0621-\u064a]", "[A-Za-z\u00c0-\u024f]"
+
+
+def _outcome(status: str, reason: str) -> Column:
+    return F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
+
+
+def job_overview(rows: DataFrame) -> DataFrame:
+    """Rows of ``assess_jobs`` -> (job_id, document_id, overall, explicit, partial, insufficient, missing): of the required ones any missing
+    is a gap, then any insufficient, then all explicit, else it is partly evidenced."""
+    required = F.col("importance") == "required"
+
+    def any_of(status: str) -> Column:
+        return F.coalesce(F.bool_or(required & (F.col("status") == status)), F.lit(False))
+
+    overall = (
+        F.when(any_of("missing"), "gaps_identified").when(any_of("insufficient"), "insufficient_information")
+        .when(F.coalesce(F.bool_and(F.when(required, F.col("status") == "explicit")), F.lit(True)), "required_requirements_explicitly_met").otherwise("partially_evidenced")
+    )
+    counts = [F.count_if(F.col("status") == s).alias(s) for s in ("explicit", "partial", "insufficient", "missing")]
+    return rows.groupBy("job_id", "document_id").agg(overall.alias("overall"), *counts)
+
+
 def overall_match(rows: DataFrame, key: str) -> DataFrame:
     """rows(key, status, required): required missing, then insufficient, then all explicit, else partial."""
     def any_of(s: str):

@@ -606,6 +606,64 @@ def _(spark, sf):
     return CV.requirement_plan(jobs.withColumnRenamed("document_id", "job_id")).withColumnRenamed("job_id", "document_id")
 
 
+_CV_ITEMS = {
+    "cv_field": "CASE n WHEN 2 THEN 'work_experience' WHEN 3 THEN 'summary' WHEN 4 THEN 'education' WHEN 5 THEN 'certifications' WHEN 6 THEN 'languages' ELSE 'skills' END",
+    "text": "CASE n WHEN 2 THEN 'title' || (s % 3) || ' grade' || (q % 2) || ' know' || (q % 4) WHEN 3 THEN 'title' || (q % 3) || ' grade' || (s % 2) WHEN 4 THEN 'degree' || (s % 3)"
+    " WHEN 6 THEN 'lang' || (q % 3) ELSE 'know' || (s % 4) || ' tool' || (q % 5) END",
+}
+_JOB = {
+    "title": ("'title' || (j % 3) || ' grade1'",), "required_skills": ("'know' || (j % 4) || ' tool' || (j % 5)", "'know3'"), "preferred_skills": ("'tool4'",),
+    "required_education": ("'degree' || (j % 3)",), "required_certifications": ("'know' || (j % 4) || ' tool1'",), "required_languages": ("'lang' || (j % 3)",),
+}
+
+
+def _plan_sql() -> str:
+    parts, no = [], 0
+    for kind, column, importance, primary, others in CV.KINDS:
+        for text in _JOB[column]:
+            parts.append(f"SELECT j AS job_id, {no} AS no, '{kind}' AS kind, {text} AS req, '{importance}' AS imp, '{primary}' AS prim, {[primary, *others]} AS searched FROM jobs")
+            no += 1
+    parts.append(f"SELECT j, {no}, '{CV.YEARS}', '3 years', 'required', 'work_experience', ['work_experience'] FROM jobs WHERE j % 2 = 1")
+    return " UNION ALL ".join(parts)
+
+
+_LADDER_SQL = f"""WITH {items_sql(**_CV_ITEMS)}, tok AS (SELECT document_id, cv_field, unit_no, unnest(list_distinct(string_split(text, ' '))) AS word FROM u),
+    jobs AS (SELECT n_nationkey AS j FROM nation), plan AS ({_plan_sql()}), r AS (SELECT o_orderkey AS document_id, plan.* FROM orders JOIN plan ON job_id = o_orderkey % 25),
+    w AS (SELECT document_id, job_id, no, prim, searched, word, len(words) AS need FROM (SELECT *, unnest(words) AS word FROM (SELECT *, list_distinct(string_split(req, ' ')) AS words FROM r WHERE kind <> '{CV.YEARS}'))),
+    m AS (SELECT document_id, job_id, no, cv_field, unit_no, count(*) = any_value(need) AS whole, cv_field = any_value(prim) AS first FROM w JOIN tok USING (document_id, word) WHERE list_contains(searched, cv_field) GROUP BY document_id, job_id, no, cv_field, unit_no),
+    g AS (SELECT document_id, job_id, no, bool_or(whole AND first) AS explicit, bool_or(whole AND NOT first) AS other, bool_or(first) AS part FROM m GROUP BY ALL),
+    f AS (SELECT DISTINCT document_id, cv_field FROM u WHERE line = 'O' OR q > 20), h AS (SELECT DISTINCT document_id, job_id, no FROM r JOIN u USING (document_id) WHERE list_contains(searched, cv_field)),
+    o AS (SELECT r.document_id, r.job_id, r.no, imp, CASE WHEN kind = '{CV.YEARS}' THEN 'insufficient/years not reckoned' WHEN explicit THEN 'explicit/all in the primary field' WHEN other THEN 'partial/all in another field'
+      WHEN part THEN 'partial/a part in the primary field' WHEN f.cv_field IS NULL THEN 'insufficient/primary field not found' WHEN kind <> 'language' AND h.no IS NULL THEN 'insufficient/other script' ELSE 'missing/not stated' END AS outcome
+      FROM r LEFT JOIN g USING (document_id, job_id, no) LEFT JOIN f ON f.document_id = r.document_id AND f.cv_field = prim LEFT JOIN h ON h.document_id = r.document_id AND h.job_id = r.job_id AND h.no = r.no)"""
+
+
+def _assessed(spark, sf):
+    u = items(spark, sf, **_CV_ITEMS)
+    jobs = read_table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("j"))
+    lists = [f"array({', '.join(texts)}) AS {c}" for c, texts in _JOB.items() if c != "title"]
+    jobs = jobs.selectExpr("j AS job_id", f"{_JOB['title'][0]} AS title", *lists, "CASE WHEN j % 2 = 1 THEN 3.0D END AS minimum_years_experience")
+    applied = read_table(spark, sf, "orders").selectExpr("o_orderkey % 25 AS job_id", "o_orderkey AS document_id")
+    found = u.where("line = 'O' OR q > 20").select("document_id", "cv_field")
+    return CV.assess_jobs(CV.job_plan(jobs), applied, u.selectExpr("document_id", "cv_field", "unit_no AS text_no", "text"), found)
+
+
+@query("cvx08_ladder", f"{_LADDER_SQL} SELECT document_id, job_id, no, outcome FROM o")
+def _(spark, sf):
+    """Every order is a CV whose lines are its texts, and applies to the job of a nation."""
+    return _assessed(spark, sf).select("document_id", "job_id", "no", F.concat_ws("/", "status", "reason").alias("outcome"))
+
+
+@query(
+    "cvx10_overview",
+    f"""{_LADDER_SQL} SELECT document_id, job_id, CASE WHEN bool_or(imp = 'required' AND outcome LIKE 'missing%') THEN 'gaps_identified' WHEN bool_or(imp = 'required' AND outcome LIKE 'insufficient%') THEN 'insufficient_information'
+    WHEN bool_and(outcome LIKE 'explicit%') FILTER (imp = 'required') THEN 'required_requirements_explicitly_met' ELSE 'partially_evidenced' END AS overall,
+    count(*) FILTER (outcome LIKE 'explicit%') AS explicit, count(*) FILTER (outcome LIKE 'missing%') AS missing FROM o GROUP BY ALL""",
+)
+def _(spark, sf):
+    return CV.job_overview(_assessed(spark, sf)).select("document_id", "job_id", "overall", "explicit", "missing")
+
+
 @query("cvx09_languages", rows_sql("ord int, language string", [(0, "arabic"), (1, "english"), (2, "klingon")]))
 def _(spark, sf):
     rows = per_customer(spark, sf, "ord int, language string", [(0, " العربية "), (1, "English"), (2, "Klingon")])

@@ -393,3 +393,46 @@ def test_contract_read_from_end_to_end(spark):
         (1, "notice_period"): ("label", "found", "60 day"), (1, "end_date"): ("label", "ambiguous", None), (1, "probation_period"): ("narrative", "ambiguous", None),
         (3, "job_title"): ("label", "found", "محلل"), (3, "probation_period"): ("narrative", "found", "90 day"),
     }
+
+
+def test_requirement_ladder(spark):
+    """Every outcome, in its order."""
+    jobs = spark.createDataFrame(
+        [(1, "Data Analyst", ["SQL", "Power BI", "Go", "Rust"], None, ["BSc"], ["PMP"], ["العربية", "French"], 3.0), (2, None, None, ["the"], None, None, None, None), (3, "مهندس", [], [], [], [], [], None)],
+        "job_id long, title string, required_skills array<string>, preferred_skills array<string>, required_education array<string>, required_certifications array<string>, required_languages array<string>, minimum_years_experience double",
+    )
+    texts = spark.createDataFrame(
+        [(7, "skills", 1, "sql and more sql"), (7, "skills", 2, "power tools"), (7, "work_experience", 1, "senior data analyst at X"), (7, "work_experience", 2, "wrote go"), (7, "languages", 1, "Arabic fluent"), (8, "summary", 1, "data analyst"), (8, "skills", 1, None)],
+        "document_id long, cv_field string, text_no int, text string",
+    )
+    found = spark.createDataFrame([(7, f) for f in ("skills", "work_experience", "languages", "education")] + [(8, "skills")], "document_id long, cv_field string")
+    applied = spark.createDataFrame([(j, d) for j in (1, 2, 3) for d in (7, 8)] + [(1, 7)], "job_id long, document_id long")
+    out = CV.assess_jobs(CV.job_plan(jobs), applied, texts, found, ("the", "and"), {"عربيه": "arabic"})
+    got = {(r["job_id"], r["document_id"], r["requirement"]): (r["status"], r["reason"], r["fields"], r["words"]) for r in out.collect()}
+    assert got[1, 7, "Data Analyst"] == ("explicit", "all in the primary field", ["work_experience"], None)
+    assert got[1, 8, "Data Analyst"] == ("partial", "all in another field", ["summary"], None)
+    assert got[1, 7, "SQL"][0] == "explicit" and got[1, 7, "Go"] == ("partial", "all in another field", ["work_experience"], None)
+    assert got[1, 7, "Power BI"] == ("partial", "a part in the primary field", ["skills"], ["power"])
+    assert got[1, 7, "Rust"] == ("missing", "not stated", None, None)
+    assert got[1, 7, "PMP"][:2] == ("insufficient", "primary field not found")
+    assert got[1, 7, "BSc"][:2] == ("insufficient", "other script")  # the searched fields have no texts
+    assert got[1, 7, "العربية"][0] == "explicit" and got[1, 7, "French"][:2] == ("missing", "not stated")  # languages are compared across scripts
+    assert got[1, 7, "3 years"][:2] == ("insufficient", "years not reckoned")
+    assert got[2, 7, "the"][:2] == ("insufficient", "no comparable words")
+    assert got[3, 7, "مهندس"][:2] == ("insufficient", "other script")
+    assert got[1, 8, "SQL"][:2] == ("missing", "not stated")
+    whole = {(r["job_id"], r["document_id"]): (r["overall"], r["missing"]) for r in CV.job_overview(out).collect()}
+    assert whole[1, 7] == ("gaps_identified", 2) and whole[2, 7][0] == "required_requirements_explicitly_met" and whole[3, 7][0] == "insufficient_information"
+    assert CV.assess_jobs(CV.job_plan(jobs.limit(0)), applied, texts, found).count() == 0
+
+
+def test_numbering_by_splitters(spark, monkeypatch):
+    """Equal numbers to a sort, no range far above the bound even where one value has most rows."""
+    monkeypatch.setattr(E, "RANGE_ROWS", 100)
+    r = random.Random(3)
+    rows_in = [(i, 5 if i % 3 else r.choice([None, *range(9)])) for i in range(3000)]
+    df = spark.createDataFrame(rows_in, "case_id long, v long")
+    got = {x["case_id"]: x["no"] for x in E.numbered(df, "v", ["case_id"], "no").collect()}
+    order = sorted(rows_in, key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
+    assert got == {c: k for k, (c, _) in enumerate(order, 1)}
+    assert E.numbered(df.limit(0), "v", ["case_id"], "no").count() == 0
