@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parchment.operators.requests import distinct_in_order
+
 from parchment.functions import values as V
 from parchment.functions.text import domain_of, page_sentences
 
@@ -222,6 +224,31 @@ def benchmark(obs: DataFrame) -> DataFrame:
     return rows
 
 
+def benchmark_report(obs: DataFrame) -> DataFrame:
+    """``benchmark`` for every query that has figures at all, with the sources the range rests on, in order of first appearance, and
+    the limits of it: (query_id, basis, status, quality, market_min, market_max, source_list, limits).
+
+    A query without a usable figure is insufficient and has no sources."""
+    chosen = tier_ladder(obs.join(choose_basis(obs), ["query_id", "basis"], "left_semi"))
+    listed = distinct_in_order(chosen, "query_id", "url", "position").withColumnRenamed("items", "source_list")
+    levels = distinct_in_order(chosen, "query_id", "tier", "rank").withColumnRenamed("items", "levels")
+    facts = chosen.groupBy("query_id").agg(F.bool_or(F.col("converted_from").isNotNull()).alias("converted"), F.bool_or(F.col("period") == "annual").alias("annual"))
+    rows = limitations(obs).join(benchmark(obs), "query_id", "left")
+    for part in (listed, levels, facts):
+        rows = rows.join(part, "query_id", "left")
+    good, none = F.col("status") == "success", F.col("status").isNull()
+    span = F.concat(F.lit("span of "), F.size("source_list").cast("string"), F.lit(" at level "), F.array_join("levels", " and "))
+    limits = F.array(
+        F.when(F.col("unconverted") != "", F.concat(F.lit("no rate for "), "unconverted")), F.when(F.col("lead_only"), "leads set no range"), F.when(F.col("no_period"), "period not stated"),
+        F.when(none, "no usable figure"), F.when(F.col("quality") == "insufficient", "a single figure"), F.when(F.col("quality") == "conflicting", "sources conflict"),
+        F.when(good, span), F.when(good & F.col("converted"), "converted at the given rate"), F.when(good & F.col("annual"), "annual figures divided by 12"),
+    )
+    return rows.select(
+        "query_id", "basis", F.coalesce("status", F.lit("insufficient_data")).alias("status"), F.coalesce("quality", F.lit("insufficient")).alias("quality"),
+        "market_min", "market_max", F.coalesce("source_list", F.array().cast(listed.schema["source_list"].dataType)).alias("source_list"), F.array_compact(limits).alias("limits"),
+    )
+
+
 def position(amount: Column, period: Column, low: Column, high: Column) -> Column:
     """below, inside or above the range; annual pay is brought to a month first."""
     monthly = F.when(period == "annual", amount / 12).when(F.coalesce(period, F.lit("monthly")) == "monthly", amount)

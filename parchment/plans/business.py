@@ -80,6 +80,11 @@ def sal11(spark, sf):
     return M.benchmark(_normal(spark, sf))
 
 
+def sal11_report(spark, sf):
+    r = M.benchmark_report(_normal(spark, sf))
+    return r.select("query_id", "status", "quality", "market_min", "market_max", F.array_join(F.col("source_list").cast("array<string>"), ",").alias("source_list"), F.array_join("limits", "; ").alias("limits"))
+
+
 def sal12(spark, sf):
     b = M.benchmark(_normal(spark, sf))
     p = read_table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_retailprice").cast("double").alias("amount"))
@@ -280,7 +285,7 @@ def law16(spark, sf):
 
 QUERIES = {
     "sal02_select_urls": sal02, "sal03_tiers": sal03, "sal06_normalise": sal06, "sal07_title": sal07, "sal08_basis": sal08, "sal09_ladder": sal09,
-    "sal10_conflicts": sal10, "sal11_benchmark": sal11, "sal12_position": sal12, "sal13_limitations": sal13,
+    "sal10_conflicts": sal10, "sal11_benchmark": sal11, "sal11_report": sal11_report, "sal12_position": sal12, "sal13_limitations": sal13,
     "cmp01_values": cmp01, "cmp03_position": cmp03, "cmp04_compliance": cmp04, "cmp06_comparability": cmp06, "cmp07_leaders": cmp07, "cmp09_dominance": cmp09,
     "cmp10_priorities": cmp10, "cmp11_recommend": cmp11, "cmp12_risks": cmp12, "cmp13_risk_view": cmp13, "cmp14_status": cmp14, "cmp15_validate": cmp15,
     "cmp16_matrix": cmp16, "cmp18_headline": cmp18, "cmp19_caveats": cmp19, "cmp20_summary": cmp20,
@@ -380,6 +385,16 @@ SQL = {
     "sal09_ladder": f"WITH {_OBS}, good AS (SELECT * FROM norm WHERE usable), {_ladder('chosen', 'good')} SELECT position, tier, is_range FROM chosen",
     "sal10_conflicts": f"WITH {_OBS}, good AS (SELECT * FROM norm WHERE usable) SELECT * FROM {_conflict('good')}",
     "sal11_benchmark": f"WITH {_BENCH} SELECT * FROM bench",
+    "sal11_report": f"""WITH {_BENCH}, lim AS (SELECT query_id, array_to_string(list_sort(list_distinct(list(currency) FILTER (NOT usable AND currency <> 'SAR' AND converted_from IS NULL AND period IS NOT NULL))), ',') AS un,
+        bool_or(tier = 'lead_only') AS leads, bool_or(period IS NULL) AS no_period FROM norm GROUP BY query_id),
+        src AS (SELECT query_id, string_agg(url, ',' ORDER BY p) AS source_list FROM (SELECT query_id, url, min(position) AS p FROM chosen GROUP BY ALL) GROUP BY query_id),
+        lev AS (SELECT query_id, string_agg(tier, ' and ' ORDER BY rank) AS levels FROM (SELECT DISTINCT query_id, tier, rank FROM chosen) GROUP BY query_id),
+        fact AS (SELECT query_id, bool_or(converted_from IS NOT NULL) AS conv, bool_or(coalesce(period = 'annual', false)) AS ann FROM chosen GROUP BY query_id)
+        SELECT query_id, coalesce(status, 'insufficient_data') AS status, coalesce(quality, 'insufficient') AS quality, market_min, market_max, coalesce(source_list, '') AS source_list,
+          array_to_string(list_filter([CASE WHEN un <> '' THEN 'no rate for ' || un END, CASE WHEN leads THEN 'leads set no range' END, CASE WHEN no_period THEN 'period not stated' END, CASE WHEN status IS NULL THEN 'no usable figure' END,
+            CASE WHEN quality = 'insufficient' THEN 'a single figure' END, CASE WHEN quality = 'conflicting' THEN 'sources conflict' END, CASE WHEN status = 'success' THEN 'span of ' || sources || ' at level ' || levels END,
+            CASE WHEN status = 'success' AND conv THEN 'converted at the given rate' END, CASE WHEN status = 'success' AND ann THEN 'annual figures divided by 12' END], lambda x: x IS NOT NULL), '; ') AS limits
+        FROM lim LEFT JOIN bench USING (query_id) LEFT JOIN src USING (query_id) LEFT JOIN lev USING (query_id) LEFT JOIN fact USING (query_id)""",
     "sal12_position": f"""WITH {_BENCH} SELECT query_id, CASE WHEN a < market_min THEN 'below' WHEN a > market_max THEN 'above' ELSE 'inside' END AS position
         FROM bench JOIN (SELECT p_partkey AS query_id, CAST(p_retailprice AS DOUBLE) AS a FROM part) USING (query_id)""",
     "sal13_limitations": f"""WITH {_OBS} SELECT query_id, coalesce(array_to_string(list_sort(list_distinct(list(currency) FILTER (NOT usable AND currency <> 'SAR' AND converted_from IS NULL AND period IS NOT NULL))), ','), '') AS unconverted,
