@@ -24,6 +24,8 @@ def phrases(*found: str) -> str:
     return "|".join([*([rf"(?:^|\s)(?:{'|'.join(latin)})"] if latin else []), *arabic])
 
 
+# The names of the clause types.  Words and order are chosen here: special subjects before general ones, so that a
+# housing allowance is housing and notice of termination is notice.
 #: Clause types by the first rule that fits: words of which one must stand, and words that forbid it.
 _SENTENCE_WORDS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("NOTICE", ("notice of", "notice period", "days notice", "months notice", "مده الاشعار", "اشعار كتابي"), ("terminate",)),
@@ -48,21 +50,22 @@ _SENTENCE_WORDS: tuple[tuple[str, tuple[str, ...], tuple[str, ...]], ...] = (
     ("WORK_LOCATION", ("place of work", "work location", "workplace", "مكان العمل", "مقر العمل"), ()),
     ("EMPLOYMENT", ("is employed as", "appointed as", "position of", "وظيفه"), ()),
 )
-#: Types of headings by the first words that fit.
+# The types of headings, the order in which they are tried (the first that fits decides) and their English words must
+# be these for the same headings to get the same types.  The Arabic words are added here.
 _HEADING_WORDS: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("PROBATION", ("probation", "trial", "التجربه")),
+    ("DUTIES", ("duties", "responsibilities", "المهام")),
+    ("CONFIDENTIALITY", ("confidential", "السريه")),
+    ("ANNUAL_LEAVE", ("leave policy", "annual leave", "vacation", "الاجازات", "الاجازه")),
+    ("HEALTH_INSURANCE", ("health insurance", "التامين")),
+    ("BENEFITS", ("benefit", "perk", "bonus", "المزايا")),
+    ("SALARY", ("compensation", "salary", "in hand", "inhand", "remuneration", "الاجر", "الراتب")),
+    ("ALLOWANCES", ("allowance", "البدلات")),
     ("TERMINATION", ("terminat", "انهاء العقد")),
     ("NOTICE", ("notice", "الاشعار")),
+    ("PROBATION", ("probation", "التجربه")),
     ("WORKING_HOURS", ("working hours", "hours of work", "ساعات العمل")),
-    ("ANNUAL_LEAVE", ("annual leave", "leave", "vacation", "الاجازات", "الاجازه")),
-    ("HEALTH_INSURANCE", ("health insurance", "medical", "التامين")),
-    ("CONFIDENTIALITY", ("confidential", "السريه")),
-    ("DISCIPLINARY", ("disciplin", "conduct", "الجزاءات")),
-    ("BENEFITS", ("benefit", "perks", "bonus", "المزايا")),
-    ("ALLOWANCES", ("allowance", "البدلات")),
-    ("SALARY", ("salary", "compensation", "remuneration", "pay", "الاجر", "الراتب")),
-    ("DUTIES", ("duties", "responsib", "المهام")),
-    ("EMPLOYMENT", ("employment", "appointment", "terms and conditions", "التعيين")),
+    ("DISCIPLINARY", ("disciplinary", "conduct", "الجزاءات")),
+    ("EMPLOYMENT", ("appointment", "terms and conditions", "employment", "التعيين")),
 )
 SENTENCE_RULES = [{"type": t, "pattern": phrases(*w), "excludes": [phrases(*x)] if x else []} for t, w, x in _SENTENCE_WORDS]
 HEADING_RULES = [{"type": t, "pattern": phrases(*w)} for t, w in _HEADING_WORDS]

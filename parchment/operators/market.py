@@ -30,6 +30,7 @@ KNOWN_SOURCES = (
 #: A comma or blank between the figures of one number; how a figure looks without those; what stands between the ends of a range.
 GROUPING = r"(?<=\d)(?<!\d{4})[,٬ ](?=\d{3}(?!\d))"
 FIGURE = r"\d+(?:\.\d+)*"
+# What may stand between the ends of a range.
 RANGE_WORDS = ("-", "–", "—", "to", "until", "إلى", "حتى")
 
 
