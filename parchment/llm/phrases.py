@@ -148,19 +148,25 @@ def _cut(long: list[bytes], pieces: Counter, overlap: int, period: int, found: d
         found[key] = found.get(key, 0) + f
 
 
-_DICTIONARY = "lang string, chunk binary, tail int, freq long"
+#: Language, tail and chunk travel as one key, a line each: a chunk holds no line feed.  So a shuffled row is short.
+_KEYED = "key binary, freq long"
 
 
 def _dictionary(found: dict[str, dict[tuple[bytes, int], int]]) -> Iterator[pa.RecordBatch]:
     for lang, chunks in found.items():
         if chunks:
-            texts, tails = zip(*chunks)
-            cols = [pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.binary()), pa.array(tails, pa.int32()), pa.array([*chunks.values()], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["lang", "chunk", "tail", "freq"])
+            front = lang.encode()
+            keys = [b"%b\n%d\n%b" % (front, tail, text) for text, tail in chunks]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([*chunks.values()], pa.int64())], ["key", "freq"])
 
 
 def _merged(chunks: DataFrame) -> DataFrame:
-    return chunks.groupBy("lang", "chunk", "tail").agg(F.sum("freq").alias("freq"))
+    rows = chunks.groupBy("key").agg(F.sum("freq").alias("freq")).withColumn("s", F.col("key").cast("string"))
+    rows = rows.withColumn("back", F.substring_index("s", "\n", -2))
+    return rows.select(
+        F.expr("left(s, length(s) - length(back) - 1)").alias("lang"), F.substring_index("back", "\n", -1).cast("binary").alias("chunk"),
+        F.substring_index("back", "\n", 1).cast("int").alias("tail"), "freq",
+    )
 
 
 def parse(docs: DataFrame, max_words: int = 5, period: int = PERIOD, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -192,7 +198,7 @@ def parse(docs: DataFrame, max_words: int = 5, period: int = PERIOD, text_col: s
     small_batches(docs.sparkSession)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit(UNKNOWN_LANG)).alias("lang")
     rows = docs.select(lang, F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("body"))
-    return _merged(rows.mapInArrow(run, _DICTIONARY))
+    return _merged(rows.mapInArrow(run, _KEYED))
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, pa.Array, np.ndarray, np.ndarray]]:
@@ -272,8 +278,8 @@ def count_length(dictionary: DataFrame, k: int, bitmap: np.ndarray | None, bits:
             for lang, found in sums.items():
                 if k == 1:
                     found[b""] = found.total()
-                cols = [pa.array([lang] * len(found), pa.string()), pa.array([*found], pa.binary()), pa.array([*found.values()], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["lang", "phrase", "f"])
+                front = lang.encode() + b"\n"
+                yield pa.RecordBatch.from_arrays([pa.array([front + p for p in found], pa.binary()), pa.array([*found.values()], pa.int64())], ["key", "f"])
             sums.clear()
 
         for lang, chunks, tails, freqs in _held(batches):
@@ -287,7 +293,9 @@ def count_length(dictionary: DataFrame, k: int, bitmap: np.ndarray | None, bits:
 
     rows = dictionary.select("lang", "chunk", "tail", "freq")
     # a task's batch has summed its equal phrases, so they are dealt out at once
-    return rows.mapInArrow(run, "lang string, phrase binary, f long").repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    counted = rows.mapInArrow(run, "key binary, f long").repartition("key").groupBy("key").agg(F.sum("f").alias("f"))
+    named = counted.withColumn("s", F.col("key").cast("string")).withColumn("p", F.substring_index("s", "\n", -1))
+    return named.select(F.expr("left(s, length(s) - length(p) - 1)").alias("lang"), F.col("p").cast("binary").alias("phrase"), "f")
 
 
 def frequent_runs(dictionary: DataFrame, bitmap: np.ndarray, bits: int) -> DataFrame:
@@ -312,7 +320,7 @@ def frequent_runs(dictionary: DataFrame, bitmap: np.ndarray, bits: int) -> DataF
                 found[text, tail] = found.get((text, tail), 0) + f
             yield from _dictionary({lang: found})
 
-    return _merged(dictionary.select("lang", "chunk", "tail", "freq").mapInArrow(run, _DICTIONARY))
+    return _merged(dictionary.select("lang", "chunk", "tail", "freq").mapInArrow(run, _KEYED))
 
 
 def frequent_bitmap(frequent: DataFrame, bits: int = BITS) -> np.ndarray:
