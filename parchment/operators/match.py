@@ -23,6 +23,54 @@ def cv_sections(lines: DataFrame, titles: DataFrame) -> DataFrame:
     return filled.where("NOT opens AND in_section IS NOT NULL AND in_section <> '_other'").select("document_id", "line_no", F.col("in_section").alias("section"), "text")
 
 
+def _known_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """lines with ``section``: of known titles of at most 60 letters, a colon at the end aside."""
+    from parchment.functions.text import matching_key
+
+    bare = F.trim(F.regexp_replace(F.trim("text"), "[:：]+$", ""))
+    keyed = lines.withColumn("_k", F.when(F.length(bare) <= 60, matching_key(bare)))
+    known = titles.select(F.col("title_key").alias("_k"), "section").dropDuplicates(["_k"])
+    return keyed.join(known, "_k", "left").drop("_k")
+
+
+def cv_sections_by_level(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """lines(document_id, line_no, text, is_heading, level: null if unknown) x titles(title_key, section) -> (document_id, line_no,
+    section, text): lines under a known title, up to the next one or to an unknown heading of the same or a higher rank; an unknown
+    heading below the title, or of unknown rank, is a line like others.  The section ``_other`` has no lines."""
+    named = _known_titles(lines, titles).withColumn("opens", F.col("section").isNotNull())
+    w = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    part = F.struct("section", "level")
+    parts = named.withColumn("part", F.sum(F.col("opens").cast("int")).over(w)).withColumn("head", F.last(F.when(F.col("opens"), part), ignorenulls=True).over(w))
+    closes = ~F.col("opens") & F.col("is_heading") & F.coalesce(F.col("level") <= F.col("head.level"), F.lit(False))
+    inside = Window.partitionBy("document_id", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    kept = parts.withColumn("closed", F.max(closes.cast("int")).over(inside)).where("part > 0 AND NOT opens AND closed = 0")
+    return kept.where(F.col("head.section") != "_other").select("document_id", "line_no", F.col("head.section").alias("section"), "text")
+
+
+def cv_titles(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """(document_id, line_no, title, is_name): the first unknown heading before any known section; it is a name if it has two to five
+    words, at most 60 letters and no digit or sign of an address."""
+    named = _known_titles(lines, titles)
+    own = F.col("section").isNotNull() & (F.col("section") != "_other")
+    facts = named.groupBy("document_id").agg(
+        F.min(F.when(own, F.col("line_no"))).alias("first"), F.min(F.when(F.col("section").isNull() & F.col("is_heading"), F.struct("line_no", "text"))).alias("t")
+    )
+    title = F.trim("t.text")
+    name = F.size(F.split(title, r"\s+")).between(2, 5) & (F.length(title) <= 60) & ~title.rlike("[0-9@:/]")
+    return facts.where(F.col("t").isNotNull() & (F.col("first").isNull() | (F.col("t.line_no") < F.col("first")))).select(
+        "document_id", F.col("t.line_no").alias("line_no"), title.alias("title"), name.alias("is_name")
+    )
+
+
+def heading_parents(headings: DataFrame, deepest: int = 6) -> DataFrame:
+    """headings(document_id, line_no, level from 1) with ``parent``: line number of the nearest earlier heading of a smaller level, null
+    at the top; levels beyond ``deepest`` count as that."""
+    w = Window.partitionBy("document_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.least("level", F.lit(deepest))
+    above = [F.last(F.when(level < k, F.col("line_no")), ignorenulls=True).over(w) for k in range(1, deepest + 1)]
+    return headings.withColumn("_above", F.array(*above)).withColumn("parent", F.get("_above", level - 1)).drop("_above")
+
+
 def cv_items(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Items of lists written in one line."""
     items = df.select(id_col, F.posexplode(F.split(text_col, ITEM_SPLIT)).alias("item_no", "item"))

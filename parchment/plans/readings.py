@@ -569,6 +569,45 @@ def _(spark, sf):
     return CV.cv_sections(_cv(spark, sf), spark.createDataFrame(_TITLES, "title_key string, section string")).select("document_id", "line_no", "section")
 
 
+#: An order as a CV: its lines are headings with and without level, known titles and texts.
+_LEVELLED = {
+    "text": "CASE (s + n) % 6 WHEN 0 THEN 'Skills' WHEN 1 THEN 'Part ' || q WHEN 2 THEN 'Education:' WHEN 3 THEN 'References' WHEN 4 THEN 'Noor Al Amri' ELSE 'line ' || q END",
+    "is_heading": "(s + n) % 6 < 5", "level": "CASE WHEN q % 5 > 0 THEN q % 3 + 1 END", "line_no": "unit_no * 1000000 + s * 100 + q",
+}
+_LEVEL_TITLES = [("skills", "skills"), ("education", "education"), ("references", "_other")]
+_LEVEL_SQL = f"""WITH {items_sql(**_LEVELLED)}, k AS (SELECT *, CASE (s + n) % 6 WHEN 0 THEN 'skills' WHEN 2 THEN 'education' WHEN 3 THEN '_other' END AS section FROM u)"""
+
+
+@query(
+    "cvx01_levels",
+    f"""{_LEVEL_SQL}, h AS (SELECT a.document_id, a.line_no, a.text, max(b.line_no) AS at FROM k a JOIN k b ON b.document_id = a.document_id AND b.line_no < a.line_no AND b.section IS NOT NULL WHERE a.section IS NULL GROUP BY ALL)
+    SELECT h.document_id, h.line_no, t.section, h.text FROM h JOIN k t ON t.document_id = h.document_id AND t.line_no = h.at WHERE t.section <> '_other' AND NOT EXISTS
+    (SELECT 1 FROM k c WHERE c.document_id = h.document_id AND c.line_no > h.at AND c.line_no <= h.line_no AND c.section IS NULL AND c.is_heading AND c.level <= t.level)""",
+)
+def _(spark, sf):
+    lines = items(spark, sf, **_LEVELLED)
+    return CV.cv_sections_by_level(lines, spark.createDataFrame(_LEVEL_TITLES, "title_key string, section string")).select("document_id", "line_no", "section", "text")
+
+
+@query(
+    "cvx06_titles",
+    f"""{_LEVEL_SQL}, f AS (SELECT document_id, min(line_no) FILTER (section <> '_other') AS first, min(line_no) FILTER (section IS NULL AND is_heading) AS found_at FROM k GROUP BY document_id)
+    SELECT f.document_id, k.line_no, text AS title, (s + n) % 6 = 4 AS is_name FROM f JOIN k ON k.document_id = f.document_id AND line_no = found_at WHERE first IS NULL OR found_at < first""",
+)
+def _(spark, sf):
+    lines = items(spark, sf, **_LEVELLED)
+    return CV.cv_titles(lines, spark.createDataFrame(_LEVEL_TITLES, "title_key string, section string"))
+
+
+@query(
+    "doc07_heading_parents",
+    f"""{_LEVEL_SQL} SELECT a.document_id, a.line_no, (SELECT max(b.line_no) FROM k b WHERE b.document_id = a.document_id AND b.line_no < a.line_no AND b.level < a.level) AS parent FROM k a WHERE level IS NOT NULL""",
+)
+def _(spark, sf):
+    heads = items(spark, sf, **_LEVELLED).where("level IS NOT NULL").selectExpr("document_id", "line_no", "level")
+    return CV.heading_parents(heads).select("document_id", "line_no", "parent")
+
+
 @query("cvx03_languages", rows_sql("ord int, language string, level string", [(0, "English", "fluent"), (1, "Arabic", "native"), (2, "French", None)]))
 def _(spark, sf):
     ordered = per_customer(spark, sf, "ord int, item string", [(0, "English (Fluent)"), (1, "Arabic - native"), (2, "French")])
