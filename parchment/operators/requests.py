@@ -82,25 +82,28 @@ def ttl_reuse(events: DataFrame, key: str, seconds: str, ttl: int) -> DataFrame:
     counts from the fetch, not from the last use; ttl 0 never reuses.  Times count in whole microseconds; event ids are unique; a null
     key is a key of its own; requests without a time come first and are fetches.
 
-    Events are dealt by ranges of (key, time), so a frequent key is many tasks' work.  A key whose events are in one range is read in
-    order, one number being held.  A key that a border cuts (fewer keys than there are ranges) goes by links: each event names the first
-    one that is more than ``ttl`` later, and the fetches are what the first event leads to, marked by doubling the links."""
+    A key of at most ``HOT_ROWS`` requests is read in order by one task, which holds one number.  Those of a more frequent key are dealt
+    by ranges of time over many tasks and go by links: each names the first one that is more than ``ttl`` later, and the fetches are
+    what the first one leads to, marked by doubling the links.  Both ways give the same answers."""
     rows = events.select(
         F.col("event_id").cast("long").alias("event_id"), F.coalesce(F.concat(F.lit("k"), F.col(key).cast("string")), F.lit("")).alias("k"),
         F.round(F.col(seconds).cast("double") * 1_000_000).cast("long").alias("t"),
     )
     if ttl <= 0:
         return rows.select("event_id", F.lit(False).alias("reused"))
-    untimed = rows.where(F.col("t").isNull()).select("event_id", F.lit(False).alias("reused"))
     n = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    ranged = rows.where(F.col("t").isNotNull()).repartitionByRange(n, "k", "t", "event_id").sortWithinPartitions("k", "t", "event_id")
-    ranged = stored(ranged.withColumn("r", F.spark_partition_id()), "ranged")
-    cut = ranged.groupBy("k").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a < b").select("k")
-    cut = stored(cut, "cut-keys")  # at most one for each border between ranges
-    inner = ranged.join(F.broadcast(cut), "k", "left_anti").select("event_id", "k", "t")
-    across = ranged.join(F.broadcast(cut), "k", "left_semi").select("event_id", "k", "t")
+    timed, untimed = rows.where(F.col("t").isNotNull()), rows.where(F.col("t").isNull()).select("event_id", F.lit(False).alias("reused"))
+    hot = stored(timed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > HOT_ROWS).select("k"), "hot-keys")
+    inner = timed.join(hot, "k", "left_anti").select("event_id", "k", "t")
     folded = inner.repartition(n, "k").sortWithinPartitions("k", "t", "event_id").mapInArrow(_fold(ttl * 1_000_000), "event_id long, reused boolean")
-    return folded.unionByName(_by_links(across, ttl * 1_000_000, n)).unionByName(untimed)
+    out = folded.unionByName(untimed)
+    if hot.isEmpty():
+        return out
+    return out.unionByName(_by_links(timed.join(hot, "k", "left_semi").select("event_id", "k", "t"), ttl * 1_000_000, n))
+
+
+#: Requests of a key that one task reads.
+HOT_ROWS = 1_000_000
 
 
 def _fold(ttl: int):
