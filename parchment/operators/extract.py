@@ -8,18 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parchment.functions.text import FOLD_FROM, FOLD_TO, label_keys, matching_key, to_ascii_digits
-from parchment.operators.spans import dates, durations, hours, money, percentages, read_values, working_day_counts  # noqa: F401
+from parchment.operators.spans import (  # noqa: F401 - the readers are part of this module's operators
+    ARABIC_NUMBERS,
+    NUMBER_WORDS,
+    dates,
+    durations,
+    hours,
+    money,
+    percentages,
+    read_values,
+    working_day_counts,
+)
 
 STRONG_METHODS = ("table_row", "labeled_line")
 CONFIDENCE = ("low", "medium", "high")
 STATUSES = ("found", "not_found", "ambiguous", "not_applicable", "not_extracted")
 
-# English number words.
-NUMBER_WORDS = {
-    "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11,
-    "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19,
-    "twenty": 20, "thirty": 30, "forty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90,
-}
 
 def number_words(tokens: Column) -> Column:
     """Value of an array of English number words: tens and units add, ``hundred`` multiplies; null with an unknown word."""
@@ -239,14 +243,6 @@ def weakest_confidence(confidences: Column) -> Column:
     return F.element_at(order, F.array_min(F.transform(confidences, lambda c: F.array_position(order, c).cast("int"))))
 
 
-# Arabic number words, folded.
-ARABIC_NUMBERS = {
-    "واحد": 1, "اثنان": 2, "اثنين": 2, "ثلاثه": 3, "ثلاث": 3, "اربعه": 4, "اربع": 4, "خمسه": 5, "خمس": 5, "سته": 6, "ست": 6, "سبعه": 7, "سبع": 7,
-    "ثمانيه": 8, "ثماني": 8, "تسعه": 9, "تسع": 9, "عشره": 10, "عشر": 10, "عشرون": 20, "عشرين": 20, "ثلاثون": 30, "ثلاثين": 30, "اربعون": 40, "اربعين": 40,
-    "خمسون": 50, "خمسين": 50, "ستون": 60, "ستين": 60, "سبعون": 70, "سبعين": 70, "ثمانون": 80, "ثمانين": 80, "تسعون": 90, "تسعين": 90, "مايه": 100, "مايتان": 200, "مايتين": 200,
-}
-
-
 def arabic_number(text: Column) -> Column:
     """Sum of the Arabic number words of a phrase, a joined ``and`` letter aside; null if there are none or other words stand between."""
     table = F.create_map(*[F.lit(x) for kv in ARABIC_NUMBERS.items() for x in kv])
