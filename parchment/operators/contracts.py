@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions import values as V
@@ -16,6 +16,9 @@ from parchment.operators import clauses as C
 from parchment.operators import extract as X
 from parchment.operators import structure as S
 
+#: Tasks that contracts are dealt out to, for each core.
+TASKS_A_CORE = 4
+
 
 def phrases(*found: str) -> str:
     """A pattern for folded text: any of the phrases, at a word's start where they are Latin."""
@@ -109,23 +112,26 @@ def specs(spark, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
 
 
 def canonical(rows: DataFrame) -> DataFrame:
-    """rows(document_id, field, kind, ord, raw, source, method), each with a number ``id`` -> candidates with ``key``: texts as they
-    are, others as their one reading in canonical form, null where it can't be read or is not the only one."""
-    units = rows.where(F.col("kind") != "text").select(F.col("id").alias("document_id"), F.col("kind").alias("unit_no"), F.col("raw").alias("text"))
-    value = F.regexp_replace(F.col("value").cast("string"), r"\.0$", "")
-    key = (
-        F.when(F.col("kind") == "duration", V.normalized_duration(F.col("value"), F.col("unit"), F.col("qualifier")))
-        .when(F.col("kind") == "money", V.normalized_money(F.col("value"), F.col("currency"), F.col("period")))
-        .when(F.col("kind") == "hours", F.concat_ws(" ", value, F.lit("hours"), F.concat(F.lit("per "), F.col("unit"))))
-        .otherwise(F.col("iso_date").cast("string"))
-    )
-    # one pass over the texts; a text's readings of its own kind count
-    read = X.read_values(units, "duration", "money", "hours", "date", require_currency=False).where(F.col("kind") == F.col("unit_no"))
-    read = read.select("document_id", key.alias("key"), (F.col("value").isNotNull() | F.col("iso_date").isNotNull()).alias("ok"))
-    single = read.groupBy("document_id").agg(F.countDistinct("key").alias("n"), F.min("key").alias("key"), F.bool_and("ok").alias("ok"))
-    single = single.select(F.col("document_id").alias("id"), F.when(F.col("ok") & (F.col("n") == 1), F.col("key")).alias("reading"))
-    key = F.when(F.col("kind") == "text", F.nullif(F.trim("raw"), F.lit(""))).otherwise(F.col("reading"))
-    return rows.join(single, "id", "left").select("document_id", "field", "ord", key.alias("key"), "raw", "source", "method")
+    """rows(document_id, field, kind, ord, raw, source, method) -> candidates with ``key``: texts as they are, others as their one
+    reading in canonical form, null where it can't be read or is not the only one."""
+
+    def form(r: Column) -> Column:
+        value = F.regexp_replace(r["value"].cast("string"), r"\.0$", "")
+        return (
+            F.when(r["kind"] == "duration", V.normalized_duration(r["value"], r["unit"], r["qualifier"]))
+            .when(r["kind"] == "money", V.normalized_money(r["value"], r["currency"], r["period"]))
+            .when(r["kind"] == "hours", F.concat_ws(" ", value, F.lit("hours"), F.concat(F.lit("per "), r["unit"])))
+            .otherwise(r["iso_date"].cast("string"))
+        )
+
+    # one pass over the texts, beside their rows; a text's readings of its own kind count
+    read = X.with_readings(rows, F.when(F.col("kind") != "text", F.col("raw")), "duration", "money", "hours", "date", require_currency=False)
+    read = read.withColumn("own", F.filter("readings", lambda r: r["kind"] == F.col("kind")))
+    forms = F.array_distinct(F.array_compact(F.transform("own", form)))
+    ok = F.forall("own", lambda r: r["value"].isNotNull() | r["iso_date"].isNotNull())
+    reading = F.when(ok & (F.size(forms) == 1), forms[0])
+    key = F.when(F.col("kind") == "text", F.nullif(F.trim("raw"), F.lit(""))).otherwise(reading)
+    return read.select("document_id", "field", "ord", key.alias("key"), "raw", "source", "method")
 
 
 def labelled(lines: DataFrame, known: DataFrame) -> DataFrame:
@@ -136,29 +142,27 @@ def labelled(lines: DataFrame, known: DataFrame) -> DataFrame:
 
 def narrated(sentences: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """sentences(document_id, no, text) -> the same columns for sentences with a field's cue, that are no labelled lines."""
-    key = matching_key(F.col("text"))
+    key = F.col("_key")  # a column, so that the patterns share it
     tried = [F.when(key.rlike(phrases(*f.cues)), F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"))) for f in fields if f.cues]
-    plain = sentences.where(~F.col("text").rlike("[:：\t]"))
+    plain = sentences.where(~F.col("text").rlike("[:：\t]")).withColumn("_key", matching_key(F.col("text")))
     return plain.select("document_id", F.inline(F.array_compact(F.array(*tried))), (F.col("no") * 100).alias("ord"), "text").select(
         "document_id", "field", "kind", "ord", F.col("text").alias("raw"), F.col("text").alias("source"), F.lit("narrative").alias("method")
     )
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("id", F.xxhash64("document_id", "field", "ord", "raw", "method"))
-
-
 def read_fields(docs: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """docs(document_id, text) -> (document_id, field, path, status, key) of every field that is stated: by a label, else in a sentence."""
     from parchment.functions.text import lines as lines_of
     from parchment.functions.text import sentences as sentences_of
 
     known = specs(docs.sparkSession, fields)
+    # dealt out once by document: all steps below are within one, and the work is in the texts, whatever files they came in
+    docs = docs.select("document_id", "text").repartition(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, "document_id")
     lines = docs.select("document_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "text"))
     told = docs.select("document_id", F.posexplode(sentences_of(F.col("text"))).alias("no", "text"))
-    by_label = X.resolve(canonical(_numbered(labelled(lines, known))))
+    by_label = X.resolve(canonical(labelled(lines, known)))
     # a sentence with a cue and no reading says nothing about the field's value
-    by_sentence = X.resolve(canonical(_numbered(narrated(told, fields))).where("key IS NOT NULL"))
+    by_sentence = X.resolve(canonical(narrated(told, fields)).where("key IS NOT NULL"))
     return X.merge_semantic(by_label, by_sentence)
 
 
@@ -167,8 +171,8 @@ def read_clauses(docs: DataFrame) -> DataFrame:
     from parchment.functions.text import sentences as sentences_of
 
     told = docs.select(F.col("document_id").alias("section_id"), F.posexplode(sentences_of(F.col("text"))).alias("pos", "text"))
-    typed = told.withColumn("type", C.classify(matching_key(F.col("text")), SENTENCE_RULES))
-    return C.segment(typed).withColumnRenamed("section_id", "document_id")
+    keyed = told.withColumn("_key", matching_key(F.col("text")))
+    return C.segment(keyed.withColumn("type", C.classify(F.col("_key"), SENTENCE_RULES)).drop("_key")).withColumnRenamed("section_id", "document_id")
 
 
 def duration_facts(fields: DataFrame) -> DataFrame:
@@ -182,8 +186,9 @@ def check_fields(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """facts(document_id, field, value, unit) with rules(rule_id, field, rule_type, value, value_max, unit) -> (document_id, field, status)."""
     from parchment.operators import rules as L
 
+    rules = F.broadcast(rules)
     linked = facts.join(rules.select("rule_id", "field"), "field").withColumns(
-        {"fact_id": F.xxhash64("document_id", "field", "rule_id"), "source_text": F.lit(None).cast("string")}
+        {"fact_id": F.struct("document_id", "field", "rule_id"), "source_text": F.lit(None).cast("string")}
     )
     judged = L.finding_status(L.compare(linked.select("fact_id", "rule_id", "value", "unit", "source_text"), rules.drop("field")))
-    return judged.join(linked.select("fact_id", "document_id", "field"), "fact_id").select("document_id", "field", "status")
+    return judged.select("fact_id.document_id", "fact_id.field", "status")

@@ -17,6 +17,7 @@ from parchment.operators.spans import (  # noqa: F401 - the readers are part of
     money,
     percentages,
     read_values,
+    with_readings,
     working_day_counts,
 )
 
@@ -67,9 +68,10 @@ def working_days(text: Column) -> Column:
 
 
 def label_candidates(pairs: DataFrame, specs: DataFrame) -> DataFrame:
-    """pairs(document_id, ord, label, value) x specs(field, label_key): every field whose key the label has."""
+    """pairs(document_id, ord, label, value) x specs(field, label_key): every field whose key the label has.
+    The specs are a rule table and go to the tasks; the pairs stay where they are."""
     keyed = pairs.select("*", F.explode(label_keys(F.col("label"))).alias("label_key"))
-    return keyed.join(specs, "label_key").drop("label_key").distinct()
+    return keyed.join(F.broadcast(specs), "label_key").drop("label_key").distinct()
 
 
 def keyword_candidates(sentences: DataFrame, specs: DataFrame, guards: DataFrame) -> DataFrame:
@@ -180,7 +182,7 @@ def merge_days(named: Column, count: Column) -> Column:
 def other_allowances(pairs: DataFrame, specs: DataFrame) -> DataFrame:
     """Labels that no field knows and that read as an allowance."""
     keyed = pairs.withColumn("k", matching_key(F.col("label")))
-    free = keyed.join(specs.select(F.col("label_key").alias("k")), "k", "left_anti")
+    free = keyed.join(F.broadcast(specs.select(F.col("label_key").alias("k"))), "k", "left_anti")
     return free.where(F.col("k").rlike(r"^بدل |\ballowances?$")).drop("k")
 
 

@@ -18,7 +18,7 @@ def _phrase(kind: str):
 def thresholds(articles: DataFrame, numbers: DataFrame, allow_digits: bool = False) -> DataFrame:
     """articles(article_id, text) x numbers(token, value) -> (article_id, kind, value, unit) of phrases such as "not more than
     ninety days".  A phrase's number is the sum of its known words; phrases with none are left out."""
-    key = matching_key(F.col("text"))
+    key = F.col("_key")
     units = "(يوما?|ايام|اسبوعا?|اسابيع|شهرا?|اشهر|سنه|سنوات|ساعه|ساعات|days?|weeks?|months?|years?|hours?)"
     words = r"((?:[^\s]+\s+){1,6}?)"
     patterns = (
@@ -41,10 +41,11 @@ def thresholds(articles: DataFrame, numbers: DataFrame, allow_digits: bool = Fal
             ]
         )
     )
-    rows = articles.select("article_id", F.posexplode(found).alias("no", "m")).select(
+    rows = articles.select("article_id", matching_key(F.col("text")).alias("_key")).select("article_id", F.posexplode(found).alias("no", "m")).select(
         "article_id", "no", "m.kind", "m.unit", F.explode(F.split(F.trim("m.phrase"), r"\s+")).alias("token")
     )
-    known = rows.join(numbers, "token", "left")
+    # the numbers are a word list; a shuffle by token would gather the texts of each common word
+    known = rows.join(F.broadcast(numbers), "token", "left")
     value = F.coalesce("value", F.col("token").try_cast("double")) if allow_digits else F.col("value")
     unit = (
         F.when(F.col("unit").rlike("^(يوم|ايام|day)"), "day").when(F.col("unit").rlike("^(اسب|اساب|week)"), "week")
@@ -59,13 +60,13 @@ def thresholds(articles: DataFrame, numbers: DataFrame, allow_digits: bool = Fal
 def derive_rules(articles: DataFrame, found: DataFrame) -> DataFrame:
     """One rule an article: a range from one maximum and one minimum of a unit; conditional with a cue and one threshold or with
     several; maximum or minimum; prohibition; requirement; unknown."""
-    key = matching_key(F.col("text"))
+    key = F.col("_key")
     by = found.groupBy("article_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("kind") == "max").alias("n_max"), F.count_if(F.col("kind") == "min").alias("n_min"),
         F.countDistinct("unit").alias("units"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min("unit").alias("unit"),
         F.min("kind").alias("kind"),
     )
-    joined = articles.join(by, "article_id", "left")
+    joined = articles.withColumn("_key", matching_key(F.col("text"))).join(by, "article_id", "left")
     n = F.coalesce("n", F.lit(0))
     cue = key.rlike(r"\b(if|unless|provided)\b|اذا|بشرط|ما لم")
     kind = (

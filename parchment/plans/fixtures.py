@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from parchment.sources.tables import read_table
 
 
+TASKS_A_CORE = 4
+
+
 def _fields(ddl: str) -> list[tuple[str, str]]:
     return [tuple(part.strip().split(" ", 1)) for part in ddl.split(",")]
 
@@ -26,7 +29,9 @@ def per_customer(spark: SparkSession, sf: str, ddl: str, rows: list[tuple]) -> D
     """(document_id, fields of ddl): the rows once for each customer."""
     fields = _fields(ddl)
     entries = F.array(*[F.struct(*[_value(v, kind).alias(c) for v, (c, kind) in zip(row, fields)]) for row in rows])
-    out = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("document_id"), F.inline(entries))
+    # the keys are a small file that one task would read, and all documents with it
+    keys = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("document_id"))
+    out = keys.repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism, "document_id").select("document_id", F.inline(entries))
     key = F.col("document_id").cast("string")
     for c, kind in fields:
         if kind == "string":

@@ -436,3 +436,20 @@ def test_numbering_by_splitters(spark, monkeypatch):
     order = sorted(rows_in, key=lambda x: (x[1] is not None, x[1] or 0, x[0]))
     assert got == {c: k for k, (c, _) in enumerate(order, 1)}
     assert E.numbered(df.limit(0), "v", ["case_id"], "no").count() == 0
+
+
+def test_rule_tables_go_to_the_rows(spark):
+    """A rule table has no known size; without a hint the rows, small as a file, would be gathered and sent instead."""
+    from parchment.operators import extract as X
+    from parchment.operators import rules as L
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    pairs = spark.range(10).selectExpr("id AS document_id", "0 AS ord", "'Basic pay' AS label", "'5' AS value")
+    specs = spark.createDataFrame([("basic", "basic pay")], "field string, label_key string")
+    found = X.label_candidates(pairs, specs)
+    assert "BuildRight" in plan(found) and "BuildLeft" not in plan(found) and found.count() == 10
+    articles = spark.range(4).selectExpr("CAST(id AS STRING) AS article_id", "'at most two days' AS text")
+    limits = L.thresholds(articles, spark.createDataFrame([("two", 2.0)], "token string, value double"))
+    assert "BroadcastHashJoin" in plan(limits) and "SortMergeJoin" not in plan(limits) and limits.count() == 4

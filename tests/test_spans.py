@@ -84,3 +84,22 @@ def test_no_rows(spark):
     units = spark.createDataFrame([], "document_id string, unit_no int, text string")
     for reader in (X.durations, X.hours, X.working_day_counts, X.money, X.percentages, X.dates):
         assert reader(units).count() == 0
+
+
+def test_equal_texts_are_read_once_and_every_row_has_its_readings(spark, monkeypatch):
+    """Repeated, null and empty texts between others; the store of readings starts anew when it is full."""
+    cut = []
+    monkeypatch.setattr(X, "tokens", lambda text, real=X.tokens: cut.append(text) or real(text))
+    monkeypatch.setattr(X, "KEPT_TEXTS", 2)
+    found = X._Readings(("duration",), {})
+    texts = ["two days", "two days", "none", "two days", "1 to 2 weeks and 3 days", "two days"]
+    assert [len(found.of(t)) for t in texts] == [1, 1, 0, 1, 2, 1]
+    assert cut == ["two days", "none", "1 to 2 weeks and 3 days", "two days"] and len(found.kept) <= 2
+    monkeypatch.undo()
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([None, "two days", "", "no figure", "1 to 2 weeks and 3 days", "two days"])], "no int, t string").coalesce(1)
+    nested = X.with_readings(rows, rows.t, "duration").orderBy("no").collect()
+    assert [[(r["no"], r["value"], r["note"]) for r in x["readings"]] for x in nested] == [
+        [], [(0, 2.0, None)], [], [], [(0, None, "range"), (1, 3.0, None)], [(0, 2.0, None)]
+    ]
+    flat = X.durations(rows.selectExpr("no AS document_id", "'u' AS unit_no", "t AS text")).select("document_id", "count").orderBy("document_id", "no").collect()
+    assert [tuple(r) for r in flat] == [(1, 2), (4, None), (4, 3), (5, 2)]
