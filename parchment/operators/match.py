@@ -282,11 +282,13 @@ def cv_languages(items: DataFrame) -> DataFrame:
 
 
 def cv_certs(items: DataFrame) -> DataFrame:
-    """items(document_id, item) -> certificate and its year."""
+    """items(document_id, item) -> certificate and its year: the one at the end, which is no part of the name, else the first."""
+    at_end = rf"[(\s,–-]*{_YEAR}\)?\s*$"
+    last = F.nullif(F.regexp_extract("item", at_end, 1), F.lit(""))
     return items.select(
         "document_id",
-        F.trim(F.regexp_replace("item", r"[(\s,–-]*(?:19|20)\d\d\)?\s*$", "")).alias("certificate"),
-        F.regexp_extract("item", _YEAR, 1).try_cast("int").alias("year"),
+        F.trim(F.regexp_replace("item", at_end, "")).alias("certificate"),
+        F.coalesce(last, F.regexp_extract("item", _YEAR, 1)).try_cast("int").alias("year"),
     )
 
 

@@ -453,3 +453,27 @@ def test_rule_tables_go_to_the_rows(spark):
     articles = spark.range(4).selectExpr("CAST(id AS STRING) AS article_id", "'at most two days' AS text")
     limits = L.thresholds(articles, spark.createDataFrame([("two", 2.0)], "token string, value double"))
     assert "BroadcastHashJoin" in plan(limits) and "SortMergeJoin" not in plan(limits) and limits.count() == 4
+
+
+def test_a_certificate_named_by_a_year_has_the_year_at_its_end(spark):
+    from parchment.operators import match as CV
+
+    items = [("PMP 1950 (2019)",), ("ISO 2001, 2021",), ("CPA",), ("Level 12019",), ("since 2015 in force",)]
+    got = CV.cv_certs(spark.createDataFrame(items, "item string").selectExpr("1 AS document_id", "item")).collect()
+    assert [(r["certificate"], r["year"]) for r in got] == [("PMP 1950", 2019), ("ISO 2001", 2021), ("CPA", None), ("Level 12019", None), ("since 2015 in force", 2015)]
+
+
+def test_provenance_of_equal_places_equals_its_sql(spark, tmp_path):
+    """Two lines of an order with one number and part: the order between their texts and pages is a rule, not chance."""
+    import duckdb
+
+    from parchment.plans import checks
+
+    rows = [(1, p, s, 1, float(q), 1.0, 0.0, "A", "O") for p, s, q in ((5, 3, 2), (5, 1, 1), (5, 2, 1), (5, 1, 3), (4, 2, 5))]
+    names = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame(rows, names).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = [tuple(r) for r in checks.QUERIES["cmp17_provenance"](spark, str(tmp_path)).collect()]
+    db = duckdb.connect()
+    for turn in ("l_suppkey", "l_suppkey DESC"):
+        db.execute(f"CREATE OR REPLACE TABLE lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet' ORDER BY {turn}")
+        assert db.execute(checks.SQL["cmp17_provenance"]).fetchall() == got == [(1, "A", "text 0,text 1,text 2", "2,1,3")]
