@@ -198,7 +198,8 @@ def compensation_matrix(fields: DataFrame, names: list[str]) -> DataFrame:
 
 
 def provenance(fields: DataFrame) -> DataFrame:
-    """fields(group_id, contract_id, dimension, ord, raw, page) -> distinct raw values and pages in order, blanks left out."""
+    """fields(group_id, contract_id, dimension, ord, raw, page) -> distinct raw values and pages in order, blanks left out;
+    rows of one place go by raw value, then page."""
     rows = F.sort_array(F.collect_list(F.struct("ord", "raw", "page")))
     return fields.groupBy("group_id", "contract_id", "dimension").agg(rows.alias("r")).select(
         "group_id", "contract_id", "dimension",
