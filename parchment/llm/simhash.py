@@ -14,7 +14,8 @@
    edges of a spanning forest only, never all of its pairs.
 
 ``first_of_groups`` asks for a similarity of shingle sets instead of a distance: several independent fingerprints
-are searched as above, each fingerprint's nearest smaller ones are candidates, and shingle sets decide.
+are searched as above, each fingerprint's nearest smaller ones are candidates, and shingle sets decide.  Sets of different
+components that share one of their first shingles, in an order that puts frequent ones last, are candidates too, so no pair is missed.
 
 Null text counts as empty.  Documents without words have fingerprint zero and
 link like any others.  Rows with a null id get fingerprint and a null
@@ -43,6 +44,8 @@ SEED = 42
 #: with, and differing bits of a candidate (pairs of similarity 0.8 differ in 10 of 64 on average, with a deviation of 3).
 SET_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, SET_RADIUS, NEAREST = 6, 2, 15
+#: Of the order of shingles: one set of so many is counted, and those that so many of them have, at most so many, go last.
+SAMPLED, OFTEN, FREQUENT = 16, 8, 200_000
 #: Fingerprints of one block of a frequent value.
 BLOCK = 4096
 #: Pairs that are compared at once within a task.
@@ -470,9 +473,73 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     return both.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
 
 
+def _rest_of(length: int, least: float) -> int:
+    """Elements of a set of which another of Jaccard similarity ``least`` must have one, whatever the order they are taken in."""
+    return length - int(np.ceil(least * length - 1e-9)) + 1
+
+
+def _prefixes(frequent: np.ndarray, least: float):
+    """(key, component, body) -> (token, key, component, size, left) for the first shingles of a set, the frequent ones last; ``left`` shingles of the
+    set are not before the token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, sizes = [], []
+            for body in batch.column(2):
+                s = _shingle_set(body.as_py())
+                late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
+                first = np.concatenate([s[~late], s[late]])[: _rest_of(len(s), least) if len(s) else 0]
+                found.append(first)
+                sizes.append(len(s))
+            n = np.array(list(map(len, found)), np.int64)
+            at = pa.array(np.repeat(np.arange(len(n)), n))
+            token = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            size = pa.array(np.repeat(np.array(sizes, np.int32), n))
+            left = pa.array(np.repeat(sizes, n) - np.concatenate([*map(np.arange, n), np.zeros(0, np.int64)]), pa.int32())
+            cols = [pa.array(token), batch.column(0).take(at), batch.column(1).take(at), size, left]
+            yield pa.RecordBatch.from_arrays(cols, ["token", "key", "component", "size", "left"])
+
+    return run
+
+
+def _shared_prefixes(members: DataFrame, least: float) -> DataFrame:
+    """members(key, component, body), a row for each shingle set -> all pairs (u, v) of different components that may have the
+    similarity: two such sets share a shingle among their first ones in any common order.  The order only decides how many pairs
+    there are; it puts those last that are frequent in a sample of the sets."""
+    sample = members.where(F.pmod("key", F.lit(SAMPLED)) == 0).select("key", "body").mapInArrow(_sets, "key long, hashes array<bigint>")
+    counted = sample.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+    often = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow().column(0).to_numpy()
+    frequent = np.sort(np.ascontiguousarray(often).astype(np.int64).view(np.uint64))
+    fields = "token long, key long, component long, size int, left int"
+    held = stored(members.select("key", "component", "body").mapInArrow(_prefixes(frequent, least), fields), "prefixes")
+    # a shingle of one component alone links nothing new
+    across = held.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
+    some = stored(held.join(across, "token", "left_semi"), "across")
+    a, b = some.toDF("token", "u", "cu", "nu", "lu"), some.toDF("token", "v", "cv", "nv", "lv")
+    # at the first shingle that a pair shares, no more than what is left of both can be shared
+    fits = F.least("lu", "lv") >= F.lit(least / (1 + least)) * (F.col("nu") + F.col("nv")) - 1e-9
+    return a.join(b, "token").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & fits).select("u", "v").distinct()
+
+
+def _linked(pairs: DataFrame, bodies: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose shingle sets have the similarity."""
+    wanted = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
+    where = nodes.join(wanted, "key", "left_semi").select("key", "first.did", "first.row")
+    sets = stored(
+        bodies.join(where, ["did", "row"]).select("key", "body").mapInArrow(_sets, "key long, hashes array<bigint>").dropDuplicates(["key"]), "sets"
+    )
+    both = F.size(F.array_intersect("x", "y"))
+    return (
+        pairs.join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("x")), "u")
+        .join(sets.select(F.col("key").alias("v"), F.col("hashes").alias("y")), "v")
+        .where(both >= least * (F.size("x") + F.size("y") - both))
+        .select("u", "v")
+    )
+
+
 def first_of_groups(docs: DataFrame, columns: tuple[str, ...], least: float = SIMILARITY) -> DataFrame:
     """The rows of ``docs``, reduced to ``columns`` (doc_id and text among them), that come first in their group of near
-    copies: least doc_id, null last.  Groups are linked by pairs of shingle sets (five words, no repeats) of Jaccard similarity
+    copies: least doc_id, null last.  Groups are linked by all pairs of shingle sets (five words, no repeats) of Jaccard similarity
     ``least`` or more.  Different rows with one id are documents of their own, of equal rows one stays."""
     small_batches(docs.sparkSession)
     none = F.lit(2**63 - 1).cast("long")
@@ -491,18 +558,13 @@ def first_of_groups(docs: DataFrame, columns: tuple[str, ...], least: float = SI
         "nodes",
     )
     pairs = stored(_candidates(nodes.drop("first")), "candidates")
-    wanted = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    where = nodes.join(wanted, "key", "left_semi").select("key", "first.did", "first.row")
-    sets = stored(
-        bodies.join(where, ["did", "row"]).select("key", "body").mapInArrow(_sets, "key long, hashes array<bigint>").dropDuplicates(["key"]), "sets"
-    )
-    both = F.size(F.array_intersect("x", "y"))
-    links = (
-        pairs.join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("x")), "u")
-        .join(sets.select(F.col("key").alias("v"), F.col("hashes").alias("y")), "v")
-        .where(both >= least * (F.size("x") + F.size("y") - both))
-        .select("u", "v")
-    )
+    # most near copies are linked by their fingerprints; what these miss is looked for between the components that they leave
+    links = stored(_linked(pairs, bodies, nodes, least), "links")
+    near = stored(connected_components(links), "components")
+    named = nodes.join(near, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"), "first.did", "first.row")
+    members = bodies.join(named, ["did", "row"]).dropDuplicates(["key"])
+    more = stored(_shared_prefixes(members, least), "candidates")
+    links = links.unionByName(_linked(more, bodies, nodes, least))
     comps = stored(connected_components(links), "components")
     group = F.coalesce("component", "key")
     kept = stored(

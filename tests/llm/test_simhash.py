@@ -95,3 +95,36 @@ def test_graph_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r["node"]: r["component"] for r in graph.connected_components(edges).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[101] == 100 and 200 not in got
+
+
+def test_no_pair_of_the_similarity_is_left_out(spark):
+    """Texts at and just above 0.8, below it, and chains, against all pairs."""
+    import random
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(rng.randint(20, 90))]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 40)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    sets = {i: frozenset(simhash._shingle_set(t.encode()).tolist()) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in simhash.first_of_groups(docs, ("doc_id", "text")).collect())
+    assert got == sorted({find(i) for i in sets})
