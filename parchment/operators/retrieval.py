@@ -18,6 +18,8 @@ DENSE_K = 3
 TOP_K = 5
 #: Query vectors that are sent to the tasks at once.
 QUERY_BLOCK = 4096
+#: Scores held at a time.
+CELLS = 500_000
 
 
 @dataclass
@@ -100,12 +102,15 @@ def _best(ids: np.ndarray, q: np.ndarray, k: int):
                 continue
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(doc), -1)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            s = q @ x.T
-            d = np.broadcast_to(doc, s.shape)
-            if best is not None:
-                s, d = np.concatenate([best[0], s], axis=1), np.concatenate([best[1], d], axis=1)
-            order = np.lexsort((-d, -s), axis=1)[:, :k]
-            best = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+            # a few vectors at a time, so that the scores of a step have a bounded size whatever the batch and the block of queries
+            step = max(1, CELLS // len(q))
+            for at in range(0, len(doc), step):
+                s = q @ x[at : at + step].T
+                d = np.broadcast_to(doc[at : at + step], s.shape)
+                if best is not None:
+                    s, d = np.concatenate([best[0], s], axis=1), np.concatenate([best[1], d], axis=1)
+                order = np.lexsort((-d, -s), axis=1)[:, :k]
+                best = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
         if best is not None:
             s, d = best
             yield pa.RecordBatch.from_arrays(

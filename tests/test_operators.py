@@ -477,3 +477,23 @@ def test_provenance_of_equal_places_equals_its_sql(spark, tmp_path):
     for turn in ("l_suppkey", "l_suppkey DESC"):
         db.execute(f"CREATE OR REPLACE TABLE lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet' ORDER BY {turn}")
         assert db.execute(checks.SQL["cmp17_provenance"]).fetchall() == got == [(1, "A", "text 0,text 1,text 2", "2,1,3")]
+
+
+def test_dense_scores_are_held_a_few_at_a_time():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from parchment.operators import retrieval as R
+
+    rng = np.random.default_rng(1)
+    q, x = rng.normal(size=(2000, 8)), rng.normal(size=(4000, 8))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(4000)), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "embedding"])
+    tracemalloc.start()
+    out = list(R._best(np.arange(2000), q, 3)(iter([batch])))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    best = np.argsort(-(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T), axis=1)[:, :3]
+    assert out.column(1).to_pylist() == best.ravel().tolist() and peak < 60e6
