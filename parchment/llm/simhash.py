@@ -479,55 +479,67 @@ def _rest_of(length: int, least: float) -> int:
 
 
 def _prefixes(frequent: np.ndarray, least: float):
-    """(key, component, body) -> (token, key, component, size, left) for the first shingles of a set, the frequent ones last; ``left`` shingles of the
-    set are not before the token."""
+    """(did, row, body) -> (did, row, size, first, low): the size of the shingle set, 32 bits of its first shingles, the frequent ones last, and
+    the different values of 16 bits of all of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
+            first, low, sizes = [], [], []
             for body in batch.column(2):
                 s = _shingle_set(body.as_py())
                 late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
-                first = np.concatenate([s[~late], s[late]])[: _rest_of(len(s), least) if len(s) else 0]
-                found.append(first)
+                some = np.concatenate([s[~late], s[late]])[: _rest_of(len(s), least) if len(s) else 0]
+                first.append(some.astype(np.uint32).view(np.int32))
+                low.append(np.unique(s.astype(np.uint16)).view(np.int16))
                 sizes.append(len(s))
-            n = np.array(list(map(len, found)), np.int64)
-            at = pa.array(np.repeat(np.arange(len(n)), n))
-            token = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
-            size = pa.array(np.repeat(np.array(sizes, np.int32), n))
-            left = pa.array(np.repeat(sizes, n) - np.concatenate([*map(np.arange, n), np.zeros(0, np.int64)]), pa.int32())
-            cols = [pa.array(token), batch.column(0).take(at), batch.column(1).take(at), size, left]
-            yield pa.RecordBatch.from_arrays(cols, ["token", "key", "component", "size", "left"])
+            cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int32())), pa.array(low, pa.list_(pa.int16()))]
+            yield pa.RecordBatch.from_arrays(cols, ["did", "row", "size", "first", "low"])
 
     return run
 
 
-def _shared_prefixes(members: DataFrame, least: float) -> DataFrame:
-    """members(key, component, body), a row for each shingle set -> all pairs (u, v) of different components that may have the
-    similarity: two such sets share a shingle among their first ones in any common order.  The order only decides how many pairs
-    there are; it puts those last that are frequent in a sample of the sets."""
-    sample = members.where(F.pmod("key", F.lit(SAMPLED)) == 0).select("key", "body").mapInArrow(_sets, "key long, hashes array<bigint>")
-    counted = sample.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
+def _shared_prefixes(bodies: DataFrame, named: DataFrame, least: float) -> DataFrame:
+    """bodies(did, row, body) and named(key, component, did, row), a row for each shingle set -> all pairs (u, v) of different components
+    that may have the similarity: two such sets share a shingle among their first ones in any common order.  The order only decides
+    how many pairs there are; it puts those last that are frequent in a sample of the sets.  Texts are not shuffled but for the
+    sample, and shingles go by 32 bits, so that unequal ones may make a pair more but none less."""
+    part = F.pmod(F.xxhash64("did", "row"), F.lit(SAMPLED)) == 0
+    sample = bodies.where(part).join(named.where(part).select("did", "row"), ["did", "row"], "left_semi")
+    hashes = sample.select("row", "body").mapInArrow(_sets, "key long, hashes array<bigint>")
+    counted = hashes.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     often = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow().column(0).to_numpy()
     frequent = np.sort(np.ascontiguousarray(often).astype(np.int64).view(np.uint64))
-    fields = "token long, key long, component long, size int, left int"
-    held = stored(members.select("key", "component", "body").mapInArrow(_prefixes(frequent, least), fields), "prefixes")
+    begun = bodies.mapInArrow(_prefixes(frequent, least), "did long, row long, size int, first array<int>, low array<smallint>")
+    # equal rows have one name
+    held = stored(begun.join(named, ["did", "row"]).dropDuplicates(["did", "row"]).select("key", "component", "size", "first", "low"), "prefixes")
     # a shingle of one component alone links nothing new
-    across = held.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    some = stored(held.join(across, "token", "left_semi"), "across")
+    each = held.select("component", F.explode("first").alias("token"))
+    across = each.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
+    placed = held.select("key", "component", "size", F.posexplode("first").alias("at", "token"))
+    some = stored(placed.join(across, "token", "left_semi").select("token", "key", "component", "size", (F.col("size") - F.col("at")).alias("left")), "across")
     a, b = some.toDF("token", "u", "cu", "nu", "lu"), some.toDF("token", "v", "cv", "nv", "lv")
     # at the first shingle that a pair shares, no more than what is left of both can be shared
     fits = F.least("lu", "lv") >= F.lit(least / (1 + least)) * (F.col("nu") + F.col("nv")) - 1e-9
-    return a.join(b, "token").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & fits).select("u", "v").distinct()
+    pairs = stored(a.join(b, "token").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & fits).select("u", "v").distinct(), "pairs")
+    return _likely(pairs, held, least)
+
+
+def _likely(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) whose sets can have the similarity by 16 bits of their shingles: no more are shared than values of both, and
+    than the shingles that either has beyond one a value."""
+    u = held.select(F.col("key").alias("u"), F.col("size").alias("nu"), F.col("low").alias("x"))
+    v = held.select(F.col("key").alias("v"), F.col("size").alias("nv"), F.col("low").alias("y"))
+    most = F.size(F.array_intersect("x", "y")) + F.least(F.col("nu") - F.size("x"), F.col("nv") - F.size("y"))
+    return pairs.join(u, "u").join(v, "v").where(most >= F.lit(least / (1 + least)) * (F.col("nu") + F.col("nv")) - 1e-9).select("u", "v")
 
 
 def _linked(pairs: DataFrame, bodies: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose shingle sets have the similarity."""
     wanted = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key"))).distinct()
-    where = nodes.join(wanted, "key", "left_semi").select("key", "first.did", "first.row")
-    sets = stored(
-        bodies.join(where, ["did", "row"]).select("key", "body").mapInArrow(_sets, "key long, hashes array<bigint>").dropDuplicates(["key"]), "sets"
-    )
+    where = stored(nodes.join(wanted, "key", "left_semi").select("key", "first.did", "first.row"), "wanted")
+    # equal rows have one name
+    some = bodies.join(where, ["did", "row"]).dropDuplicates(["did", "row"])
+    sets = stored(some.select("key", "body").mapInArrow(_sets, "key long, hashes array<bigint>"), "sets")
     both = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(sets.select(F.col("key").alias("u"), F.col("hashes").alias("x")), "u")
@@ -562,8 +574,7 @@ def first_of_groups(docs: DataFrame, columns: tuple[str, ...], least: float = SI
     links = stored(_linked(pairs, bodies, nodes, least), "links")
     near = stored(connected_components(links), "components")
     named = nodes.join(near, F.col("key") == F.col("node"), "left").select("key", F.coalesce("component", "key").alias("component"), "first.did", "first.row")
-    members = bodies.join(named, ["did", "row"]).dropDuplicates(["key"])
-    more = stored(_shared_prefixes(members, least), "candidates")
+    more = stored(_shared_prefixes(bodies, named, least), "candidates")
     links = links.unionByName(_linked(more, bodies, nodes, least))
     comps = stored(connected_components(links), "components")
     group = F.coalesce("component", "key")

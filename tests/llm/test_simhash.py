@@ -128,3 +128,37 @@ def test_no_pair_of_the_similarity_is_left_out(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r["doc_id"] for r in simhash.first_of_groups(docs, ("doc_id", "text")).collect())
     assert got == sorted({find(i) for i in sets})
+
+
+def test_pairs_below_the_similarity_are_sorted_out_by_few_bits(spark):
+    """No pair of the similarity is lost; of sets that share only a part most go before whole sets are compared."""
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2**64, 30_000, np.uint64)
+    sets = [np.unique(r.choice(pool, 6000)) for _ in range(8)]
+    sets += [np.unique(np.concatenate([s[: int(len(s) * k)], r.integers(0, 2**64, 500, np.uint64)])) for s in sets[:4] for k in (0.8, 0.9, 0.95)]
+    rows = [(i, len(s), np.unique(s.astype(np.uint16)).view(np.int16).tolist()) for i, s in enumerate(sets)]
+    held = spark.createDataFrame(rows, "key long, size int, low array<smallint>")
+    every = [(u, v) for u in range(len(sets)) for v in range(u)]
+    got = {(x["u"], x["v"]) for x in simhash._likely(spark.createDataFrame(every, "u long, v long"), held, 0.8).collect()}
+    alike = {(u, v) for u, v in every if len(np.intersect1d(sets[u], sets[v])) >= 0.8 * len(np.union1d(sets[u], sets[v]))}
+    assert alike and alike <= got and len(got) < len(every) // 4
+
+
+def test_what_near_copies_shuffle_is_bounded_by_the_texts(spark):
+    """Texts go over the wire for the sets of either kind of candidate and for the rows that stay, where Spark can't send the names to them."""
+    import random
+
+    rng = random.Random(7)
+    docs = [(i, " ".join(f"{rng.getrandbits(40):x}" for _ in range(400))) for i in range(200)]
+    docs += [(1000 + i, t + " more") for i, t in docs]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    executor = spark.sparkContext._jsc.sc().statusStore().executorSummary
+    known = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = executor("driver").totalShuffleWrite()
+        assert simhash.first_of_groups(frame, ("doc_id", "text")).count() == 200
+        written = executor("driver").totalShuffleWrite() - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
+    assert written < 6 * sum(len(t) for _, t in docs)
