@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parchment.operators import compare as P
 from parchment.plans.business import _OFFERS, _offers
 from parchment.plans.checks import CONTRACT_FIELDS, contracts
-from parchment.plans.fixtures import items, items_sql, registry, rows_sql
+from parchment.plans.fixtures import TASKS_A_CORE, items, items_sql, registry, rows_sql
 from parchment.plans.text import SENTENCES
 from parchment.sources import tables as S
 from parchment.sources.shared import scratch
@@ -19,9 +19,14 @@ QUERIES, SQL, query = registry()
 
 
 def one_file_each(texts: DataFrame, name: str, ending: str = "txt") -> str:
-    """texts(value) -> a folder with a file for each row."""
-    path = scratch(texts.sparkSession, name)
-    texts.select("value").write.option("maxRecordsPerFile", 1).option("fileExtension", ending).text(path)
+    """texts(value) -> a folder with a file for each row.
+
+    The rows may come from one small file, so they are dealt out to the tasks first; each task puts its own files in place, as the
+    driver would take them one by one."""
+    spark = texts.sparkSession
+    path = scratch(spark, name)
+    dealt = texts.select("value").repartition(TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    dealt.write.option("maxRecordsPerFile", 1).option("fileExtension", ending).option("mapreduce.fileoutputcommitter.algorithm.version", "2").text(path)
     return path
 
 

@@ -72,11 +72,22 @@ def load_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, marked.where("problem IS NOT NULL").select("file", "line", "problem", "raw")
 
 
+def _files(spark: SparkSession, glob: str) -> DataFrame:
+    """The files of a pattern.  Where the last part alone is one, its folder is listed once: as a path, a pattern is as many input
+    paths as it has matches, each of which Spark looks up by itself."""
+    folder, _, name = glob.rpartition("/")
+    reader, own = spark.read.format("binaryFile"), folder.rpartition("/")[2]
+    if not own or any(c in folder for c in "*?[{\\") or not any(c in name for c in "*?[{"):
+        return reader.load(glob)
+    # a folder is read with those below it that are named like partitions; the pattern does not reach them
+    return reader.option("pathGlobFilter", name).load(folder).where(F.substring_index("path", "/", -2).startswith(own + "/"))
+
+
 def catalogue_files(spark: SparkSession, glob: str, max_bytes: int = MAX_FILE_BYTES, extensions: tuple[str, ...] = EXTENSIONS, listing: DataFrame | None = None) -> DataFrame:
     """Files with digest, id, size and a verdict: too large, unsupported, empty, content mismatch, or ok, in this order.
 
     Spark's reader passes over files without a byte; those that a ``listing`` (path) names are added as empty."""
-    f = spark.read.format("binaryFile").load(glob).select("path", "length", "content")
+    f = _files(spark, glob).select("path", "length", "content")
     if listing is not None:
         rest = listing.select("path").join(f.select("path"), "path", "left_anti")
         f = f.unionByName(rest.select("path", F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))

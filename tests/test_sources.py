@@ -53,3 +53,13 @@ def test_vectors_and_pages(spark):
     p = spark.createDataFrame([(1, "https://www.x.org/a", "")], "page_id int, url string, html string")
     r = S.page_source(p, F.lit("t"), F.lit("snip"), F.col("html")).first()
     assert r["content"] == "snip" and r["domain"] == "x.org"
+
+
+def test_a_pattern_of_files_is_one_input_path(spark, tmp_path):
+    """Not one for each match, of which each would be looked up by itself; folders below are not reached."""
+    (tmp_path / "k=1").mkdir()
+    for name in ("a.txt", "b.txt", "c.pdf", "k=1/d.txt"):
+        (tmp_path / name).write_text("abc")
+    found = S.catalogue_files(spark, f"{tmp_path}/*.txt")
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in found.collect()) == ["a.txt", "b.txt"]
+    assert "InMemoryFileIndex(1 paths)" in found._jdf.queryExecution().toString()
