@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ CASE_FIELDS = tuple(part.split()[0] for part in CASE_SCHEMA.replace("struct<arti
 MAX_FILE_BYTES = 20 * 1024 * 1024
 EXTENSIONS = ("pdf", "docx", "txt")
 PAGE_CHARS = 200_000
+#: Scheme and authority of a path.
+_STORE = "^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +80,12 @@ def _files(spark: SparkSession, glob: str) -> DataFrame:
     """The files of a pattern.  Where the last part alone is one, its folder is listed once: as a path, a pattern is as many input
     paths as it has matches, each of which Spark looks up by itself."""
     folder, _, name = glob.rpartition("/")
-    reader, own = spark.read.format("binaryFile"), folder.rpartition("/")[2]
-    if not own or any(c in folder for c in "*?[{\\") or not any(c in name for c in "*?[{"):
+    reader, own = spark.read.format("binaryFile"), re.sub("/+", "/", re.sub(_STORE, "", folder)).rstrip("/")
+    if not own.startswith("/") or any(c in folder for c in "*?[{\\") or not any(c in name for c in "*?[{"):
         return reader.load(glob)
-    # a folder is read with those below it that are named like partitions; the pattern does not reach them
-    return reader.option("pathGlobFilter", name).load(folder).where(F.substring_index("path", "/", -2).startswith(own + "/"))
+    # the folders below are listed too, which the pattern does not reach
+    found = reader.options(pathGlobFilter=name, recursiveFileLookup=True).load(folder)
+    return found.where(F.regexp_replace("path", f"{_STORE}|/[^/]*$", "") == own)
 
 
 def catalogue_files(spark: SparkSession, glob: str, max_bytes: int = MAX_FILE_BYTES, extensions: tuple[str, ...] = EXTENSIONS, listing: DataFrame | None = None) -> DataFrame:
