@@ -110,8 +110,8 @@ def contains_keyword(key_text: Column, keyword: str) -> Column:
 
 def label_keys(label: Column) -> Column:
     """Keys of a label: whole, without parentheses, and of each parenthetical; clause numbers and ordinals left out."""
-    variants = F.concat(
-        F.array(label, F.regexp_replace(label, r"\([^()]*\)", " ")), F.regexp_extract_all(label, F.lit(r"\(([^()]*)\)"), F.lit(1))
+    variants = F.array_distinct(
+        F.concat(F.array(label, F.regexp_replace(label, r"\([^()]*\)", " ")), F.regexp_extract_all(label, F.lit(r"\(([^()]*)\)"), F.lit(1)))
     )
     ordinals = "[a-z]|اولا|ثانيا|ثالثا|رابعا|خامسا|سادسا|سابعا|ثامنا|تاسعا|عاشرا"
     keys = F.transform(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,9 +40,19 @@ SALARY_WORDS = (
 )
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value reckoned once a row, however often ``use`` names it; Spark repeats an expression inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
 def any_word(text: Column, found: tuple[str, ...]) -> Column:
     """Whether one of the words is in the text in any case: one pass of one pattern."""
-    return F.lower(text).rlike("|".join(f"\\Q{w}\\E" for w in found))
+    return has_word(F.lower(text), found)
+
+
+def has_word(low: Column, found: tuple[str, ...]) -> Column:
+    """The same for a text in small letters."""
+    return low.rlike(words_pattern(found))
 
 
 def read_number(raw: Column) -> Column:
@@ -54,23 +66,43 @@ def read_number(raw: Column) -> Column:
 
 def find_currency(text: Column) -> Column:
     """The first currency in order whose word is in the text; four signs match inside words."""
-    low, out = F.lower(text), F.lit(None).cast("string")
+    return currency_of(F.lower(text))
+
+
+def currency_of(low: Column) -> Column:
+    """The same for a text in small letters; one pattern of all words sorts out the texts without any."""
+    out = F.lit(None).cast("string")
     for code, tokens in reversed(CURRENCY_TOKENS.items()):
-        pattern = "|".join(f"\\Q{t}\\E" if t in BARE_TOKENS else f"(?<![a-z])\\Q{t}\\E(?![a-z])" for t in tokens)
-        out = F.when(low.rlike(pattern), code).otherwise(out)
-    return out
+        out = F.when(low.rlike(_currency_pattern(tokens)), code).otherwise(out)
+    return F.when(low.rlike(_currency_pattern([t for ts in CURRENCY_TOKENS.values() for t in ts])), out)
+
+
+def _currency_pattern(tokens) -> str:
+    whole = words_pattern([t for t in tokens if t not in BARE_TOKENS], "(?<![a-z])", "(?![a-z])")
+    return "|".join([whole, *(f"\\Q{t}\\E" for t in tokens if t in BARE_TOKENS)])
+
+
+def words_pattern(tokens, before: str = "", after: str = "") -> str:
+    """One of the words, between two conditions if there are any; a place is looked at further only if a word's first letter stands there."""
+    first = "".join(sorted({"\\" + t[0] if not t[0].isalnum() else t[0] for t in tokens}))
+    return f"(?=[{first}]){before}(?:{'|'.join(f'\\Q{t}\\E' for t in tokens)}){after}"
 
 
 def find_period(text: Column) -> Column:
-    return F.when(any_word(text, MONTHLY_WORDS), "monthly").when(any_word(text, ANNUAL_WORDS), "annual")
+    return period_of(F.lower(text))
+
+
+def period_of(low: Column) -> Column:
+    return F.when(has_word(low, MONTHLY_WORDS), "monthly").when(has_word(low, ANNUAL_WORDS), "annual")
 
 
 def find_basis(text: Column) -> Column:
-    return (
-        F.when(any_word(text, TOTAL_WORDS), "total_compensation")
-        .when(any_word(text, BASE_WORDS), "base_salary")
-        .otherwise("unspecified")
-    )
+    return F.coalesce(basis_of(F.lower(text)), F.lit("unspecified"))
+
+
+def basis_of(low: Column) -> Column:
+    """The basis that a text in small letters states, else null."""
+    return F.when(has_word(low, TOTAL_WORDS), "total_compensation").when(has_word(low, BASE_WORDS), "base_salary")
 
 
 def mentions_salary(text: Column) -> Column:

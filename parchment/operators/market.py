@@ -28,7 +28,7 @@ KNOWN_SOURCES = (
 )
 
 #: A comma or blank between the figures of one number; how a figure looks without those; what stands between the ends of a range.
-GROUPING = r"(?<=\d)(?<!\d{4})[,٬ ](?=\d{3}(?!\d))"
+GROUPING = r"(?=[,٬ ])(?<=\d)(?<!\d{4})[,٬ ](?=\d{3}(?!\d))"
 FIGURE = r"\d+(?:\.\d+)*"
 # What may stand between the ends of a range.
 RANGE_WORDS = ("-", "–", "—", "to", "until", "إلى", "حتى")
@@ -79,7 +79,8 @@ def select_urls(found: DataFrame, allowed: DataFrame | None = None, limit: int =
 def plain_figures(sentence: Column) -> Column:
     """The sentence with its numbers in one piece and without the names of currencies."""
     names = sorted({t for ts in V.CURRENCY_TOKENS.values() for t in ts}, key=len, reverse=True)
-    written = "|".join(f"\\Q{t}\\E" if not t[0].isalpha() else f"(?<!\\p{{L}})\\Q{t}\\E(?!\\p{{L}})" for t in names)
+    signs = "".join(f"|\\Q{t}\\E" for t in names if not t[0].isalpha())
+    written = V.words_pattern([t for t in names if t[0].isalpha()], r"(?<!\p{L})", r"(?!\p{L})") + signs
     return F.regexp_replace(F.regexp_replace(sentence, GROUPING, ""), f"(?i){written}", " ")
 
 
@@ -87,36 +88,48 @@ def amounts(sentence: Column) -> Column:
     """Array of (low, high): ranges that rise, then the numbers outside them."""
     between = "|".join(RANGE_WORDS)
     pair = F.lit(rf"(?i)({FIGURE})\s*(?:{between})\s*({FIGURE})")
-    text = plain_figures(sentence)
-    ends = F.arrays_zip(*[F.regexp_extract_all(text, pair, F.lit(i)).alias(name) for i, name in enumerate(("raw", "low", "high"))])
-    read = F.transform(ends, lambda r: F.struct(V.read_number(r["low"]).alias("low"), V.read_number(r["high"]).alias("high"), r["raw"].alias("raw")))
-    ranges = F.filter(read, lambda r: r["high"] >= r["low"])
-    rest = F.aggregate(ranges, text, lambda t, r: F.replace(t, r["raw"], F.lit(" # ")))
-    single = F.filter(F.transform(F.regexp_extract_all(rest, F.lit(FIGURE), F.lit(0)), V.read_number), lambda v: v.isNotNull())
 
     def both(low: Column, high: Column) -> Column:
         return F.struct(low.alias("low"), high.alias("high"))
 
-    return F.concat(F.transform(ranges, lambda r: both(r["low"], r["high"])), F.transform(single, lambda v: both(v, v)))
+    def ranges_in(text: Column) -> Column:
+        ends = F.arrays_zip(*[F.regexp_extract_all(text, pair, F.lit(i)).alias(name) for i, name in enumerate(("raw", "low", "high"))])
+        read = F.transform(ends, lambda r: F.struct(V.read_number(r["low"]).alias("low"), V.read_number(r["high"]).alias("high"), r["raw"].alias("raw")))
+        return F.filter(read, lambda r: r["high"] >= r["low"])
+
+    def found(text: Column, ranges: Column) -> Column:
+        rest = F.aggregate(ranges, text, lambda t, r: F.replace(t, r["raw"], F.lit(" # ")))
+        single = F.filter(F.transform(F.regexp_extract_all(rest, F.lit(FIGURE), F.lit(0)), V.read_number), lambda v: v.isNotNull())
+        return F.concat(F.transform(ranges, lambda r: both(r["low"], r["high"])), F.transform(single, lambda v: both(v, v)))
+
+    return V.let(plain_figures(sentence), lambda text: V.let(ranges_in(text), lambda ranges: found(text, ranges)))
 
 
 def observations(pages: DataFrame, per_page: int = PER_PAGE) -> DataFrame:
     """pages(page_id, url, tier, title, snippet, text) -> figures with currency, period and basis: from the sentence, else
     from the page's head; a figure once per page, the first ``per_page``."""
-    head = F.concat_ws(" ", "title", "snippet", F.substring("text", 1, 400))
-    s = pages.select(
-        "page_id", "url", "tier", "title",
-        V.find_period(head).alias("page_period"), V.find_basis(head).alias("page_basis"),
-        F.posexplode(page_sentences(F.col("text"))).alias("no", "sentence"),
-    )
-    own = V.find_currency(F.col("sentence"))
-    read = s.withColumn("own", own).where(V.mentions_salary(F.col("sentence")) | F.col("own").isNotNull()).select(
-        "page_id", "url", "tier", "no", "sentence",
-        F.coalesce("own", F.when(F.col("tier") == "official", V.find_currency(F.col("title")))).alias("currency"),
-        F.coalesce(V.find_period(F.col("sentence")), "page_period").alias("period"),
-        F.coalesce(F.nullif(V.find_basis(F.col("sentence")), F.lit("unspecified")), "page_basis").alias("basis"),
+
+    def read(low: Column) -> Column:
+        return F.struct(
+            V.has_word(low, V.SALARY_WORDS).alias("salary"), V.currency_of(low).alias("currency"), V.period_of(low).alias("period"), V.basis_of(low).alias("basis")
+        )
+
+    # a page's head and each of its sentences are read once, inside the generators: a filter moves below a projection and takes a copy of
+    # its patterns along, but not below a generator
+    head = F.lower(F.concat_ws(" ", "title", "snippet", F.substring("text", 1, 400)))
+    of_page = V.let(head, lambda low: F.struct(V.period_of(low).alias("period"), V.basis_of(low).alias("basis")))
+    titled = F.when(F.col("tier") == "official", V.find_currency(F.col("title")))
+    told = F.transform(page_sentences(F.col("text")), lambda s: F.struct(s.alias("sentence"), V.let(F.lower(s), read).alias("own")))
+    s = pages.select("page_id", "url", "tier", titled.alias("titled"), of_page.alias("page"), F.posexplode(told).alias("no", "told"))
+    own = F.col("told.own")
+    some = s.where((own["salary"] | own["currency"].isNotNull()) & F.coalesce(own["currency"], "titled").isNotNull())
+    each = some.select(
+        "page_id", "url", "tier", "no", F.col("told.sentence").alias("sentence"),
+        F.coalesce(own["currency"], "titled").alias("currency"),
+        F.coalesce(own["period"], "page.period").alias("period"),
+        F.coalesce(own["basis"], "page.basis", F.lit("unspecified")).alias("basis"),
+        F.posexplode(amounts(F.col("told.sentence"))).alias("k", "amount"),
     )
-    each = read.where("currency IS NOT NULL").select("*", F.posexplode(amounts(F.col("sentence"))).alias("k", "amount"))
     flat = each.select("*", F.col("amount.low").alias("minimum"), F.col("amount.high").alias("maximum")).drop("amount")
     same = Window.partitionBy("page_id", "minimum", "maximum", "currency").orderBy("no", "k")
     once = flat.withColumn("_n", F.row_number().over(same)).where("_n = 1").drop("_n")

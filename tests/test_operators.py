@@ -497,3 +497,18 @@ def test_dense_scores_are_held_a_few_at_a_time():
     tracemalloc.stop()
     best = np.argsort(-(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T), axis=1)[:, :3]
     assert out.column(1).to_pylist() == best.ravel().tolist() and peak < 60e6
+
+
+def test_observations_read_a_sentence_once(spark):
+    """Patterns over sentences are not copied into filters or for each use of a text: two for currencies and one for figures; the titles' two may be copied."""
+    pages = spark.createDataFrame(
+        [(1, "u", "official", "Pay in dirham", "", "The salary is 8,000 to 12 000 monthly\nA package of USD 60,000 a year | basic pay ٩٬٠٠٠"), (2, "u", "market", "Pay", "per month", "Pay 5 usdx or 7 sr.\nwages 9 US$")],
+        "page_id long, url string, tier string, title string, snippet string, text string",
+    )
+    found = M.observations(pages)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("dirham") <= 7
+    rows = sorted((r.page_id, r.place, r.minimum, r.maximum, r.currency, r.period, r.basis) for r in found.collect())
+    assert rows == [
+        (1, 1, 8000.0, 12000.0, "AED", "monthly", "total_compensation"), (1, 2, 60000.0, 60000.0, "USD", "annual", "total_compensation"),
+        (2, 1, 5.0, 5.0, "SAR", "monthly", "unspecified"), (2, 2, 7.0, 7.0, "SAR", "monthly", "unspecified"), (2, 3, 9.0, 9.0, "USD", "monthly", "unspecified"),
+    ]
