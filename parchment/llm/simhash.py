@@ -46,6 +46,7 @@ SET_WORDS, SIMILARITY = 5, 0.8
 SKETCHES, SET_RADIUS, NEAREST = 6, 2, 15
 #: Of the order of shingles: one set of so many is counted, and those that so many of them have, at most so many, go last.
 SAMPLED, OFTEN, FREQUENT = 16, 8, 200_000
+PARITIES = ("p0", "p1", "p2", "p3")
 #: Fingerprints of one block of a frequent value.
 BLOCK = 4096
 #: Pairs that are compared at once within a task.
@@ -462,7 +463,9 @@ def _candidates(nodes: DataFrame) -> DataFrame:
     """nodes(key, f0..) -> pairs (u, v) of keys: each with the first of its own fingerprint, the firsts with those of near ones."""
     each = nodes.select("key", F.posexplode(F.array(*[f"f{k}" for k in range(SKETCHES)])).alias("sketch", "fp"))
     first = stored(each.groupBy("sketch", "fp").agg(F.min("key").alias("key"), F.count("*").alias("n")), "fingerprints")
-    edges = near_edges(first.select("sketch", "fp"), SET_RADIUS, nearest=NEAREST, sketches=SKETCHES).distinct()
+    met = near_edges(first.select("sketch", "fp"), SET_RADIUS, nearest=NEAREST, sketches=SKETCHES)
+    # one candidate a fingerprint, the nearest that any of its partitions has found
+    edges = met.groupBy("u").agg(F.min(F.struct(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))).alias("d"), "v")).alias("m")).select("u", "m.v")
     # fingerprints of two sketches that happen to be equal give one candidate more, which is refused like others
     near = edges.join(first.select(F.col("fp").alias("u"), F.col("key").alias("a")), "u").join(
         first.select(F.col("fp").alias("v"), F.col("key").alias("b")), "v"
@@ -478,13 +481,20 @@ def _rest_of(length: int, least: float) -> int:
     return length - int(np.ceil(least * length - 1e-9)) + 1
 
 
+def _parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes falls to each of 256 places, as four longs: two sets differ in as many elements at least as
+    these differ in bits."""
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _prefixes(frequent: np.ndarray, least: float):
-    """(did, row, body) -> (did, row, size, first, low): the size of the shingle set, 32 bits of its first shingles, the frequent ones last, and
-    the different values of 16 bits of all of them."""
+    """(did, row, body) -> (did, row, size, first, low, p0..p3): the size of the shingle set, 32 bits of its first shingles, the frequent ones
+    last, the different values of 16 bits of all of them and their parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            first, low, sizes = [], [], []
+            first, low, sizes, odd = [], [], [], []
             for body in batch.column(2):
                 s = _shingle_set(body.as_py())
                 late = frequent[np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)] == s if len(frequent) else np.zeros(len(s), bool)
@@ -492,8 +502,10 @@ def _prefixes(frequent: np.ndarray, least: float):
                 first.append(some.astype(np.uint32).view(np.int32))
                 low.append(np.unique(s.astype(np.uint16)).view(np.int16))
                 sizes.append(len(s))
+                odd.append(_parities(s))
             cols = [batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(first, pa.list_(pa.int32())), pa.array(low, pa.list_(pa.int16()))]
-            yield pa.RecordBatch.from_arrays(cols, ["did", "row", "size", "first", "low"])
+            bits = [pa.array(c, pa.int64()) for c in np.array(odd, np.int64).reshape(-1, 4).T]
+            yield pa.RecordBatch.from_arrays([*cols, *bits], ["did", "row", "size", "first", "low", *PARITIES])
 
     return run
 
@@ -509,17 +521,21 @@ def _shared_prefixes(bodies: DataFrame, named: DataFrame, least: float) -> DataF
     counted = hashes.select(F.explode("hashes").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
     often = counted.orderBy(F.desc("n"), "token").limit(FREQUENT).select("token").toArrow().column(0).to_numpy()
     frequent = np.sort(np.ascontiguousarray(often).astype(np.int64).view(np.uint64))
-    begun = bodies.mapInArrow(_prefixes(frequent, least), "did long, row long, size int, first array<int>, low array<smallint>")
+    fields = ", ".join(f"{p} long" for p in PARITIES)
+    begun = bodies.mapInArrow(_prefixes(frequent, least), f"did long, row long, size int, first array<int>, low array<smallint>, {fields}")
     # equal rows have one name
-    held = stored(begun.join(named, ["did", "row"]).dropDuplicates(["did", "row"]).select("key", "component", "size", "first", "low"), "prefixes")
+    held = stored(begun.join(named, ["did", "row"]).dropDuplicates(["did", "row"]).select("key", "component", "size", "first", "low", *PARITIES), "prefixes")
     # a shingle of one component alone links nothing new
     each = held.select("component", F.explode("first").alias("token"))
     across = each.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("token")
-    placed = held.select("key", "component", "size", F.posexplode("first").alias("at", "token"))
-    some = stored(placed.join(across, "token", "left_semi").select("token", "key", "component", "size", (F.col("size") - F.col("at")).alias("left")), "across")
-    a, b = some.toDF("token", "u", "cu", "nu", "lu"), some.toDF("token", "v", "cv", "nv", "lv")
-    # at the first shingle that a pair shares, no more than what is left of both can be shared
-    fits = F.least("lu", "lv") >= F.lit(least / (1 + least)) * (F.col("nu") + F.col("nv")) - 1e-9
+    placed = held.select("key", "component", "size", *PARITIES, F.posexplode("first").alias("at", "token"))
+    some = stored(placed.join(across, "token", "left_semi").select("token", "key", "component", "size", (F.col("size") - F.col("at")).alias("left"), *PARITIES), "across")
+    a, b = (some.toDF("token", x, f"c{x}", f"n{x}", f"l{x}", *[f"{p}{x}" for p in PARITIES]) for x in "uv")
+    # at the first shingle that a pair shares, no more than what is left of both can be shared; nor more than half of what is in both beside
+    # the shingles in which their parities show them to differ
+    differ = sum((F.bit_count(F.col(f"{p}u").bitwiseXOR(F.col(f"{p}v"))) for p in PARITIES), F.lit(0))
+    most = F.least("lu", "lv", (F.col("nu") + F.col("nv") - differ) / 2)
+    fits = most >= F.lit(least / (1 + least)) * (F.col("nu") + F.col("nv")) - 1e-9
     pairs = stored(a.join(b, "token").where((F.col("u") > F.col("v")) & (F.col("cu") != F.col("cv")) & fits).select("u", "v").distinct(), "pairs")
     return _likely(pairs, held, least)
 

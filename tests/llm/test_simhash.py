@@ -162,3 +162,27 @@ def test_what_near_copies_shuffle_is_bounded_by_the_texts(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", known)
     assert written < 6 * sum(len(t) for _, t in docs)
+
+
+def test_parities_show_no_more_differences_than_there_are():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (set(rng.integers(0, 400, rng.integers(0, 300)).tolist()) for _ in "ab")
+        x, y = (np.array([xxhash.xxh64_intdigest(str(v)) for v in sorted(s)], np.uint64) for s in (a, b))
+        assert int(np.bitwise_count((simhash._parities(x) ^ simhash._parities(y)).view(np.uint64)).sum()) <= len(a ^ b)
+
+
+def test_a_fingerprint_of_a_large_group_makes_one_candidate(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for at in rng.sample(range(400), 4):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    bodies = spark.createDataFrame(rows, "did long, text string").selectExpr("did", "did AS row", "cast(text AS binary) AS body")
+    fields = ", ".join(f"f{k} long" for k in range(simhash.SKETCHES))
+    nodes = bodies.mapInArrow(simhash._sketches, f"did long, row long, key long, {fields}").drop("did", "row")
+    found = simhash._candidates(nodes.dropDuplicates(["key"])).count()
+    assert 0 < found <= simhash.SKETCHES * 250
