@@ -119,13 +119,15 @@ def stratified_subset(cases: DataFrame, target: int = 40, each: int = 8) -> Data
     def take(rest: DataFrame, name: str, order: list[Column], n: int) -> DataFrame:
         return rest.orderBy(*order).limit(n).select("case_id", F.lit(name).alias("stratum"))
 
-    chosen = take(cases.where("shared"), "shared_number", [F.col("case_id")], each)
+    # every stratum looks at all cases: what a case is measured by is reckoned once, and each stratum's few rows are
+    cases = stored(cases.select("case_id", "overlap", "shared", "short_neighbour", "index"), "cases")
+    chosen = stored(take(cases.where("shared"), "shared_number", [F.col("case_id")], each), "chosen")
     for name, rows, order in (
         ("high_overlap", cases, [F.desc("overlap"), F.desc("case_id")]),
         ("low_overlap", cases, [F.asc("overlap"), F.asc("case_id")]),
         ("near_neighbour", cases.where("short_neighbour"), [F.asc("case_id")]),
     ):
-        chosen = chosen.unionByName(take(rows.join(chosen, "case_id", "left_anti"), name, order, each))
+        chosen = stored(chosen.unionByName(take(rows.join(F.broadcast(chosen), "case_id", "left_anti"), name, order, each)), "chosen")
     left = F.lit(target) - F.count("*")
     room = chosen.agg(left.alias("room"))
     n = cases.agg(F.count("*").alias("n"))
@@ -133,7 +135,7 @@ def stratified_subset(cases: DataFrame, target: int = 40, each: int = 8) -> Data
     step = F.greatest(F.lit(1), F.floor(F.col("n") / F.greatest(F.lit(1), F.col("room"))))
     every = spread.crossJoin(F.broadcast(n)).crossJoin(F.broadcast(room)).where(F.pmod(F.col("no") - 1, step) == 0)
     # the first ``target`` of them are enough, as there is room for fewer
-    fill = every.join(chosen, "case_id", "left_anti").orderBy("no").limit(target)
+    fill = every.join(F.broadcast(chosen), "case_id", "left_anti").orderBy("no").limit(target)
     fill = fill.withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("no")))  # of ``target`` rows
     return chosen.unionByName(fill.where(F.col("k") <= F.col("room")).select("case_id", F.lit("coverage").alias("stratum")))
 

@@ -512,3 +512,17 @@ def test_observations_read_a_sentence_once(spark):
         (1, 1, 8000.0, 12000.0, "AED", "monthly", "total_compensation"), (1, 2, 60000.0, 60000.0, "USD", "annual", "total_compensation"),
         (2, 1, 5.0, 5.0, "SAR", "monthly", "unspecified"), (2, 2, 7.0, 7.0, "SAR", "monthly", "unspecified"), (2, 3, 9.0, 9.0, "USD", "monthly", "unspecified"),
     ]
+
+
+def test_subset_reckons_a_case_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def measured(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(300).selectExpr("id AS case_id", "id % 7 / 7.0D AS overlap", "id % 50 = 7 AS shared", "id % 3 = 0 AS short_neighbour", "id AS index")
+    got = E.stratified_subset(rows.mapInArrow(measured, rows.schema)).collect()
+    assert 32 < len(got) == len({r["case_id"] for r in got}) <= 40
+    assert seen.value == 300
