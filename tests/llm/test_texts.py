@@ -256,3 +256,22 @@ def test_empty_tables(spark, op):
     e = empty(spark)
     out = toxicity.score(e, None) if op == "tox" else langid.label_spans(e, None)
     assert out.count() == 0
+
+
+def test_toxicity_inputs_take_bounded_memory():
+    """Words are hashed some at a time; the memory of a step does not follow all letters of the distinct words."""
+    import tracemalloc
+
+    r = random.Random(3)
+    body = " ".join("".join(r.choices("abcdefghij", k=30)) for _ in range(60_000))
+    net = toxicity.new_network(1)
+    tracemalloc.start()
+    codes, words, sizes = toxicity._numbered([body, "", body])
+    got = words.inputs(net)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    assert sizes.tolist() == [60_000, 0, 60_000] and (codes[:60_000] == codes[60_000:]).all()
+    some = [0, 1, 16_383, 16_384, 59_999]
+    alone = toxicity.Words([body.split()[i] for i in some])
+    assert (alone.inputs(net)[:-1] == got[some]).all() and not got[-1].any()
