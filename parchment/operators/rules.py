@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,31 +24,37 @@ def thresholds(articles: DataFrame, numbers: DataFrame, allow_digits: bool = Fal
     key = F.col("_key")
     units = "(يوما?|ايام|اسبوعا?|اسابيع|شهرا?|اشهر|سنه|سنوات|ساعه|ساعات|days?|weeks?|months?|years?|hours?)"
     words = r"((?:[^\s]+\s+){1,6}?)"
+    # kind, what a text must hold for the pattern to fit, pattern
     patterns = (
-        ("max", rf"(?:يزيد|تزيد)[^.]{{0,40}}?(?:على|عن|علي)\s+{words}{units}"),
-        ("max", rf"(?:no more than|not exceed|at most)\s+{words}{units}"),
-        ("min", rf"(?:يقل|تقل)[^.]{{0,40}}?عن\s+{words}{units}"),
-        ("min", rf"(?:no less than|at least|not less than)\s+{words}{units}"),
+        ("max", ("يزيد", "تزيد"), rf"(?:يزيد|تزيد)[^.]{{0,40}}?(?:على|عن|علي)\s+{words}{units}"),
+        ("max", ("no more than", "not exceed", "at most"), rf"(?:no more than|not exceed|at most)\s+{words}{units}"),
+        ("min", ("يقل", "تقل"), rf"(?:يقل|تقل)[^.]{{0,40}}?عن\s+{words}{units}"),
+        ("min", ("no less than", "at least", "not less than"), rf"(?:no less than|at least|not less than)\s+{words}{units}"),
     )
+    none = F.array().cast("array<struct<kind:string,phrase:string,unit:string>>")
     found = F.flatten(
         F.array(
             *[
-                F.transform(
-                    F.arrays_zip(
-                        F.regexp_extract_all(key, F.lit(p), F.lit(1)).alias("phrase"),
-                        F.regexp_extract_all(key, F.lit(p), F.lit(2)).alias("unit"),
+                F.when(
+                    reduce(or_, [F.contains(key, F.lit(c)) for c in cues]),
+                    F.transform(
+                        F.arrays_zip(
+                            F.regexp_extract_all(key, F.lit(p), F.lit(1)).alias("phrase"),
+                            F.regexp_extract_all(key, F.lit(p), F.lit(2)).alias("unit"),
+                        ),
+                        _phrase(k),
                     ),
-                    _phrase(k),
-                )
-                for k, p in patterns
+                ).otherwise(none)
+                for k, cues, p in patterns
             ]
         )
     )
     rows = articles.select("article_id", matching_key(F.col("text")).alias("_key")).select("article_id", F.posexplode(found).alias("no", "m")).select(
         "article_id", "no", "m.kind", "m.unit", F.explode(F.split(F.trim("m.phrase"), r"\s+")).alias("token")
     )
-    # the numbers are a word list; a shuffle by token would gather the texts of each common word
-    known = rows.join(F.broadcast(numbers), "token", "left")
+    # the numbers are a word list; a shuffle by token would gather the texts of each common word.  Dealt out by article once, for all
+    # groupings by it here and in ``derive_rules``
+    known = rows.join(F.broadcast(numbers), "token", "left").repartition("article_id")
     value = F.coalesce("value", F.col("token").try_cast("double")) if allow_digits else F.col("value")
     unit = (
         F.when(F.col("unit").rlike("^(يوم|ايام|day)"), "day").when(F.col("unit").rlike("^(اسب|اساب|week)"), "week")
@@ -63,14 +72,14 @@ def derive_rules(articles: DataFrame, found: DataFrame) -> DataFrame:
     key = F.col("_key")
     by = found.groupBy("article_id").agg(
         F.count("*").alias("n"), F.count_if(F.col("kind") == "max").alias("n_max"), F.count_if(F.col("kind") == "min").alias("n_min"),
-        F.countDistinct("unit").alias("units"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min("unit").alias("unit"),
+        (F.min("unit") == F.max("unit")).alias("one_unit"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.min("unit").alias("unit"),
         F.min("kind").alias("kind"),
     )
     joined = articles.withColumn("_key", matching_key(F.col("text"))).join(by, "article_id", "left")
     n = F.coalesce("n", F.lit(0))
     cue = key.rlike(r"\b(if|unless|provided)\b|اذا|بشرط|ما لم")
     kind = (
-        F.when((F.col("n_max") == 1) & (F.col("n_min") == 1) & (F.col("units") == 1), "range")
+        F.when((F.col("n_max") == 1) & (F.col("n_min") == 1) & F.col("one_unit"), "range")
         .when(cue & (n == 1), "conditional").when(n == 1, F.when(F.col("kind") == "max", "maximum").otherwise("minimum"))
         .when(n > 1, "conditional").when(key.rlike(r"\b(shall not|may not|prohibited)\b|لا يجوز|يحظر"), "prohibition")
         .when(key.rlike(r"\b(shall|must)\b|يجب|يلتزم"), "requirement").otherwise("unknown")

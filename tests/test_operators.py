@@ -395,6 +395,20 @@ def test_contract_read_from_end_to_end(spark):
     }
 
 
+def shuffles(df) -> int:
+    """Shuffles that Spark itself adds to a plan."""
+    return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
+
+
+def test_rules_are_dealt_out_by_article_once(spark):
+
+    articles = spark.createDataFrame([(1, "At most ninety days and no less than sixty days."), (2, "At least two weeks."), (3, "Nothing.")], "article_id int, text string")
+    found = L.thresholds(articles, spark.createDataFrame([("ninety", 90.0), ("sixty", 60.0), ("two", 2.0)], "token string, value double"))
+    got = L.derive_rules(articles, found)
+    assert rows(got, "article_id", "rule_type", "value", "value_max", "unit", order=["article_id"]) == [(1, "range", 60, 90, "day"), (2, "minimum", 2, None, "week"), (3, "unknown", None, None, None)]
+    assert shuffles(found) == 0 and shuffles(got) <= 1
+
+
 def test_requirement_ladder(spark):
     """Every outcome, in its order."""
     jobs = spark.createDataFrame(
