@@ -99,6 +99,16 @@ def matching_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(t), r"(?U)[^\p{L}\p{N}]+", " "))
 
 
+def has_phrase(key: Column, phrases: tuple[str, ...]) -> Column:
+    """Whether a ``matching_key`` holds any of the phrases (in the same form): at a word's start, Arabic ones anywhere.  Nothing but
+    searches for strings, for such lists are tried on every sentence."""
+    out = F.lit(False)
+    for p in phrases:
+        arabic = "\u0600" <= p[0] <= "\u06ff"
+        out = out | (F.contains(key, F.lit(p)) if arabic else F.startswith(key, F.lit(p)) | F.contains(key, F.lit(" " + p)))
+    return out
+
+
 def contains_keyword(key_text: Column, keyword: str) -> Column:
     """Arabic keywords anywhere; others where no Latin letter or digit stands before."""
     if not keyword:
@@ -110,8 +120,8 @@ def contains_keyword(key_text: Column, keyword: str) -> Column:
 
 def label_keys(label: Column) -> Column:
     """Keys of a label: whole, without parentheses, and of each parenthetical; clause numbers and ordinals left out."""
-    variants = F.array_distinct(
-        F.concat(F.array(label, F.regexp_replace(label, r"\([^()]*\)", " ")), F.regexp_extract_all(label, F.lit(r"\(([^()]*)\)"), F.lit(1)))
+    variants = F.when(~F.contains(label, F.lit("(")), F.array(label)).otherwise(
+        F.array_distinct(F.concat(F.array(label, F.regexp_replace(label, r"\([^()]*\)", " ")), F.regexp_extract_all(label, F.lit(r"\(([^()]*)\)"), F.lit(1))))
     )
     ordinals = "[a-z]|اولا|ثانيا|ثالثا|رابعا|خامسا|سادسا|سابعا|ثامنا|تاسعا|عاشرا"
     keys = F.transform(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parchment.functions.text import has_phrase
+
 NEW_ITEM = r"^\s*(?:\(?(?:\d{1,2}|[a-z]|[ivx]{1,4})[.)]|[•●▪◦‣–*·-])\s*"
 LEAST_CHARS = 25
 
@@ -16,10 +18,13 @@ def drop_noise(sentences: DataFrame, patterns: list[str], text: str = "sentence"
 
 
 def classify(text: Column, rules: list[dict]) -> Column:
-    """Type of the first rule in order {type, pattern, excludes, requires} that fits; null if none does."""
+    """Type of the first rule in order {type, pattern, excludes, requires} that fits; null if none does.  ``words`` and ``without``
+    in place of patterns are phrases for folded text."""
     out = None
     for r in rules:
-        hit = text.rlike(r["pattern"])
+        hit = has_phrase(text, r["words"]) if "words" in r else text.rlike(r["pattern"])
+        if r.get("without"):
+            hit = hit & ~has_phrase(text, r["without"])
         for e in r.get("excludes", ()):
             hit = hit & ~text.rlike(e)
         for q in r.get("requires", ()):

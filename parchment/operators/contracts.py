@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchment.functions import values as V
-from parchment.functions.text import matching_key
+from parchment.functions.text import has_phrase, matching_key
 from parchment.operators import clauses as C
 from parchment.operators import extract as X
 from parchment.operators import structure as S
@@ -70,7 +70,7 @@ _HEADING_WORDS: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("DISCIPLINARY", ("disciplinary", "conduct", "الجزاءات")),
     ("EMPLOYMENT", ("appointment", "terms and conditions", "employment", "التعيين")),
 )
-SENTENCE_RULES = [{"type": t, "pattern": phrases(*w), "excludes": [phrases(*x)] if x else []} for t, w, x in _SENTENCE_WORDS]
+SENTENCE_RULES = [{"type": t, "words": w, "without": x} for t, w, x in _SENTENCE_WORDS]
 HEADING_RULES = [{"type": t, "pattern": phrases(*w)} for t, w in _HEADING_WORDS]
 
 
@@ -127,9 +127,9 @@ def canonical(rows: DataFrame) -> DataFrame:
     # one pass over the texts, beside their rows; a text's readings of its own kind count
     read = X.with_readings(rows, F.when(F.col("kind") != "text", F.col("raw")), "duration", "money", "hours", "date", require_currency=False)
     read = read.withColumn("own", F.filter("readings", lambda r: r["kind"] == F.col("kind")))
-    forms = F.array_distinct(F.array_compact(F.transform("own", form)))
+    read = read.withColumn("forms", F.array_distinct(F.array_compact(F.transform("own", form))))  # a column, so that it is made once
     ok = F.forall("own", lambda r: r["value"].isNotNull() | r["iso_date"].isNotNull())
-    reading = F.when(ok & (F.size(forms) == 1), forms[0])
+    reading = F.when(ok & (F.size("forms") == 1), F.col("forms")[0])
     key = F.when(F.col("kind") == "text", F.nullif(F.trim("raw"), F.lit(""))).otherwise(reading)
     return read.select("document_id", "field", "ord", key.alias("key"), "raw", "source", "method")
 
@@ -143,7 +143,7 @@ def labelled(lines: DataFrame, known: DataFrame) -> DataFrame:
 def narrated(sentences: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFrame:
     """sentences(document_id, no, text) -> the same columns for sentences with a field's cue, that are no labelled lines."""
     key = F.col("_key")  # a column, so that the patterns share it
-    tried = [F.when(key.rlike(phrases(*f.cues)), F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"))) for f in fields if f.cues]
+    tried = [F.when(has_phrase(key, f.cues), F.struct(F.lit(f.name).alias("field"), F.lit(f.kind).alias("kind"))) for f in fields if f.cues]
     plain = sentences.where(~F.col("text").rlike("[:：\t]")).withColumn("_key", matching_key(F.col("text")))
     return plain.select("document_id", F.inline(F.array_compact(F.array(*tried))), (F.col("no") * 100).alias("ord"), "text").select(
         "document_id", "field", "kind", "ord", F.col("text").alias("raw"), F.col("text").alias("source"), F.lit("narrative").alias("method")
@@ -158,12 +158,13 @@ def read_fields(docs: DataFrame, fields: tuple[Field, ...] = FIELDS) -> DataFram
     known = specs(docs.sparkSession, fields)
     # dealt out once by document: all steps below are within one, and the work is in the texts, whatever files they came in
     docs = docs.select("document_id", "text").repartition(TASKS_A_CORE * docs.sparkSession.sparkContext.defaultParallelism, "document_id")
-    lines = docs.select("document_id", F.posexplode(lines_of(F.col("text"))).alias("line_no", "text"))
+    lines = docs.select("document_id", lines_of(F.col("text")).alias("l"))
+    pairs = F.transform("l", lambda x, i: F.struct(x.alias("text"), F.get("l", i + 1).alias("next")))
+    lines = lines.select("document_id", F.posexplode(pairs).alias("line_no", "p")).select("document_id", "line_no", "p.text", "p.next")
     told = docs.select("document_id", F.posexplode(sentences_of(F.col("text"))).alias("no", "text"))
-    by_label = X.resolve(canonical(labelled(lines, known)))
-    # a sentence with a cue and no reading says nothing about the field's value
-    by_sentence = X.resolve(canonical(narrated(told, fields)).where("key IS NOT NULL"))
-    return X.merge_semantic(by_label, by_sentence)
+    # one pass of the readers and one grouping for both ways
+    read = canonical(labelled(lines, known).unionByName(narrated(told, fields)))
+    return X.resolve_paths(read.withColumn("path", F.when(F.col("method") == "narrative", "narrative").otherwise("label")))
 
 
 def read_clauses(docs: DataFrame) -> DataFrame:

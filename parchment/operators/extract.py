@@ -140,17 +140,41 @@ def dedupe(candidates: DataFrame, keys: list[str], order: list[str]) -> DataFram
 
 def resolve(candidates: DataFrame) -> DataFrame:
     """(document_id, field, status, key, confidence, n): ambiguous with any unreadable candidate or several keys, else the first
-    reading; confidence is high if any source method is strong."""
-    many = (F.count_if(F.col("key").isNull()) > 0) | (F.countDistinct("key") > 1)
+    reading; confidence is high if any source method is strong.
+
+    Keys differ if the least and the greatest do, and a single one is both: no distinct count, which would shuffle all keys once more."""
+    many = (F.count_if(F.col("key").isNull()) > 0) | (F.min("key") < F.max("key"))
     strong = F.bool_or(F.col("method").isin(*STRONG_METHODS))
     return candidates.groupBy("document_id", "field").agg(
         F.when(many, "ambiguous").otherwise("found").alias("status"),
-        F.when(~many, F.min_by("key", "ord")).alias("key"),
+        F.when(~many, F.min("key")).alias("key"),
         F.when(strong, "high").otherwise("medium").alias("confidence"),
         F.count("*").alias("n"),
     )
 
 
+def resolve_paths(candidates: DataFrame) -> DataFrame:
+    """candidates(document_id, field, path, key), path being label or narrative -> (document_id, field, path, status, key): what
+    ``merge_semantic`` gives for the resolved candidates of either path, from one grouping.  A narrative without a reading says nothing."""
+
+    def of(path: str, value: Column) -> Column:
+        return F.when(F.col("path") == path, value)
+
+    key = F.col("key")
+    g = candidates.groupBy("document_id", "field").agg(
+        F.count_if(F.col("path") == "label").alias("n"), F.count_if((F.col("path") == "label") & key.isNull()).alias("unread"),
+        F.min(of("label", key)).alias("k1"), F.max(of("label", key)).alias("l1"), F.min(of("narrative", key)).alias("k2"), F.max(of("narrative", key)).alias("l2"),
+    )
+    one = (F.col("n") > 0) & (F.col("unread") == 0) & (F.col("k1") == F.col("l1"))
+    two = F.coalesce(F.col("k2") == F.col("l2"), F.lit(False))
+    told = F.when(F.col("n") > 0, "label").when(F.col("k2").isNotNull(), "narrative")
+    path = F.when(one, "label").when(two, "narrative").otherwise(told)
+    return g.where((F.col("n") > 0) | F.col("k2").isNotNull()).select(
+        "document_id", "field", path.alias("path"), F.when(one | two, "found").otherwise("ambiguous").alias("status"),
+        F.when(one, F.col("k1")).when(two, F.col("k2")).alias("key"),
+    )
+
+
 def resolve_list(candidates: DataFrame) -> DataFrame:
     items = F.transform(F.sort_array(F.collect_list(F.struct("ord", "key"))), lambda x: x["key"])
     return candidates.where("key IS NOT NULL").groupBy("document_id", "field").agg(F.array_distinct(items).alias("items"))

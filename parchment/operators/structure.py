@@ -181,15 +181,15 @@ def table_pairs(rows: DataFrame, max_label: int = 60) -> DataFrame:
 
 
 def labeled_values(lines: DataFrame, max_label: int = 60) -> DataFrame:
-    """lines(document_id, line_no, text) -> label and value of parts with a colon or tab; an empty value takes the next line."""
-    parts = lines.withColumn("next", F.lead("text").over(Window.partitionBy("document_id").orderBy("line_no"))).select(
-        "document_id", "line_no", "next", F.posexplode(F.split("text", r"\s+[|•·]\s+")).alias("part_no", "part")
-    )
-    mark = r"\s*[:：\t]\s*"
-    read = parts.where(F.col("part").rlike(mark)).select(
-        "document_id", "line_no", "part_no",
-        F.trim(F.regexp_extract("part", r"^([^:：\t]*?)" + mark, 1)).alias("label"),
-        F.trim(F.regexp_replace("part", r"^[^:：\t]*?" + mark, "")).alias("here"),
+    """lines(document_id, line_no, text[, next]) -> label and value of parts with a colon or tab; an empty value takes the next line,
+    ``next`` where the lines have it."""
+    if "next" not in lines.columns:
+        lines = lines.withColumn("next", F.lead("text").over(Window.partitionBy("document_id").orderBy("line_no")))
+    mark = "[:：\t]"
+    parts = lines.where(F.col("text").rlike(mark)).select("document_id", "line_no", "next", F.posexplode(F.split("text", r"\s+[|•·]\s+")).alias("part_no", "part"))
+    # cut once, at the first mark and the blanks around it
+    read = parts.select("document_id", "line_no", "part_no", "next", F.split("part", rf"\s*{mark}\s*", 2).alias("_cut")).where(F.size("_cut") == 2).select(
+        "document_id", "line_no", "part_no", F.trim(F.col("_cut")[0]).alias("label"), F.trim(F.col("_cut")[1]).alias("here"),
         F.when(~F.col("next").rlike(mark), F.trim("next")).alias("after"),
     )
     value = F.coalesce(F.nullif(F.col("here"), F.lit("")), F.col("after"))

@@ -400,6 +400,47 @@ def shuffles(df) -> int:
     return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
 
 
+def test_paths_resolved_in_one_grouping(spark):
+    """As the two paths resolved alone and merged, with one shuffle instead of five."""
+    from parchment.operators import contracts as K
+
+    r = random.Random(5)
+    data = [(d, r.choice("ab"), i, r.choice(["x", "y", None, "x"]), r.choice(["labeled_line", "narrative"])) for d in range(60) for i in range(r.randint(1, 4))]
+    c = cands(spark, data)
+    told = F.col("method") == "narrative"
+    want = X.merge_semantic(X.resolve(c.where(~told)), X.resolve(c.where(told & F.col("key").isNotNull())))
+    got = X.resolve_paths(c.withColumn("path", F.when(told, "narrative").otherwise("label")))
+    cols = ("document_id", "field", "path", "status", "key")
+    assert sorted(map(str, rows(got, *cols))) == sorted(map(str, rows(want, *cols)))
+    docs = spark.createDataFrame([(1, "Notice period: 60 days")], "document_id int, text string")
+    assert shuffles(K.read_fields(docs)) == 1
+    assert shuffles(X.resolve(c)) == 1
+
+
+def test_labels_cut_at_the_first_mark(spark):
+    lines = ["a \t: b:c", "x\t\ty", " k :", "：v", "Name (first): q", "no pair"]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(lines)], "document_id int, line_no int, text string")
+    want = [("a", "b:c", "labeled_line"), ("x", "y", "labeled_line"), ("Name (first)", "q", "labeled_line")]
+    assert rows(S.labeled_values(df), "label", "value", "method", order=["line_no"]) == want
+    given = df.withColumn("next", F.lit("given"))
+    assert rows(S.labeled_values(given), "label", "value", order=["line_no"]) == [("a", "b:c"), ("x", "y"), ("k", "given"), ("Name (first)", "q")]
+    assert "Window" not in S.labeled_values(given)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_phrases_are_the_patterns(spark):
+    """Searches for phrases find what patterns of the same words find, without a pattern on each sentence."""
+    from parchment.functions.text import matching_key
+    from parchment.operators import contracts as K
+
+    some = [p for _, w, x in K._SENTENCE_WORDS for p in (*w, *x)]
+    texts = [t for p in some for t in (p, f"The {p}ing is", f"un{p}", f"وال{p} ثم")] + ["", "none of it", "Notice to terminate; probation", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("k", matching_key(F.col("text")))
+    patterns = [{"type": t, "pattern": K.phrases(*w), "excludes": [K.phrases(*x)] if x else []} for t, w, x in K._SENTENCE_WORDS]
+    both = df.select("text", C.classify(F.col("k"), K.SENTENCE_RULES).alias("a"), C.classify(F.col("k"), patterns).alias("b"))
+    assert both.where("NOT a <=> b").count() == 0
+    assert "RLIKE" not in df.select(C.classify(F.col("k"), K.SENTENCE_RULES))._jdf.queryExecution().executedPlan().toString()
+
+
 def test_rules_are_dealt_out_by_article_once(spark):
 
     articles = spark.createDataFrame([(1, "At most ninety days and no less than sixty days."), (2, "At least two weeks."), (3, "Nothing.")], "article_id int, text string")
@@ -455,7 +496,6 @@ def test_numbering_by_splitters(spark, monkeypatch):
 def test_rule_tables_go_to_the_rows(spark):
     """A rule table has no known size; without a hint the rows, small as a file, would be gathered and sent instead."""
     from parchment.operators import extract as X
-    from parchment.operators import rules as L
 
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
