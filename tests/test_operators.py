@@ -401,7 +401,7 @@ def shuffles(df) -> int:
 
 
 def test_paths_resolved_in_one_grouping(spark):
-    """As the two paths resolved alone and merged, with one shuffle instead of five."""
+    """As the two paths resolved alone and merged, with one shuffle instead of four."""
     from parchment.operators import contracts as K
 
     r = random.Random(5)
