@@ -152,6 +152,65 @@ def job_plan(jobs: DataFrame) -> DataFrame:
     return rows.select("job_id", "no", "r.*")
 
 
+#: Requirements of a job whose states go into one number, bits of each, and what a bit says: a text of the primary field has all
+#: words, one of another searched field has, one of the primary field has a part, a searched text shares a script, the primary field was found.
+BLOCK, BITS = 12, 5
+_WHOLE, _ELSEWHERE, _PART, _SCRIPT, _THERE = (1 << i for i in range(BITS))
+
+
+def _either(masks: Column) -> Column:
+    return F.aggregate(masks, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+
+
+def _where(which) -> Column:
+    """A number with the first bit of each requirement for which ``which(requirement, place)`` holds."""
+    return _either(F.transform("asked", lambda r, i: F.when(which(r, i), F.call_function("shiftleft", F.lit(1).cast("long"), i * BITS)).otherwise(0)))
+
+
+def _blocks(asked: DataFrame) -> DataFrame:
+    """(job_id, block, asked, fields, words): the requirements of a job in order, ``BLOCK`` at a time; which of them search a field,
+    name it first, search it with either script, and want a word."""
+    r = F.struct("no", "requirement_type", "requirement", "importance", "primary", "searched", "wanted", "ar", "la")
+    jobs = asked.where("job_id IS NOT NULL").groupBy("job_id").agg(F.sort_array(F.collect_list(r)).alias("all"))
+    starts = F.sequence(F.lit(1), F.size("all"), F.lit(BLOCK))
+    blocks = jobs.select("job_id", F.posexplode(F.transform(starts, lambda k: F.slice("all", k, BLOCK))).alias("block", "asked"))
+
+    def searching(f: Column) -> Column:
+        def searches(r):
+            return F.array_contains(r["searched"], f)
+
+        return F.struct(
+            _where(lambda r, i: searches(r)).alias("any"), _where(lambda r, i: r["primary"] == f).alias("first"),
+            _where(lambda r, i: searches(r) & r["ar"]).alias("ar"), _where(lambda r, i: searches(r) & r["la"]).alias("la"),
+        )
+
+    fields = F.array_distinct(F.flatten(F.transform("asked", lambda r: F.concat(r["searched"], F.array(r["primary"])))))
+    words = F.array_distinct(F.flatten(F.transform("asked", lambda r: r["wanted"])))
+    return blocks.select(
+        "*", F.map_from_arrays(fields, F.transform(fields, searching)).alias("fields"),
+        F.map_from_arrays(words, F.transform(words, lambda w: _where(lambda r, i: F.array_contains(r["wanted"], w)))).alias("words"),
+    )
+
+
+def _with_states(pairs: DataFrame) -> DataFrame:
+    """What a text, or a field that was found, says of the requirements, in one number."""
+    none = F.lit(0).cast("long")
+    pairs = pairs.withColumn("f", F.try_element_at("fields", F.col("cv_field")))
+    met = _either(F.transform("held", lambda w: F.coalesce(F.try_element_at("words", w), none))).bitwiseAND(F.col("f.any"))
+    pairs = pairs.withColumn("met", F.when(~F.col("found"), met).otherwise(0))
+
+    def whole(r: Column, i: Column) -> Column:
+        asked = F.call_function("shiftright", F.col("met"), i * BITS).bitwiseAND(F.lit(1)) != 0
+        return asked & (F.size(F.filter("held", lambda w: F.array_contains(r["wanted"], w))) == F.size(r["wanted"]))
+
+    pairs = pairs.withColumn("whole", F.when(F.col("met") != 0, _where(whole)).otherwise(0))
+    first = F.col("f.first")
+    script = F.when(F.col("ar"), F.col("f.ar")).otherwise(0).bitwiseOR(F.when(F.col("la"), F.col("f.la")).otherwise(0))
+    elsewhere = F.col("whole").bitwiseAND(F.bitwise_not(first))
+    line = F.col("whole").bitwiseAND(first) * _WHOLE + elsewhere * _ELSEWHERE + F.col("met").bitwiseAND(first) * _PART + script * _SCRIPT
+    return pairs.withColumn("states", F.coalesce(F.when(F.col("found"), first * _THERE).otherwise(line), none))
+
+
 def assess_jobs(
     plan: DataFrame, applications: DataFrame, texts: DataFrame, found: DataFrame, stop: tuple[str, ...] = (), languages: dict[str, str] | None = None
 ) -> DataFrame:
@@ -164,7 +223,8 @@ def assess_jobs(
     primary field was not found (insufficient); requirement and searched texts share no script (insufficient; languages are
     exempt); else it is missing.  Years of experience are not reckoned (insufficient).  ``languages`` are other names of languages.
 
-    Requirements meet the texts of their own CV only, by (document, word), so the pairs are those of the applications."""
+    Texts, found fields and applications are dealt out by CV once; all else happens there.  A text meets the requirements of a job in
+    one row and what it says of them is one number for each ``BLOCK``, so neither words nor pairs of words are shuffled."""
     names = F.create_map(*[F.lit(x) for kv in (languages or {}).items() for x in kv]).cast("map<string,string>")
     stops = F.array(*map(F.lit, stop)).cast("array<string>")
 
@@ -175,47 +235,60 @@ def assess_jobs(
         return F.transform(words, lambda w: F.coalesce(F.try_element_at(names, w), w))
 
     is_language = F.col("requirement_type") == "language"
-    key = ["job_id", "document_id", "no"]
-    asked = applications.select("job_id", "document_id").distinct().join(plan, "job_id")
-    asked = asked.withColumn("wanted", F.when(F.col("requirement_type") == YEARS, F.array().cast("array<string>")).when(is_language, F.array_distinct(named(tokens("requirement")))).otherwise(tokens("requirement")))
-    asked = asked.withColumn("need", F.size("wanted"))
-    wanted = asked.select(*key, "primary", "searched", "need", is_language.alias("language"), F.explode("wanted").alias("word"))
-    plain = texts.select("document_id", "cv_field", "text_no", F.explode(F.array_union(tokens("text"), named(tokens("text")))).alias("word"))
-    held = plain.join(wanted, ["document_id", "word"]).where(F.array_contains("searched", F.col("cv_field")))
-    by_text = held.groupBy(*key, "cv_field", "text_no").agg(
-        F.count("*").alias("have"), F.any_value("need").alias("need"), F.any_value("primary").alias("primary"), F.collect_set("word").alias("met")
-    )
-    full, primary = F.col("have") == F.col("need"), F.col("cv_field") == F.col("primary")
-    met = by_text.groupBy(*key).agg(
-        F.bool_or(full & primary).alias("explicit"), F.sort_array(F.collect_set(F.when(full & ~primary, F.col("cv_field")))).alias("others"),
-        F.bool_or(primary).alias("part"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.when(primary, F.col("met")))))).alias("words"),
-    )
-    scripts = texts.groupBy("document_id", "cv_field").agg(F.bool_or(F.col("text").rlike(_ARABIC)).alias("ar"), F.bool_or(F.col("text").rlike(_LATIN)).alias("la"))
-    fields = asked.select(*key, "requirement", F.explode("searched").alias("cv_field")).join(scripts, ["document_id", "cv_field"])
-    same = (F.col("requirement").rlike(_ARABIC) & F.col("ar")) | (F.col("requirement").rlike(_LATIN) & F.col("la"))
-    shared = fields.groupBy(*key).agg(F.bool_or(same).alias("comparable"))
-    there = found.select("document_id", F.col("cv_field").alias("primary"), F.lit(True).alias("there")).distinct()
-    rows = asked.join(met, key, "left").join(shared, key, "left").join(there, ["document_id", "primary"], "left")
-    no = F.lit(False)
+    wanted = F.when(F.col("requirement_type") == YEARS, F.array().cast("array<string>")).when(is_language, F.array_distinct(named(tokens("requirement")))).otherwise(tokens("requirement"))
+    blocks = _blocks(plan.select("*", wanted.alias("wanted"), *_scripts("requirement")))
+
+    number, text = texts.schema["text_no"].dataType, F.lit(None).cast("string")
+    lines = texts.select("document_id", "cv_field", F.lit(False).alias("found"), "text_no", F.col("text").cast("string").alias("text"))
+    lines = lines.unionByName(found.select("document_id", "cv_field", F.lit(True).alias("found"), F.lit(None).cast(number).alias("text_no"), text.alias("text")))
+    lines = lines.where("document_id IS NOT NULL AND cv_field IS NOT NULL").repartition("document_id")
+    held = F.array_union(tokens("text"), named(tokens("text"))) if languages else tokens("text")
+    # rows of one number are one text
+    one = Window.partitionBy("document_id", "cv_field", "found", "text_no")
+    lines = lines.select("*", held.alias("held"), *_scripts("text")).withColumn("held", F.flatten(F.collect_list("held").over(one)))
+
+    key = ["job_id", "document_id", "block"]
+    pairs = applications.select("job_id", "document_id").join(lines.drop("text", "text_no"), "document_id", "left").join(blocks, "job_id")
+    pairs = _with_states(pairs)
+    telling = F.when(F.col("states").bitwiseAND(sum((_ELSEWHERE | _PART) << BITS * i for i in range(BLOCK))) != 0, F.struct("cv_field", "held", "states"))
+    said = pairs.groupBy(*key).agg(F.bit_or("states").alias("states"), F.collect_set(telling).alias("telling"))
+    rows = said.join(blocks.select("job_id", "block", "asked"), ["job_id", "block"]).select("job_id", "document_id", "states", "telling", F.posexplode("asked").alias("i", "r"))
+
+    def says(states: Column, bit: int) -> Column:
+        return F.call_function("shiftrightunsigned", states, F.col("i") * BITS).bitwiseAND(F.lit(bit)) != 0
+
+    def told(bit: int) -> Column:
+        return F.filter("telling", lambda t: says(t["states"], bit))
+
+    rows = rows.select("job_id", "document_id", "states", "telling", "i", "r.*")
     outcome = (
         F.when(F.col("requirement_type") == YEARS, _outcome("insufficient", "years not reckoned"))
-        .when(F.col("need") == 0, _outcome("insufficient", "no comparable words"))
-        .when(F.coalesce("explicit", no), _outcome("explicit", "all in the primary field"))
-        .when(F.size(F.coalesce("others", F.array().cast("array<string>"))) > 0, _outcome("partial", "all in another field"))
-        .when(F.coalesce("part", no), _outcome("partial", "a part in the primary field"))
-        .when(F.col("there").isNull(), _outcome("insufficient", "primary field not found"))
-        .when(~is_language & ~F.coalesce("comparable", no), _outcome("insufficient", "other script"))
+        .when(F.size("wanted") == 0, _outcome("insufficient", "no comparable words"))
+        .when(says(F.col("states"), _WHOLE), _outcome("explicit", "all in the primary field"))
+        .when(says(F.col("states"), _ELSEWHERE), _outcome("partial", "all in another field"))
+        .when(says(F.col("states"), _PART), _outcome("partial", "a part in the primary field"))
+        .when(~says(F.col("states"), _THERE), _outcome("insufficient", "primary field not found"))
+        .when(~is_language & ~says(F.col("states"), _SCRIPT), _outcome("insufficient", "other script"))
         .otherwise(_outcome("missing", "not stated"))
     )
+    others = F.array_sort(F.array_distinct(F.transform(told(_ELSEWHERE), lambda t: t["cv_field"])))
+    met = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(told(_PART), lambda t: t["held"])), lambda w: F.array_contains("wanted", w))))
     rows = rows.withColumn("o", outcome)
-    where = F.when(F.col("o.reason") == "all in another field", F.col("others")).when(F.col("o.status").isin("explicit", "partial"), F.array("primary"))
-    part = F.when(F.col("o.reason") == "a part in the primary field", F.col("words"))
-    return rows.select(*key, "requirement_type", "requirement", "importance", "o.status", "o.reason", where.alias("fields"), part.alias("words"))
+    where = F.when(F.col("o.reason") == "all in another field", others).when(F.col("o.status").isin("explicit", "partial"), F.array("primary"))
+    part = F.when(F.col("o.reason") == "a part in the primary field", met)
+    return rows.select(
+        "job_id", "document_id", "no", "requirement_type", "requirement", "importance", "o.status", "o.reason", where.alias("fields"), part.alias("words")
+    )
 
 
 _ARABIC, _LATIN = "[\u0621-\u064a]", "[A-Za-z\u00c0-\u024f]"
 
 
+def _scripts(column: str) -> tuple[Column, Column]:
+    """Whether a text has Arabic and Latin letters."""
+    return tuple(F.coalesce(F.col(column).rlike(p), F.lit(False)).alias(a) for p, a in ((_ARABIC, "ar"), (_LATIN, "la")))
+
+
 def _outcome(status: str, reason: str) -> Column:
     return F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
 

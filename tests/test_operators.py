@@ -481,6 +481,85 @@ def test_requirement_ladder(spark):
     assert CV.assess_jobs(CV.job_plan(jobs.limit(0)), applied, texts, found).count() == 0
 
 
+def test_assessment_of_jobs_matches_brute_force(spark):
+    """Jobs of more requirements than a number holds, repeated numbers of texts, repeated and foreign applications, nulls."""
+    import random
+
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(9)] + ["مهنه", "arabic"]
+    fields = ["skills", "work_experience", "summary", "education", "certifications", "languages", "hobbies", None]
+
+    def some(most: int) -> str:
+        return " ".join(r.choice(words) for _ in range(r.randint(0, most)))
+
+    jobs = [(j, some(2) or None, [some(3) for _ in range(3 * CV.BLOCK if j == 1 else r.randint(0, 4))], [some(2)], None, [some(3)], [some(1), "عربي"], 2.0 if j % 2 else None) for j in range(6)]
+    texts = [(d, r.choice(fields), r.choice([None, *range(4)]), r.choice([None, some(4), some(2)])) for d in [*range(12), None] for _ in range(9)]
+    found = [(d, r.choice(fields)) for d in range(12) for _ in range(3)]
+    applied = [(r.choice([None, 99, *range(6)]), r.choice([None, 77, *range(12)])) for _ in range(60)] + [(1, d) for d in range(12)]
+    columns = "job_id long, title string, required_skills array<string>, preferred_skills array<string>, required_education array<string>, required_certifications array<string>, required_languages array<string>, minimum_years_experience double"
+    plan = CV.job_plan(spark.createDataFrame(jobs, columns))
+    names = {"عربي": "arabic"}
+    out = CV.assess_jobs(
+        plan, spark.createDataFrame(applied, "job_id long, document_id long"), spark.createDataFrame(texts, "document_id long, cv_field string, text_no int, text string"),
+        spark.createDataFrame(found, "document_id long, cv_field string"), ("w8",), names,
+    )
+
+    def tokens(t: str | None) -> set[str]:
+        return {w for w in (t or "").split() if w != "w8"}
+
+    def latin(t: str | None) -> bool:
+        return any("a" <= c <= "z" for c in t or "")
+
+    def arabic(t: str | None) -> bool:
+        return any("ء" <= c <= "ي" for c in t or "")
+
+    want = []
+    for job, document in {a for a in applied if a[0] is not None}:
+        for p in (p for p in plan.collect() if p["job_id"] == job):
+            wanted = {names.get(w, w) if p["requirement_type"] == "language" else w for w in tokens(p["requirement"])}
+            mine = [t for t in texts if document is not None and t[0] == document and t[1] in p["searched"]]
+            met = {}
+            for _, f, no, t in mine:
+                held = tokens(t) | {names.get(w, w) for w in tokens(t)}
+                met[f, no] = [*met.get((f, no), []), *(held & wanted)]
+            whole = {f for (f, _), m in met.items() if m and len(m) == len(wanted)}
+            part = sorted({w for (f, _), m in met.items() if f == p["primary"] for w in m})
+            script = any(arabic(p["requirement"]) and arabic(t[3]) or latin(p["requirement"]) and latin(t[3]) for t in mine)
+            others = sorted(whole - {p["primary"]})
+            if p["requirement_type"] == CV.YEARS:
+                o = ("insufficient", "years not reckoned", None, None)
+            elif not wanted:
+                o = ("insufficient", "no comparable words", None, None)
+            elif p["primary"] in whole:
+                o = ("explicit", "all in the primary field", [p["primary"]], None)
+            elif others:
+                o = ("partial", "all in another field", others, None)
+            elif part:
+                o = ("partial", "a part in the primary field", [p["primary"]], part)
+            elif document is None or (document, p["primary"]) not in found:
+                o = ("insufficient", "primary field not found", None, None)
+            elif p["requirement_type"] != "language" and not script:
+                o = ("insufficient", "other script", None, None)
+            else:
+                o = ("missing", "not stated", None, None)
+            want.append((job, document, p["no"], *o))
+    got = [(x["job_id"], x["document_id"], x["no"], x["status"], x["reason"], x["fields"], x["words"]) for x in out.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len({o[4] for o in want}) == 8
+
+
+def test_assessment_of_jobs_shuffles_texts_and_applications_once(spark):
+    """Not words, nor pairs of words or of requirements; the overview adds none."""
+    title = " ".join(f"w{i}" for i in range(40))
+    none = [f"cast(null AS array<string>) AS {c}" for c in ("preferred_skills", "required_education", "required_certifications", "required_languages")]
+    jobs = spark.range(2).selectExpr("id AS job_id", f"'{title}' AS title", "array('w1', 'w2') AS required_skills", *none, "3.0D AS minimum_years_experience")
+    texts = spark.createDataFrame([(d, "work_experience", k, title) for d in range(4) for k in range(3)], "document_id long, cv_field string, text_no int, text string")
+    applied = spark.createDataFrame([(1, d) for d in range(4)], "job_id long, document_id long")
+    out = CV.assess_jobs(CV.job_plan(jobs), applied, texts, texts.select("document_id", "cv_field"))
+    seen = CV.job_overview(out)
+    assert shuffles(out) <= 3 and shuffles(seen) <= 3  # of applications, and of the plan twice; texts and fields are dealt out by hand
+    assert {r["explicit"] for r in seen.collect()} == {1}
+
+
 def test_numbering_by_splitters(spark, monkeypatch):
     """Equal numbers to a sort, no range far above the bound even where one value has most rows."""
     monkeypatch.setattr(E, "RANGE_ROWS", 100)
