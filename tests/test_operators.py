@@ -1,6 +1,7 @@
 """Operators on small fixtures, and properties that hold on any data."""
 
 import itertools
+import os
 import random
 
 import pytest
@@ -399,6 +400,38 @@ def shuffles(df) -> int:
     """Shuffles that Spark itself adds to a plan."""
     return df._jdf.queryExecution().executedPlan().toString().count("ENSURE_REQUIREMENTS")
 
+def test_verdicts_gated_in_their_row_or_by_tables(spark):
+    """Both ways match brute force; lists need no shuffle, tables one of quotes and evidence and one of verdicts."""
+    from parchment.plans.checks import QUERIES
+
+    r = random.Random(5)
+    ids = ["e1", "e2", "e3", None]
+    answers = [
+        (a, r.choice(["compliant", "non_compliant", "unclear", None]), r.choice([None, [r.choice(ids) for _ in range(r.randint(0, 3))]]), r.choice([True, True, None, False]), r.choice([[], [], ["7"]]),
+         [(r.choice(ids), r.choice(["arabic", "arabic", "english", None])) for _ in range(r.randint(0, 3))], [r.choice(ids) for _ in range(r.randint(0, 5))])
+        for a in range(400)
+    ]
+    whole = spark.createDataFrame(
+        answers, "answer_id int, assessment string, cited_ids array<string>, contract_quote_ok boolean, foreign array<string>, quotes array<struct<evidence_id:string,found_in:string>>, supplied array<string>"
+    )
+    quotes = whole.select("answer_id", F.inline("quotes"))
+    evidence = whole.select("answer_id", F.explode("supplied").alias("evidence_id"))
+    want = {}
+    for a, assessment, cited, ok, foreign, quoted, supplied in answers:
+        known, cited = set(supplied) - {None}, cited or []
+        p = ["evidence not supplied"] * any(e not in known for e in [*cited, *(q[0] for q in quoted)])
+        p += ["no quote of a cited article"] * (not any(e in known and e in cited and f == "arabic" for e, f in quoted))
+        p += ["contract quote not found"] * (not ok) + ["foreign article"] * bool(foreign)
+        p = p if assessment in ("compliant", "non_compliant") else []
+        want[a] = ("requires_review" if p else assessment, p)
+    by_lists, by_tables = G.gate_verdicts(whole), G.gate_verdicts(whole.drop("quotes", "supplied"), quotes, evidence)
+    assert shuffles(by_lists) == 0 and shuffles(by_tables) <= 2
+    for out in (by_lists, by_tables):
+        assert {x["answer_id"]: (x["status"], x["problems"]) for x in out.collect()} == want
+    assert {p for _, ps in want.values() for p in ps} == {"evidence not supplied", "no quote of a cited article", "contract quote not found", "foreign article"}
+    plan = QUERIES["grd04_gated_verdicts"](spark, "/root/testdata/sf0.001") if os.path.isdir("/root/testdata/sf0.001") else by_lists
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+
 
 def test_paths_resolved_in_one_grouping(spark):
     """As the two paths resolved alone and merged, with one shuffle instead of four."""
@@ -483,8 +516,6 @@ def test_requirement_ladder(spark):
 
 def test_assessment_of_jobs_matches_brute_force(spark):
     """Jobs of more requirements than a number holds, repeated numbers of texts, repeated and foreign applications, nulls."""
-    import random
-
     r = random.Random(11)
     words = [f"w{i}" for i in range(9)] + ["مهنه", "arabic"]
     fields = ["skills", "work_experience", "summary", "education", "certifications", "languages", "hobbies", None]
