@@ -275,3 +275,32 @@ def test_toxicity_inputs_take_bounded_memory():
     some = [0, 1, 16_383, 16_384, 59_999]
     alone = toxicity.Words([body.split()[i] for i in some])
     assert (alone.inputs(net)[:-1] == got[some]).all() and not got[-1].any()
+
+
+def test_toxicity_fit_reads_every_window_of_the_labelled_texts(monkeypatch):
+    """Long texts too: those of label 0 in every word, and all windows of both labels are ranked in each round."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(700)) for i in range(20)]
+    labels = [i % 2 for i in range(20)]
+    kept = [i for i in range(20) if i % 5 == 4]
+    monkeypatch.setattr(toxicity, "HIDE", 0.0)
+    monkeypatch.setattr(toxicity, "LEAST_ROWS", 1)
+    read, ranked = set(), []
+    step, logits = toxicity.Fitter.step, toxicity.window_logits
+
+    def stepping(self, words, cells, inside, target, weight):
+        read.update(cells[inside].tolist())
+        step(self, words, cells, inside, target, weight)
+
+    def ranking(net, words, codes, start, stop):
+        ranked.append(start.tolist())
+        return logits(net, words, codes, start, stop)
+
+    monkeypatch.setattr(toxicity.Fitter, "step", stepping)
+    monkeypatch.setattr(toxicity, "window_logits", ranking)
+    toxicity.fit(texts, np.array(labels), 0.5)
+    # words are numbered in the order of the texts, 700 each
+    assert {i * 700 + k for i in range(20) if labels[i] == 0 and i not in kept for k in range(700)} <= read
+    assert not read & {i * 700 + k for i in kept for k in range(700)}
+    _, start = toxicity.windows_of(np.full(20, 700))
+    fitted = sorted(x for x in start.tolist() if x // 700 not in kept)
+    assert len(fitted) > 12 * 16 and [sorted(x) for x in ranked[:-1]] == [fitted] * toxicity.ROUNDS
